@@ -103,3 +103,14 @@ assignment_requests AS (
 """
 
 AS_OF = "1999-01-01 00:00:00"
+
+# Extra fixture view (FIXTURES.md "gaps": one notification per order from its status).
+NOTIFICATIONS_SQL = """
+, work_order_notifications AS (
+  SELECT work_order_id AS notification_id, work_order_id,
+         CASE status WHEN 0 THEN 'Created' WHEN 1 THEN 'Assigned' ELSE 'StatusChanged' END AS notification_type,
+         concat('Work order ', work_order_number, ' status ', cast(status AS varchar)) AS subject,
+         created_at AS sent_at, (work_order_id % 10 <> 0) AS success,
+         CASE WHEN work_order_id % 10 = 0 THEN 'delivery failed' END AS error_message
+  FROM work_orders)
+"""

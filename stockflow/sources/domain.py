@@ -233,9 +233,23 @@ class Domain:
                         ((F.col("work_order_id") * 7) % self._supplier_count()).alias("technician_id"),
                         F.col("created_at").alias("requested_at"))
 
+    @cached_property
+    def work_order_notifications(self) -> DataFrame:
+        """One synthesised notification attempt per order, typed by its status (fixture gap, FIXTURES.md)."""
+        w = self.work_orders
+        k, st = F.col("work_order_id"), F.col("status")
+        return w.select(
+            k.alias("notification_id"), k.alias("work_order_id"),
+            F.when(st == 0, "Created").when(st == 1, "Assigned").otherwise("StatusChanged").alias("notification_type"),
+            F.concat(F.lit("Work order "), F.col("work_order_number"), F.lit(" status "), st.cast("string"))
+             .alias("subject"),
+            F.col("created_at").alias("sent_at"),
+            (k % 10 != 0).alias("success"),
+            F.when(k % 10 == 0, F.lit("delivery failed")).alias("error_message"))
+
     TABLES = ("parts", "inventory", "inventory_transactions", "technicians", "work_orders",
               "work_order_parts", "customers", "status_requests", "part_commands",
-              "reservation_requests", "assignment_requests")
+              "reservation_requests", "assignment_requests", "work_order_notifications")
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
