@@ -1 +1,163 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered ledger jobs.
+
+The replay oracle is a DuckDB recursive CTE stepping through each
+location's commands by row number; Spark runs the fast path + sorted fold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockflow.operators import ledger as L
+from stockflow.plans.registry import register
+from stockflow.sources.domain import domain
+
+# Ledger rows read back as commands, numbered per location in (ts, id) order.
+CMDS_SQL = """
+, cmds AS (
+  SELECT inventory_id, transaction_id AS command_id, transaction_date AS ts,
+         CASE transaction_type WHEN 'Receipt' THEN 'receive' WHEN 'Reservation' THEN 'reserve'
+              WHEN 'Issue' THEN 'issue' WHEN 'Release' THEN 'release' ELSE 'adjust_by' END AS command,
+         cast(CASE WHEN transaction_type IN ('Issue', 'Release') THEN -quantity ELSE quantity END AS int) AS quantity,
+         work_order_id,
+         row_number() OVER (PARTITION BY inventory_id ORDER BY transaction_date, transaction_id) AS rn
+  FROM inventory_transactions)
+"""
+
+REPLAY_SQL = CMDS_SQL + """
+, fold AS (
+  SELECT inventory_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS oh, CAST(0 AS BIGINT) AS rs,
+         CAST(0 AS BIGINT) AS ohb, CAST(0 AS BIGINT) AS rsb, CAST(NULL AS VARCHAR) AS reason
+  FROM (SELECT DISTINCT inventory_id FROM cmds) k
+  UNION ALL
+  SELECT inventory_id, rn,
+         CASE WHEN reason IS NOT NULL THEN ohb
+              WHEN command = 'receive' THEN ohb + quantity WHEN command = 'issue' THEN ohb - quantity
+              WHEN command = 'adjust_by' THEN ohb + quantity ELSE ohb END AS oh,
+         CASE WHEN reason IS NOT NULL THEN rsb
+              WHEN command = 'reserve' THEN rsb + quantity WHEN command IN ('release', 'issue') THEN rsb - quantity
+              ELSE rsb END AS rs,
+         ohb, rsb, reason
+  FROM (
+    SELECT c.inventory_id, c.rn, c.command, c.quantity, f.oh AS ohb, f.rs AS rsb,
+           CASE WHEN c.quantity IS NULL THEN 'invalid_quantity'
+                WHEN c.command = 'adjust_by' AND f.oh + c.quantity < 0 THEN 'negative_target'
+                WHEN c.command = 'adjust_by' AND f.oh + c.quantity < f.rs THEN 'target_below_reserved'
+                WHEN c.command = 'adjust_by' THEN NULL
+                WHEN c.quantity <= 0 THEN 'invalid_quantity'
+                WHEN c.command = 'reserve' AND c.quantity > f.oh - f.rs THEN 'insufficient_available'
+                WHEN c.command IN ('release', 'issue') AND c.quantity > f.rs THEN 'insufficient_reserved'
+                WHEN c.command = 'issue' AND c.quantity > f.oh THEN 'insufficient_on_hand'
+           END AS reason
+    FROM fold f JOIN cmds c ON c.inventory_id = f.inventory_id AND c.rn = f.rn + 1) s),
+replayed AS (
+  SELECT c.inventory_id, c.command_id, c.ts, c.command, c.quantity, c.work_order_id,
+         f.reason IS NULL AS accepted, f.reason,
+         f.ohb AS on_hand_before, f.rsb AS reserved_before, f.oh AS on_hand_after, f.rs AS reserved_after
+  FROM cmds c JOIN fold f ON f.inventory_id = c.inventory_id AND f.rn = c.rn)
+"""
+
+
+def _replayed(spark, sf_dir, fast_path=True):
+    d = domain(spark, sf_dir)
+    return L.replay(L.ledger_commands(d.inventory_transactions), None, fast_path=fast_path)
+
+
+@register("stock_running_balance", """
+SELECT *,
+       cast(sum(CASE WHEN transaction_type IN ('Receipt', 'Issue', 'Adjustment') THEN quantity ELSE 0 END)
+            OVER w AS bigint) AS running_on_hand,
+       cast(sum(CASE WHEN transaction_type IN ('Reservation', 'Release', 'Issue') THEN quantity ELSE 0 END)
+            OVER w AS bigint) AS running_reserved,
+       cast(sum(CASE WHEN transaction_type IN ('Receipt', 'Issue', 'Adjustment') THEN quantity ELSE 0 END) OVER w
+            - sum(CASE WHEN transaction_type IN ('Reservation', 'Release', 'Issue') THEN quantity ELSE 0 END) OVER w
+            AS bigint) AS running_available
+FROM inventory_transactions
+WINDOW w AS (PARTITION BY inventory_id ORDER BY transaction_date, transaction_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def q_stock_running_balance(spark, sf_dir):
+    return L.running_balance(domain(spark, sf_dir).inventory_transactions)
+
+
+@register("ledger_replay", REPLAY_SQL + "SELECT * FROM replayed", recursive=True)
+def q_ledger_replay(spark, sf_dir):
+    return _replayed(spark, sf_dir)
+
+
+@register("ledger_closing", REPLAY_SQL + """
+SELECT inventory_id,
+       arg_max(on_hand_after, (ts, command_id)) AS closing_on_hand,
+       arg_max(reserved_after, (ts, command_id)) AS closing_reserved,
+       count(*) AS command_count,
+       count(*) FILTER (WHERE accepted) AS accepted_count,
+       count(*) FILTER (WHERE NOT accepted) AS rejected_count
+FROM replayed GROUP BY inventory_id
+""", recursive=True)
+def q_ledger_closing(spark, sf_dir):
+    return L.closing(_replayed(spark, sf_dir))
+
+
+_ENV_NULLS = {
+    "int": ["quantity", "available", "min_level", "reorder_qty"],
+    "bigint": ["inventory_id", "part_id", "work_order_id", "on_hand", "old_qty", "new_qty", "difference"],
+    "decimal(18,2)": ["old_cost", "new_cost", "old_price", "new_price"],
+    "varchar": ["event_id", "event_type", "warehouse", "reason", "reference", "part_number"],
+    "timestamp": ["occurred_on"],
+}
+
+
+def envelope_sql(values: dict[str, str]) -> str:
+    """SELECT list for the event envelope: given expressions, typed NULLs elsewhere."""
+    types = {c: t for t, cols in _ENV_NULLS.items() for c in cols}
+    return ", ".join(f"CAST({values.get(c, 'NULL')} AS {types[c]}) AS {c}" for c in L.EVENT_COLUMNS)
+
+
+INVENTORY_EVENTS_SQL = REPLAY_SQL + """
+, acc AS (
+  SELECT r.*, i.part_id, i.warehouse,
+         CASE r.command WHEN 'reserve' THEN 'InventoryReserved' WHEN 'issue' THEN 'InventoryIssued'
+              WHEN 'receive' THEN 'InventoryReceived' ELSE 'InventoryAdjusted' END AS et
+  FROM replayed r LEFT JOIN inventory i ON i.inventory_id = r.inventory_id
+  WHERE r.accepted AND r.command <> 'release')
+SELECT """ + envelope_sql({
+    "event_id": "concat(command_id, '/', et)", "event_type": "et", "occurred_on": "ts",
+    "inventory_id": "inventory_id", "part_id": "part_id",
+    "work_order_id": "CASE WHEN command IN ('reserve', 'issue') THEN work_order_id END",
+    "warehouse": "warehouse",
+    "quantity": "CASE WHEN command NOT IN ('adjust', 'adjust_by') THEN quantity END",
+    "available": "CASE WHEN command = 'reserve' THEN on_hand_after - reserved_after END",
+    "on_hand": "CASE WHEN command IN ('issue', 'receive') THEN on_hand_after END",
+    "old_qty": "CASE WHEN command IN ('adjust', 'adjust_by') THEN on_hand_before END",
+    "new_qty": "CASE WHEN command IN ('adjust', 'adjust_by') THEN on_hand_after END",
+    "difference": "CASE WHEN command IN ('adjust', 'adjust_by') THEN on_hand_after - on_hand_before END",
+    "reference": "CASE WHEN command = 'receive' THEN '' END",
+}) + " FROM acc"
+
+
+@register("inventory_events", INVENTORY_EVENTS_SQL, recursive=True)
+def q_inventory_events(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return L.inventory_events(_replayed(spark, sf_dir), d.inventory)
+
+
+LOW_STOCK_EVENTS_SQL = REPLAY_SQL + """
+, low AS (
+  SELECT r.*, i.part_id, i.warehouse, i.minimum_stock_level, i.reorder_quantity,
+         r.on_hand_after - r.reserved_after AS avail
+  FROM replayed r JOIN inventory i ON i.inventory_id = r.inventory_id
+  WHERE r.accepted AND r.command IN ('issue', 'adjust', 'adjust_by')
+    AND r.on_hand_after - r.reserved_after <= i.minimum_stock_level)
+"""
+
+LOW_STOCK_EVENTS_SELECT = "SELECT " + envelope_sql({
+    "event_id": "concat(command_id, '/InventoryLowStockDetected')", "event_type": "'InventoryLowStockDetected'",
+    "occurred_on": "ts", "inventory_id": "inventory_id", "part_id": "part_id", "warehouse": "warehouse",
+    "available": "avail", "min_level": "minimum_stock_level", "reorder_qty": "reorder_quantity",
+}) + " FROM low"
+
+
+@register("low_stock_events", LOW_STOCK_EVENTS_SQL + LOW_STOCK_EVENTS_SELECT, recursive=True)
+def q_low_stock_events(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return L.low_stock_events(_replayed(spark, sf_dir), d.inventory)
