@@ -284,11 +284,13 @@ def allocate(requests: DataFrame, inv: DataFrame) -> DataFrame:
     loc = (inv.where(F.col("is_active"))
               .select("part_id", "inventory_id", "warehouse", raw.alias("_raw"),
                       F.greatest(raw, F.lit(0)).alias("available")))
-    # rows per request are bounded: at most one active location per (part, warehouse)
-    w_prev = (Window.partitionBy("request_id").orderBy("warehouse", "inventory_id")
+    # rows per request are bounded: at most one active location per (part, warehouse).
+    # ``request_id`` need not be unique, so each request gets an internal id
+    # (deterministic for a given input; not part of the output).
+    w_prev = (Window.partitionBy("_rid").orderBy("warehouse", "inventory_id")
               .rowsBetween(Window.unboundedPreceding, -1))
-    w_all = Window.partitionBy("request_id")
-    j = requests.join(loc, "part_id")
+    w_all = Window.partitionBy("_rid")
+    j = requests.withColumn("_rid", F.monotonically_increasing_id()).join(loc, "part_id")
     before = F.coalesce(F.sum("available").over(w_prev), F.lit(0))
     total = F.sum("_raw").over(w_all)
     take = F.greatest(F.lit(0), F.least(F.col("available"), F.col("quantity") - before))
@@ -297,3 +299,102 @@ def allocate(requests: DataFrame, inv: DataFrame) -> DataFrame:
              .withColumn("taken", F.when(F.col("fulfilled"), F.col("taken")).otherwise(F.lit(0)))
              .select("request_id", "part_id", "quantity", "inventory_id", "warehouse", "available",
                      "total_available", "fulfilled", F.col("taken").cast("bigint").alias("taken")))
+
+
+QUEUE_SCHEMA = T.StructType([
+    T.StructField("work_order_id", T.LongType()),
+    T.StructField("line_no", T.IntegerType()),
+    T.StructField("part_id", T.LongType()),
+    T.StructField("quantity", T.IntegerType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("line_accepted", T.BooleanType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("demand_before", T.LongType()),
+    T.StructField("demand_after", T.LongType()),
+])
+
+QUEUE_ORDER = ["created_at", "work_order_id", "line_no", "quantity"]
+
+
+def _queue_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
+    keys = pdf["part_id"].to_numpy()
+    qty = pdf["quantity"].to_numpy(dtype="float64", na_value=np.nan)
+    total = pdf["total_available"].to_numpy(dtype="float64", na_value=np.nan)
+    n = len(pdf)
+    reason = np.empty(n, dtype=object)
+    before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    cur, used = carry.get("key"), carry.get("used", 0)
+    for i in range(n):
+        if keys[i] != cur:
+            cur, used = keys[i], 0
+        before[i] = used
+        q = qty[i]
+        if np.isnan(total[i]):
+            reason[i] = "part_not_found"
+        elif np.isnan(q) or q < 1:
+            reason[i] = "invalid_quantity"
+        elif used + q > total[i]:
+            reason[i] = "insufficient_inventory"
+        else:
+            used += int(q)
+        after[i] = used
+    carry.update(key=cur, used=used)
+    out = pdf[["work_order_id", "line_no", "part_id", "quantity", "created_at"]].copy()
+    out["line_accepted"] = pd.isna(reason)
+    out["reason"] = reason
+    out["demand_before"], out["demand_after"] = before, after
+    return out
+
+
+def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> DataFrame:
+    """Many requests per part, served in (created, order, line) order against one snapshot.
+
+    1. Per part, a line is accepted when the units already promised plus its
+       quantity fit the part's total available (active locations); otherwise it
+       takes nothing (sorted streaming fold per part).
+    2. Orders with any failed line are flagged: their lines are *not committed*
+       and their units are not re-offered to later lines in this batch.
+    3. Accepted lines are split over locations by overlapping the cumulative
+       demand interval [before, after) with each location's cumulative supply
+       interval (active locations with stock, in warehouse-name order). Each line
+       meets at most one location per warehouse, so the range join is bounded.
+
+    Output: one row per (line, location) take; a line that takes nothing
+    appears once with a NULL location.
+    """
+    raw = F.col("quantity_on_hand") - F.col("quantity_reserved")
+    active = inv.where(F.col("is_active"))
+    totals = active.groupBy("part_id").agg(F.sum(raw).alias("total_available"))
+    known = parts.select("part_id").join(totals, "part_id", "left").fillna(0, subset=["total_available"])
+    lines = requests.join(known, "part_id", "left")
+    folded = sorted_fold(lines, ["part_id"], QUEUE_ORDER, _queue_kernel, QUEUE_SCHEMA)
+
+    failed = folded.groupBy("work_order_id").agg(F.bool_and("line_accepted").alias("order_committed"))
+    flagged = folded.join(failed, "work_order_id")
+
+    av = F.greatest(raw, F.lit(0))
+    w = (Window.partitionBy("part_id").orderBy("warehouse", "inventory_id")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    supply = (active.where(raw > 0)
+                    .select("part_id", "inventory_id", "warehouse", av.alias("_av"))
+                    .withColumn("_shi", F.sum("_av").over(w))
+                    .withColumn("_slo", F.col("_shi") - F.col("_av")))
+    lo, hi = F.col("demand_before"), F.col("demand_after")
+    acc = flagged.where("line_accepted")
+    takes = (acc.join(supply, (acc.part_id == supply.part_id) & (lo < supply._shi) & (supply._slo < hi))
+                .select(acc["*"], "inventory_id", "warehouse",
+                        (F.least(hi, F.col("_shi")) - F.greatest(lo, F.col("_slo"))).alias("taken")))
+    none = (flagged.where(~F.col("line_accepted"))
+                   .withColumns({"inventory_id": F.lit(None).cast("bigint"),
+                                 "warehouse": F.lit(None).cast("string"),
+                                 "taken": F.lit(0).cast("bigint")}))
+    return takes.unionByName(none)
+
+
+def reorder_suggestions(low_events: DataFrame) -> DataFrame:
+    """L4: one suggestion per low-stock event: order the stored reorder quantity; Critical when
+    nothing is available, else Normal."""
+    return low_events.select(
+        "part_id", "warehouse", "inventory_id", F.col("reorder_qty").alias("quantity_to_order"),
+        F.when(F.col("available") == 0, F.lit("Critical")).otherwise(F.lit("Normal")).alias("priority"),
+        F.col("occurred_on").alias("created_at"), F.col("event_id").alias("source_event_id"))

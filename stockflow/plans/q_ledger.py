@@ -161,3 +161,82 @@ LOW_STOCK_EVENTS_SELECT = "SELECT " + envelope_sql({
 def q_low_stock_events(spark, sf_dir):
     d = domain(spark, sf_dir)
     return L.low_stock_events(_replayed(spark, sf_dir), d.inventory)
+
+
+ALLOCATE_SQL = """
+, req AS (SELECT concat(cast(work_order_id AS varchar), '-', cast(line_no AS varchar)) AS request_id,
+                 part_id, quantity, row_number() OVER () AS rid FROM reservation_requests),
+loc AS (SELECT part_id, inventory_id, warehouse, quantity_on_hand - quantity_reserved AS raw,
+               greatest(quantity_on_hand - quantity_reserved, 0) AS available FROM inventory WHERE is_active),
+j AS (SELECT r.rid, r.request_id, r.part_id, r.quantity, l.inventory_id, l.warehouse, l.available, l.raw,
+             coalesce(sum(l.available) OVER (PARTITION BY r.rid ORDER BY l.warehouse, l.inventory_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(l.raw) OVER (PARTITION BY r.rid) AS total_available
+      FROM req r JOIN loc l ON l.part_id = r.part_id)
+SELECT request_id, part_id, quantity, inventory_id, warehouse, available, cast(total_available AS bigint) AS total_available,
+       total_available >= quantity AS fulfilled,
+       cast(CASE WHEN total_available >= quantity THEN greatest(0, least(available, quantity - before)) ELSE 0 END
+            AS bigint) AS taken
+FROM j
+"""
+
+
+@register("reservation_allocation", ALLOCATE_SQL)
+def q_reservation_allocation(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    req = d.reservation_requests.select(
+        F.concat(F.col("work_order_id").cast("string"), F.lit("-"), F.col("line_no").cast("string"))
+        .alias("request_id"), "part_id", "quantity")
+    return L.allocate(req, d.inventory)
+
+
+QUEUE_SQL = """
+, tot AS (SELECT p.part_id, coalesce(sum(i.quantity_on_hand - i.quantity_reserved), 0) AS total
+          FROM parts p LEFT JOIN inventory i ON i.part_id = p.part_id AND i.is_active GROUP BY p.part_id),
+q AS (SELECT r.*, t.total,
+             row_number() OVER (PARTITION BY r.part_id ORDER BY r.created_at, r.work_order_id, r.line_no, r.quantity) AS rn
+      FROM reservation_requests r LEFT JOIN tot t ON t.part_id = r.part_id),
+walk AS (
+  SELECT part_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS before,
+         CAST(NULL AS VARCHAR) AS reason
+  FROM (SELECT DISTINCT part_id FROM q) k
+  UNION ALL
+  SELECT part_id, rn, CASE WHEN reason IS NULL THEN before + quantity ELSE before END, before, reason
+  FROM (SELECT q.part_id, q.rn, q.quantity, w.used AS before,
+               CASE WHEN q.total IS NULL THEN 'part_not_found'
+                    WHEN q.quantity IS NULL OR q.quantity < 1 THEN 'invalid_quantity'
+                    WHEN w.used + q.quantity > q.total THEN 'insufficient_inventory' END AS reason
+        FROM walk w JOIN q ON q.part_id = w.part_id AND q.rn = w.rn + 1) s),
+lines AS (
+  SELECT q.work_order_id, q.line_no, q.part_id, q.quantity, q.created_at, w.reason IS NULL AS line_accepted,
+         w.reason, w.before AS demand_before, w.used AS demand_after
+  FROM q JOIN walk w ON w.part_id = q.part_id AND w.rn = q.rn),
+flag AS (SELECT l.*, bool_and(line_accepted) OVER (PARTITION BY work_order_id) AS order_committed FROM lines l),
+sup AS (SELECT part_id, inventory_id, warehouse, quantity_on_hand - quantity_reserved AS av,
+               sum(quantity_on_hand - quantity_reserved) OVER (PARTITION BY part_id ORDER BY warehouse, inventory_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shi
+        FROM inventory WHERE is_active AND quantity_on_hand - quantity_reserved > 0)
+SELECT f.*, s.inventory_id, s.warehouse,
+       cast(least(f.demand_after, s.shi) - greatest(f.demand_before, s.shi - s.av) AS bigint) AS taken
+FROM flag f JOIN sup s ON s.part_id = f.part_id AND f.demand_before < s.shi AND s.shi - s.av < f.demand_after
+WHERE f.line_accepted
+UNION ALL
+SELECT f.*, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM flag f WHERE NOT f.line_accepted
+"""
+
+
+@register("reservation_queue", QUEUE_SQL, recursive=True)
+def q_reservation_queue(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return L.allocate_queue(d.reservation_requests, d.inventory, d.parts)
+
+
+@register("reorder_suggestions", LOW_STOCK_EVENTS_SQL + """
+SELECT part_id, warehouse, inventory_id, reorder_quantity AS quantity_to_order,
+       CASE WHEN avail = 0 THEN 'Critical' ELSE 'Normal' END AS priority,
+       ts AS created_at, concat(command_id, '/InventoryLowStockDetected') AS source_event_id
+FROM low
+""", recursive=True)
+def q_reorder_suggestions(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return L.reorder_suggestions(L.low_stock_events(_replayed(spark, sf_dir), d.inventory))
