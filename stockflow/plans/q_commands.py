@@ -1 +1,220 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered command jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockflow.functions.enums import enum_case_sql
+from stockflow.operators import commands as C
+from stockflow.plans.registry import register
+from stockflow.sources.domain import domain
+
+JUDGED_SQL = """
+, judged AS (
+  SELECT c.*,
+         CASE WHEN p.part_id IS NULL THEN 'part_not_found'
+              WHEN c.command = 'price' AND (c.new_cost IS NULL OR c.new_price IS NULL) THEN 'price_required'
+              WHEN c.command = 'price' AND (c.new_cost < 0 OR c.new_price < 0) THEN 'negative_amount'
+              WHEN c.command = 'defaults' AND c.new_min < 0 THEN 'negative_minimum'
+              WHEN c.command = 'defaults' AND c.new_max < c.new_min THEN 'maximum_below_minimum'
+              WHEN c.command = 'supplier' AND c.new_lead_time < 0 THEN 'negative_lead_time'
+              WHEN c.command NOT IN ('price', 'defaults', 'supplier', 'discontinue', 'reactivate') THEN 'unknown_command'
+         END AS reason
+  FROM part_commands c LEFT JOIN parts p ON p.part_id = c.part_id)
+"""
+
+
+@register("part_commands", JUDGED_SQL + """
+, upd AS (
+  SELECT part_id,
+         bool_or(command = 'price') AS has_price,
+         arg_max(new_cost, seq) FILTER (WHERE command = 'price') AS n_cost,
+         arg_max(new_price, seq) FILTER (WHERE command = 'price') AS n_price,
+         bool_or(command = 'defaults') AS has_def,
+         arg_max(new_min, seq) FILTER (WHERE command = 'defaults') AS n_min,
+         arg_max(new_max, seq) FILTER (WHERE command = 'defaults') AS n_max,
+         bool_or(command = 'supplier') AS has_sup,
+         arg_max(new_lead_time, seq) FILTER (WHERE command = 'supplier') AS n_lead,
+         bool_or(command IN ('discontinue', 'reactivate')) AS has_disc,
+         arg_max(command = 'discontinue', seq) FILTER (WHERE command IN ('discontinue', 'reactivate')) AS n_disc
+  FROM judged WHERE reason IS NULL GROUP BY part_id),
+cnt AS (SELECT part_id, count(*) FILTER (WHERE reason IS NULL) AS applied,
+               count(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM judged GROUP BY part_id)
+SELECT p.part_id, p.part_number, p.part_name, p.description, p.category,
+       cast(CASE WHEN u.has_price THEN u.n_cost ELSE p.unit_cost END AS decimal(18,2)) AS unit_cost,
+       p.unit_cost_currency,
+       cast(CASE WHEN u.has_price THEN u.n_price ELSE p.unit_price END AS decimal(18,2)) AS unit_price,
+       p.unit_price_currency, p.supplier_id,
+       cast(CASE WHEN u.has_sup THEN u.n_lead ELSE p.lead_time_days END AS int) AS lead_time_days,
+       cast(CASE WHEN u.has_def THEN u.n_min ELSE p.default_minimum_stock_level END AS int) AS default_minimum_stock_level,
+       cast(CASE WHEN u.has_def THEN u.n_max ELSE p.default_maximum_stock_level END AS int) AS default_maximum_stock_level,
+       CASE WHEN u.has_disc THEN u.n_disc ELSE p.is_discontinued END AS is_discontinued,
+       CASE WHEN u.has_disc THEN NOT u.n_disc ELSE p.is_active END AS is_active,
+       coalesce(c.applied, 0) AS commands_applied, coalesce(c.rejected, 0) AS commands_rejected
+FROM parts p LEFT JOIN upd u ON u.part_id = p.part_id LEFT JOIN cnt c ON c.part_id = p.part_id
+""")
+def q_part_commands(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.apply_part_commands(d.parts, d.part_commands)
+
+
+PRICE_CHANGES_SQL = JUDGED_SQL + """
+, changes AS (
+  SELECT j.part_id, j.seq, j.ts,
+         coalesce(lag(j.new_cost) OVER w, p.unit_cost) AS old_cost, j.new_cost,
+         coalesce(lag(j.new_price) OVER w, p.unit_price) AS old_price, j.new_price
+  FROM judged j JOIN parts p ON p.part_id = j.part_id
+  WHERE j.reason IS NULL AND j.command = 'price'
+  WINDOW w AS (PARTITION BY j.part_id ORDER BY j.seq))
+"""
+
+
+@register("price_changes", PRICE_CHANGES_SQL + "SELECT * FROM changes")
+def q_price_changes(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.price_changes(d.part_commands, d.parts)
+
+
+@register("price_change_alerts", PRICE_CHANGES_SQL + """
+SELECT *, CASE WHEN old_cost <> 0 THEN cast(abs(new_cost - old_cost) AS double) / cast(old_cost AS double) END
+            AS cost_change_ratio
+FROM changes
+WHERE CASE WHEN old_cost = 0 THEN new_cost <> 0
+           ELSE cast(abs(new_cost - old_cost) AS double) / cast(old_cost AS double) > 0.1 END
+""")
+def q_price_change_alerts(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.price_alerts(C.price_changes(d.part_commands, d.parts), 0.10)
+
+
+VALID_MOVE_SQL = ("(r.new_status = 5 OR (w.st = 0 AND r.new_status = 1) OR (w.st = 1 AND r.new_status = 2) "
+                  "OR (w.st = 2 AND r.new_status = 3) OR (w.st = 2 AND r.new_status = 4) "
+                  "OR (w.st = 3 AND r.new_status = 2))")
+
+TRANSITIONS_SQL = f"""
+, req AS (
+  SELECT s.event_id, s.work_order_id, s.ts, s.new_status, w.status AS opening_status,
+         row_number() OVER (PARTITION BY s.work_order_id ORDER BY s.ts, s.event_id) AS rn
+  FROM status_requests s LEFT JOIN work_orders w ON w.work_order_id = s.work_order_id),
+walk AS (
+  SELECT work_order_id, CAST(0 AS BIGINT) AS rn, CAST(opening_status AS INT) AS st,
+         CAST(NULL AS INT) AS st0, CAST(NULL AS VARCHAR) AS reason
+  FROM (SELECT DISTINCT work_order_id, opening_status FROM req) k
+  UNION ALL
+  SELECT work_order_id, rn, CASE WHEN reason IS NULL THEN new_status ELSE st0 END, st0, reason
+  FROM (SELECT r.work_order_id, r.rn, r.new_status, w.st AS st0,
+               CASE WHEN w.st IS NULL THEN 'work_order_not_found'
+                    WHEN r.new_status IS NULL OR r.new_status NOT BETWEEN 0 AND 5 THEN 'invalid_status'
+                    WHEN NOT {VALID_MOVE_SQL} THEN 'invalid_transition' END AS reason
+        FROM walk w JOIN req r ON r.work_order_id = w.work_order_id AND r.rn = w.rn + 1) s),
+transitions AS (
+  SELECT r.event_id, r.work_order_id, r.ts, r.new_status, w.reason IS NULL AS accepted, w.reason,
+         w.st0 AS status_before, w.st AS status_after
+  FROM req r JOIN walk w ON w.work_order_id = r.work_order_id AND w.rn = r.rn)
+"""
+
+
+def _transitions(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.apply_transitions(d.status_requests, d.work_orders)
+
+
+@register("status_transitions", TRANSITIONS_SQL + "SELECT * FROM transitions", recursive=True)
+def q_status_transitions(spark, sf_dir):
+    return _transitions(spark, sf_dir)
+
+
+@register("actual_periods", TRANSITIONS_SQL + """
+, p AS (SELECT work_order_id, max(ts) FILTER (WHERE new_status = 2) AS actual_start,
+               max(ts) FILTER (WHERE new_status = 4) AS done
+        FROM transitions WHERE accepted GROUP BY work_order_id)
+SELECT work_order_id, actual_start, CASE WHEN done >= actual_start THEN done END AS actual_end,
+       (done IS NULL OR done < actual_start) AS is_open_ended
+FROM p WHERE actual_start IS NOT NULL
+""", recursive=True)
+def q_actual_periods(spark, sf_dir):
+    return C.actual_periods(_transitions(spark, sf_dir))
+
+
+@register("notification_recipients", TRANSITIONS_SQL + f"""
+, j AS (SELECT t.event_id, t.work_order_id, w.customer_id, t.ts, t.new_status, c.prefer_email, c.prefer_sms
+        FROM transitions t JOIN work_orders w ON w.work_order_id = t.work_order_id
+        JOIN customers c ON c.customer_id = w.customer_id WHERE t.accepted)
+SELECT event_id, work_order_id, customer_id, ts, new_status, 'email' AS channel,
+       concat('Work Order ', cast(work_order_id AS varchar), ' Status Update') AS subject,
+       concat('Your work order status changed to ', {enum_case_sql('new_status', 'status')}) AS message
+FROM j WHERE prefer_email
+UNION ALL
+SELECT event_id, work_order_id, customer_id, ts, new_status, 'sms', CAST(NULL AS varchar),
+       concat('Your equipment is ready! Work order #', cast(work_order_id AS varchar), ' completed.')
+FROM j WHERE prefer_sms AND new_status = 4
+""", recursive=True)
+def q_notification_recipients(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.recipients(_transitions(spark, sf_dir), d.work_orders, d.customers)
+
+
+ASSIGN_SQL = """
+, firsts AS (SELECT work_order_id, arg_min(technician_id, (requested_at, technician_id)) AS f_tech,
+                    min(requested_at) AS f_at FROM assignment_requests GROUP BY work_order_id),
+jobs AS (SELECT t.technician_id, count(w.work_order_id) AS n
+         FROM technicians t LEFT JOIN work_orders w ON w.technician_id = t.technician_id AND w.status NOT IN (4, 5)
+         GROUP BY t.technician_id),
+j AS (
+  SELECT r.work_order_id, r.technician_id, r.requested_at,
+         NOT (r.technician_id = f.f_tech AND r.requested_at = f.f_at)
+           OR row_number() OVER (PARTITION BY r.work_order_id, r.technician_id, r.requested_at) > 1 AS dup,
+         w.work_order_id IS NOT NULL AS wo_known, t.technician_id IS NOT NULL AS tech_known,
+         coalesce(t.is_active, false) AS tech_active, t.status AS tstatus, coalesce(t.max_concurrent_jobs, 0) AS tmax,
+         coalesce(jb.n, 0) AS jobs0,
+         coalesce(w.technician_id = r.technician_id AND w.status NOT IN (4, 5), false) AS here,
+         row_number() OVER (PARTITION BY r.technician_id ORDER BY r.requested_at, r.work_order_id) AS rn
+  FROM assignment_requests r LEFT JOIN firsts f ON f.work_order_id = r.work_order_id
+  LEFT JOIN work_orders w ON w.work_order_id = r.work_order_id
+  LEFT JOIN technicians t ON t.technician_id = r.technician_id
+  LEFT JOIN jobs jb ON jb.technician_id = r.technician_id),
+walk AS (
+  SELECT technician_id, CAST(0 AS BIGINT) AS rn, CAST(jobs0 AS BIGINT) AS jobs, CAST(tstatus AS INT) AS st,
+         CAST(0 AS BIGINT) AS jb, CAST(NULL AS VARCHAR) AS reason
+  FROM (SELECT DISTINCT technician_id, jobs0, tstatus FROM j) k
+  UNION ALL
+  SELECT technician_id, rn, nj,
+         CASE WHEN reason IS NULL AND st = 0 AND nj + 1 > tmax THEN 1 ELSE st END, jb, reason
+  FROM (SELECT *, CASE WHEN reason IS NULL AND NOT here THEN jb + 1 ELSE jb END AS nj
+        FROM (SELECT q.technician_id, q.rn, q.here, q.tmax, w.st, w.jobs AS jb,
+                     CASE WHEN q.dup THEN 'duplicate_request'
+                          WHEN NOT q.wo_known THEN 'work_order_not_found'
+                          WHEN NOT q.tech_known THEN 'technician_not_found'
+                          WHEN NOT q.tech_active THEN 'technician_inactive'
+                          WHEN w.st = 3 OR w.jobs >= q.tmax THEN 'technician_at_capacity' END AS reason
+              FROM walk w JOIN j q ON q.technician_id = w.technician_id AND q.rn = w.rn + 1) a) b),
+assigned AS (
+  SELECT q.work_order_id, q.technician_id, q.requested_at, w.reason IS NULL AS accepted, w.reason,
+         w.jb AS jobs_before, w.jobs AS jobs_after, w.st AS technician_status_after,
+         o.technician_id AS previous_technician_id,
+         CASE WHEN w.reason IS NULL AND o.status = 0 THEN 1 ELSE o.status END AS status_after
+  FROM j q JOIN walk w ON w.technician_id = q.technician_id AND w.rn = q.rn
+  LEFT JOIN work_orders o ON o.work_order_id = q.work_order_id)
+"""
+
+
+def _assignments(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.apply_assignments(d.assignment_requests, d.work_orders, d.technicians)
+
+
+@register("assignment_queue", ASSIGN_SQL + "SELECT * FROM assigned", recursive=True)
+def q_assignment_queue(spark, sf_dir):
+    return _assignments(spark, sf_dir)
+
+
+@register("reassignment_log", ASSIGN_SQL + """
+SELECT work_order_id, previous_technician_id, technician_id AS new_technician_id, requested_at,
+       concat('[', strftime(requested_at, '%Y-%m-%d %H:%M'), '] Reassigned from technician ',
+              cast(previous_technician_id AS varchar), ' to ', cast(technician_id AS varchar),
+              '. Reason: Reassignment request') AS note
+FROM assigned
+WHERE accepted AND previous_technician_id IS NOT NULL AND previous_technician_id <> technician_id
+""", recursive=True)
+def q_reassignment_log(spark, sf_dir):
+    return C.reassignments(_assignments(spark, sf_dir))
