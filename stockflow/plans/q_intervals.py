@@ -1 +1,60 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered interval joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockflow.operators import intervals as I
+from stockflow.plans.fixture_sql import AS_OF
+from stockflow.plans.registry import register
+from stockflow.sources.domain import domain
+
+
+@register("schedule_conflicts", """
+SELECT a.technician_id, a.work_order_id AS work_order_id_a, b.work_order_id AS work_order_id_b,
+       greatest(a.scheduled_start, b.scheduled_start) AS overlap_start,
+       least(a.scheduled_end, b.scheduled_end) AS overlap_end
+FROM work_orders a JOIN work_orders b
+  ON a.technician_id = b.technician_id AND a.work_order_id < b.work_order_id
+ AND a.scheduled_start <= b.scheduled_end AND a.scheduled_end >= b.scheduled_start
+WHERE a.status NOT IN (4, 5) AND b.status NOT IN (4, 5)
+  AND a.scheduled_start IS NOT NULL AND b.scheduled_start IS NOT NULL
+""")
+def q_schedule_conflicts(spark, sf_dir):
+    return I.schedule_conflicts(domain(spark, sf_dir).work_orders, AS_OF)
+
+
+def _probes(d):
+    """One probe per distinct ship day (midnight) of the order lines."""
+    return (d.raw("lineitem").select(F.col("l_shipdate").alias("probe_ts")).distinct()
+             .select(F.date_format("probe_ts", "yyyy-MM-dd HH:mm:ss").alias("probe_id"), "probe_ts"))
+
+
+@register("periods_containing", """
+, probes AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS probe_id, l_shipdate AS probe_ts FROM lineitem)
+SELECT p.probe_id, p.probe_ts, w.work_order_id
+FROM probes p JOIN work_orders w ON w.scheduled_start <= p.probe_ts AND p.probe_ts <= w.scheduled_end
+""")
+def q_periods_containing(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return I.periods_containing(d.work_orders, _probes(d), AS_OF)
+
+
+def _windows(d):
+    """A maintenance window per month of order creation: days 3 to 12 of the month."""
+    m = d.work_orders.select(F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("m")).distinct()
+    return m.select(F.date_format("m", "yyyy-MM").alias("window_id"),
+                    (F.col("m") + F.expr("INTERVAL 2 DAYS")).alias("window_start"),
+                    (F.col("m") + F.expr("INTERVAL 12 DAYS")).alias("window_end"))
+
+
+@register("periods_within", """
+, months AS (SELECT DISTINCT date_trunc('month', created_at) AS m FROM work_orders),
+windows AS (SELECT strftime(m, '%Y-%m') AS window_id, m + INTERVAL 2 DAY AS window_start,
+                   m + INTERVAL 12 DAY AS window_end FROM months)
+SELECT x.window_id, x.window_start, x.window_end, w.work_order_id
+FROM windows x JOIN work_orders w ON w.scheduled_start >= x.window_start AND w.scheduled_end <= x.window_end
+""")
+def q_periods_within(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return I.periods_within(d.work_orders, _windows(d), AS_OF)
