@@ -113,14 +113,16 @@ def envelope_sql(values: dict[str, str]) -> str:
     return ", ".join(f"CAST({values.get(c, 'NULL')} AS {types[c]}) AS {c}" for c in L.EVENT_COLUMNS)
 
 
-INVENTORY_EVENTS_SQL = REPLAY_SQL + """
+ACC_CTE = """
 , acc AS (
   SELECT r.*, i.part_id, i.warehouse,
          CASE r.command WHEN 'reserve' THEN 'InventoryReserved' WHEN 'issue' THEN 'InventoryIssued'
               WHEN 'receive' THEN 'InventoryReceived' ELSE 'InventoryAdjusted' END AS et
   FROM replayed r LEFT JOIN inventory i ON i.inventory_id = r.inventory_id
   WHERE r.accepted AND r.command <> 'release')
-SELECT """ + envelope_sql({
+"""
+
+ACC_SELECT = "SELECT " + envelope_sql({
     "event_id": "concat(command_id, '/', et)", "event_type": "et", "occurred_on": "ts",
     "inventory_id": "inventory_id", "part_id": "part_id",
     "work_order_id": "CASE WHEN command IN ('reserve', 'issue') THEN work_order_id END",
@@ -134,6 +136,8 @@ SELECT """ + envelope_sql({
     "reference": "CASE WHEN command = 'receive' THEN '' END",
 }) + " FROM acc"
 
+INVENTORY_EVENTS_SQL = REPLAY_SQL + ACC_CTE + ACC_SELECT
+
 
 @register("inventory_events", INVENTORY_EVENTS_SQL, recursive=True)
 def q_inventory_events(spark, sf_dir):
@@ -141,7 +145,7 @@ def q_inventory_events(spark, sf_dir):
     return L.inventory_events(_replayed(spark, sf_dir), d.inventory)
 
 
-LOW_STOCK_EVENTS_SQL = REPLAY_SQL + """
+LOW_CTE = """
 , low AS (
   SELECT r.*, i.part_id, i.warehouse, i.minimum_stock_level, i.reorder_quantity,
          r.on_hand_after - r.reserved_after AS avail
@@ -150,6 +154,8 @@ LOW_STOCK_EVENTS_SQL = REPLAY_SQL + """
     AND r.on_hand_after - r.reserved_after <= i.minimum_stock_level)
 """
 
+LOW_STOCK_EVENTS_SQL = REPLAY_SQL + LOW_CTE
+
 LOW_STOCK_EVENTS_SELECT = "SELECT " + envelope_sql({
     "event_id": "concat(command_id, '/InventoryLowStockDetected')", "event_type": "'InventoryLowStockDetected'",
     "occurred_on": "ts", "inventory_id": "inventory_id", "part_id": "part_id", "warehouse": "warehouse",
