@@ -49,7 +49,7 @@ def _load_all() -> None:
     # importing the plan modules registers their queries
     from stockflow.plans import (  # noqa: F401
         q_catalog, q_inventory, q_workorders, q_people, q_quality, q_ledger, q_commands,
-        q_intervals, q_changes, q_scalars,
+        q_intervals, q_changes, q_scalars, q_streaming,
     )
 
 
