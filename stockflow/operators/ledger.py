@@ -398,3 +398,10 @@ def reorder_suggestions(low_events: DataFrame) -> DataFrame:
         "part_id", "warehouse", "inventory_id", F.col("reorder_qty").alias("quantity_to_order"),
         F.when(F.col("available") == 0, F.lit("Critical")).otherwise(F.lit("Normal")).alias("priority"),
         F.col("occurred_on").alias("created_at"), F.col("event_id").alias("source_event_id"))
+
+
+def tx_view(tx: DataFrame) -> DataFrame:
+    """ledger projection with the type text and the note of each row."""
+    from stockflow.functions.scalars import ledger_note
+    return tx.select("transaction_id", "inventory_id", "transaction_type", "quantity", "work_order_id",
+                     ledger_note("transaction_type", "quantity").alias("notes"), "transaction_date")

@@ -205,3 +205,25 @@ def address_dedupe(cust: DataFrame) -> DataFrame:
     keyed = cust.where(a.error.isNull()).select("customer_id", "company_name", key.alias("address_key"))
     sizes = keyed.groupBy("address_key").agg(F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > 1)
     return keyed.join(sizes, "address_key")
+
+
+def reference_violations(wo: DataFrame, tech: DataFrame, cust: DataFrame, inv: DataFrame, tx: DataFrame,
+                         wop: DataFrame, parts: DataFrame) -> DataFrame:
+    """Child rows whose parent key is missing (the foreign keys of the source schema), as one report.
+
+    Each rule is a left anti join; NULL child keys are not violations
+    (optional references such as an unassigned technician).
+    """
+    def rule(name: str, child: DataFrame, child_key: str, child_id: str, parent: DataFrame, parent_key: str):
+        c = child.where(F.col(child_key).isNotNull()).select(
+            F.col(child_id).cast("string").alias("child_id"), F.col(child_key).alias("_k"))
+        p = parent.select(F.col(parent_key).alias("_k")).distinct()
+        return (c.join(p, "_k", "left_anti")
+                 .select(F.lit(name).alias("rule"), "child_id", F.col("_k").cast("string").alias("missing_key")))
+
+    return (rule("work_order.customer", wo, "customer_id", "work_order_id", cust, "customer_id")
+            .unionByName(rule("work_order.technician", wo, "technician_id", "work_order_id", tech, "technician_id"))
+            .unionByName(rule("ledger.location", tx, "inventory_id", "transaction_id", inv, "inventory_id"))
+            .unionByName(rule("line.work_order", wop, "work_order_id", "work_order_id", wo, "work_order_id"))
+            .unionByName(rule("inventory.part", inv, "part_id", "inventory_id", parts, "part_id"))
+            .unionByName(rule("line.part", wop, "part_id", "work_order_id", parts, "part_id")))

@@ -246,3 +246,17 @@ FROM low
 def q_reorder_suggestions(spark, sf_dir):
     d = domain(spark, sf_dir)
     return L.reorder_suggestions(L.low_stock_events(_replayed(spark, sf_dir), d.inventory))
+
+
+@register("transactions_view", """
+SELECT transaction_id, inventory_id, transaction_type, quantity, work_order_id,
+       CASE transaction_type
+         WHEN 'Reservation' THEN concat('Reserved ', cast(abs(quantity) AS varchar), ' parts for work order')
+         WHEN 'Release' THEN concat('Released ', cast(abs(quantity) AS varchar), ' parts reservation')
+         WHEN 'Issue' THEN concat('Issued ', cast(abs(quantity) AS varchar), ' parts to work order')
+         WHEN 'Receipt' THEN concat('Received ', cast(abs(quantity) AS varchar), ' parts')
+       END AS notes, transaction_date
+FROM inventory_transactions
+""")
+def q_transactions_view(spark, sf_dir):
+    return L.tx_view(domain(spark, sf_dir).inventory_transactions)

@@ -196,3 +196,28 @@ SELECT ok.address_key, ok.customer_id, ok.company_name, sz.group_size FROM ok JO
 """)
 def q_customer_address_dedupe(spark, sf_dir):
     return Q.address_dedupe(domain(spark, sf_dir).customers)
+
+
+@register("reference_violations", """
+SELECT 'work_order.customer' AS rule, cast(w.work_order_id AS varchar) AS child_id, cast(w.customer_id AS varchar) AS missing_key
+FROM work_orders w WHERE w.customer_id IS NOT NULL AND w.customer_id NOT IN (SELECT customer_id FROM customers)
+UNION ALL
+SELECT 'work_order.technician', cast(w.work_order_id AS varchar), cast(w.technician_id AS varchar)
+FROM work_orders w WHERE w.technician_id IS NOT NULL AND w.technician_id NOT IN (SELECT technician_id FROM technicians)
+UNION ALL
+SELECT 'ledger.location', t.transaction_id, cast(t.inventory_id AS varchar)
+FROM inventory_transactions t WHERE t.inventory_id IS NOT NULL AND t.inventory_id NOT IN (SELECT inventory_id FROM inventory)
+UNION ALL
+SELECT 'line.work_order', cast(l.work_order_id AS varchar), cast(l.work_order_id AS varchar)
+FROM work_order_parts l WHERE l.work_order_id IS NOT NULL AND l.work_order_id NOT IN (SELECT work_order_id FROM work_orders)
+UNION ALL
+SELECT 'inventory.part', cast(i.inventory_id AS varchar), cast(i.part_id AS varchar)
+FROM inventory i WHERE i.part_id IS NOT NULL AND i.part_id NOT IN (SELECT part_id FROM parts)
+UNION ALL
+SELECT 'line.part', cast(l.work_order_id AS varchar), cast(l.part_id AS varchar)
+FROM work_order_parts l WHERE l.part_id IS NOT NULL AND l.part_id NOT IN (SELECT part_id FROM parts)
+""")
+def q_reference_violations(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return Q.reference_violations(d.work_orders, d.technicians, d.customers, d.inventory, d.inventory_transactions,
+                                  d.work_order_parts, d.parts)
