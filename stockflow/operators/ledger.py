@@ -405,3 +405,136 @@ def tx_view(tx: DataFrame) -> DataFrame:
     from stockflow.functions.scalars import ledger_note
     return tx.select("transaction_id", "inventory_id", "transaction_type", "quantity", "work_order_id",
                      ledger_note("transaction_type", "quantity").alias("notes"), "transaction_date")
+
+
+# -- W6 location commands ------------------------------------------------------------------------
+
+LOCATION_SCHEMA = T.StructType([
+    T.StructField("inventory_id", T.LongType()),
+    T.StructField("command_id", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("command", T.StringType()),
+    T.StructField("accepted", T.BooleanType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("on_hand", T.LongType()),
+    T.StructField("reserved", T.LongType()),
+    T.StructField("minimum_stock_level", T.IntegerType()),
+    T.StructField("maximum_stock_level", T.IntegerType()),
+    T.StructField("reorder_quantity", T.IntegerType()),
+    T.StructField("bin_location", T.StringType()),
+    T.StructField("is_active", T.BooleanType()),
+    T.StructField("ledger_note", T.StringType()),
+])
+
+_LOC_FIELDS = ("oh", "rs", "mn", "mx", "ro", "bin", "act")
+
+
+def _location_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
+    keys = pdf["inventory_id"].to_numpy()
+    cmds = pdf["command"].to_numpy()
+    cols = {c: pdf[c].to_numpy(dtype=object) for c in
+            ("quantity", "new_min", "new_max", "new_reorder", "new_bin", "o_on_hand", "o_reserved", "o_min", "o_max",
+             "o_reorder", "o_bin", "o_active", "o_exists")}
+    n = len(pdf)
+    rows = []
+    cur = carry.get("key")
+    s = carry.get("s")
+
+    def num(v):
+        return None if v is None or (isinstance(v, float) and np.isnan(v)) or v is pd.NA else int(v)
+
+    for i in range(n):
+        if keys[i] != cur:
+            cur = keys[i]
+            if cols["o_exists"][i] is True or cols["o_exists"][i] == 1:
+                s = dict(oh=num(cols["o_on_hand"][i]) or 0, rs=num(cols["o_reserved"][i]) or 0,
+                         mn=num(cols["o_min"][i]), mx=num(cols["o_max"][i]), ro=num(cols["o_reorder"][i]),
+                         bin=cols["o_bin"][i], act=bool(cols["o_active"][i]))
+            else:
+                s = None
+        c, why, note = cmds[i], None, None
+        if s is None:
+            why = "location_not_found"
+        elif c in ("receive", "reserve", "release", "issue", "adjust", "adjust_by"):
+            why, s["oh"], s["rs"] = _step(c, num(cols["quantity"][i]), s["oh"], s["rs"])
+        elif c == "set_levels":
+            mn, mx, ro = num(cols["new_min"][i]), num(cols["new_max"][i]), num(cols["new_reorder"][i])
+            if mn is None or mx is None or ro is None:
+                why = "levels_required"
+            elif mn < 0:
+                why = "negative_minimum"
+            elif mx < mn:
+                why = "maximum_below_minimum"
+            elif ro < 0:
+                why = "negative_reorder"
+            else:
+                s["mn"], s["mx"], s["ro"] = mn, mx, ro
+        elif c == "move_bin":
+            nb = cols["new_bin"][i]
+            if nb is None or (isinstance(nb, float) and np.isnan(nb)) or str(nb).strip() == "":
+                why = "bin_required"
+            else:
+                note = f"Moved from {s['bin']} to {nb}"
+                s["bin"] = nb
+        elif c == "deactivate":
+            if s["oh"] > 0:
+                why = "stock_on_hand"
+            elif s["rs"] > 0:
+                why = "stock_reserved"
+            else:
+                s["act"] = False
+        else:
+            why = "unknown_command"
+        st = s or {}
+        rows.append((why, st.get("oh"), st.get("rs"), st.get("mn"), st.get("mx"), st.get("ro"), st.get("bin"),
+                     st.get("act"), note))
+    carry.update(key=cur, s=s)
+    out = pdf[["inventory_id", "command_id", "ts", "command"]].copy()
+    res = pd.DataFrame(rows, columns=["reason", "on_hand", "reserved", "minimum_stock_level", "maximum_stock_level",
+                                      "reorder_quantity", "bin_location", "is_active", "ledger_note"])
+    out["accepted"] = res["reason"].isna().to_numpy()
+    for col in res.columns:
+        out[col] = res[col].to_numpy()
+    for col in ("on_hand", "reserved"):
+        out[col] = pd.array(out[col], dtype="Int64")
+    for col in ("minimum_stock_level", "maximum_stock_level", "reorder_quantity"):
+        out[col] = pd.array(out[col], dtype="Int32")
+    out["is_active"] = pd.array(out["is_active"], dtype="boolean")
+    return out
+
+
+def create_locations(requests: DataFrame, inv: DataFrame, key: tuple[str, str] = ("part_id", "warehouse"),
+                     seq: tuple[str, ...] = ("work_order_id", "line_no")) -> DataFrame:
+    """New locations for requested (part, warehouse) pairs not stocked yet (K2 admit-new rule).
+
+    Requests carry ``inventory_id, part_id, warehouse, bin_location, minimum_stock_level,
+    maximum_stock_level``; the stored reorder quantity starts as max - min; stock starts at 0.
+    """
+    from stockflow.operators.quality import admit_new
+    fresh = admit_new(requests, inv, list(key), list(seq))
+    return fresh.select("inventory_id", "part_id", "warehouse", "bin_location",
+                        F.lit(0).alias("quantity_on_hand"), F.lit(0).alias("quantity_reserved"),
+                        "minimum_stock_level", "maximum_stock_level",
+                        (F.col("maximum_stock_level") - F.col("minimum_stock_level")).alias("reorder_quantity"),
+                        F.lit(True).alias("is_active"))
+
+
+def apply_location_commands(inv: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Stock and location commands per location in order, one result row per command.
+
+    Besides the stock commands of W2: ``set_levels`` (new_min, new_max, new_reorder;
+    min >= 0, max >= min, reorder >= 0), ``move_bin`` (new_bin; recorded as an
+    Adjustment of 0 with a "Moved from .. to .." note) and ``deactivate`` (only at
+    0 on hand and 0 reserved). Commands for an unknown location are rejected.
+    """
+    for c, t in (("quantity", "int"), ("new_min", "int"), ("new_max", "int"), ("new_reorder", "int"),
+                 ("new_bin", "string")):
+        if c not in cmds.columns:
+            cmds = cmds.withColumn(c, F.lit(None).cast(t))
+    snap = inv.select("inventory_id", F.col("quantity_on_hand").cast("bigint").alias("o_on_hand"),
+                      F.col("quantity_reserved").cast("bigint").alias("o_reserved"),
+                      F.col("minimum_stock_level").alias("o_min"), F.col("maximum_stock_level").alias("o_max"),
+                      F.col("reorder_quantity").alias("o_reorder"), F.col("bin_location").alias("o_bin"),
+                      F.col("is_active").alias("o_active"), F.lit(True).alias("o_exists"))
+    j = cmds.join(snap, "inventory_id", "left").withColumn("o_exists", F.coalesce("o_exists", F.lit(False)))
+    return sorted_fold(j, ["inventory_id"], ORDER, _location_kernel, LOCATION_SCHEMA)

@@ -260,3 +260,82 @@ FROM inventory_transactions
 """)
 def q_transactions_view(spark, sf_dir):
     return L.tx_view(domain(spark, sf_dir).inventory_transactions)
+
+
+LOCATION_CMDS_SQL = """
+, lcmd AS (
+  SELECT user_id * 10 + event_id % 5 AS inventory_id, cast(event_id AS varchar) AS command_id, ts,
+         CASE event_type WHEN 'view' THEN 'set_levels' WHEN 'click' THEN 'move_bin' WHEN 'error' THEN 'deactivate'
+              WHEN 'signup' THEN 'receive' ELSE 'adjust' END AS command,
+         CASE WHEN event_type IN ('signup', 'purchase') THEN cast(floor(value) AS int) END AS quantity,
+         CASE WHEN event_type = 'view' THEN cast(event_id % 30 AS int) END AS new_min,
+         CASE WHEN event_type = 'view' THEN cast(event_id % 60 AS int) END AS new_max,
+         CASE WHEN event_type = 'view' THEN cast(event_id % 60 - event_id % 30 AS int) END AS new_reorder,
+         CASE WHEN event_type = 'click' THEN concat('B-', lpad(cast(event_id % 40 AS varchar), 2, '0'), '-',
+                                                    cast(event_id % 7 AS varchar)) END AS new_bin
+  FROM events),
+lq AS (SELECT c.*, row_number() OVER (PARTITION BY c.inventory_id ORDER BY c.ts, c.command_id) AS rn FROM lcmd c),
+lwalk AS (
+  SELECT k.inventory_id, CAST(0 AS BIGINT) AS rn, i.inventory_id IS NOT NULL AS ex,
+         CAST(i.quantity_on_hand AS BIGINT) AS oh, CAST(i.quantity_reserved AS BIGINT) AS rs,
+         i.minimum_stock_level AS mn, i.maximum_stock_level AS mx, i.reorder_quantity AS ro,
+         i.bin_location AS bin, i.is_active AS act, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS note
+  FROM (SELECT DISTINCT inventory_id FROM lq) k LEFT JOIN inventory i ON i.inventory_id = k.inventory_id
+  UNION ALL
+  SELECT inventory_id, rn, ex,
+         CASE WHEN reason IS NULL AND command = 'receive' THEN oh + quantity
+              WHEN reason IS NULL AND command = 'adjust' THEN quantity ELSE oh END,
+         rs,
+         CASE WHEN reason IS NULL AND command = 'set_levels' THEN new_min ELSE mn END,
+         CASE WHEN reason IS NULL AND command = 'set_levels' THEN new_max ELSE mx END,
+         CASE WHEN reason IS NULL AND command = 'set_levels' THEN new_reorder ELSE ro END,
+         CASE WHEN reason IS NULL AND command = 'move_bin' THEN new_bin ELSE bin END,
+         CASE WHEN reason IS NULL AND command = 'deactivate' THEN false ELSE act END,
+         reason,
+         CASE WHEN reason IS NULL AND command = 'move_bin' THEN concat('Moved from ', bin, ' to ', new_bin) END
+  FROM (SELECT q.inventory_id, q.rn, q.command, q.quantity, q.new_min, q.new_max, q.new_reorder, q.new_bin,
+               w.ex, w.oh, w.rs, w.mn, w.mx, w.ro, w.bin, w.act,
+               CASE WHEN NOT w.ex THEN 'location_not_found'
+                    WHEN q.command IN ('receive', 'adjust') AND q.quantity IS NULL THEN 'invalid_quantity'
+                    WHEN q.command = 'adjust' AND q.quantity < 0 THEN 'negative_target'
+                    WHEN q.command = 'adjust' AND q.quantity < w.rs THEN 'target_below_reserved'
+                    WHEN q.command = 'receive' AND q.quantity <= 0 THEN 'invalid_quantity'
+                    WHEN q.command = 'set_levels' AND (q.new_min IS NULL OR q.new_max IS NULL OR q.new_reorder IS NULL)
+                      THEN 'levels_required'
+                    WHEN q.command = 'set_levels' AND q.new_min < 0 THEN 'negative_minimum'
+                    WHEN q.command = 'set_levels' AND q.new_max < q.new_min THEN 'maximum_below_minimum'
+                    WHEN q.command = 'set_levels' AND q.new_reorder < 0 THEN 'negative_reorder'
+                    WHEN q.command = 'move_bin' AND (q.new_bin IS NULL OR trim(q.new_bin) = '') THEN 'bin_required'
+                    WHEN q.command = 'deactivate' AND w.oh > 0 THEN 'stock_on_hand'
+                    WHEN q.command = 'deactivate' AND w.rs > 0 THEN 'stock_reserved'
+               END AS reason
+        FROM lwalk w JOIN lq q ON q.inventory_id = w.inventory_id AND q.rn = w.rn + 1) s)
+"""
+
+
+def location_commands(d):
+    """Location commands derived from the event table (one per event, location = part x region)."""
+    e = d.raw("events")
+    et, eid = F.col("event_type"), F.col("event_id")
+    qty = F.when(et.isin("signup", "purchase"), F.floor("value").cast("int"))
+    return e.select(
+        (F.col("user_id") * 10 + eid % 5).alias("inventory_id"), eid.cast("string").alias("command_id"), "ts",
+        F.when(et == "view", "set_levels").when(et == "click", "move_bin").when(et == "error", "deactivate")
+         .when(et == "signup", "receive").otherwise("adjust").alias("command"),
+        qty.alias("quantity"),
+        F.when(et == "view", (eid % 30).cast("int")).alias("new_min"),
+        F.when(et == "view", (eid % 60).cast("int")).alias("new_max"),
+        F.when(et == "view", (eid % 60 - eid % 30).cast("int")).alias("new_reorder"),
+        F.when(et == "click", F.concat(F.lit("B-"), F.lpad((eid % 40).cast("string"), 2, "0"), F.lit("-"),
+                                       (eid % 7).cast("string"))).alias("new_bin"))
+
+
+@register("stock_level_changes", LOCATION_CMDS_SQL + """
+SELECT q.inventory_id, q.command_id, q.ts, q.command, w.reason IS NULL AS accepted, w.reason,
+       w.oh AS on_hand, w.rs AS reserved, w.mn AS minimum_stock_level, w.mx AS maximum_stock_level,
+       w.ro AS reorder_quantity, w.bin AS bin_location, w.act AS is_active, w.note AS ledger_note
+FROM lq q JOIN lwalk w ON w.inventory_id = q.inventory_id AND w.rn = q.rn
+""", recursive=True)
+def q_stock_level_changes(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return L.apply_location_commands(d.inventory, location_commands(d))
