@@ -349,3 +349,204 @@ def reassignments(assignments: DataFrame, reason: str = "Reassignment request")
                     F.col("technician_id").cast("string"), F.lit(". Reason: "), F.lit(reason))
     return acc.select("work_order_id", "previous_technician_id", F.col("technician_id").alias("new_technician_id"),
                       "requested_at", note.alias("note"))
+
+
+# -- W16 people commands -------------------------------------------------------------------------
+
+def _last(cond: Column, value: Column, seq: Column) -> Column:
+    """Last accepted value of a column among the commands that touch it (NULL struct when none)."""
+    return F.max_by(F.when(cond, F.struct(value.alias("v"))), F.when(cond, seq))
+
+
+def apply_technician_commands(tech: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Technician commands (``technician_id, seq, command, new_status``): ``status`` sets any status
+    0-4 (no other guard); ``deactivate`` sets inactive and status Inactive. Last write per column wins."""
+    known = tech.select("technician_id", F.lit(True).alias("_k"))
+    c = F.col("command")
+    j = cmds.join(known, "technician_id", "left")
+    reason = (F.when(F.col("_k").isNull(), F.lit("technician_not_found"))
+               .when((c == "status") & F.coalesce(~F.col("new_status").between(0, 4), F.lit(True)),
+                     F.lit("invalid_status"))
+               .when(~c.isin("status", "deactivate"), F.lit("unknown_command")))
+    judged = j.withColumn("reason", reason).drop("_k")
+    acc = judged.where(F.col("reason").isNull())
+    seq = F.struct("seq")
+    upd = acc.groupBy("technician_id").agg(
+        _last(c.isin("status", "deactivate"), F.when(c == "deactivate", F.lit(INACTIVE)).otherwise(F.col("new_status")),
+              seq).alias("_st"),
+        _last(c == "deactivate", F.lit(False), seq).alias("_act"))
+    cnt = judged.groupBy("technician_id").agg(F.count_if(F.col("reason").isNull()).alias("commands_applied"),
+                                              F.count_if(F.col("reason").isNotNull()).alias("commands_rejected"))
+    out = tech.join(upd, "technician_id", "left").join(cnt, "technician_id", "left")
+    return out.select(
+        "technician_id", "first_name", "last_name", "skill_level", "max_concurrent_jobs",
+        F.coalesce(F.col("_st.v"), F.col("status")).cast("int").alias("status"),
+        F.coalesce(F.col("_act.v"), F.col("is_active")).alias("is_active"),
+        F.coalesce("commands_applied", F.lit(0).cast("bigint")).alias("commands_applied"),
+        F.coalesce("commands_rejected", F.lit(0).cast("bigint")).alias("commands_rejected"))
+
+
+def apply_customer_commands(cust: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Customer commands (``customer_id, seq, command, ...``): ``contact`` (new_email required),
+    ``address`` (new_address must parse), ``preferences`` (new_prefer_email, new_prefer_sms),
+    ``deactivate`` / ``reactivate``. Last accepted write per column wins."""
+    from stockflow.functions.scalars import parse_address
+    known = cust.select("customer_id", F.lit(True).alias("_k"))
+    c = F.col("command")
+    j = cmds.join(known, "customer_id", "left")
+    reason = (F.when(F.col("_k").isNull(), F.lit("customer_not_found"))
+               .when((c == "contact") & (F.col("new_email").isNull() | (F.trim("new_email") == "")),
+                     F.lit("email_required"))
+               .when((c == "address") & parse_address("new_address").error.isNotNull(), F.lit("invalid_address"))
+               .when(~c.isin("contact", "address", "preferences", "deactivate", "reactivate"),
+                     F.lit("unknown_command")))
+    judged = j.withColumn("reason", reason).drop("_k")
+    acc = judged.where(F.col("reason").isNull())
+    seq = F.struct("seq")
+    upd = acc.groupBy("customer_id").agg(
+        _last(c == "contact", F.col("new_email"), seq).alias("_email"),
+        _last(c == "address", F.col("new_address"), seq).alias("_addr"),
+        _last(c == "preferences", F.col("new_prefer_email"), seq).alias("_pe"),
+        _last(c == "preferences", F.col("new_prefer_sms"), seq).alias("_ps"),
+        _last(c.isin("deactivate", "reactivate"), c == "reactivate", seq).alias("_act"))
+    cnt = judged.groupBy("customer_id").agg(F.count_if(F.col("reason").isNull()).alias("commands_applied"),
+                                            F.count_if(F.col("reason").isNotNull()).alias("commands_rejected"))
+    out = cust.join(upd, "customer_id", "left").join(cnt, "customer_id", "left")
+    base_active = F.col("is_active") if "is_active" in cust.columns else F.lit(True)
+    base_email = F.col("email") if "email" in cust.columns else F.lit(None).cast("string")
+    return out.select(
+        "customer_id", "company_name",
+        F.coalesce(F.col("_email.v"), base_email).alias("email"),
+        F.when(F.col("_addr").isNotNull(), F.col("_addr.v")).otherwise(F.col("address")).alias("address"),
+        F.when(F.col("_pe").isNotNull(), F.col("_pe.v")).otherwise(F.col("prefer_email")).alias("prefer_email"),
+        F.when(F.col("_ps").isNotNull(), F.col("_ps.v")).otherwise(F.col("prefer_sms")).alias("prefer_sms"),
+        F.when(F.col("_act").isNotNull(), F.col("_act.v")).otherwise(base_active).alias("is_active"),
+        F.coalesce("commands_applied", F.lit(0).cast("bigint")).alias("commands_applied"),
+        F.coalesce("commands_rejected", F.lit(0).cast("bigint")).alias("commands_rejected"))
+
+
+# -- W17 work-order commands -----------------------------------------------------------------------
+
+def create_rule(wo: DataFrame) -> DataFrame:
+    """Order creation keeps the estimate only when hours > 0 (the cost is dropped with it)."""
+    keep = F.col("estimated_labor_hours") > 0
+    return wo.withColumns({
+        "estimated_labor_hours": F.when(keep, F.col("estimated_labor_hours")).otherwise(F.lit(0).cast("decimal(8,2)")),
+        "estimated_cost": F.when(keep, F.col("estimated_cost")),
+    })
+
+
+def status_as_of(cmds: DataFrame, transitions: DataFrame, wo: DataFrame) -> DataFrame:
+    """Each command with the order's status at its (ts, seq): the last accepted transition at or
+    before it (as-of join as a union + ``last(ignorenulls)`` window per order), else the opening status."""
+    t = (transitions.where("accepted")
+                    .select("work_order_id", "ts", F.col("event_id").alias("seq"), F.lit(0).alias("_kind"),
+                            F.col("status_after").alias("_st"), F.lit(None).cast("long").alias("_row")))
+    c = cmds.withColumn("_row", F.monotonically_increasing_id())
+    cc = c.select("work_order_id", "ts", "seq", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_st"), "_row")
+    w = (Window.partitionBy("work_order_id").orderBy("ts", "seq", "_kind")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asof = (t.unionByName(cc).withColumn("_now", F.last("_st", ignorenulls=True).over(w))
+              .where(F.col("_kind") == 1).select("_row", "_now"))
+    opening = wo.select("work_order_id", F.col("status").alias("_open"))
+    return (c.join(asof, "_row").join(opening, "work_order_id", "left")
+             .withColumn("status_at", F.coalesce("_now", "_open")).drop("_row", "_now", "_open"))
+
+
+def apply_wo_commands(wo: DataFrame, cmds: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Schedule (start <= end), estimate (hours >= 0, cost >= 0), actuals (hours, cost >= 0;
+    only while the order is Completed), add_part (no quantity guard) applied to the created orders.
+
+    Commands: ``work_order_id, seq, ts, command, new_start, new_end, hours, cost, part_id, quantity``.
+    Guards depend on the status timeline (W12), not on earlier commands, so the snapshot is again
+    "last accepted write per column".
+    """
+    judged = status_as_of(cmds, transitions, wo)
+    c = F.col("command")
+    reason = (F.when(F.col("status_at").isNull(), F.lit("work_order_not_found"))
+               .when((c == "schedule") & (F.col("new_start") > F.col("new_end")), F.lit("start_after_end"))
+               .when((c == "estimate") & (F.col("hours") < 0), F.lit("negative_hours"))
+               .when(c.isin("estimate", "actuals") & (F.col("cost") < 0), F.lit("negative_amount"))
+               .when((c == "actuals") & (F.col("status_at") != COMPLETED), F.lit("not_completed"))
+               .when(~c.isin("schedule", "estimate", "actuals", "add_part"), F.lit("unknown_command")))
+    judged = judged.withColumn("reason", reason)
+    acc = judged.where(F.col("reason").isNull())
+    seq = F.struct("ts", "seq")
+    upd = acc.groupBy("work_order_id").agg(
+        _last(c == "schedule", F.col("new_start"), seq).alias("_s"),
+        _last(c == "schedule", F.col("new_end"), seq).alias("_e"),
+        _last(c == "estimate", F.col("hours"), seq).alias("_eh"),
+        _last(c == "estimate", F.col("cost"), seq).alias("_ec"),
+        _last(c == "actuals", F.col("hours"), seq).alias("_ah"),
+        _last(c == "actuals", F.col("cost"), seq).alias("_ac"),
+        F.count_if(c == "add_part").alias("_lines"))
+    cnt = judged.groupBy("work_order_id").agg(F.count_if(F.col("reason").isNull()).alias("commands_applied"),
+                                              F.count_if(F.col("reason").isNotNull()).alias("commands_rejected"))
+    base = create_rule(wo)
+    out = base.join(upd, "work_order_id", "left").join(cnt, "work_order_id", "left")
+
+    def pick(new, old):
+        return F.when(F.col(new).isNotNull(), F.col(f"{new}.v")).otherwise(old)
+
+    return out.select(
+        "work_order_id", "status",
+        pick("_s", F.col("scheduled_start")).alias("scheduled_start"),
+        pick("_e", F.col("scheduled_end")).alias("scheduled_end"),
+        pick("_eh", F.col("estimated_labor_hours")).cast("decimal(8,2)").alias("estimated_labor_hours"),
+        pick("_ec", F.col("estimated_cost")).cast(DEC18).alias("estimated_cost"),
+        pick("_ah", F.lit(None).cast("decimal(8,2)")).cast("decimal(8,2)").alias("actual_labor_hours"),
+        pick("_ac", F.col("actual_cost")).cast(DEC18).alias("actual_cost"),
+        F.coalesce("_lines", F.lit(0).cast("bigint")).alias("added_lines"),
+        F.coalesce("commands_applied", F.lit(0).cast("bigint")).alias("commands_applied"),
+        F.coalesce("commands_rejected", F.lit(0).cast("bigint")).alias("commands_rejected"))
+
+
+# -- W18 completion ------------------------------------------------------------------------------------
+
+def unused_reservations(tx: DataFrame) -> DataFrame:
+    """Units still reserved for an order at each location: reserved - issued - released (ledger signs)."""
+    t, q = F.col("transaction_type"), F.col("quantity")
+    return (tx.where(F.col("work_order_id").isNotNull()).groupBy("work_order_id", "inventory_id")
+              .agg((F.sum(F.when(t == "Reservation", q).otherwise(0))
+                    + F.sum(F.when(t.isin("Issue", "Release"), q).otherwise(0))).alias("unused")))
+
+
+def complete(transitions: DataFrame, wo: DataFrame, tx: DataFrame, periods: DataFrame | None = None):
+    """Every accepted move to Completed -> invoice row (actual cost, due 30 days later), the
+    actuals check (hours > 0 and cost > 0) and release commands for units still reserved.
+
+    Returns ``(invoices, release_commands)``; the release commands use the W2 command layout and
+    can be appended to the next ledger replay.
+    """
+    done = (transitions.where(F.col("accepted") & (F.col("new_status") == COMPLETED))
+                       .select("work_order_id", F.col("ts").alias("completed_at"), "event_id"))
+    w = wo.select("work_order_id", "customer_id", "actual_cost", "estimated_labor_hours")
+    j = done.join(w, "work_order_id", "left")
+    if periods is not None:
+        ph = periods.select("work_order_id", "actual_start")
+        j = j.join(ph, "work_order_id", "left")
+        hours = F.when(F.col("actual_start").isNotNull(),
+                       ((F.unix_micros(F.col("completed_at").cast("timestamp"))
+                         - F.unix_micros(F.col("actual_start").cast("timestamp"))) / 3600000000.0))
+        hours = F.coalesce(hours, F.col("estimated_labor_hours").cast("double"))
+    else:
+        hours = F.col("estimated_labor_hours").cast("double")
+    unused = unused_reservations(tx).where(F.col("unused") > 0)
+    rel = (done.join(unused, "work_order_id")
+               .select("inventory_id",
+                       F.concat(F.lit("complete-"), F.col("work_order_id").cast("string"), F.lit("-"),
+                                F.col("inventory_id").cast("string")).alias("command_id"),
+                       F.col("completed_at").alias("ts"), F.lit("release").alias("command"),
+                       F.col("unused").cast("int").alias("quantity"), "work_order_id"))
+    rel_sum = rel.groupBy("work_order_id").agg(F.count(F.lit(1)).alias("release_lines"),
+                                               F.sum("quantity").alias("release_units"))
+    inv = (j.withColumn("actual_labor_hours", hours)
+             .join(rel_sum, "work_order_id", "left")
+             .select("work_order_id", "event_id", "customer_id", "completed_at",
+                     F.col("actual_cost").alias("invoice_amount"),
+                     (F.col("completed_at") + F.expr("INTERVAL 30 DAYS")).alias("due_date"),
+                     "actual_labor_hours",
+                     ((F.col("actual_labor_hours") > 0) & (F.col("actual_cost") > 0)).alias("actuals_valid"),
+                     F.coalesce("release_lines", F.lit(0).cast("bigint")).alias("release_lines"),
+                     F.coalesce("release_units", F.lit(0).cast("bigint")).alias("release_units")))
+    return inv, rel

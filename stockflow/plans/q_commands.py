@@ -218,3 +218,211 @@ WHERE accepted AND previous_technician_id IS NOT NULL AND previous_technician_id
 """, recursive=True)
 def q_reassignment_log(spark, sf_dir):
     return C.reassignments(_assignments(spark, sf_dir))
+
+
+# -- W16 -------------------------------------------------------------------------------------------
+
+def address_error_sql(c: str) -> str:
+    """SQL twin of the address parse check: NULL when the text parses (blank and short texts do)."""
+    pc = f"string_split({c}, ',')"
+    return (f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN NULL WHEN len({pc}) >= 4 THEN CASE "
+            f"WHEN trim({pc}[1]) = '' THEN 'street' WHEN trim({pc}[2]) = '' THEN 'city' "
+            f"WHEN trim({pc}[3]) = '' THEN 'state' WHEN trim({pc}[4]) = '' THEN 'zip' "
+            f"WHEN NOT regexp_matches(trim({pc}[4]), '^[0-9]{{5}}(-[0-9]{{4}})?$') THEN 'zip' END END")
+
+
+PEOPLE_SQL = f"""
+, tcmd AS (SELECT user_id AS technician_id, event_id AS seq,
+                  CASE event_type WHEN 'view' THEN 'status' ELSE 'deactivate' END AS command,
+                  CASE WHEN event_type = 'view' THEN cast(event_id % 5 AS int) END AS new_status
+           FROM events WHERE event_type IN ('view', 'error')),
+tj AS (SELECT c.*, CASE WHEN t.technician_id IS NULL THEN 'technician_not_found'
+                        WHEN c.command = 'status' AND coalesce(NOT (c.new_status BETWEEN 0 AND 4), true)
+                          THEN 'invalid_status' END AS reason
+       FROM tcmd c LEFT JOIN technicians t ON t.technician_id = c.technician_id),
+tu AS (SELECT technician_id,
+              arg_max(CASE WHEN command = 'deactivate' THEN 4 ELSE new_status END, seq) AS n_status,
+              bool_or(command = 'deactivate') AS deactivated
+       FROM tj WHERE reason IS NULL GROUP BY technician_id),
+tc AS (SELECT technician_id, count(*) FILTER (WHERE reason IS NULL) AS applied,
+              count(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM tj GROUP BY technician_id),
+ccmd AS (SELECT user_id AS customer_id, event_id AS seq,
+                CASE event_type WHEN 'signup' THEN 'preferences' WHEN 'click' THEN 'address' ELSE 'contact' END AS command,
+                CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN ' '
+                     ELSE concat('c', cast(user_id AS varchar), '@example.com') END END AS new_email,
+                CASE WHEN event_type = 'click' THEN
+                  CASE WHEN event_id % 7 = 0 THEN concat(cast(event_id AS varchar), ' Oak Ave')
+                       WHEN event_id % 11 = 0 THEN concat(cast(event_id AS varchar), ' Oak Ave, Dallas, tx, 123')
+                       ELSE concat(cast(event_id AS varchar), ' Oak Ave, Dallas, tx, ',
+                                   lpad(cast(10000 + event_id % 89999 AS varchar), 5, '0')) END END AS new_address,
+                CASE WHEN event_type = 'signup' THEN event_id % 2 = 0 END AS new_prefer_email,
+                CASE WHEN event_type = 'signup' THEN event_id % 3 = 0 END AS new_prefer_sms
+         FROM events WHERE event_type IN ('signup', 'click', 'purchase')),
+cj AS (SELECT c.*, CASE WHEN k.customer_id IS NULL THEN 'customer_not_found'
+                        WHEN c.command = 'contact' AND (c.new_email IS NULL OR trim(c.new_email) = '') THEN 'email_required'
+                        WHEN c.command = 'address' AND ({address_error_sql('c.new_address')}) IS NOT NULL
+                          THEN 'invalid_address' END AS reason
+       FROM ccmd c LEFT JOIN customers k ON k.customer_id = c.customer_id),
+cu AS (SELECT customer_id,
+              arg_max(new_email, seq) FILTER (WHERE command = 'contact') AS n_email,
+              arg_max(new_address, seq) FILTER (WHERE command = 'address') AS n_address,
+              bool_or(command = 'preferences') AS has_pref,
+              arg_max(new_prefer_email, seq) FILTER (WHERE command = 'preferences') AS n_pe,
+              arg_max(new_prefer_sms, seq) FILTER (WHERE command = 'preferences') AS n_ps
+       FROM cj WHERE reason IS NULL GROUP BY customer_id),
+cc AS (SELECT customer_id, count(*) FILTER (WHERE reason IS NULL) AS applied,
+              count(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM cj GROUP BY customer_id)
+"""
+
+
+@register("technician_customer_commands", PEOPLE_SQL + """
+SELECT 'technician' AS kind, t.technician_id AS person_id,
+       cast(coalesce(u.n_status, t.status) AS int) AS status,
+       CASE WHEN u.deactivated THEN false ELSE t.is_active END AS is_active,
+       CAST(NULL AS varchar) AS email, CAST(NULL AS varchar) AS address,
+       CAST(NULL AS boolean) AS prefer_email, CAST(NULL AS boolean) AS prefer_sms,
+       coalesce(c.applied, 0) AS commands_applied, coalesce(c.rejected, 0) AS commands_rejected
+FROM technicians t LEFT JOIN tu u ON u.technician_id = t.technician_id LEFT JOIN tc c ON c.technician_id = t.technician_id
+UNION ALL
+SELECT 'customer', k.customer_id, CAST(NULL AS int), true, u.n_email, coalesce(u.n_address, k.address),
+       CASE WHEN u.has_pref THEN u.n_pe ELSE k.prefer_email END,
+       CASE WHEN u.has_pref THEN u.n_ps ELSE k.prefer_sms END,
+       coalesce(c.applied, 0), coalesce(c.rejected, 0)
+FROM customers k LEFT JOIN cu u ON u.customer_id = k.customer_id LEFT JOIN cc c ON c.customer_id = k.customer_id
+""")
+def q_technician_customer_commands(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    e = d.raw("events")
+    et, eid = F.col("event_type"), F.col("event_id")
+    tcmd = e.where(et.isin("view", "error")).select(
+        F.col("user_id").alias("technician_id"), eid.alias("seq"),
+        F.when(et == "view", "status").otherwise("deactivate").alias("command"),
+        F.when(et == "view", (eid % 5).cast("int")).alias("new_status"))
+    addr = (F.when(eid % 7 == 0, F.concat(eid.cast("string"), F.lit(" Oak Ave")))
+             .when(eid % 11 == 0, F.concat(eid.cast("string"), F.lit(" Oak Ave, Dallas, tx, 123")))
+             .otherwise(F.concat(eid.cast("string"), F.lit(" Oak Ave, Dallas, tx, "),
+                                 F.lpad((10000 + eid % 89999).cast("string"), 5, "0"))))
+    ccmd = e.where(et.isin("signup", "click", "purchase")).select(
+        F.col("user_id").alias("customer_id"), eid.alias("seq"),
+        F.when(et == "signup", "preferences").when(et == "click", "address").otherwise("contact").alias("command"),
+        F.when(et == "purchase", F.when(eid % 4 == 0, F.lit(" "))
+               .otherwise(F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("@example.com"))))
+         .alias("new_email"),
+        F.when(et == "click", addr).alias("new_address"),
+        F.when(et == "signup", eid % 2 == 0).alias("new_prefer_email"),
+        F.when(et == "signup", eid % 3 == 0).alias("new_prefer_sms"))
+    t = C.apply_technician_commands(d.technicians, tcmd)
+    c = C.apply_customer_commands(d.customers, ccmd)
+    tech = t.select(F.lit("technician").alias("kind"), F.col("technician_id").alias("person_id"), "status",
+                    "is_active", F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("address"),
+                    F.lit(None).cast("boolean").alias("prefer_email"), F.lit(None).cast("boolean").alias("prefer_sms"),
+                    "commands_applied", "commands_rejected")
+    cust = c.select(F.lit("customer").alias("kind"), F.col("customer_id").alias("person_id"),
+                    F.lit(None).cast("int").alias("status"), "is_active", "email", "address", "prefer_email",
+                    "prefer_sms", "commands_applied", "commands_rejected")
+    return tech.unionByName(cust)
+
+
+# -- W17 -------------------------------------------------------------------------------------------
+
+WO_CMDS_SQL = TRANSITIONS_SQL + """
+, cm AS (
+  SELECT user_id AS work_order_id, event_id AS seq, ts,
+         CASE event_type WHEN 'view' THEN 'schedule' WHEN 'click' THEN 'estimate' WHEN 'purchase' THEN 'actuals'
+              ELSE 'add_part' END AS command,
+         CASE WHEN event_type = 'view' THEN ts END AS new_start,
+         CASE WHEN event_type = 'view' THEN ts + INTERVAL 1 HOUR * (event_id % 48 - 4) END AS new_end,
+         CASE WHEN event_type = 'click' THEN cast(event_id % 50 - 5 AS decimal(8,2))
+              WHEN event_type = 'purchase' THEN cast(event_id % 12 + 1 AS decimal(8,2)) END AS hours,
+         CASE WHEN event_type IN ('click', 'purchase') THEN cast(value AS decimal(18,2)) END AS cost,
+         row_number() OVER () AS rid
+  FROM events WHERE event_type <> 'error'),
+tl AS (SELECT work_order_id, ts, event_id AS seq, 0 AS kind, status_after AS st, CAST(NULL AS BIGINT) AS rid
+       FROM transitions WHERE accepted
+       UNION ALL SELECT work_order_id, ts, seq, 1, CAST(NULL AS INT), rid FROM cm),
+cmd_status AS (SELECT rid, kind, last_value(st IGNORE NULLS) OVER (PARTITION BY work_order_id ORDER BY ts, seq, kind
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st_now FROM tl),
+judged AS (
+  SELECT cm.*, coalesce(a.st_now, w.status) AS status_at,
+         CASE WHEN coalesce(a.st_now, w.status) IS NULL THEN 'work_order_not_found'
+              WHEN cm.command = 'schedule' AND cm.new_start > cm.new_end THEN 'start_after_end'
+              WHEN cm.command = 'estimate' AND cm.hours < 0 THEN 'negative_hours'
+              WHEN cm.command IN ('estimate', 'actuals') AND cm.cost < 0 THEN 'negative_amount'
+              WHEN cm.command = 'actuals' AND coalesce(a.st_now, w.status) <> 4 THEN 'not_completed' END AS reason
+  FROM cm JOIN cmd_status a ON a.rid = cm.rid AND a.kind = 1 LEFT JOIN work_orders w ON w.work_order_id = cm.work_order_id),
+upd AS (
+  SELECT work_order_id,
+         bool_or(command = 'schedule') AS has_s, arg_max(new_start, (ts, seq)) FILTER (WHERE command = 'schedule') AS n_s,
+         arg_max(new_end, (ts, seq)) FILTER (WHERE command = 'schedule') AS n_e,
+         bool_or(command = 'estimate') AS has_e, arg_max(hours, (ts, seq)) FILTER (WHERE command = 'estimate') AS n_eh,
+         arg_max(cost, (ts, seq)) FILTER (WHERE command = 'estimate') AS n_ec,
+         bool_or(command = 'actuals') AS has_a, arg_max(hours, (ts, seq)) FILTER (WHERE command = 'actuals') AS n_ah,
+         arg_max(cost, (ts, seq)) FILTER (WHERE command = 'actuals') AS n_ac,
+         count(*) FILTER (WHERE command = 'add_part') AS n_lines
+  FROM judged WHERE reason IS NULL GROUP BY work_order_id),
+cnt AS (SELECT work_order_id, count(*) FILTER (WHERE reason IS NULL) AS applied,
+               count(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM judged GROUP BY work_order_id)
+"""
+
+
+@register("work_order_commands", WO_CMDS_SQL + """
+SELECT w.work_order_id, w.status,
+       CASE WHEN u.has_s THEN u.n_s ELSE w.scheduled_start END AS scheduled_start,
+       CASE WHEN u.has_s THEN u.n_e ELSE w.scheduled_end END AS scheduled_end,
+       cast(CASE WHEN u.has_e THEN u.n_eh WHEN w.estimated_labor_hours > 0 THEN w.estimated_labor_hours ELSE 0 END
+            AS decimal(8,2)) AS estimated_labor_hours,
+       cast(CASE WHEN u.has_e THEN u.n_ec WHEN w.estimated_labor_hours > 0 THEN w.estimated_cost END
+            AS decimal(18,2)) AS estimated_cost,
+       cast(CASE WHEN u.has_a THEN u.n_ah END AS decimal(8,2)) AS actual_labor_hours,
+       cast(CASE WHEN u.has_a THEN u.n_ac ELSE w.actual_cost END AS decimal(18,2)) AS actual_cost,
+       coalesce(u.n_lines, 0) AS added_lines,
+       coalesce(c.applied, 0) AS commands_applied, coalesce(c.rejected, 0) AS commands_rejected
+FROM work_orders w LEFT JOIN upd u ON u.work_order_id = w.work_order_id LEFT JOIN cnt c ON c.work_order_id = w.work_order_id
+""", recursive=True)
+def q_work_order_commands(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    e = d.raw("events").where(F.col("event_type") != "error")
+    et, eid = F.col("event_type"), F.col("event_id")
+    cmds = e.select(
+        F.col("user_id").alias("work_order_id"), eid.alias("seq"), "ts",
+        F.when(et == "view", "schedule").when(et == "click", "estimate").when(et == "purchase", "actuals")
+         .otherwise("add_part").alias("command"),
+        F.when(et == "view", F.col("ts")).alias("new_start"),
+        F.when(et == "view", F.col("ts") + F.make_dt_interval(hours=(eid % 48 - 4).cast("int"))).alias("new_end"),
+        F.when(et == "click", (eid % 50 - 5).cast("decimal(8,2)"))
+         .when(et == "purchase", (eid % 12 + 1).cast("decimal(8,2)")).alias("hours"),
+        F.when(et.isin("click", "purchase"), F.col("value").cast("decimal(18,2)")).alias("cost"),
+        F.when(et == "signup", eid % 1000).alias("part_id"),
+        F.when(et == "signup", (eid % 5).cast("int")).alias("quantity"))
+    return C.apply_wo_commands(d.work_orders, cmds, _transitions(spark, sf_dir))
+
+
+# -- W18 -------------------------------------------------------------------------------------------
+
+@register("work_order_completion", TRANSITIONS_SQL + """
+, per AS (SELECT work_order_id, max(ts) FILTER (WHERE new_status = 2) AS actual_start
+          FROM transitions WHERE accepted GROUP BY work_order_id),
+done AS (SELECT work_order_id, ts AS completed_at, event_id FROM transitions WHERE accepted AND new_status = 4),
+unused AS (SELECT work_order_id, inventory_id,
+                  sum(CASE WHEN transaction_type = 'Reservation' THEN quantity ELSE 0 END)
+                  + sum(CASE WHEN transaction_type IN ('Issue', 'Release') THEN quantity ELSE 0 END) AS unused
+           FROM inventory_transactions WHERE work_order_id IS NOT NULL GROUP BY work_order_id, inventory_id),
+rel AS (SELECT d.work_order_id, count(*) AS release_lines, sum(u.unused) AS release_units
+        FROM done d JOIN unused u ON u.work_order_id = d.work_order_id WHERE u.unused > 0 GROUP BY d.work_order_id),
+j AS (SELECT d.*, w.customer_id, w.actual_cost,
+             coalesce(CASE WHEN p.actual_start IS NOT NULL
+                           THEN (epoch_us(d.completed_at) - epoch_us(p.actual_start)) / 3600000000.0 END,
+                      cast(w.estimated_labor_hours AS double)) AS actual_labor_hours
+      FROM done d LEFT JOIN work_orders w ON w.work_order_id = d.work_order_id
+      LEFT JOIN per p ON p.work_order_id = d.work_order_id)
+SELECT j.work_order_id, j.event_id, j.customer_id, j.completed_at, j.actual_cost AS invoice_amount,
+       j.completed_at + INTERVAL 30 DAY AS due_date, j.actual_labor_hours,
+       j.actual_labor_hours > 0 AND j.actual_cost > 0 AS actuals_valid,
+       coalesce(r.release_lines, 0) AS release_lines, cast(coalesce(r.release_units, 0) AS bigint) AS release_units
+FROM j LEFT JOIN rel r ON r.work_order_id = j.work_order_id
+""", recursive=True)
+def q_work_order_completion(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    tr = _transitions(spark, sf_dir)
+    invoices, _releases = C.complete(tr, d.work_orders, d.inventory_transactions, C.actual_periods(tr))
+    return invoices
