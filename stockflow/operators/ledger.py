@@ -107,26 +107,63 @@ def _step(cmd: str, x, oh: int, rs: int):
     return None, oh - x, rs - x
 
 
-def _ledger_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
-    keys = pdf["inventory_id"].to_numpy()
-    cmds = pdf["command"].to_numpy()
-    qty = pdf["quantity"].to_numpy(dtype="float64", na_value=np.nan)
-    o0 = pdf["opening_on_hand"].to_numpy(dtype="float64", na_value=0.0)
-    r0 = pdf["opening_reserved"].to_numpy(dtype="float64", na_value=0.0)
+_CODES = {"receive": 0, "reserve": 1, "release": 2, "issue": 3, "adjust": 4, "adjust_by": 5}
+
+
+def _ledger_kernel(pdf: pd.DataFrame, carry: dict, vectorized: bool = True) -> pd.DataFrame:
+    """Guarded replay of one sorted batch (rows grouped by location, in (ts, id) order).
+
+    Vectorised prefix sums give every location's state assuming all commands
+    are accepted; up to a location's first guard violation those states are
+    exact. Only the rows from that first violation on are walked one by one
+    with ``_step``. ``carry`` holds the state of the last location of the
+    previous batch (a location may span batches).
+    """
     n = len(pdf)
-    reason = np.empty(n, dtype=object)
-    ohb, rsb, oha, rsa = (np.empty(n, dtype=np.int64) for _ in range(4))
-    cur, oh, rs = carry.get("key"), carry.get("oh", 0), carry.get("rs", 0)
-    for i in range(n):
-        if keys[i] != cur:
-            cur, oh, rs = keys[i], int(o0[i]), int(r0[i])
-        x = None if np.isnan(qty[i]) else int(qty[i])
-        ohb[i], rsb[i] = oh, rs
-        reason[i], oh, rs = _step(cmds[i], x, oh, rs)
-        oha[i], rsa[i] = oh, rs
-    carry.update(key=cur, oh=oh, rs=rs)
+    keys = pdf["inventory_id"].to_numpy()
+    code = pdf["command"].map(_CODES).to_numpy(dtype="float64", na_value=-1.0)
+    qf = pdf["quantity"].to_numpy(dtype="float64", na_value=np.nan)
+    qnan = np.isnan(qf)
+    q = np.where(qnan, 0, qf).astype(np.int64)
+    new_seg = np.ones(n, dtype=bool)
+    new_seg[1:] = keys[1:] != keys[:-1]
+    seg = np.cumsum(new_seg) - 1
+    starts = np.flatnonzero(new_seg)
+    oh0 = pdf["opening_on_hand"].to_numpy(dtype="float64", na_value=0.0)[starts].astype(np.int64)
+    rs0 = pdf["opening_reserved"].to_numpy(dtype="float64", na_value=0.0)[starts].astype(np.int64)
+    if carry.get("key") is not None and keys[0] == carry["key"]:
+        oh0[0], rs0[0] = carry["oh"], carry["rs"]
+    d_oh = np.where(code == 0, q, np.where(code == 3, -q, np.where(code == 5, q, 0)))
+    d_rs = np.where(code == 1, q, np.where((code == 2) | (code == 3), -q, 0))
+    c_oh, c_rs = np.cumsum(d_oh), np.cumsum(d_rs)
+    oha = c_oh - (c_oh - d_oh)[starts][seg] + oh0[seg]
+    rsa = c_rs - (c_rs - d_rs)[starts][seg] + rs0[seg]
+    ohb, rsb = oha - d_oh, rsa - d_rs
+    if vectorized:
+        bad = (qnan | (code < 0) | (code == 4) | ((code != 5) & (q <= 0))
+               | ((code == 1) & (q > ohb - rsb)) | (((code == 2) | (code == 3)) & (q > rsb))
+               | ((code == 3) & (q > ohb)) | ((code == 5) & ((ohb + q < 0) | (ohb + q < rsb))))
+        idx = np.arange(n)
+        first_bad = np.minimum.reduceat(np.where(bad, idx, n), starts)
+        walk = np.flatnonzero(idx >= first_bad[seg])
+    else:
+        walk = np.arange(n)
+    reason = np.full(n, None, dtype=object)
+    if walk.size:
+        cmds = pdf["command"].to_numpy(dtype=object)
+        cur = -1
+        oh = rs = 0
+        for i in walk.tolist():
+            if seg[i] != cur:
+                cur = seg[i]
+                # state before the first walked row: exact from the prefix sums (all earlier rows accepted)
+                oh, rs = int(ohb[i]), int(rsb[i])
+            ohb[i], rsb[i] = oh, rs
+            reason[i], oh, rs = _step(cmds[i], None if qnan[i] else int(q[i]), oh, rs)
+            oha[i], rsa[i] = oh, rs
+    carry.update(key=keys[-1], oh=int(oha[-1]), rs=int(rsa[-1]))
     out = pdf[["inventory_id", "command_id", "ts", "command", "quantity", "work_order_id"]].copy()
-    out["accepted"] = pd.isna(reason)
+    out["accepted"] = np.equal(reason, None)
     out["reason"] = reason
     out["on_hand_before"], out["reserved_before"] = ohb, rsb
     out["on_hand_after"], out["reserved_after"] = oha, rsa
@@ -147,49 +184,21 @@ def _with_opening(commands: DataFrame, opening: DataFrame | None) -> DataFrame:
                     .fillna(0, subset=["opening_on_hand", "opening_reserved"]))
 
 
-def _fold_replay(cmds: DataFrame) -> DataFrame:
-    return sorted_fold(cmds, ["inventory_id"], ORDER, _ledger_kernel, REPLAY_SCHEMA)
-
-
 def replay(commands: DataFrame, opening: DataFrame | None = None, fast_path: bool = True) -> DataFrame:
     """Apply commands per location in order with guards; one result row per command.
 
-    With ``fast_path`` the prefix sums are computed first, assuming every
-    command is accepted. A location is *clean* when no prefix violates a
-    guard and it has no absolute adjust; then the prefix sums are the exact
-    answer (the first violation would be visible in them). Only the other
-    (*dirty*) locations go through the sequential fold.
+    One shuffle (hash by location) and one sort (location, ts, id), then the
+    batch kernel. With ``fast_path`` the kernel uses prefix sums for every
+    location up to its first guard violation (exact: the first violation is
+    visible in the prefix sums) and walks row by row only from there; without
+    it every row is walked (kept as a cross-check).
     """
     cmds = _with_opening(commands, opening)
-    if not fast_path:
-        return _fold_replay(cmds)
-    c, q = F.col("command"), F.col("quantity")
-    d_oh = (F.when(c == "receive", q).when(c == "issue", -q).when(c == "adjust_by", q)
-             .otherwise(F.lit(0))).cast("bigint")
-    d_rs = (F.when(c == "reserve", q).when(c.isin("release", "issue"), -q).otherwise(F.lit(0))).cast("bigint")
-    run = Window.partitionBy("inventory_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding,
-                                                                         Window.currentRow)
-    whole = Window.partitionBy("inventory_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding,
-                                                                           Window.unboundedFollowing)
-    pre = cmds.withColumns({"on_hand_after": F.col("opening_on_hand") + F.sum(d_oh).over(run),
-                            "reserved_after": F.col("opening_reserved") + F.sum(d_rs).over(run)})
-    pre = pre.withColumns({"on_hand_before": F.col("on_hand_after") - d_oh,
-                           "reserved_before": F.col("reserved_after") - d_rs})
-    ohb, rsb = F.col("on_hand_before"), F.col("reserved_before")
-    bad = (q.isNull()
-           | ~c.isin("receive", "reserve", "release", "issue", "adjust_by")
-           | ((c != "adjust_by") & (q <= 0))
-           | ((c == "reserve") & (q > ohb - rsb))
-           | (c.isin("release", "issue") & (q > rsb))
-           | ((c == "issue") & (q > ohb))
-           | ((c == "adjust_by") & ((ohb + q < 0) | (ohb + q < rsb))))
-    flagged = pre.withColumn("_dirty", F.max(F.coalesce(bad, F.lit(True)).cast("int")).over(whole) > 0)
-    clean = (flagged.where(~F.col("_dirty"))
-                    .select("inventory_id", "command_id", "ts", "command", "quantity", "work_order_id",
-                            F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
-                            "on_hand_before", "reserved_before", "on_hand_after", "reserved_after"))
-    dirty = flagged.where(F.col("_dirty")).select(*cmds.columns)
-    return clean.unionByName(_fold_replay(dirty))
+
+    def kernel(pdf, carry):
+        return _ledger_kernel(pdf, carry, vectorized=fast_path)
+
+    return sorted_fold(cmds, ["inventory_id"], ORDER, kernel, REPLAY_SCHEMA)
 
 
 # -- W3-W5 ---------------------------------------------------------------------------------

@@ -102,15 +102,39 @@ def low_stock_alert_stream(stream: DataFrame, parts: DataFrame) -> DataFrame:
 LEDGER_STATE = "on_hand long, reserved long"
 
 
+_OUT_COLS = ["inventory_id", "command_id", "ts", "command", "quantity", "work_order_id"]
+
+
 def _ledger_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(L.ORDER, kind="stable")
+    """One location's commands of one micro-batch, applied in (ts, id) order from the stored state.
+
+    Groups are small (one location's share of a micro-batch) and this runs once
+    per group, so it works on plain lists: per-group pandas operations would
+    dominate the cost.
+    """
+    cols = {c: [] for c in [*_OUT_COLS, "opening_on_hand", "opening_reserved"]}
+    for pdf in pdfs:
+        for c in cols:
+            cols[c].extend(pdf[c].tolist())
+    order = sorted(range(len(cols["ts"])), key=lambda i: (cols["ts"][i], cols["command_id"][i]))
     if state.exists:
         oh, rs = state.get
-        pdf["opening_on_hand"], pdf["opening_reserved"] = oh, rs
-    out = L._ledger_kernel(pdf.reset_index(drop=True), {})
-    last = out.iloc[-1]
-    state.update((int(last["on_hand_after"]), int(last["reserved_after"])))
-    yield out
+    else:
+        oh = int(cols["opening_on_hand"][0] or 0)
+        rs = int(cols["opening_reserved"][0] or 0)
+    out = {c: [cols[c][i] for i in order] for c in _OUT_COLS}
+    reason, ohb, rsb, oha, rsa = [], [], [], [], []
+    for c, x in zip(out["command"], out["quantity"]):
+        ohb.append(oh)
+        rsb.append(rs)
+        why, oh, rs = L._step(c, None if pd.isna(x) else int(x), oh, rs)
+        reason.append(why)
+        oha.append(oh)
+        rsa.append(rs)
+    state.update((oh, rs))
+    out.update(accepted=[r is None for r in reason], reason=reason, on_hand_before=ohb, reserved_before=rsb,
+               on_hand_after=oha, reserved_after=rsa)
+    yield pd.DataFrame(out)
 
 
 def ledger_stream(commands: DataFrame, opening: DataFrame | None = None) -> DataFrame:
