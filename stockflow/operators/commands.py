@@ -60,25 +60,24 @@ def apply_part_commands(parts: DataFrame, cmds: DataFrame) -> DataFrame:
     discontinue -> discontinued and inactive; reactivate -> active, not discontinued.
     """
     judged = part_command_reasons(cmds, parts)
-    acc = judged.where("accepted")
+    ok = F.col("accepted")
     c = F.col("command")
     seq = F.struct("seq")
 
     def last(cond: Column, value: Column) -> Column:
         # NULL when no accepted command touched the column (struct keeps an explicit NULL value)
-        return F.max_by(F.when(cond, F.struct(value.alias("v"))), F.when(cond, seq))
-
-    upd = (acc.groupBy("part_id")
-              .agg(last(c == "price", F.col("new_cost")).alias("_cost"),
-                   last(c == "price", F.col("new_price")).alias("_price"),
-                   last(c == "defaults", F.col("new_min")).alias("_min"),
-                   last(c == "defaults", F.col("new_max")).alias("_max"),
-                   last(c == "supplier", F.col("new_lead_time")).alias("_lead"),
-                   last(c.isin("discontinue", "reactivate"), c == "discontinue").alias("_disc")))
-    counts = (judged.groupBy("part_id")
-                    .agg(F.count_if("accepted").alias("commands_applied"),
-                         F.count_if(~F.col("accepted")).alias("commands_rejected")))
-    j = parts.join(upd, "part_id", "left").join(counts, "part_id", "left")
+        return F.max_by(F.when(ok & cond, F.struct(value.alias("v"))), F.when(ok & cond, seq))
+
+    # one aggregate per part for the new values and the counts (commands are read once)
+    upd = (judged.groupBy("part_id")
+                 .agg(last(c == "price", F.col("new_cost")).alias("_cost"),
+                      last(c == "price", F.col("new_price")).alias("_price"),
+                      last(c == "defaults", F.col("new_min")).alias("_min"),
+                      last(c == "defaults", F.col("new_max")).alias("_max"),
+                      last(c == "supplier", F.col("new_lead_time")).alias("_lead"),
+                      last(c.isin("discontinue", "reactivate"), c == "discontinue").alias("_disc"),
+                      F.count_if(ok).alias("commands_applied"), F.count_if(~ok).alias("commands_rejected")))
+    j = parts.join(upd, "part_id", "left")
 
     def pick(new: str, old: str) -> Column:
         return F.when(F.col(new).isNotNull(), F.col(f"{new}.v")).otherwise(F.col(old))
@@ -441,16 +440,14 @@ def status_as_of(cmds: DataFrame, transitions: DataFrame, wo: DataFrame) -> Data
     before it (as-of join as a union + ``last(ignorenulls)`` window per order), else the opening status."""
     t = (transitions.where("accepted")
                     .select("work_order_id", "ts", F.col("event_id").alias("seq"), F.lit(0).alias("_kind"),
-                            F.col("status_after").alias("_st"), F.lit(None).cast("long").alias("_row")))
-    c = cmds.withColumn("_row", F.monotonically_increasing_id())
-    cc = c.select("work_order_id", "ts", "seq", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_st"), "_row")
+                            F.col("status_after").alias("_st")))
+    c = cmds.withColumns({"_kind": F.lit(1), "_st": F.lit(None).cast("int")})
     w = (Window.partitionBy("work_order_id").orderBy("ts", "seq", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asof = (t.unionByName(cc).withColumn("_now", F.last("_st", ignorenulls=True).over(w))
-              .where(F.col("_kind") == 1).select("_row", "_now"))
+    timeline = c.unionByName(t, allowMissingColumns=True).withColumn("_now", F.last("_st", ignorenulls=True).over(w))
     opening = wo.select("work_order_id", F.col("status").alias("_open"))
-    return (c.join(asof, "_row").join(opening, "work_order_id", "left")
-             .withColumn("status_at", F.coalesce("_now", "_open")).drop("_row", "_now", "_open"))
+    return (timeline.where(F.col("_kind") == 1).join(opening, "work_order_id", "left")
+                    .withColumn("status_at", F.coalesce("_now", "_open")).drop("_kind", "_st", "_now", "_open"))
 
 
 def apply_wo_commands(wo: DataFrame, cmds: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -470,20 +467,20 @@ def apply_wo_commands(wo: DataFrame, cmds: DataFrame, transitions: DataFrame) ->
                .when((c == "actuals") & (F.col("status_at") != COMPLETED), F.lit("not_completed"))
                .when(~c.isin("schedule", "estimate", "actuals", "add_part"), F.lit("unknown_command")))
     judged = judged.withColumn("reason", reason)
-    acc = judged.where(F.col("reason").isNull())
+    ok = F.col("reason").isNull()
     seq = F.struct("ts", "seq")
-    upd = acc.groupBy("work_order_id").agg(
-        _last(c == "schedule", F.col("new_start"), seq).alias("_s"),
-        _last(c == "schedule", F.col("new_end"), seq).alias("_e"),
-        _last(c == "estimate", F.col("hours"), seq).alias("_eh"),
-        _last(c == "estimate", F.col("cost"), seq).alias("_ec"),
-        _last(c == "actuals", F.col("hours"), seq).alias("_ah"),
-        _last(c == "actuals", F.col("cost"), seq).alias("_ac"),
-        F.count_if(c == "add_part").alias("_lines"))
-    cnt = judged.groupBy("work_order_id").agg(F.count_if(F.col("reason").isNull()).alias("commands_applied"),
-                                              F.count_if(F.col("reason").isNotNull()).alias("commands_rejected"))
+    # one aggregate for the new values and the counts (the judged commands are read once)
+    upd = judged.groupBy("work_order_id").agg(
+        _last(ok & (c == "schedule"), F.col("new_start"), seq).alias("_s"),
+        _last(ok & (c == "schedule"), F.col("new_end"), seq).alias("_e"),
+        _last(ok & (c == "estimate"), F.col("hours"), seq).alias("_eh"),
+        _last(ok & (c == "estimate"), F.col("cost"), seq).alias("_ec"),
+        _last(ok & (c == "actuals"), F.col("hours"), seq).alias("_ah"),
+        _last(ok & (c == "actuals"), F.col("cost"), seq).alias("_ac"),
+        F.count_if(ok & (c == "add_part")).alias("_lines"),
+        F.count_if(ok).alias("commands_applied"), F.count_if(~ok).alias("commands_rejected"))
     base = create_rule(wo)
-    out = base.join(upd, "work_order_id", "left").join(cnt, "work_order_id", "left")
+    out = base.join(upd, "work_order_id", "left")
 
     def pick(new, old):
         return F.when(F.col(new).isNotNull(), F.col(f"{new}.v")).otherwise(old)
@@ -511,42 +508,47 @@ def unused_reservations(tx: DataFrame) -> DataFrame:
                     + F.sum(F.when(t.isin("Issue", "Release"), q).otherwise(0))).alias("unused")))
 
 
-def complete(transitions: DataFrame, wo: DataFrame, tx: DataFrame, periods: DataFrame | None = None):
+def complete(transitions: DataFrame, wo: DataFrame, tx: DataFrame):
     """Every accepted move to Completed -> invoice row (actual cost, due 30 days later), the
     actuals check (hours > 0 and cost > 0) and release commands for units still reserved.
 
+    An order reaches Completed at most once (it can only leave it for Cancelled), so one aggregate
+    per order over the transitions gives both the completion and the last start (W13), and the
+    transitions are read once. Actual hours are the start-to-completion time, else the estimate.
+
     Returns ``(invoices, release_commands)``; the release commands use the W2 command layout and
     can be appended to the next ledger replay.
     """
-    done = (transitions.where(F.col("accepted") & (F.col("new_status") == COMPLETED))
-                       .select("work_order_id", F.col("ts").alias("completed_at"), "event_id"))
+    acc = F.col("accepted")
+    per = (transitions.groupBy("work_order_id")
+                      .agg(F.max(F.when(acc & (F.col("new_status") == COMPLETED), F.col("ts"))).alias("completed_at"),
+                           F.max_by(F.when(acc & (F.col("new_status") == COMPLETED), F.col("event_id")),
+                                    F.when(acc & (F.col("new_status") == COMPLETED), F.col("ts"))).alias("event_id"),
+                           F.max(F.when(acc & (F.col("new_status") == IN_PROGRESS), F.col("ts"))).alias("actual_start"))
+                      .where(F.col("completed_at").isNotNull()))
     w = wo.select("work_order_id", "customer_id", "actual_cost", "estimated_labor_hours")
-    j = done.join(w, "work_order_id", "left")
-    if periods is not None:
-        ph = periods.select("work_order_id", "actual_start")
-        j = j.join(ph, "work_order_id", "left")
-        hours = F.when(F.col("actual_start").isNotNull(),
-                       ((F.unix_micros(F.col("completed_at").cast("timestamp"))
-                         - F.unix_micros(F.col("actual_start").cast("timestamp"))) / 3600000000.0))
-        hours = F.coalesce(hours, F.col("estimated_labor_hours").cast("double"))
-    else:
-        hours = F.col("estimated_labor_hours").cast("double")
     unused = unused_reservations(tx).where(F.col("unused") > 0)
-    rel = (done.join(unused, "work_order_id")
-               .select("inventory_id",
-                       F.concat(F.lit("complete-"), F.col("work_order_id").cast("string"), F.lit("-"),
-                                F.col("inventory_id").cast("string")).alias("command_id"),
-                       F.col("completed_at").alias("ts"), F.lit("release").alias("command"),
-                       F.col("unused").cast("int").alias("quantity"), "work_order_id"))
-    rel_sum = rel.groupBy("work_order_id").agg(F.count(F.lit(1)).alias("release_lines"),
-                                               F.sum("quantity").alias("release_units"))
-    inv = (j.withColumn("actual_labor_hours", hours)
-             .join(rel_sum, "work_order_id", "left")
-             .select("work_order_id", "event_id", "customer_id", "completed_at",
-                     F.col("actual_cost").alias("invoice_amount"),
-                     (F.col("completed_at") + F.expr("INTERVAL 30 DAYS")).alias("due_date"),
-                     "actual_labor_hours",
-                     ((F.col("actual_labor_hours") > 0) & (F.col("actual_cost") > 0)).alias("actuals_valid"),
-                     F.coalesce("release_lines", F.lit(0).cast("bigint")).alias("release_lines"),
-                     F.coalesce("release_units", F.lit(0).cast("bigint")).alias("release_units")))
+    j = per.join(w, "work_order_id", "left").join(unused, "work_order_id", "left")
+    hours = F.coalesce(
+        F.when(F.col("actual_start").isNotNull(),
+               (F.unix_micros(F.col("completed_at").cast("timestamp"))
+                - F.unix_micros(F.col("actual_start").cast("timestamp"))) / 3600000000.0),
+        F.col("estimated_labor_hours").cast("double"))
+    rel = (j.where(F.col("unused").isNotNull())
+            .select("inventory_id",
+                    F.concat(F.lit("complete-"), F.col("work_order_id").cast("string"), F.lit("-"),
+                             F.col("inventory_id").cast("string")).alias("command_id"),
+                    F.col("completed_at").alias("ts"), F.lit("release").alias("command"),
+                    F.col("unused").cast("int").alias("quantity"), "work_order_id"))
+    inv = (j.groupBy("work_order_id", "event_id", "customer_id", "completed_at", "actual_cost", "actual_start",
+                     "estimated_labor_hours")
+            .agg(F.count("inventory_id").alias("release_lines"),
+                 F.coalesce(F.sum("unused"), F.lit(0)).cast("bigint").alias("release_units"))
+            .withColumn("actual_labor_hours", hours)
+            .select("work_order_id", "event_id", "customer_id", "completed_at",
+                    F.col("actual_cost").alias("invoice_amount"),
+                    (F.col("completed_at") + F.expr("INTERVAL 30 DAYS")).alias("due_date"),
+                    "actual_labor_hours",
+                    ((F.col("actual_labor_hours") > 0) & (F.col("actual_cost") > 0)).alias("actuals_valid"),
+                    "release_lines", "release_units"))
     return inv, rel

@@ -378,26 +378,23 @@ def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> Dat
     lines = requests.join(known, "part_id", "left")
     folded = sorted_fold(lines, ["part_id"], QUEUE_ORDER, _queue_kernel, QUEUE_SCHEMA)
 
-    failed = folded.groupBy("work_order_id").agg(F.bool_and("line_accepted").alias("order_committed"))
-    flagged = folded.join(failed, "work_order_id")
-
     av = F.greatest(raw, F.lit(0))
-    w = (Window.partitionBy("part_id").orderBy("warehouse", "inventory_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     supply = (active.where(raw > 0)
-                    .select("part_id", "inventory_id", "warehouse", av.alias("_av"))
-                    .withColumn("_shi", F.sum("_av").over(w))
+                    .select(F.col("part_id").alias("_pid"), "inventory_id", "warehouse", av.alias("_av"))
+                    .withColumn("_shi", F.sum("_av").over(Window.partitionBy("_pid").orderBy("warehouse", "inventory_id")
+                                                          .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                     .withColumn("_slo", F.col("_shi") - F.col("_av")))
     lo, hi = F.col("demand_before"), F.col("demand_after")
-    acc = flagged.where("line_accepted")
-    takes = (acc.join(supply, (acc.part_id == supply.part_id) & (lo < supply._shi) & (supply._slo < hi))
-                .select(acc["*"], "inventory_id", "warehouse",
-                        (F.least(hi, F.col("_shi")) - F.greatest(lo, F.col("_slo"))).alias("taken")))
-    none = (flagged.where(~F.col("line_accepted"))
-                   .withColumns({"inventory_id": F.lit(None).cast("bigint"),
-                                 "warehouse": F.lit(None).cast("string"),
-                                 "taken": F.lit(0).cast("bigint")}))
-    return takes.unionByName(none)
+    # one left range join serves both kinds of line: a rejected line has an empty demand
+    # interval (before == after), which the lo < hi test keeps from meeting any location
+    cond = (F.col("part_id") == F.col("_pid")) & (lo < hi) & (lo < F.col("_shi")) & (F.col("_slo") < hi)
+    taken = F.when(F.col("_pid").isNotNull(), F.least(hi, F.col("_shi")) - F.greatest(lo, F.col("_slo"))) \
+             .otherwise(F.lit(0).cast("bigint"))
+    per_order = Window.partitionBy("work_order_id")
+    return (folded.join(supply, cond, "left")
+                  .withColumn("taken", taken)
+                  .withColumn("order_committed", F.bool_and("line_accepted").over(per_order))
+                  .drop("_pid", "_av", "_shi", "_slo"))
 
 
 def reorder_suggestions(low_events: DataFrame) -> DataFrame:

@@ -424,5 +424,5 @@ FROM j LEFT JOIN rel r ON r.work_order_id = j.work_order_id
 def q_work_order_completion(spark, sf_dir):
     d = domain(spark, sf_dir)
     tr = _transitions(spark, sf_dir)
-    invoices, _releases = C.complete(tr, d.work_orders, d.inventory_transactions, C.actual_periods(tr))
+    invoices, _releases = C.complete(tr, d.work_orders, d.inventory_transactions)
     return invoices
