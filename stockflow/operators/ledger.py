@@ -284,30 +284,29 @@ def low_stock_events(replayed: DataFrame, inv: DataFrame) -> DataFrame:
 def allocate(requests: DataFrame, inv: DataFrame) -> DataFrame:
     """Spread each request (one quantity per part) over active locations in warehouse-name order.
 
-    Greedy: a location gives min(remaining, available). The request succeeds
-    only if the part's total available covers it; otherwise nothing is taken.
+    Greedy: a location gives min(remaining, available); locations with nothing
+    available are skipped. The request succeeds only if the part's total
+    available (all active rows) covers it; otherwise nothing is taken.
     ``taken = greatest(0, least(avail, need - sum(avail) of earlier locations))``.
-    Requests: ``request_id, part_id, quantity``.
+    The running sum depends only on the part, so it is computed once on the
+    location side (a window per part, bounded by the number of warehouses) and
+    every request joins to it: no per-request window or id is needed, and
+    repeated requests stay separate rows. Requests: ``request_id, part_id, quantity``.
     """
     raw = F.col("quantity_on_hand") - F.col("quantity_reserved")
+    w_prev = (Window.partitionBy("part_id").orderBy("warehouse", "inventory_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
     loc = (inv.where(F.col("is_active"))
               .select("part_id", "inventory_id", "warehouse", raw.alias("_raw"),
-                      F.greatest(raw, F.lit(0)).alias("available")))
-    # rows per request are bounded: at most one active location per (part, warehouse).
-    # ``request_id`` need not be unique, so each request gets an internal id
-    # (deterministic for a given input; not part of the output).
-    w_prev = (Window.partitionBy("_rid").orderBy("warehouse", "inventory_id")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    w_all = Window.partitionBy("_rid")
-    j = requests.withColumn("_rid", F.monotonically_increasing_id()).join(loc, "part_id")
-    before = F.coalesce(F.sum("available").over(w_prev), F.lit(0))
-    total = F.sum("_raw").over(w_all)
-    take = F.greatest(F.lit(0), F.least(F.col("available"), F.col("quantity") - before))
-    return (j.withColumns({"total_available": total, "taken": take})
-             .withColumn("fulfilled", F.col("total_available") >= F.col("quantity"))
-             .withColumn("taken", F.when(F.col("fulfilled"), F.col("taken")).otherwise(F.lit(0)))
-             .select("request_id", "part_id", "quantity", "inventory_id", "warehouse", "available",
-                     "total_available", "fulfilled", F.col("taken").cast("bigint").alias("taken")))
+                      F.greatest(raw, F.lit(0)).alias("available"))
+              .withColumns({"_before": F.coalesce(F.sum("available").over(w_prev), F.lit(0)),
+                            "total_available": F.sum("_raw").over(Window.partitionBy("part_id"))}))
+    take = F.greatest(F.lit(0), F.least(F.col("available"), F.col("quantity") - F.col("_before")))
+    return (requests.join(loc, "part_id")
+                    .withColumn("fulfilled", F.col("total_available") >= F.col("quantity"))
+                    .select("request_id", "part_id", "quantity", "inventory_id", "warehouse", "available",
+                            "total_available", "fulfilled",
+                            F.when(F.col("fulfilled"), take).otherwise(F.lit(0)).cast("bigint").alias("taken")))
 
 
 QUEUE_SCHEMA = T.StructType([
