@@ -170,8 +170,14 @@ def equipment_display_name(vin, etype, model) -> Column:
 
 # -- X7 / X8 periods ----------------------------------------------------------------------
 
+def ntz_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (timestamp_ntz) value, independent of the
+    session time zone (a cast to TIMESTAMP would shift by the zone and break across DST)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
+
+
 def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    return ntz_micros(ts)
 
 
 def is_open_ended(end) -> Column:

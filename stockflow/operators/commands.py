@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from stockflow.functions.enums import ASSIGNED, AVAILABLE, BUSY, CANCELLED, COMPLETED, INACTIVE, IN_PROGRESS, \
     ON_HOLD, ON_LEAVE, PENDING, decode_enum
+from stockflow.functions.scalars import ntz_micros
 from stockflow.operators.fold import sorted_fold
 
 DEC18 = "decimal(18,2)"
@@ -531,8 +532,7 @@ def complete(transitions: DataFrame, wo: DataFrame, tx: DataFrame):
     j = per.join(w, "work_order_id", "left").join(unused, "work_order_id", "left")
     hours = F.coalesce(
         F.when(F.col("actual_start").isNotNull(),
-               (F.unix_micros(F.col("completed_at").cast("timestamp"))
-                - F.unix_micros(F.col("actual_start").cast("timestamp"))) / 3600000000.0),
+               (ntz_micros("completed_at") - ntz_micros("actual_start")) / 3600000000.0),
         F.col("estimated_labor_hours").cast("double"))
     rel = (j.where(F.col("unused").isNotNull())
             .select("inventory_id",

@@ -219,6 +219,46 @@ def closing(replayed: DataFrame) -> DataFrame:
                             "command_count", "accepted_count", "rejected_count"))
 
 
+CLOSING_PART_SCHEMA = T.StructType([
+    T.StructField("inventory_id", T.LongType()),
+    T.StructField("last_ts", T.TimestampNTZType()),
+    T.StructField("last_id", T.StringType()),
+    T.StructField("on_hand", T.LongType()),
+    T.StructField("reserved", T.LongType()),
+    T.StructField("commands", T.LongType()),
+    T.StructField("accepted", T.LongType()),
+])
+
+
+def replay_closing(commands: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """W3 fused with W2: the fold kernel emits, per batch, one partial row per location (its last
+    state and counts), so only those rows return to the JVM; a location that spans two Arrow
+    batches gives two partial rows, merged by a final ``max_by`` aggregate. Same result as
+    ``closing(replay(...))``."""
+    cmds = _with_opening(commands, opening)
+
+    def kernel(pdf, carry):
+        out = _ledger_kernel(pdf, carry)
+        g = out.groupby("inventory_id", sort=False)
+        last = g.tail(1).set_index("inventory_id")
+        res = pd.DataFrame({
+            "inventory_id": last.index.to_numpy(),
+            "last_ts": last["ts"].to_numpy(), "last_id": last["command_id"].to_numpy(),
+            "on_hand": last["on_hand_after"].to_numpy(), "reserved": last["reserved_after"].to_numpy(),
+            "commands": g.size().reindex(last.index).to_numpy(),
+            "accepted": g["accepted"].sum().reindex(last.index).to_numpy()})
+        return res
+
+    parts = sorted_fold(cmds, ["inventory_id"], ORDER, kernel, CLOSING_PART_SCHEMA)
+    last = F.max_by(F.struct("on_hand", "reserved"), F.struct("last_ts", "last_id"))
+    return (parts.groupBy("inventory_id")
+                 .agg(last.alias("_last"), F.sum("commands").alias("command_count"),
+                      F.sum("accepted").alias("accepted_count"))
+                 .select("inventory_id", F.col("_last.on_hand").alias("closing_on_hand"),
+                         F.col("_last.reserved").alias("closing_reserved"), "command_count", "accepted_count",
+                         (F.col("command_count") - F.col("accepted_count")).alias("rejected_count")))
+
+
 EVENT_COLUMNS = ["event_id", "event_type", "occurred_on", "inventory_id", "part_id", "work_order_id", "warehouse",
                  "quantity", "available", "on_hand", "min_level", "reorder_qty", "old_qty", "new_qty", "difference",
                  "reason", "reference", "old_cost", "new_cost", "old_price", "new_price", "part_number"]

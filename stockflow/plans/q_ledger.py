@@ -95,7 +95,8 @@ SELECT inventory_id,
 FROM replayed GROUP BY inventory_id
 """, recursive=True)
 def q_ledger_closing(spark, sf_dir):
-    return L.closing(_replayed(spark, sf_dir))
+    d = domain(spark, sf_dir)
+    return L.replay_closing(L.ledger_commands(d.inventory_transactions))
 
 
 _ENV_NULLS = {

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockflow.functions.scalars import ntz_micros
 from stockflow.operators import commands as C
 from stockflow.operators import ledger as L
 from stockflow.plans.q_changes import _event_files
@@ -30,7 +31,7 @@ EVENTS_CTE = (REPLAY_SQL + ACC_CTE + LOW_CTE + ", ev AS (" + ACC_SELECT + " UNIO
 def write_time_slices(spark: SparkSession, df: DataFrame, ts_col: str, name: str, slices: int = 4) -> str:
     """Write ``df`` as ``slices`` consecutive time ranges, one write job per range (in order)."""
     path = sinks.fresh_dir(spark, name)
-    secs = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    secs = ntz_micros(ts_col)
     bounds = df.select(secs.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.0)
     edges = [None, *sorted(set(bounds)), None]
     for i in range(len(edges) - 1):

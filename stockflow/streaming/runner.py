@@ -8,18 +8,34 @@ writes exactly-once through its checkpoint, and stops.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stockflow.sources.sinks import fresh_dir
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Stateful operators fix their state-partition count from ``spark.sql.shuffle.partitions`` when a
+    new checkpoint starts. Start new streams with the cluster's parallelism (not a fixed default such
+    as 200 tiny state stores); the session value is restored afterwards."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or max(spark.sparkContext.defaultParallelism, 1)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
                      timeout_s: int = 600) -> DataFrame:
     out, ckpt = fresh_dir(spark, f"{name}-out"), fresh_dir(spark, f"{name}-ckpt")
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-               .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    with state_partitions(spark):
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+                   .outputMode(output_mode).trigger(availableNow=True).start())
+        q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.schema(stream.schema).parquet(out)
@@ -28,8 +44,9 @@ def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str, output_m
 def drain_foreach_batch(spark: SparkSession, stream: DataFrame, name: str,
                         handler: Callable[[DataFrame, int], None], timeout_s: int = 600) -> None:
     ckpt = fresh_dir(spark, f"{name}-ckpt")
-    q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
-               .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    with state_partitions(spark):
+        q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
+                   .trigger(availableNow=True).start())
+        q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -287,3 +287,11 @@ def test_validations_flag_bad_rows(spark):
     inv = inv_rows(spark, [(1, 1, "", "A", 5, 6, -1, 10, 0, True)])
     r = Q.validate_inventory(inv).first()
     assert not r.valid and "Warehouse is required" in r.reasons and "Reserved quantity exceeds quantity on hand" in r.reasons
+
+
+def test_fused_closing_equals_closing_of_replay(spark):
+    rows = [(k, c, q) for k in range(1, 5) for c, q in
+            [("receive", 10 * k), ("reserve", 7), ("issue", 30), ("release", 2), ("adjust_by", -2), ("adjust", 3)]]
+    a = L.replay_closing(cmds(spark, rows)).orderBy("inventory_id").collect()
+    b = L.closing(L.replay(cmds(spark, rows))).orderBy("inventory_id").collect()
+    assert [r.asDict() for r in a] == [r.asDict() for r in b]
