@@ -29,24 +29,30 @@ def state_partitions(spark: SparkSession, n: int | None = None):
         spark.conf.set(key, old)
 
 
+def _finish(q, timeout_s: int | None) -> None:
+    """Wait for an ``availableNow`` stream; never return partial output."""
+    done = q.awaitTermination(timeout_s) if timeout_s else (q.awaitTermination() or True)
+    if not done:
+        q.stop()
+        raise TimeoutError(f"stream {q.name or q.id} did not drain within {timeout_s}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
-                     timeout_s: int = 600) -> DataFrame:
+                     timeout_s: int | None = None) -> DataFrame:
     out, ckpt = fresh_dir(spark, f"{name}-out"), fresh_dir(spark, f"{name}-ckpt")
     with state_partitions(spark):
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
                    .outputMode(output_mode).trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+        _finish(q, timeout_s)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def drain_foreach_batch(spark: SparkSession, stream: DataFrame, name: str,
-                        handler: Callable[[DataFrame, int], None], timeout_s: int = 600) -> None:
+                        handler: Callable[[DataFrame, int], None], timeout_s: int | None = None) -> None:
     ckpt = fresh_dir(spark, f"{name}-ckpt")
     with state_partitions(spark):
         q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
                    .trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+        _finish(q, timeout_s)
