@@ -49,18 +49,38 @@ _QTY_COMMANDS = ("receive", "reserve", "release", "issue")
 
 # -- W1 ------------------------------------------------------------------------------
 
-def running_balance(tx: DataFrame) -> DataFrame:
+def running_balance(tx: DataFrame, chunk: str = "month") -> DataFrame:
     """On hand / reserved / available after each ledger row (ledger signs, no guards).
 
     on_hand = Receipt + Issue + Adjustment; reserved = Reservation + Release + Issue.
+
+    A running sum is a prefix sum, so a location with a very long history is
+    split exactly: the window runs per (location, ``chunk`` of time), and each
+    chunk is shifted by the totals of the location's earlier chunks (a small
+    locations x chunks table with its own window). No task ever holds a whole
+    location's history.
     """
     t, q = F.col("transaction_type"), F.col("quantity")
-    w = (Window.partitionBy("inventory_id").orderBy("transaction_date", "transaction_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d_oh = F.when(t.isin("Receipt", "Issue", "Adjustment"), q).otherwise(0)
-    d_rs = F.when(t.isin("Reservation", "Release", "Issue"), q).otherwise(0)
-    return (tx.withColumns({"running_on_hand": F.sum(d_oh).over(w), "running_reserved": F.sum(d_rs).over(w)})
-              .withColumn("running_available", F.col("running_on_hand") - F.col("running_reserved")))
+    d_oh = F.when(t.isin("Receipt", "Issue", "Adjustment"), q).otherwise(0).cast("bigint")
+    d_rs = F.when(t.isin("Reservation", "Release", "Issue"), q).otherwise(0).cast("bigint")
+    rows = tx.withColumns({"_chunk": F.date_trunc(chunk, "transaction_date"), "_doh": d_oh, "_drs": d_rs})
+    spec = Window.partitionBy("inventory_id", "_chunk").orderBy("transaction_date", "transaction_id")
+    run = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # running and whole-chunk sums share one window operator (same partitioning and order);
+    # the chunk totals are then aggregated without another shuffle of the ledger rows
+    inner = rows.withColumns({"_roh": F.sum("_doh").over(run), "_rrs": F.sum("_drs").over(run),
+                              "_toh": F.sum("_doh").over(whole), "_trs": F.sum("_drs").over(whole)})
+    totals = inner.groupBy("inventory_id", "_chunk").agg(F.max("_toh").alias("_toh"), F.max("_trs").alias("_trs"))
+    before = Window.partitionBy("inventory_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("inventory_id", "_chunk",
+                            F.coalesce(F.sum("_toh").over(before), F.lit(0)).alias("_ooh"),
+                            F.coalesce(F.sum("_trs").over(before), F.lit(0)).alias("_ors"))
+    out = inner.join(offsets, ["inventory_id", "_chunk"])
+    return (out.withColumns({"running_on_hand": F.col("_ooh") + F.col("_roh"),
+                             "running_reserved": F.col("_ors") + F.col("_rrs")})
+               .withColumn("running_available", F.col("running_on_hand") - F.col("running_reserved"))
+               .drop("_chunk", "_doh", "_drs", "_roh", "_rrs", "_toh", "_trs", "_ooh", "_ors"))
 
 
 # -- commands --------------------------------------------------------------------------
