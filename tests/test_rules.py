@@ -295,3 +295,31 @@ def test_fused_closing_equals_closing_of_replay(spark):
     a = L.replay_closing(cmds(spark, rows)).orderBy("inventory_id").collect()
     b = L.closing(L.replay(cmds(spark, rows))).orderBy("inventory_id").collect()
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
+
+
+# -- change sets -----------------------------------------------------------------------------------
+
+def test_upsert_last_change_wins_and_removes(spark):
+    from stockflow.operators import changes as CH
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    ch = spark.createDataFrame([(1, "x", 1, "update"), (1, "y", 2, "update"), (2, None, 1, "remove"),
+                                (4, "d", 1, "add"), (3, None, 5, "update")], "k long, v string, seq int, op string")
+    got = {r.k: r.v for r in CH.upsert(base, ch, ["k"], ["seq"]).collect()}
+    assert got == {1: "y", 3: None, 4: "d"}  # an explicit NULL update is kept
+    st = {r.k: (r.created_at is not None, r.updated_at is not None)
+          for r in CH.stamp(ch, "2024-01-01 00:00:00").collect() if r.seq == 1}
+    assert st == {1: (False, True), 2: (False, False), 4: (True, False)}
+
+
+def test_admit_new_only(spark):
+    base = spark.createDataFrame([(1, "Main")], "part_id long, warehouse string")
+    cand = spark.createDataFrame([(1, "Main", 1), (1, "East", 3), (1, "East", 2), (2, "Main", 9)],
+                                 "part_id long, warehouse string, seq int")
+    got = {(r.part_id, r.warehouse): r.seq for r in Q.admit_new(cand, base, ["part_id", "warehouse"], ["seq"]).collect()}
+    assert got == {(1, "East"): 2, (2, "Main"): 9}
+
+
+def test_duplicate_keys_report(spark):
+    df = spark.createDataFrame([("WO-1",), ("WO-1",), ("WO-2",)], "n string")
+    r = Q.duplicate_keys(df, ["n"], "orders.number").collect()
+    assert [(x.key_value, x.row_count) for x in r] == [("WO-1", 2)]
