@@ -31,6 +31,10 @@ EVENTS_CTE = (REPLAY_SQL + ACC_CTE + LOW_CTE + ", ev AS (" + ACC_SELECT + " UNIO
 def write_time_slices(spark: SparkSession, df: DataFrame, ts_col: str, name: str, slices: int = 4) -> str:
     """Write ``df`` as ``slices`` consecutive time ranges, one write job per range (in order)."""
     path = sinks.fresh_dir(spark, name)
+    # compute the input once; the slices are then cheap reads of the staged files
+    stage = sinks.fresh_dir(spark, f"{name}-stage")
+    df.write.parquet(stage)
+    df = spark.read.parquet(stage)
     secs = ntz_micros(ts_col)
     bounds = df.select(secs.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.0)
     edges = [None, *sorted(set(bounds)), None]
