@@ -205,12 +205,43 @@ def _status_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     yield out
 
 
-def status_stream(requests: DataFrame, wo: DataFrame) -> DataFrame:
-    """T5: W12 over a live request stream; state = status per order (seeded from the snapshot)."""
+STATUS_BUCKET_STATE = "ids array<bigint>, status array<int>"
+
+
+def _status_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """All status requests of one order bucket in a micro-batch, applied with the batch kernel."""
+    frames = list(pdfs)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    pdf = pdf.sort_values(["work_order_id", "ts", "event_id"], kind="stable").reset_index(drop=True)
+    known = pd.Series(dtype="float64")
+    if state.exists:
+        ids, sts = state.get
+        known = pd.Series(list(sts), index=list(ids), dtype="float64")
+        seen = pdf["work_order_id"].isin(known.index)
+        pdf["opening_status"] = pdf["opening_status"].astype("float64")
+        pdf.loc[seen, "opening_status"] = pdf.loc[seen, "work_order_id"].map(known)
+    out = C._transition_kernel(pdf, {})
+    last = out.groupby("work_order_id", sort=False).tail(1).set_index("work_order_id")["status_after"]
+    known = last.dropna().astype("float64").combine_first(known)
+    state.update((known.index.tolist(), [int(v) for v in known.tolist()]))
+    yield out
+
+
+def status_stream(requests: DataFrame, wo: DataFrame, buckets: int | str | None = "auto") -> DataFrame:
+    """T5: W12 over a live request stream; state = status per order (seeded from the snapshot).
+
+    State is grouped by order bucket as in ``ledger_stream`` (``buckets=None``: one group per order).
+    """
     opening = wo.select("work_order_id", F.col("status").alias("opening_status"))
     j = requests.join(opening, "work_order_id", "left")
-    return j.groupBy("work_order_id").applyInPandasWithState(
-        _status_state_fn, C.TRANSITION_SCHEMA, "status int", "append", GroupStateTimeout.NoTimeout)
+    if buckets == "auto":
+        buckets = 8 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        return j.groupBy("work_order_id").applyInPandasWithState(
+            _status_state_fn, C.TRANSITION_SCHEMA, "status int", "append", GroupStateTimeout.NoTimeout)
+    b = j.withColumn("_bucket", F.pmod(F.xxhash64("work_order_id"), F.lit(buckets)))
+    return b.groupBy("_bucket").applyInPandasWithState(
+        _status_bucket_fn, C.TRANSITION_SCHEMA, STATUS_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # -- T6 ----------------------------------------------------------------------------------------
