@@ -38,9 +38,14 @@ class Domain:
         return scan(self.spark, self.sf_dir, name)
 
     # -- helpers -------------------------------------------------------------
-    def _supplier_count(self) -> Column:
+    @cached_property
+    def _supplier_count_col(self) -> Column:
+        # one subquery expression shared by every rule that needs it (so Spark can reuse its result)
         return self.raw("supplier").select(F.count(F.lit(1))).scalar()
 
+    def _supplier_count(self) -> Column:
+        return self._supplier_count_col
+
     # -- catalog -------------------------------------------------------------
     @cached_property
     def parts(self) -> DataFrame:
