@@ -266,6 +266,8 @@ _CACHE: dict[tuple[int, str], Domain] = {}
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
     """One Domain per (session, dir); DataFrames are lazy so sharing is cheap."""
     key = (id(spark), sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = Domain(spark, sf_dir)
-    return _CACHE[key]
+    d = _CACHE.get(key)
+    # an id can be reused by a new session after the old one is gone: check identity
+    if d is None or d.spark is not spark:
+        d = _CACHE[key] = Domain(spark, sf_dir)
+    return d
