@@ -97,21 +97,29 @@ def apply_part_commands(parts: DataFrame, cmds: DataFrame) -> DataFrame:
         F.coalesce("commands_rejected", F.lit(0).cast("bigint")).alias("commands_rejected"))
 
 
-def price_changes(cmds: DataFrame, parts: DataFrame) -> DataFrame:
+def price_changes(cmds: DataFrame, parts: DataFrame, seq_chunk: int = 1_000_000) -> DataFrame:
     """Each accepted price command with old / new cost and price.
 
-    Old values come from the previous accepted price command of the part
-    (``lag`` over seq), or from the snapshot for the first one.
+    Old values come from the previous accepted price command of the part, or
+    from the snapshot for the first one. A part's price history is split into
+    chunks of ``seq_chunk`` consecutive sequence numbers: ``lag`` runs inside
+    (part, chunk), and a chunk's first command takes the last values of the
+    part's earlier chunks from a small parts x chunks table, so a very active
+    part is not one window partition (exact: chunks follow the seq order).
     """
-    acc = part_command_reasons(cmds, parts).where(F.col("accepted") & (F.col("command") == "price"))
-    w = Window.partitionBy("part_id").orderBy("seq")
+    acc = (part_command_reasons(cmds, parts).where(F.col("accepted") & (F.col("command") == "price"))
+           .withColumn("_chunk", F.floor(F.col("seq") / F.lit(seq_chunk))))
+    w = Window.partitionBy("part_id", "_chunk").orderBy("seq")
+    inner = acc.withColumns({"_pc": F.lag("new_cost").over(w), "_pp": F.lag("new_price").over(w)})
+    last = (acc.groupBy("part_id", "_chunk")
+               .agg(F.max_by(F.struct("new_cost", "new_price"), "seq").alias("_last")))
+    prev = Window.partitionBy("part_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("part_id", "_chunk", F.last("_last", ignorenulls=True).over(prev).alias("_prev"))
     snap = parts.select("part_id", F.col("unit_cost").alias("_c0"), F.col("unit_price").alias("_p0"))
-    return (acc.join(snap, "part_id")
-               .select("part_id", "seq", "ts",
-                       F.coalesce(F.lag("new_cost").over(w), F.col("_c0")).alias("old_cost"),
-                       F.col("new_cost"),
-                       F.coalesce(F.lag("new_price").over(w), F.col("_p0")).alias("old_price"),
-                       F.col("new_price")))
+    return (inner.join(carry, ["part_id", "_chunk"]).join(snap, "part_id")
+                 .select("part_id", "seq", "ts",
+                         F.coalesce("_pc", F.col("_prev.new_cost"), "_c0").alias("old_cost"), "new_cost",
+                         F.coalesce("_pp", F.col("_prev.new_price"), "_p0").alias("old_price"), "new_price"))
 
 
 def price_alerts(changes: DataFrame, pct: float = 0.10) -> DataFrame:

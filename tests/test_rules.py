@@ -323,3 +323,17 @@ def test_duplicate_keys_report(spark):
     df = spark.createDataFrame([("WO-1",), ("WO-1",), ("WO-2",)], "n string")
     r = Q.duplicate_keys(df, ["n"], "orders.number").collect()
     assert [(x.key_value, x.row_count) for x in r] == [("WO-1", 2)]
+
+
+def test_price_changes_across_chunks(spark):
+    c = spark.createDataFrame(
+        [(1, s, T0 + dt.timedelta(minutes=s), "price", float(10 + s), float(20 + s), None, None, None)
+         for s in range(1, 12)] + [(2, 5, T0, "price", 7.0, 9.0, None, None, None)],
+        "part_id long, seq long, ts timestamp_ntz, command string, new_cost double, new_price double, "
+        "new_min int, new_max int, new_lead_time int")
+    c = c.withColumn("new_cost", F.col("new_cost").cast("decimal(18,2)")).withColumn(
+        "new_price", F.col("new_price").cast("decimal(18,2)"))
+    whole = {r.seq: r for r in C.price_changes(c, parts(spark)).where("part_id = 1").collect()}
+    split = {r.seq: r for r in C.price_changes(c, parts(spark), seq_chunk=3).where("part_id = 1").collect()}
+    assert whole == split
+    assert float(whole[1].old_cost) == 1200 and float(whole[5].old_cost) == 14
