@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from stockflow.functions import scalars as X
 from stockflow.functions.enums import decode_enum, enum_case_sql

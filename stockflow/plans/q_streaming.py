@@ -16,7 +16,7 @@ from stockflow.functions.scalars import ntz_micros
 from stockflow.operators import commands as C
 from stockflow.operators import ledger as L
 from stockflow.plans.q_changes import _event_files
-from stockflow.plans.q_commands import JUDGED_SQL, PRICE_CHANGES_SQL, TRANSITIONS_SQL
+from stockflow.plans.q_commands import PRICE_CHANGES_SQL, TRANSITIONS_SQL
 from stockflow.plans.q_ledger import ACC_CTE, ACC_SELECT, LOW_CTE, LOW_STOCK_EVENTS_SELECT, REPLAY_SQL
 from stockflow.plans.registry import register
 from stockflow.sources import sinks
