@@ -444,19 +444,35 @@ def create_rule(wo: DataFrame) -> DataFrame:
     })
 
 
-def status_as_of(cmds: DataFrame, transitions: DataFrame, wo: DataFrame) -> DataFrame:
+def status_as_of(cmds: DataFrame, transitions: DataFrame, wo: DataFrame, chunk: str = "month") -> DataFrame:
     """Each command with the order's status at its (ts, seq): the last accepted transition at or
-    before it (as-of join as a union + ``last(ignorenulls)`` window per order), else the opening status."""
+    before it, else the opening status.
+
+    An as-of join written as a union + ``last(ignorenulls)`` window. The window
+    runs per (order, ``chunk`` of time); the status reached by the end of each
+    earlier chunk comes from a small orders x chunks table, so a very busy order
+    is not one window partition. Exact, because chunks follow ``ts``, the
+    leading sort key.
+    """
     t = (transitions.where("accepted")
                     .select("work_order_id", "ts", F.col("event_id").alias("seq"), F.lit(0).alias("_kind"),
                             F.col("status_after").alias("_st")))
     c = cmds.withColumns({"_kind": F.lit(1), "_st": F.lit(None).cast("int")})
-    w = (Window.partitionBy("work_order_id").orderBy("ts", "seq", "_kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    timeline = c.unionByName(t, allowMissingColumns=True).withColumn("_now", F.last("_st", ignorenulls=True).over(w))
+    timeline = c.unionByName(t, allowMissingColumns=True).withColumn("_chunk", F.date_trunc(chunk, "ts"))
+    inside = (Window.partitionBy("work_order_id", "_chunk").orderBy("ts", "seq", "_kind")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chunks = (timeline.groupBy("work_order_id", "_chunk")
+                      .agg(F.max_by(F.when(F.col("_kind") == 0, F.col("_st")),
+                                    F.when(F.col("_kind") == 0, F.struct("ts", "seq"))).alias("_end")))
+    before = Window.partitionBy("work_order_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select("work_order_id", "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_prev"))
     opening = wo.select("work_order_id", F.col("status").alias("_open"))
-    return (timeline.where(F.col("_kind") == 1).join(opening, "work_order_id", "left")
-                    .withColumn("status_at", F.coalesce("_now", "_open")).drop("_kind", "_st", "_now", "_open"))
+    return (timeline.withColumn("_now", F.last("_st", ignorenulls=True).over(inside))
+                    .where(F.col("_kind") == 1)
+                    .join(carry, ["work_order_id", "_chunk"])
+                    .join(opening, "work_order_id", "left")
+                    .withColumn("status_at", F.coalesce("_now", "_prev", "_open"))
+                    .drop("_kind", "_st", "_now", "_prev", "_open", "_chunk"))
 
 
 def apply_wo_commands(wo: DataFrame, cmds: DataFrame, transitions: DataFrame) -> DataFrame:

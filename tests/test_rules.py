@@ -337,3 +337,14 @@ def test_price_changes_across_chunks(spark):
     split = {r.seq: r for r in C.price_changes(c, parts(spark), seq_chunk=3).where("part_id = 1").collect()}
     assert whole == split
     assert float(whole[1].old_cost) == 1200 and float(whole[5].old_cost) == 14
+
+
+def test_status_as_of_chunks_agree(spark):
+    from stockflow.sources.domain import domain
+    d = domain(spark, "/root/testdata/sf0.001")
+    tr = C.apply_transitions(d.status_requests, d.work_orders)
+    cm = d.raw("events").select(F.col("user_id").alias("work_order_id"), F.col("event_id").alias("seq"), "ts")
+    key = ["work_order_id", "seq"]
+    a = C.status_as_of(cm, tr, d.work_orders, chunk="day").select(*key, "status_at").orderBy(key).collect()
+    b = C.status_as_of(cm, tr, d.work_orders, chunk="year").select(*key, "status_at").orderBy(key).collect()
+    assert a == b and len(a) > 0
