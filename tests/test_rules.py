@@ -348,3 +348,15 @@ def test_status_as_of_chunks_agree(spark):
     a = C.status_as_of(cm, tr, d.work_orders, chunk="day").select(*key, "status_at").orderBy(key).collect()
     b = C.status_as_of(cm, tr, d.work_orders, chunk="year").select(*key, "status_at").orderBy(key).collect()
     assert a == b and len(a) > 0
+
+
+def test_create_locations_reorder_is_max_minus_min(spark):
+    inv = inv_rows(spark, [(10, 1, "Main", "A", 5, 0, 1, 10, 9, True)])
+    req = spark.createDataFrame(
+        [(10, 1, "Main", "X", 2, 20, 1, 1), (21, 2, "East", "B-1", 3, 30, 2, 1), (21, 2, "East", "B-9", 5, 50, 1, 1)],
+        "inventory_id long, part_id long, warehouse string, bin_location string, minimum_stock_level int, "
+        "maximum_stock_level int, work_order_id long, line_no int")
+    new = L.create_locations(req, inv).collect()
+    assert len(new) == 1  # (1, Main) exists; (2, East) is requested twice, the first request wins
+    r = new[0]
+    assert (r.bin_location, r.reorder_quantity, r.quantity_on_hand, r.is_active) == ("B-9", 45, 0, True)
