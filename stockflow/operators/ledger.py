@@ -456,13 +456,23 @@ def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> Dat
                   .drop("_pid", "_av", "_shi", "_slo"))
 
 
-def reorder_suggestions(low_events: DataFrame) -> DataFrame:
+def reorder_suggestions(low_events: DataFrame, top_k: int | None = None) -> DataFrame:
     """L4: one suggestion per low-stock event: order the stored reorder quantity; Critical when
-    nothing is available, else Normal."""
-    return low_events.select(
+    nothing is available, else Normal.
+
+    With ``top_k`` only the k most urgent suggestions per warehouse are kept (Critical first, then
+    oldest, then event id) with their ``urgency_rank``. ``row_number() <= k`` lets Spark limit each
+    partition before the shuffle, so no warehouse is ever ranked as a whole.
+    """
+    out = low_events.select(
         "part_id", "warehouse", "inventory_id", F.col("reorder_qty").alias("quantity_to_order"),
         F.when(F.col("available") == 0, F.lit("Critical")).otherwise(F.lit("Normal")).alias("priority"),
         F.col("occurred_on").alias("created_at"), F.col("event_id").alias("source_event_id"))
+    if top_k is None:
+        return out
+    w = Window.partitionBy("warehouse").orderBy((F.col("priority") == "Critical").desc(), "created_at",
+                                                "source_event_id")
+    return out.withColumn("urgency_rank", F.row_number().over(w)).where(F.col("urgency_rank") <= top_k)
 
 
 def tx_view(tx: DataFrame) -> DataFrame:

@@ -360,3 +360,15 @@ def test_create_locations_reorder_is_max_minus_min(spark):
     assert len(new) == 1  # (1, Main) exists; (2, East) is requested twice, the first request wins
     r = new[0]
     assert (r.bin_location, r.reorder_quantity, r.quantity_on_hand, r.is_active) == ("B-9", 45, 0, True)
+
+
+def test_reorder_suggestions_top_k_per_warehouse(spark):
+    ev = spark.createDataFrame(
+        [(f"e{i}", T0 + dt.timedelta(hours=i), i, i, "Main" if i % 2 else "East", 0 if i in (5, 6) else 2, 40)
+         for i in range(1, 9)],
+        "event_id string, occurred_on timestamp_ntz, inventory_id long, part_id long, warehouse string, "
+        "available int, reorder_qty int")
+    top = L.reorder_suggestions(ev, top_k=2).collect()
+    got = sorted((r.warehouse, r.urgency_rank, r.source_event_id) for r in top)
+    assert got == [("East", 1, "e6"), ("East", 2, "e2"), ("Main", 1, "e5"), ("Main", 2, "e1")]
+    assert L.reorder_suggestions(ev).count() == 8
