@@ -29,6 +29,7 @@ from stockflow.functions.enums import ASSIGNED, AVAILABLE, BUSY, CANCELLED, COMP
     ON_HOLD, ON_LEAVE, PENDING, decode_enum
 from stockflow.functions.scalars import ntz_micros
 from stockflow.operators.fold import sorted_fold
+from stockflow.session import ensure_checkpoint_dir
 
 DEC18 = "decimal(18,2)"
 
@@ -454,9 +455,13 @@ def status_as_of(cmds: DataFrame, transitions: DataFrame, wo: DataFrame, chunk:
     is not one window partition. Exact, because chunks follow ``ts``, the
     leading sort key.
     """
+    # the accepted transitions feed two branches (the in-chunk window and the per-chunk ends); a
+    # reliable checkpoint in the shared checkpoint dir runs the transition fold once
+    ensure_checkpoint_dir(transitions.sparkSession)
     t = (transitions.where("accepted")
                     .select("work_order_id", "ts", F.col("event_id").alias("seq"), F.lit(0).alias("_kind"),
-                            F.col("status_after").alias("_st")))
+                            F.col("status_after").alias("_st"))
+                    .checkpoint())
     c = cmds.withColumns({"_kind": F.lit(1), "_st": F.lit(None).cast("int")})
     timeline = c.unionByName(t, allowMissingColumns=True).withColumn("_chunk", F.date_trunc(chunk, "ts"))
     inside = (Window.partitionBy("work_order_id", "_chunk").orderBy("ts", "seq", "_kind")
