@@ -22,7 +22,12 @@ def state_partitions(spark: SparkSession, n: int | None = None):
     as 200 tiny state stores); the session value is restored afterwards."""
     key = "spark.sql.shuffle.partitions"
     old = spark.conf.get(key)
-    spark.conf.set(key, str(n or max(spark.sparkContext.defaultParallelism, 1)))
+    if n is None:
+        try:
+            n = max(spark.sparkContext.defaultParallelism, 1)
+        except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the session value
+            n = int(old)
+    spark.conf.set(key, str(n))
     try:
         yield
     finally:
