@@ -372,3 +372,13 @@ def test_reorder_suggestions_top_k_per_warehouse(spark):
     got = sorted((r.warehouse, r.urgency_rank, r.source_event_id) for r in top)
     assert got == [("East", 1, "e6"), ("East", 2, "e2"), ("Main", 1, "e5"), ("Main", 2, "e1")]
     assert L.reorder_suggestions(ev).count() == 8
+
+
+def test_unknown_location_is_unavailable_and_empty_totals_are_zero(spark):
+    inv = inv_rows(spark, [(1, 1, "Main", "A", 30, 10, 10, 50, 40, True)])
+    req = spark.createDataFrame([(1, "Main", 5), (1, "East", 1), (1, " ", 1), (2, "Main", 1)],
+                                "part_id long, warehouse string, quantity int")
+    got = {(r.part_id, r.warehouse): r.is_available for r in I.check_availability(req, inv).collect()}
+    assert got == {(1, "Main"): True, (1, "East"): False, (1, " "): False, (2, "Main"): False}
+    t = {r.part_id: r for r in I.part_totals(parts(spark), inv).collect()}
+    assert (t[3].total_on_hand, t[3].total_available, t[3].location_count) == (0, 0, 0)
