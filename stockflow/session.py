@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint dir; set a scratch one only when unset.
 
     On a cluster `spark.checkpoint.dir` names shared storage and is left
-    alone. Local tests have none, so a fresh temp folder is used.
+    alone. Only a session whose driver and executors are one process on this
+    machine (master ``local``) may fall back to a fresh temp folder.
     """
     try:
         sc = spark.sparkContext
@@ -53,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="stockflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():
@@ -60,6 +65,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's workers once, so that jobs run from any working directory.
+
+    Functions inside the package are pickled by reference: workers must be able to import it. A
+    session whose workers are forked from this process's own paths still gets the zip; it is small.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_stockflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stockflow-ship-"), "stockflow_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._stockflow_shipped = True
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for written intermediates."""
     base = ensure_checkpoint_dir(spark)
