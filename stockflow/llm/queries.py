@@ -28,3 +28,27 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return ngram_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by jump consistent hashing of doc_id."""
+    from stockflow.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=40, overhead=16)
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-id files, read back."""
+    from stockflow.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", end_id=1)
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    from stockflow.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end_id=1)
