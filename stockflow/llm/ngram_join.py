@@ -6,12 +6,13 @@ n-grams reaches num/den and returns the component of every row.
 Plan (every step a DataFrame job, nothing whole on the driver):
 
 1. *Rarity.* One pass counts all n-grams of all texts into a fixed table of ``SKETCH`` hashed counters.
-   Any fixed total order of n-grams keeps prefix filtering exact; the counters only make it rare-first.
+   A second table counts words. Any fixed total
+   order of n-grams keeps prefix filtering exact; the counters only make it rare-first.
 2. *Classes.* A second pass turns each text into its set, the 128-bit digest of the set and the set's
    prefix (the first |x| - ceil(t|x|) + 1 n-grams in rare-first order). Equal sets form one class.
 3. *Prefix join.* Classes that share a prefix n-gram are candidates. Copies must not become all pairs,
    so ``star_rounds`` rounds compare, per prefix n-gram, only a leader with the other classes, and
-   verified links merge classes into components. The last round compares every remaining pair whose
+   verified links merge classes into components; each n-gram draws its leader by hash. The last round compares every remaining pair whose
    components differ (pairs inside a component can't change the result), so no link is lost.
 4. *Filters.* Sizes must fit (length), the positions of the first common n-gram must leave room for
    the needed overlap (positional), and the Hamming bound from the counts of both sets over
@@ -36,69 +37,71 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stockflow.llm import textkit as tk
+from stockflow.llm import counters, textkit as tk
 from stockflow.llm.frames import components, stored
 
-SKETCH = 1 << 20
-SEGMENT = 1 << 12
+SKETCH = 1 << 21
+WORDS = 1 << 18
+SLOTS = 1 << 23              # one byte each: which hashed n-grams are in two classes or more
 PARTS = 32
 BROADCAST_ROWS = 200_000     # ids of at most ~60 bytes: 12 MB; larger sides are joined by shuffle
 PARTNERS_PER_TASK = 2_000
+LEADERS = 16                 # leaders per n-gram grow by this factor from star round to star round
 
 
-def row_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of every row (lower-cased A-Z, words without white space)."""
+def row_sets(data: np.ndarray, off: np.ndarray, n: int, weights: np.ndarray | None = None):
+    """Sorted distinct n-gram hashes of every row (lower-cased A-Z, words without white space).
+
+    With weights (one per hashed word) the result is (hashes, weight of each n-gram) per row.
+    """
     start, end, row = tk.words(data, off, tk.SPACE_SEPARATED)
     wh = tk.word_hashes(data, start, end, lower=True)
     at = tk.run_offsets(tk.row_counts(row, len(off) - 1))
     sh = tk.shingle_hashes(wh, n)
+    if weights is not None:
+        of_word = np.zeros(len(wh) + 1, dtype=np.int64)
+        np.cumsum(weights[(wh & tk.U64(len(weights) - 1)).astype(np.int64)], out=of_word[1:])
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a >= n:
-            out.append(np.unique(sh[a: b - n + 1]))
+        if weights is None:
+            out.append(np.unique(sh[a: b - n + 1]) if b - a >= n else tk.shingle_hashes(wh[a:b], b - a) if b > a else sh[:0])
+        elif b - a >= n:
+            u, first = np.unique(sh[a: b - n + 1], return_index=True)
+            first += a
+            out.append((u, of_word[first + n] - of_word[first]))
         else:
-            out.append(tk.shingle_hashes(wh[a:b], b - a) if b > a else sh[:0])
+            u = tk.shingle_hashes(wh[a:b], b - a) if b > a else sh[:0]
+            out.append((u, np.zeros(len(u), dtype=np.int64)))
     return out
 
 
 def _count_ngrams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int64)
+        counts = np.zeros(SKETCH + WORDS, dtype=np.uint32)
         for batch in batches:
             for _, data, off in tk.batch_slices(batch, "text"):
                 sets = row_sets(data, off, n)
                 if sets:
-                    flat = np.concatenate(sets) & tk.U64(SKETCH - 1)
-                    counts += np.bincount(flat.astype(np.int64), minlength=SKETCH)
-        parts = counts.reshape(-1, SEGMENT)
-        used = np.flatnonzero(parts.any(axis=1))
-        for a in range(0, len(used), 32):
-            ids = used[a: a + 32]
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(ids, pa.int32()), "counts": pa.array(
-                [parts[i].astype("<u4").tobytes() if parts[i].max() < 1 << 32 else parts[i].tobytes() for i in ids], pa.binary())})
+                    np.add.at(counts, (np.concatenate(sets) & tk.U64(SKETCH - 1)).astype(np.int64), np.uint32(1))
+                start, end, _ = tk.words(data, off, tk.SPACE_SEPARATED)
+                wh = tk.word_hashes(data, start, end, lower=True)
+                np.add.at(counts, (wh & tk.U64(WORDS - 1)).astype(np.int64) + SKETCH, np.uint32(1))
+        yield from counters.emit(counts)
     return run
 
 
-def _as_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype="<u4" if len(blob) == 4 * SEGMENT else "<i8").astype(np.int64)
+def ngram_rarity(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tier of every hashed n-gram, weight of every hashed word) over all texts, two tables of fixed size.
 
-
-def _add_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[s] = total[s] + _as_counts(c) if s in total else _as_counts(c)
-    for s, c in total.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
-
-
-def ngram_rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """Hashed document frequencies of all n-grams: SKETCH counters, a fixed 8 MB on the driver."""
-    per_task = texts.select("text").mapInArrow(_count_ngrams(n), "segment int, counts binary")
-    out = np.zeros(SKETCH, dtype=np.int64)
-    for row in per_task.repartition("segment").mapInArrow(_add_segments, "segment int, counts binary").collect():
-        out[row.segment * SEGMENT: (row.segment + 1) * SEGMENT] = _as_counts(bytes(row.counts))
-    return out
+    The tier is 0 for n-grams whose counter doesn't stand out of the others' noise, else the bit length of
+    the excess; the weight of a word is 4 log2 of its counter. N-grams are ordered by (tier, sum of
+    their words' weights, hash): frequent passages last, then n-grams of common words, rare ones first.
+    """
+    counts = counters.summed(texts.select("text").mapInArrow(_count_ngrams(n), counters.SPEC), SKETCH + WORDS)
+    grams, words = counts[:SKETCH], counts[SKETCH:]
+    mean = grams.mean()
+    excess = np.maximum(grams - mean - 4 * np.sqrt(mean), 0)
+    return np.ceil(np.log2(1 + excess)).astype(np.uint8), np.floor(4 * np.log2(1 + words)).astype(np.int16)
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -108,17 +111,17 @@ def prefix_length(size: int, num: int, den: int) -> int:
 def _features(n: int, num: int, den: int, rarity):
     """Rows (doc_id, text key) to (…, size, digest, prefix, parts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = rarity.value
+        tier, weights = rarity.value
         for batch in batches:
             for rows, data, off in tk.batch_slices(batch, "text"):
                 sizes, digests, prefixes, parts = [], [], [], []
-                for u in row_sets(data, off, n):
+                for u, weight in row_sets(data, off, n, weights):
                     sizes.append(len(u))
                     if not len(u):
                         digests.append(None), prefixes.append(np.zeros(0, np.int64)), parts.append(np.zeros(0, np.int32))
                         continue
                     digests.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-                    order = np.argsort(freq[(u & tk.U64(SKETCH - 1)).astype(np.int64)], kind="stable")
+                    order = np.argsort((tier[(u & tk.U64(SKETCH - 1)).astype(np.int64)].astype(np.int64) << 32) + weight, kind="stable")
                     prefixes.append(u[order[: prefix_length(len(u), num, den)]].view(np.int64))
                     parts.append(np.bincount((u >> tk.U64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
@@ -129,6 +132,29 @@ def _features(n: int, num: int, den: int, rarity):
     return run
 
 
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    used = np.zeros(SLOTS, dtype=np.uint8)
+    for batch in batches:
+        used[batch.column(0).to_numpy() & (SLOTS - 1)] = 1
+    yield from counters.emit(used)
+
+
+def _postings(slots):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(slots.value).astype(bool)
+        for batch in batches:
+            lists = batch.column(2)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            grams = lists.values.to_numpy()[off[0]: off[-1]]
+            off = off - off[0]
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            at = np.flatnonzero(used[grams & (SLOTS - 1)])
+            rows = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at]), batch.column(0).take(rows), batch.column(1).take(rows),
+                                              pa.array((at - off[row[at]]).astype(np.int32))], names=["gram", "class", "size", "pos"])
+    return run
+
+
 def _verify_stream(n: int, num: int, den: int):
     """Texts sorted by (leader, salt, role): role 0 is the leader, the rest are its candidates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +208,14 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = stored(feats.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "tkey")).alias("rep")))
     one = feats.join(classes, (feats["class"] == classes["class"]) & feats["doc_id"].eqNullSafe(classes["rep.doc_id"])
                      & (feats["tkey"] == classes["rep.tkey"]), "left_semi")
-    postings = one.select("class", "size", F.posexplode("prefix").alias("pos", "gram"))
-    heads = (postings.groupBy("gram").agg(F.min(F.struct("size", "class", "pos")).alias("lead"),
-                                         F.min("class").alias("lo"), F.max("class").alias("hi"))
-             .where("lo <> hi").select("gram", "lead"))
-    shared = stored(postings.join(heads, "gram").select("gram", "class", "size", "pos", "lead").distinct())
+    # n-grams of two classes or more; only their postings (and a few that share a slot) move again
+    grams = (one.select(F.explode("prefix").alias("gram"), F.xxhash64("class").alias("h")).groupBy("gram")
+             .agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("gram"))
+    grams = stored(grams)
+    slots = spark.sparkContext.broadcast(np.packbits(
+        counters.summed(grams.mapInArrow(_count_slots, counters.SPEC), SLOTS) > 0))
+    postings = one.select("class", "size", "prefix").mapInArrow(_postings(slots), "gram long, class binary, size long, pos int")
+    shared = stored(postings.join(grams, "gram").distinct())
     parts = feats.where("class is not null").select("class", "size", "parts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -229,27 +258,28 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         if links is not None:
             roots = components(links)
             labelled = stored(shared.join(roots, shared["class"] == roots["node"], "left")
-                              .select("gram", "class", "size", "pos", "lead", F.coalesce("root", "class").alias("comp")))
-        if r == 0:
-            pairs = (labelled.where("class <> lead.class")
-                     .select(F.struct("lead.size", "lead.class", "lead.pos").alias("x"), F.struct("size", "class", "pos").alias("y")))
-        else:
+                              .select("gram", "class", "size", "pos", F.coalesce("root", "class").alias("comp")))
+        own = labelled
+        if r:
             mixed = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-            if r < star_rounds:
-                # another leader per n-gram; only members of other components need it
-                lead = (labelled.join(mixed, "gram", "left_semi").groupBy("gram")
-                        .agg(F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), "class", "size", "pos", "comp")).alias("l")))
-                both = labelled.join(lead, "gram").where("comp <> l.comp")
-                pairs = both.select(F.struct("l.size", "l.class", "l.pos").alias("x"), F.struct("size", "class", "pos").alias("y"))
-            else:
-                left = labelled.join(mixed, "gram", "left_semi")
-                comps = left.select("gram", "comp").distinct()
-                cross = (comps.alias("s").join(comps.alias("t"), "gram").where("s.comp < t.comp")
-                         .select("gram", F.col("s.comp").alias("ca"), F.col("t.comp").alias("cb")))
-                x = left.select("gram", F.col("comp").alias("ca"), F.struct("size", "class", "pos").alias("x"))
-                y = left.select("gram", F.col("comp").alias("cb"), F.struct("size", "class", "pos").alias("y"))
-                near = (F.lit(den) * F.least("x.size", "y.size") >= F.lit(num) * F.greatest("x.size", "y.size"))
-                pairs = cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).where(near).select("x", "y")
+            own = labelled.join(mixed, "gram", "left_semi")
+        if r < star_rounds:
+            # every n-gram draws its own leader, so a class meets several members of its group
+            draw = F.xxhash64("gram", "class", F.lit(r))
+            lead = own.groupBy("gram", F.pmod(F.xxhash64("class"), F.lit(LEADERS ** r)).alias("draw")).agg(
+                F.min(F.struct(draw.alias("h"), "size", "class", "pos", "comp")).alias("l"))
+            pairs = own.join(lead, "gram").where("comp <> l.comp").select(
+                F.struct("l.size", "l.class", "l.pos").alias("x"), F.struct("size", "class", "pos").alias("y"))
+        else:
+            # sizes of a component's members in a group bound whether any pair can pass the length filter
+            comps = own.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+            cross = (comps.alias("s").join(comps.alias("t"), "gram")
+                     .where(F.expr(f"s.comp < t.comp and {den} * s.hi >= {num} * t.lo and {den} * t.hi >= {num} * s.lo"))
+                     .select("gram", F.col("s.comp").alias("ca"), F.col("t.comp").alias("cb")))
+            x = own.select("gram", F.col("comp").alias("ca"), F.struct("size", "class", "pos").alias("x"))
+            y = own.select("gram", F.col("comp").alias("cb"), F.struct("size", "class", "pos").alias("y"))
+            near = (F.lit(den) * F.least("x.size", "y.size") >= F.lit(num) * F.greatest("x.size", "y.size"))
+            pairs = cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).where(near).select("x", "y")
         # the smaller set (then the smaller digest) comes first, so a pair has one name
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         pairs = pairs.where(_fits("x", "y", num, den)).select(

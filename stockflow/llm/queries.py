@@ -52,3 +52,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end_id=1)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the n-gram likelihood-ratio verdict of all documents."""
+    from stockflow.llm.quality import rate_documents
+
+    return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
