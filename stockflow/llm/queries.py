@@ -60,3 +60,29 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.quality import rate_documents
 
     return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(coalesce(" + _LOW + r", ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op10_decontamination", oracle=f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+       FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+ms AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS s
+       FROM (SELECT doc_id, w, m, unnest(generate_series(1, CAST(len(w) - m + 1 AS BIGINT))) AS i FROM d, ms WHERE len(w) >= m)),
+hit AS (SELECT DISTINCT doc_id, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.s = bw.s),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents."""
+    from stockflow.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("tkey")
