@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockflow.session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: a worker holds one batch of texts and its results at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -208,9 +208,16 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = stored(feats.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "tkey")).alias("rep")))
     one = feats.join(classes, (feats["class"] == classes["class"]) & feats["doc_id"].eqNullSafe(classes["rep.doc_id"])
                      & (feats["tkey"] == classes["rep.tkey"]), "left_semi")
-    # n-grams of two classes or more; only their postings (and a few that share a slot) move again
-    grams = (one.select(F.explode("prefix").alias("gram"), F.xxhash64("class").alias("h")).groupBy("gram")
-             .agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("gram"))
+    # n-grams that may join two classes; only their postings (and a few that share a slot) move again.
+    # Of exactly two postings both sizes and positions are known here, so the filters apply at once.
+    entry = F.shiftleft(F.col("size"), 32) + F.col("pos")
+    size, pos = (lambda e: F.shiftright(e, 32)), (lambda e: F.col(e).bitwiseAND((1 << 32) - 1))
+    pair = (F.lit(den) * size("e0") >= F.lit(num) * size("e1")) & (
+        F.least(pos("e0"), pos("e1")) + 1 + F.least(size("e0") - pos("e0") - 1, size("e1") - pos("e1") - 1)
+        >= _needed(size("e0"), size("e1"), num, den))
+    grams = (one.select("size", F.posexplode("prefix").alias("pos", "gram")).select("gram", entry.alias("e")).groupBy("gram")
+             .agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1"))
+             .where((F.col("n") > 2) | ((F.col("n") == 2) & pair)).select("gram"))
     grams = stored(grams)
     slots = spark.sparkContext.broadcast(np.packbits(
         counters.summed(grams.mapInArrow(_count_slots, counters.SPEC), SLOTS) > 0))
@@ -262,7 +269,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         own = labelled
         if r:
             mixed = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-            own = labelled.join(mixed, "gram", "left_semi")
+            own = stored(labelled.join(mixed, "gram", "left_semi"))
         if r < star_rounds:
             # every n-gram draws its own leader, so a class meets several members of its group
             draw = F.xxhash64("gram", "class", F.lit(r))
