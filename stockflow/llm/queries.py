@@ -86,3 +86,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.decontam import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("tkey")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from stockflow.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tkey")
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeated runs of lines."""
+    from stockflow.llm.line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
