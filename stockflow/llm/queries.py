@@ -102,3 +102,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.line_dedup import line_digest
 
     return line_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that start earlier somewhere."""
+    from stockflow.llm.repeats import repeat_digest
+
+    return repeat_digest(table(spark, sf_dir, "documents"))
