@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stockflow.llm import counters, textkit as tk
-from stockflow.llm.frames import stored
+from stockflow.llm.frames import by_key, stored
 
 SHINGLE = 3
 SKETCH = 1 << 20
@@ -175,5 +175,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Rows of docs without any benchmark window, with all their columns."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("tkey").alias("_bad_t")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_t"]), "left_anti")
+    bad = stored(contamination(docs, benchmark, window).where("contaminated").select("doc_id", "tkey").distinct())
+    return by_key(docs, bad, "left_anti")

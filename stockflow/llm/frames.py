@@ -22,6 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: keys of 16 bytes and an id: 200,000 are a few MB; larger sides are joined by shuffle
+BROADCAST_ROWS = 200_000
+
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str, doc: str = "doc_id") -> DataFrame:
+    """left_semi or left_anti join of documents with (doc_id, tkey) keys, null ids included.
+
+    tkey is the 64-bit key xxhash64(text). The keys are broadcast only when a count has shown them to be few.
+    """
+    side = keys.select(F.col(doc).alias("_key_d"), F.col("tkey").alias("_key_t"))
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_key_d")) & (F.xxhash64(docs["text"]) == F.col("_key_t")), how)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

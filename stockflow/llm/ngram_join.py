@@ -38,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stockflow.llm import counters, textkit as tk
-from stockflow.llm.frames import components, stored
+from stockflow.llm.frames import BROADCAST_ROWS, by_key, components, stored
 
 SKETCH = 1 << 21
 WORDS = 1 << 18
 SLOTS = 1 << 23              # one byte each: which hashed n-grams are in two classes or more
 PARTS = 32
-BROADCAST_ROWS = 200_000     # ids of at most ~60 bytes: 12 MB; larger sides are joined by shuffle
 PARTNERS_PER_TASK = 2_000
 LEADERS = 16                 # leaders per n-gram grow by this factor from star round to star round
 
@@ -195,8 +194,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Component of every row by n-gram Jaccard links of at least num/den.
 
-    Returns doc_id, tkey (128-bit key of the text), n_shingles, class (digest of the set, null without
-    words) and component_id (least doc_id of the component, itself included), one row per input row.
+    Returns doc_id, tkey (64-bit key of the text), n_shingles, class (digest of the set, null without
+    words), component (its root class) and component_id (least doc_id of the component, itself included), one
+    row per input row.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -304,24 +304,24 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     label = classes.join(roots, classes["class"] == roots["node"], "left").select(
         classes["class"], "rep", F.coalesce("root", classes["class"]).alias("comp"))
     least = label.groupBy("comp").agg(F.min("rep.doc_id").alias("component_id"))
-    label = label.join(least, "comp").select(F.col("class").alias("c"), "component_id")
+    label = label.join(least, "comp").select(F.col("class").alias("c"), F.col("comp").alias("component"), "component_id")
     return (feats.join(label, feats["class"] == F.col("c"), "left")
-            .select("doc_id", "tkey", F.col("size").alias("n_shingles"), "class",
+            .select("doc_id", "tkey", F.col("size").alias("n_shingles"), "class", "component",
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def ngram_dedupe(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of docs with one document kept per component: the row with the least doc_id (then text key).
+    """Rows of docs with one document kept per component: the one with the least doc_id (null last, then text key).
 
-    Documents without words are their own groups. Rows with a null doc_id are kept only when their
-    component has no row with an id. Repeated rows (equal id and text) count as one document and stay as one.
+    Documents without words are their own groups. Repeated rows (equal id and text) are one document: one stays.
     """
-    comp = ngram_components(docs, n, num, den)
-    group = comp.withColumn("g", F.coalesce(F.col("component_id"), F.lit(None)))
-    best = (group.groupBy("g", F.col("class").isNull().alias("bare"), F.when(F.col("class").isNull(), F.col("doc_id")).alias("own"))
-            .agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tkey"))).alias("m"), F.min("tkey").alias("t")))
-    keep = best.select(F.col("m.doc_id").alias("keep_id"), F.coalesce("m.tkey", "t").alias("keep_t")).distinct()
-    cols = docs.columns
-    key = F.xxhash64(docs["text"])
-    return (docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]) & (key == keep["keep_t"]))
-            .dropDuplicates(["doc_id", "keep_t"]).select(*[docs[c] for c in cols]))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey")
+    rows = stored(ngram_components(docs, n, num, den).groupBy("component", "doc_id", "tkey").agg(F.count("*").alias("copies")))
+    best = rows.where("component is not null").groupBy("component").agg(F.min(order).alias("best"))
+    out = rows.join(best, "component", "left").where(F.col("best").isNotNull() & (order != F.col("best")))
+    out = stored(out.select("doc_id", "tkey"))
+    left = by_key(docs, out, "left_anti")
+    several = rows.where("copies > 1").select("doc_id", "tkey")
+    once, again = by_key(left, several, "left_anti"), by_key(left, several, "left_semi")
+    again = again.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    return once.unionByName(again)

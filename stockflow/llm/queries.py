@@ -110,3 +110,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.repeats import repeat_digest
 
     return repeat_digest(table(spark, sf_dir, "documents"))
+
+
+def _license_oracle() -> str:
+    from stockflow.llm.licenses import oracle_sql
+
+    return oracle_sql()
+
+
+@query("op2_license_scans", oracle=_license_oracle())
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences and notices in all documents."""
+    from stockflow.llm.licenses import known_licenses, scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))

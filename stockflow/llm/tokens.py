@@ -15,19 +15,20 @@ in stretches of about ``STRETCH`` characters, cut at such spaces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 1_000_000
 LONG = 48
 STRETCH = 1 << 19
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"          # letters that stay single letters under NFC and lower-casing
 _S = r"""!"#$%&'()*+,\-./:;=>?@\[\]\\^_`{|}~"""    # ASCII signs without <, which may open a special token
 _PLAIN = re.compile(f"[{_L}{_S}0-9 \n\t\r]*")
 #: fixed patterns: the pre-token rules of the two tokenizer files on the plain characters
-_WORD_RULE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[{_S}]+")
-_BYTE_RULE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[{_S}]+|\s+(?!\S)|\s+")
+_WORD_RULE = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[{_S}]+")
+_BYTE_RULE = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[{_S}]+|\s+(?!\S)|\s+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -47,7 +48,7 @@ class _Cache(dict):
         self.compute = compute
 
     def __missing__(self, text: str) -> bytes:
-        ids = np.array(self.compute(text), dtype="<u4").tobytes()
+        ids = array("I", self.compute(text)).tobytes()
         if len(self) >= CACHE:
             self.clear()
         if len(text) <= LONG:
