@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from stockflow.llm import textkit as tk
 from stockflow.llm.tokens import encoder, tokenizer_path
 
 TIERS = (2048, 1024, 512, 256)
 FLUSH = 1 << 20
+SLICE = 1 << 22       # bytes of text tokenised together
 
 
 class Packer:
@@ -118,9 +120,11 @@ def _pack(path: str, keep_space: bool, end_id: int, tiers: tuple[int, ...], step
         end = np.array([end_id], dtype="<u4")
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = np.concatenate([enc.ids_of(text.as_py() or ""), end])
-                packer.add((doc.as_py(), len(ids)), ids)
+            for some, data, off in tk.batch_slices(batch, "text", SLICE):
+                flat, at = enc.batch(data, off)
+                for doc, a, b in zip(some.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    ids = np.concatenate([flat[a:b], end])
+                    packer.add((doc, len(ids)), ids)
                 if len(packer.out) >= 20_000:
                     yield rows(packer)
         packer.finish()

@@ -34,7 +34,8 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 19
 STRETCH = 1 << 19     # ids encoded or decoded at once: a multiple of BLOCK
 SEGMENT_COLUMNS = "part int, segment int, before long, n_ids long, payload binary"
-LIMIT = 20            # bits of the longest code; 24 is the most that the readers' 32-bit window allows
+SLICE = 1 << 22       # bytes of text tokenised together
+LIMIT = 18            # bits of the longest code; 24 is the most that the readers' 32-bit window allows
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -82,11 +83,11 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """(id << 8 | length) for every window of the longest code's bits."""
     width = int(lengths.max(initial=1))
-    table = np.zeros(1 << width, dtype=np.uint64)
+    table = np.zeros(1 << width, dtype=np.uint32)
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
     span = np.uint64(1) << (np.uint64(width) - lengths[used].astype(np.uint64))
-    entries = np.repeat(used.astype(np.uint64) << np.uint64(8) | lengths[used], span.astype(np.int64))
+    entries = np.repeat((used << 8 | lengths[used]).astype(np.uint32), span.astype(np.int64))
     table[: len(entries)] = entries
     return table, width
 
@@ -94,8 +95,8 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 def encode_stream(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bit stream (big-endian bits) and the bit offset of every block, a stretch of whole blocks at a time."""
     parts, marks, base = [], [np.zeros(0, np.uint64)], 0
-    for a in range(0, len(ids), STRETCH):
-        part, mark = _encode_stretch(ids[a: a + STRETCH], codes, lengths)
+    for a in range(0, len(ids), STRETCH // 8):
+        part, mark = _encode_stretch(ids[a: a + STRETCH // 8], codes, lengths)
         marks.append(mark + np.uint64(8 * base))
         parts.append(part)
         base += len(part)
@@ -131,7 +132,7 @@ def _decode_stretch(stream: bytes, marks: np.ndarray, n: int, table: np.ndarray,
     """The blocks step forward together from their checkpoints."""
     b = np.frombuffer(stream, dtype=np.uint8).astype(np.uint32)
     window = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
-    out = np.zeros((len(marks), BLOCK), dtype="<u4")
+    out = np.zeros((BLOCK, len(marks)), dtype="<u4")
     at = marks.copy()
     last = n - (len(marks) - 1) * BLOCK
     mask = (1 << width) - 1
@@ -141,9 +142,9 @@ def _decode_stretch(stream: bytes, marks: np.ndarray, n: int, table: np.ndarray,
         if not len(at):
             break
         e = table[(window[at >> 3] >> (32 - width - (at & 7))) & mask]
-        out[: len(at), i] = e >> np.uint64(8)
-        at += (e & np.uint64(255)).astype(np.int64)
-    return out.reshape(-1)[:n]
+        out[i, : len(at)] = e >> 8
+        at += e & 255
+    return out.T.reshape(-1)[:n]
 
 
 def pack_segment(docs: np.ndarray, has_id: np.ndarray, sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -173,8 +174,11 @@ def _tokenise(path: str, keep_space: bool, end_id: int, kind: str):
         enc = encoder(path, keep_space)
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
-            ids = [enc.ids_of(t.as_py() or "").astype(kind).tobytes() + end for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for some, data, off in tk.batch_slices(batch, "text", SLICE):
+                flat, at = enc.batch(data, off)
+                flat = flat.astype(kind)
+                ids = [flat[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     return run
 
 
