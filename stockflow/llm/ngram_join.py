@@ -205,7 +205,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     feats = stored(keyed.mapInArrow(
         _features(n, num, den, rarity),
         f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tkey long, size long, class binary, prefix array<long>, parts array<int>"))
-    classes = stored(feats.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "tkey")).alias("rep")))
+    classes = stored(feats.where("class is not null").groupBy("class").agg(
+        F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least")))
     one = feats.join(classes, (feats["class"] == classes["class"]) & feats["doc_id"].eqNullSafe(classes["rep.doc_id"])
                      & (feats["tkey"] == classes["rep.tkey"]), "left_semi")
     # n-grams that may join two classes; only their postings (and a few that share a slot) move again.
@@ -302,8 +303,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     roots = stored(components(links))
     label = classes.join(roots, classes["class"] == roots["node"], "left").select(
-        classes["class"], "rep", F.coalesce("root", classes["class"]).alias("comp"))
-    least = label.groupBy("comp").agg(F.min("rep.doc_id").alias("component_id"))
+        classes["class"], "least", F.coalesce("root", classes["class"]).alias("comp"))
+    least = label.groupBy("comp").agg(F.min("least").alias("component_id"))
     label = label.join(least, "comp").select(F.col("class").alias("c"), F.col("comp").alias("component"), "component_id")
     return (feats.join(label, feats["class"] == F.col("c"), "left")
             .select("doc_id", "tkey", F.col("size").alias("n_shingles"), "class", "component",
