@@ -43,29 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: later jobs don't recompute it."""
+def stored(df: DataFrame, waves: int = 4, **options: str) -> DataFrame:
+    """Write a frame once to the shared folder and read it back: later jobs don't recompute it.
+
+    At most ``waves`` files per core of the cluster are written, so intermediate steps don't leave
+    thousands of tiny files; frames of links and keys take one wave.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.options(**options).parquet(path)
+    df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 1)).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_key(text: str = "text") -> F.Column:
-    """128 bits of a text (null as empty), from two differently seeded 64-bit hashes, as 16 bytes."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return F.unhex(F.substring(F.sha2(t, 256), 1, 32))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links by alternating large-star and small-star steps.
 
     Returns (node, root) for every node that has a link; root is the least node of its component.
     Each step is two shuffles on the links; hubs are pre-aggregated with min() and joined back, so a
-    hub's links are never held together. Every step is cut with checkpoint() into the shared folder.
+    hub's links are never held together. Every step is written to the shared folder, which cuts lineage.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), waves=1)
     seen = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,7 +71,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = small.checkpoint()
+        e = stored(small, waves=1)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

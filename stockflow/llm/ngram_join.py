@@ -233,7 +233,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         need = _needed(F.col("na"), F.col("nb"), num, den)
         first = first.where(F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need)
         ids = first.select(F.col("a").alias("class")).union(first.select(F.col("b").alias("class"))).distinct()
-        sig = stored(parts.join(ids, "class").dropDuplicates(["class"]).select("class", "parts"))
+        sig = stored(parts.join(ids, "class").dropDuplicates(["class"]).select("class", "parts"), waves=1)
         gap = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         return (first.join(sig.select(F.col("class").alias("a"), F.col("parts").alias("qa")), "a")
                 .join(sig.select(F.col("class").alias("b"), F.col("parts").alias("qb")), "b")
@@ -242,7 +242,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a: leader), each verified once on whole texts."""
         ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        need = stored(ids.join(classes, "class"))
+        need = stored(ids.join(classes, "class"), waves=1)
         small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         side = F.broadcast(need) if small else need
         found = (keyed.join(side, keyed["doc_id"].eqNullSafe(side["rep.doc_id"]) & (keyed["tkey"] == side["rep.tkey"]))
@@ -296,12 +296,12 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         pairs = filtered(pairs)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        new = stored(verified(pairs))
+        pairs = stored(pairs, waves=1)
+        new = stored(verified(pairs), waves=1)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
 
-    roots = stored(components(links))
+    roots = stored(components(links), waves=1)
     label = classes.join(roots, classes["class"] == roots["node"], "left").select(
         classes["class"], "least", F.coalesce("root", classes["class"]).alias("comp"))
     least = label.groupBy("comp").agg(F.min("least").alias("component_id"))
