@@ -46,10 +46,11 @@ def part_command_reasons(cmds: DataFrame, parts: DataFrame) -> DataFrame:
                      F.lit("price_required"))
                .when((c == "price") & ((F.col("new_cost") < 0) | (F.col("new_price") < 0)),
                      F.lit("negative_amount"))
+               .when((c == "defaults") & (F.col("new_min").isNull() | F.col("new_max").isNull()), F.lit("levels_required"))
                .when((c == "defaults") & (F.col("new_min") < 0), F.lit("negative_minimum"))
                .when((c == "defaults") & (F.col("new_max") < F.col("new_min")), F.lit("maximum_below_minimum"))
                .when((c == "supplier") & (F.col("new_lead_time") < 0), F.lit("negative_lead_time"))
-               .when(~c.isin("price", "defaults", "supplier", "discontinue", "reactivate"),
+               .when(~F.coalesce(c.isin("price", "defaults", "supplier", "discontinue", "reactivate"), F.lit(False)),
                      F.lit("unknown_command")))
     return (j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
              .drop("_known"))
@@ -123,12 +124,17 @@ def price_changes(cmds: DataFrame, parts: DataFrame, seq_chunk: int = 1_000_000)
                          F.coalesce("_pp", F.col("_prev.new_price"), "_p0").alias("old_price"), "new_price"))
 
 
-def price_alerts(changes: DataFrame, pct: float = 0.10) -> DataFrame:
+def price_moved(pct: str = "0.10") -> Column:
+    """Cost moved by more than ``pct`` of the old cost, compared in decimals (an exact 10 % move is no alert)."""
+    old, new = F.col("old_cost"), F.col("new_cost")
+    return F.when(old == 0, new != 0).otherwise(F.abs(new - old) > F.abs(old) * F.lit(pct).cast("decimal(9,6)"))
+
+
+def price_alerts(changes: DataFrame, pct: str = "0.10") -> DataFrame:
     """Cost moved by more than ``pct``. An old cost of 0 gives no ratio; any new non-zero cost alerts."""
     old, new = F.col("old_cost"), F.col("new_cost")
     ratio = F.when(old != 0, F.abs(new - old).cast("double") / old.cast("double"))
-    return (changes.withColumn("cost_change_ratio", ratio)
-                   .where(F.when(old == 0, new != 0).otherwise(ratio > F.lit(pct))))
+    return changes.withColumn("cost_change_ratio", ratio).where(price_moved(pct))
 
 
 # -- W12 / W13 status transitions ------------------------------------------------------------
@@ -297,10 +303,11 @@ def _assign_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
         elif st == ON_LEAVE or jobs >= maxj[i]:
             reason[i] = "technician_at_capacity"
         else:
+            # the capacity mark counts the accepted order on top, whether or not it takes a new slot
+            if st == AVAILABLE and jobs + 1 >= maxj[i]:
+                st = BUSY
             if not same[i]:
                 jobs += 1
-            if st == AVAILABLE and jobs + 1 > maxj[i]:
-                st = BUSY
         ja[i] = jobs
         sa[i] = np.nan if st is None else st
     carry.update(key=cur, jobs=jobs, st=st)
@@ -315,7 +322,8 @@ def _assign_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
 def apply_assignments(requests: DataFrame, wo: DataFrame, tech: DataFrame) -> DataFrame:
     """Assignment requests per technician in (requested_at, order) order.
 
-    Capacity at batch start is the technician's open-order count (A4); slots
+    Capacity at batch start is the technician's open-order count (A4); an order
+    that is closed, or already with the technician, takes no new slot; slots
     freed inside the batch count from the next batch. An order requested
     more than once keeps its first request (the rest are rejected). Accepting
     marks the technician Busy when it was Available and one more job would
@@ -340,7 +348,7 @@ def apply_assignments(requests: DataFrame, wo: DataFrame, tech: DataFrame) -> Da
                   F.col("status").alias("_wo_status"))
     j = (r.join(t, "technician_id", "left").join(jobs, "technician_id", "left").join(w, "work_order_id", "left")
           .withColumn("_already_here", F.coalesce((F.col("_cur_tech") == F.col("technician_id"))
-                                                  & ~F.col("_wo_status").isin(COMPLETED, CANCELLED), F.lit(False))))
+                                                  | F.col("_wo_status").isin(COMPLETED, CANCELLED), F.lit(False))))
     folded = sorted_fold(j, ["technician_id"], ["requested_at", "work_order_id"], _assign_kernel, ASSIGN_SCHEMA)
     back = wo.select("work_order_id", F.col("status").alias("_s0"), F.col("technician_id").alias("previous_technician_id"))
     return (folded.join(back, "work_order_id", "left")
@@ -376,7 +384,7 @@ def apply_technician_commands(tech: DataFrame, cmds: DataFrame) -> DataFrame:
     reason = (F.when(F.col("_k").isNull(), F.lit("technician_not_found"))
                .when((c == "status") & F.coalesce(~F.col("new_status").between(0, 4), F.lit(True)),
                      F.lit("invalid_status"))
-               .when(~c.isin("status", "deactivate"), F.lit("unknown_command")))
+               .when(~F.coalesce(c.isin("status", "deactivate"), F.lit(False)), F.lit("unknown_command")))
     judged = j.withColumn("reason", reason).drop("_k")
     acc = judged.where(F.col("reason").isNull())
     seq = F.struct("seq")
@@ -407,7 +415,7 @@ def apply_customer_commands(cust: DataFrame, cmds: DataFrame) -> DataFrame:
                .when((c == "contact") & (F.col("new_email").isNull() | (F.trim("new_email") == "")),
                      F.lit("email_required"))
                .when((c == "address") & parse_address("new_address").error.isNotNull(), F.lit("invalid_address"))
-               .when(~c.isin("contact", "address", "preferences", "deactivate", "reactivate"),
+               .when(~F.coalesce(c.isin("contact", "address", "preferences", "deactivate", "reactivate"), F.lit(False)),
                      F.lit("unknown_command")))
     judged = j.withColumn("reason", reason).drop("_k")
     acc = judged.where(F.col("reason").isNull())
@@ -495,7 +503,8 @@ def apply_wo_commands(wo: DataFrame, cmds: DataFrame, transitions: DataFrame) ->
                .when((c == "estimate") & (F.col("hours") < 0), F.lit("negative_hours"))
                .when(c.isin("estimate", "actuals") & (F.col("cost") < 0), F.lit("negative_amount"))
                .when((c == "actuals") & (F.col("status_at") != COMPLETED), F.lit("not_completed"))
-               .when(~c.isin("schedule", "estimate", "actuals", "add_part"), F.lit("unknown_command")))
+               .when(~F.coalesce(c.isin("schedule", "estimate", "actuals", "add_part"), F.lit(False)),
+                     F.lit("unknown_command")))
     judged = judged.withColumn("reason", reason)
     ok = F.col("reason").isNull()
     seq = F.struct("ts", "seq")

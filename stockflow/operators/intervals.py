@@ -4,8 +4,11 @@ Each period is exploded into the fixed-width time buckets it touches
 (``bucket_days``, default 1 day); candidates meet by an equi-join on
 (key, bucket) and are then tested exactly. A pair found in several shared
 buckets is kept only in the bucket holding the start of its overlap, so each
-pair is emitted once. Open-ended periods are clipped to the ``as_of`` horizon
-before exploding.
+pair is emitted once. Periods without an end (NULL, or the sentinel 9999-12-31)
+never end: their tests use no end at all. They and bounded periods of more than
+``long_days`` days would touch too many buckets, so they meet the others on the
+technician alone (J10) or on wide buckets that reach the last probe (J11). An
+open end never lies within a bounded window (J12).
 """
 
 from __future__ import annotations
@@ -26,17 +29,42 @@ def _buckets(start: Column, end: Column, bucket_days: int) -> Column:
     return F.explode(F.sequence(_bucket(start, bucket_days), _bucket(end, bucket_days)))
 
 
-def scheduled(wo: DataFrame, as_of: str) -> DataFrame:
-    """Orders with a scheduled period; an open end is clipped to ``as_of``."""
-    end = F.coalesce(F.col("scheduled_end"), F.lit(as_of).cast("timestamp_ntz"))
+OPEN_END = "9999-12-31"
+LONG_DAYS = 366
+
+
+def scheduled(wo: DataFrame) -> DataFrame:
+    """Orders with a scheduled period; ``p_end`` is NULL for a period that never ends."""
+    end = F.when(F.col("scheduled_end") < F.lit(OPEN_END).cast("timestamp_ntz"), F.col("scheduled_end"))
     return (wo.where(F.col("scheduled_start").isNotNull())
               .select("work_order_id", "technician_id", "status", F.col("scheduled_start").alias("p_start"),
                       end.alias("p_end")))
 
 
-def schedule_conflicts(wo: DataFrame, as_of: str, bucket_days: int = 1) -> DataFrame:
-    """Pairs of open orders of one technician whose scheduled periods overlap (closed ends)."""
-    p = scheduled(wo, as_of).where(is_open() & F.col("technician_id").isNotNull())
+def _is_long(long_days: int) -> Column:
+    return F.col("p_end").isNull() | (F.datediff("p_end", "p_start") > long_days)
+
+
+def schedule_conflicts(wo: DataFrame, bucket_days: int = 1, long_days: int = LONG_DAYS) -> DataFrame:
+    """Pairs of open orders of one technician whose scheduled periods overlap (closed ends).
+
+    ``overlap_end`` is NULL when neither period ends. Short periods meet per (technician, day); a pair
+    with a long or open period meets on the technician.
+    """
+    every = scheduled(wo).where(is_open() & F.col("technician_id").isNotNull())
+    flagged = every.withColumn("_long", _is_long(long_days))
+    x = flagged.where("_long").alias("x")
+    y = flagged.alias("y")
+    far = F.lit(OPEN_END).cast("timestamp_ntz")
+    met = x.join(y, (F.col("x.technician_id") == F.col("y.technician_id")) & (F.col("x.work_order_id") != F.col("y.work_order_id"))
+                 & (~F.col("y._long") | (F.col("x.work_order_id") < F.col("y.work_order_id")))
+                 & (F.col("x.p_start") <= F.coalesce("y.p_end", far)) & (F.col("y.p_start") <= F.coalesce("x.p_end", far)))
+    with_long = met.select(F.col("x.technician_id").alias("technician_id"),
+                           F.least("x.work_order_id", "y.work_order_id").alias("work_order_id_a"),
+                           F.greatest("x.work_order_id", "y.work_order_id").alias("work_order_id_b"),
+                           F.greatest("x.p_start", "y.p_start").alias("overlap_start"),
+                           F.least("x.p_end", "y.p_end").alias("overlap_end"))
+    p = flagged.where(~F.col("_long")).drop("_long")
     b = p.select("*", _buckets(F.col("p_start"), F.col("p_end"), bucket_days).alias("bucket"))
     a = b.select(*[F.col(c).alias(f"a_{c}") for c in b.columns])
     c = b.select(*[F.col(x).alias(f"b_{x}") for x in b.columns])
@@ -44,33 +72,46 @@ def schedule_conflicts(wo: DataFrame, as_of: str, bucket_days: int = 1) -> DataF
                & (F.col("a_work_order_id") < F.col("b_work_order_id")))
     ov_start = F.greatest("a_p_start", "b_p_start")
     ov_end = F.least("a_p_end", "b_p_end")
-    return (j.where((F.col("a_p_start") <= F.col("b_p_end")) & (F.col("a_p_end") >= F.col("b_p_start"))
-                    & (F.col("a_bucket") == _bucket(ov_start, bucket_days)))
+    return with_long.unionByName(
+        j.where((F.col("a_p_start") <= F.col("b_p_end")) & (F.col("a_p_end") >= F.col("b_p_start"))
+                & (F.col("a_bucket") == _bucket(ov_start, bucket_days)))
              .select(F.col("a_technician_id").alias("technician_id"),
                      F.col("a_work_order_id").alias("work_order_id_a"),
                      F.col("b_work_order_id").alias("work_order_id_b"),
                      ov_start.alias("overlap_start"), ov_end.alias("overlap_end")))
 
 
-def periods_containing(wo: DataFrame, probes: DataFrame, as_of: str, bucket_days: int = 1) -> DataFrame:
-    """For each probe time (``probe_id, probe_ts``), the orders whose period contains it."""
-    p = scheduled(wo, as_of)
-    pb = p.select("work_order_id", "p_start", "p_end", _buckets(F.col("p_start"), F.col("p_end"), bucket_days)
-                  .alias("bucket"))
-    q = probes.select("probe_id", "probe_ts", _bucket(F.col("probe_ts"), bucket_days).alias("bucket"))
-    return (q.join(pb, "bucket")
-             .where((F.col("p_start") <= F.col("probe_ts")) & (F.col("probe_ts") <= F.col("p_end")))
-             .select("probe_id", "probe_ts", "work_order_id"))
+def periods_containing(wo: DataFrame, probes: DataFrame, bucket_days: int = 1, long_days: int = LONG_DAYS) -> DataFrame:
+    """For each probe time (``probe_id, probe_ts``), the orders whose period contains it.
+
+    Short periods use ``bucket_days`` buckets, long and open ones ``long_days`` buckets up to the last probe.
+    """
+    p = scheduled(wo).withColumn("_long", _is_long(long_days))
+    last = probes.agg(F.max("probe_ts").alias("t")).first().t    # one value
+
+    def hits(periods: DataFrame, end: Column, days: int) -> DataFrame:
+        pb = periods.where(F.col("p_start") <= end).select(
+            "work_order_id", "p_start", "p_end", _buckets(F.col("p_start"), end, days).alias("bucket"))
+        q = probes.select("probe_id", "probe_ts", _bucket(F.col("probe_ts"), days).alias("bucket"))
+        return (q.join(pb, "bucket")
+                 .where((F.col("p_start") <= F.col("probe_ts")) & (F.col("p_end").isNull() | (F.col("probe_ts") <= F.col("p_end"))))
+                 .select("probe_id", "probe_ts", "work_order_id"))
+
+    short = hits(p.where(~F.col("_long")), F.col("p_end"), bucket_days)
+    if last is None:
+        return short
+    reach = F.least(F.col("p_end"), F.lit(str(last)).cast("timestamp_ntz"))      # least() skips the NULL end of an open period
+    return short.unionByName(hits(p.where("_long"), reach, long_days))
 
 
-def periods_within(wo: DataFrame, windows: DataFrame, as_of: str, bucket_days: int = 1) -> DataFrame:
+def periods_within(wo: DataFrame, windows: DataFrame, bucket_days: int = 1) -> DataFrame:
     """Orders whose period lies inside a window (``window_id, window_start, window_end``).
 
     Only the order's start bucket is used: a contained period starts inside
     the window, so windows are exploded and orders are not.
     """
-    p = scheduled(wo, as_of).select("work_order_id", "p_start", "p_end",
-                                    _bucket(F.col("p_start"), bucket_days).alias("bucket"))
+    p = scheduled(wo).where(F.col("p_end").isNotNull()).select(
+        "work_order_id", "p_start", "p_end", _bucket(F.col("p_start"), bucket_days).alias("bucket"))
     w = windows.select("window_id", "window_start", "window_end",
                        _buckets(F.col("window_start"), F.col("window_end"), bucket_days).alias("bucket"))
     return (w.join(p, "bucket")

@@ -15,10 +15,12 @@ JUDGED_SQL = """
          CASE WHEN p.part_id IS NULL THEN 'part_not_found'
               WHEN c.command = 'price' AND (c.new_cost IS NULL OR c.new_price IS NULL) THEN 'price_required'
               WHEN c.command = 'price' AND (c.new_cost < 0 OR c.new_price < 0) THEN 'negative_amount'
+              WHEN c.command = 'defaults' AND (c.new_min IS NULL OR c.new_max IS NULL) THEN 'levels_required'
               WHEN c.command = 'defaults' AND c.new_min < 0 THEN 'negative_minimum'
               WHEN c.command = 'defaults' AND c.new_max < c.new_min THEN 'maximum_below_minimum'
               WHEN c.command = 'supplier' AND c.new_lead_time < 0 THEN 'negative_lead_time'
-              WHEN c.command NOT IN ('price', 'defaults', 'supplier', 'discontinue', 'reactivate') THEN 'unknown_command'
+              WHEN c.command IS NULL OR c.command NOT IN ('price', 'defaults', 'supplier', 'discontinue', 'reactivate')
+                THEN 'unknown_command'
          END AS reason
   FROM part_commands c LEFT JOIN parts p ON p.part_id = c.part_id)
 """
@@ -80,11 +82,11 @@ SELECT *, CASE WHEN old_cost <> 0 THEN cast(abs(new_cost - old_cost) AS double)
             AS cost_change_ratio
 FROM changes
 WHERE CASE WHEN old_cost = 0 THEN new_cost <> 0
-           ELSE cast(abs(new_cost - old_cost) AS double) / cast(old_cost AS double) > 0.1 END
+           ELSE abs(new_cost - old_cost) > abs(old_cost) * CAST(0.10 AS DECIMAL(9,6)) END
 """)
 def q_price_change_alerts(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return C.price_alerts(C.price_changes(d.part_commands, d.parts), 0.10)
+    return C.price_alerts(C.price_changes(d.part_commands, d.parts), "0.10")
 
 
 VALID_MOVE_SQL = ("(r.new_status = 5 OR (w.st = 0 AND r.new_status = 1) OR (w.st = 1 AND r.new_status = 2) "
@@ -167,7 +169,7 @@ j AS (
          w.work_order_id IS NOT NULL AS wo_known, t.technician_id IS NOT NULL AS tech_known,
          coalesce(t.is_active, false) AS tech_active, t.status AS tstatus, coalesce(t.max_concurrent_jobs, 0) AS tmax,
          coalesce(jb.n, 0) AS jobs0,
-         coalesce(w.technician_id = r.technician_id AND w.status NOT IN (4, 5), false) AS here,
+         coalesce(w.technician_id = r.technician_id OR w.status IN (4, 5), false) AS here,
          row_number() OVER (PARTITION BY r.technician_id ORDER BY r.requested_at, r.work_order_id) AS rn
   FROM assignment_requests r LEFT JOIN firsts f ON f.work_order_id = r.work_order_id
   LEFT JOIN work_orders w ON w.work_order_id = r.work_order_id
@@ -179,7 +181,7 @@ walk AS (
   FROM (SELECT DISTINCT technician_id, jobs0, tstatus FROM j) k
   UNION ALL
   SELECT technician_id, rn, nj,
-         CASE WHEN reason IS NULL AND st = 0 AND nj + 1 > tmax THEN 1 ELSE st END, jb, reason
+         CASE WHEN reason IS NULL AND st = 0 AND jb + 1 >= tmax THEN 1 ELSE st END, jb, reason
   FROM (SELECT *, CASE WHEN reason IS NULL AND NOT here THEN jb + 1 ELSE jb END AS nj
         FROM (SELECT q.technician_id, q.rn, q.here, q.tmax, w.st, w.jobs AS jb,
                      CASE WHEN q.dup THEN 'duplicate_request'
@@ -208,7 +210,21 @@ def q_assignment_queue(spark, sf_dir):
     return _assignments(spark, sf_dir)
 
 
-@register("reassignment_log", ASSIGN_SQL + """
+# requests that move open orders to the next technician, with room for all, so that the log has rows
+MOVES_CTE = """
+, moves AS (SELECT work_order_id, technician_id + 1 AS technician_id, created_at + INTERVAL 1 DAY AS requested_at
+            FROM work_orders WHERE technician_id IS NOT NULL AND status NOT IN (4, 5) AND work_order_id % 5 = 1)
+"""
+
+
+def _moves(d):
+    return (d.work_orders.where("technician_id IS NOT NULL AND status NOT IN (4, 5) AND work_order_id % 5 = 1")
+            .select("work_order_id", (F.col("technician_id") + 1).alias("technician_id"),
+                    (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("requested_at")))
+
+
+@register("reassignment_log", MOVES_CTE + ASSIGN_SQL.replace("assignment_requests", "moves").replace(
+    "technicians t ", "(SELECT * REPLACE (CAST(100000 AS INT) AS max_concurrent_jobs) FROM technicians) t ") + """
 SELECT work_order_id, previous_technician_id, technician_id AS new_technician_id, requested_at,
        concat('[', strftime(requested_at, '%Y-%m-%d %H:%M'), '] Reassigned from technician ',
               cast(previous_technician_id AS varchar), ' to ', cast(technician_id AS varchar),
@@ -217,7 +233,9 @@ FROM assigned
 WHERE accepted AND previous_technician_id IS NOT NULL AND previous_technician_id <> technician_id
 """, recursive=True)
 def q_reassignment_log(spark, sf_dir):
-    return C.reassignments(_assignments(spark, sf_dir))
+    d = domain(spark, sf_dir)
+    tech = d.technicians.withColumn("max_concurrent_jobs", F.lit(100000))       # room for every move
+    return C.reassignments(C.apply_assignments(_moves(d), d.work_orders, tech))
 
 
 # -- W16 -------------------------------------------------------------------------------------------

@@ -1,18 +1,18 @@
 """Registered streaming jobs.
 
 Each job stores its input as Parquet files in a fresh folder under the
-shared checkpoint dir, reads them as a stream (one file per micro-batch so
-state really carries across batches), drains it with ``availableNow`` and
-returns what the sink holds. Inputs that must arrive in time order are
-written as consecutive time slices, one write per slice.
+shared checkpoint dir, reads them as a stream, drains it with ``availableNow``
+and returns what the sink holds. Inputs that must arrive in time order are
+delivered as consecutive time slices; the stream restarts from its checkpoint
+after each, so state really carries across batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.functions.scalars import ntz_micros
+from stockflow.functions.enums import enum_case_sql
 from stockflow.operators import commands as C
 from stockflow.operators import ledger as L
 from stockflow.plans.q_changes import _event_files
@@ -22,36 +22,14 @@ from stockflow.plans.registry import register
 from stockflow.sources import sinks
 from stockflow.sources.domain import domain
 from stockflow.streaming import jobs as T
-from stockflow.streaming.runner import drain_foreach_batch, drain_to_parquet
+from stockflow.streaming.runner import drain_foreach_batch, drain_slices, drain_to_parquet
 
 EVENTS_CTE = (REPLAY_SQL + ACC_CTE + LOW_CTE + ", ev AS (" + ACC_SELECT + " UNION ALL "
               + LOW_STOCK_EVENTS_SELECT + ")\n")
 
 
-def write_time_slices(spark: SparkSession, df: DataFrame, ts_col: str, name: str, slices: int = 4) -> str:
-    """Write ``df`` as ``slices`` consecutive time ranges, one write job per range (in order)."""
-    path = sinks.fresh_dir(spark, name)
-    # compute the input once; the slices are then cheap reads of the staged files
-    stage = sinks.fresh_dir(spark, f"{name}-stage")
-    df.write.parquet(stage)
-    df = spark.read.parquet(stage)
-    secs = ntz_micros(ts_col)
-    bounds = df.select(secs.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.0)
-    edges = [None, *sorted(set(bounds)), None]
-    for i in range(len(edges) - 1):
-        lo, hi = edges[i], edges[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (secs >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (secs < F.lit(hi))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _stream_of(spark, path, max_files=1):
-    schema = spark.read.parquet(path).schema
-    return sinks.read_events(spark, path, schema, max_files=max_files)
+def _stream_of(spark, path):
+    return sinks.read_events(spark, path, spark.read.parquet(path).schema)
 
 
 # -- T1 --------------------------------------------------------------------------------------
@@ -69,11 +47,12 @@ def q_event_dispatch(spark, sf_dir):
     reorder_path, alert_path = sinks.fresh_dir(spark, "reorders"), sinks.fresh_dir(spark, "alerts")
     log_path = sinks.fresh_dir(spark, "dispatch-log")
 
-    def reorder(batch, _bid):
-        L.reorder_suggestions(batch).write.mode("append").parquet(reorder_path)
+    # handlers replace their batch's folder: a retried batch writes once
+    def reorder(batch, bid):
+        L.reorder_suggestions(batch).write.mode("overwrite").parquet(f"{reorder_path}/batch_id={bid}")
 
-    def purchasing_alert(batch, _bid):
-        T.low_stock_alert_stream(batch, d.parts).write.mode("append").parquet(alert_path)
+    def purchasing_alert(batch, bid):
+        T.low_stock_alert_stream(batch, d.parts).write.mode("overwrite").parquet(f"{alert_path}/batch_id={bid}")
 
     handlers = {"InventoryLowStockDetected": [("reorder_suggestion", reorder), ("purchasing_alert", purchasing_alert)]}
     drain_foreach_batch(spark, events, "dispatch",
@@ -85,11 +64,9 @@ def q_event_dispatch(spark, sf_dir):
 
 @register("event_dedupe", EVENTS_CTE + "SELECT * FROM ev", recursive=True)
 def q_event_dedupe(spark, sf_dir):
-    path = _event_files(spark, sf_dir)
-    # the same events delivered again, as a later file
-    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)
-    stream = _stream_of(spark, path)
-    return drain_to_parquet(spark, T.dedupe(stream, "3650 days"), "dedupe")
+    events = spark.read.parquet(_event_files(spark, sf_dir))
+    # every time slice is delivered twice; ids are remembered for a week of event time
+    return drain_slices(spark, events, "occurred_on", "dedupe", lambda s: T.dedupe(s, "7 days"), deliveries=2)
 
 
 @register("low_stock_alert_stream", EVENTS_CTE + """
@@ -110,47 +87,46 @@ def q_low_stock_alert_stream(spark, sf_dir):
 @register("ledger_stream", REPLAY_SQL + "SELECT * FROM replayed", recursive=True)
 def q_ledger_stream(spark, sf_dir):
     d = domain(spark, sf_dir)
-    path = write_time_slices(spark, L.ledger_commands(d.inventory_transactions), "ts", "ledger-commands")
-    return drain_to_parquet(spark, T.ledger_stream(_stream_of(spark, path)), "ledger-stream")
+    return drain_slices(spark, L.ledger_commands(d.inventory_transactions), "ts", "ledger-stream", T.ledger_stream)
 
 
 @register("status_stream", TRANSITIONS_SQL + "SELECT * FROM transitions", recursive=True)
 def q_status_stream(spark, sf_dir):
     d = domain(spark, sf_dir)
-    path = write_time_slices(spark, d.status_requests, "ts", "status-requests")
-    return drain_to_parquet(spark, T.status_stream(_stream_of(spark, path), d.work_orders), "status-stream")
+    return drain_slices(spark, d.status_requests, "ts", "status-stream", lambda s: T.status_stream(s, d.work_orders))
 
 
 # -- T6 ------------------------------------------------------------------------------------------
 
-@register("notification_stream", TRANSITIONS_SQL + """
+@register("notification_stream", TRANSITIONS_SQL + f"""
 , j AS (SELECT t.event_id, t.work_order_id, w.customer_id, t.ts, t.new_status, c.prefer_email, c.prefer_sms
         FROM transitions t JOIN work_orders w ON w.work_order_id = t.work_order_id
         JOIN customers c ON c.customer_id = w.customer_id WHERE t.accepted),
 r AS (SELECT event_id, work_order_id, customer_id, ts, 'email' AS channel,
-             concat('Work Order ', cast(work_order_id AS varchar), ' Status Update') AS subject
+             concat('Work Order ', cast(work_order_id AS varchar), ' Status Update') AS subject,
+             concat('Your work order status changed to ', {enum_case_sql('new_status', 'status')}) AS message
       FROM j WHERE prefer_email
       UNION ALL
-      SELECT event_id, work_order_id, customer_id, ts, 'sms', CAST(NULL AS varchar) FROM j
+      SELECT event_id, work_order_id, customer_id, ts, 'sms', CAST(NULL AS varchar),
+             concat('Your equipment is ready! Work order #', cast(work_order_id AS varchar), ' completed.') FROM j
       WHERE prefer_sms AND new_status = 4)
 SELECT concat_ws('/', cast(event_id AS varchar), channel) AS notification_id, work_order_id,
-       'StatusChanged' AS notification_type, channel, customer_id AS recipient_customer_id, subject,
+       'StatusChanged' AS notification_type, channel, customer_id AS recipient_customer_id, subject, message,
        ts AS sent_at, true AS success, CAST(NULL AS varchar) AS error_message
 FROM r
 """, recursive=True)
 def q_notification_stream(spark, sf_dir):
     d = domain(spark, sf_dir)
     changes = C.apply_transitions(d.status_requests, d.work_orders).where("accepted")
-    path = write_time_slices(spark, changes, "ts", "status-changes")
     log_path = sinks.fresh_dir(spark, "notification-log")
 
-    def handle(batch, _bid):
+    def handle(batch, bid):
         # dimensions are re-read for every micro-batch
         fresh = domain(spark, sf_dir)
-        T.notification_batch(batch, lambda: fresh.work_orders, lambda: fresh.customers, log_path)
+        T.notification_batch(batch, lambda: fresh.work_orders, lambda: fresh.customers, log_path, bid)
 
-    drain_foreach_batch(spark, _stream_of(spark, path), "notification-stream", handle)
-    return spark.read.schema(sinks.NOTIFICATION_LOG_SCHEMA).parquet(log_path).drop("message")
+    drain_slices(spark, changes, "ts", "status-changes", handler=handle)
+    return sinks.read_notifications(spark, log_path)
 
 
 # -- T7 ------------------------------------------------------------------------------------------
@@ -185,7 +161,7 @@ SELECT event_id, 'price_change' AS alert_type, part_id, old_cost, new_cost,
        CAST(NULL AS BIGINT) AS inventory_id, CAST(NULL AS VARCHAR) AS warehouse, CAST(NULL AS INT) AS quantity_on_hand
 FROM pev WHERE event_type = 'PartPriceUpdated'
   AND CASE WHEN old_cost = 0 THEN new_cost <> 0
-           ELSE cast(abs(new_cost - old_cost) AS double) / cast(old_cost AS double) > 0.1 END
+           ELSE abs(new_cost - old_cost) > abs(old_cost) * CAST(0.10 AS DECIMAL(9,6)) END
 UNION ALL
 SELECT e.event_id, 'discontinued_stock', e.part_id, NULL, NULL, NULL, i.inventory_id, i.warehouse, i.quantity_on_hand
 FROM pev e JOIN inventory i ON i.part_id = e.part_id
@@ -194,5 +170,5 @@ WHERE e.event_type = 'PartDiscontinued' AND i.quantity_on_hand > 0
 def q_price_event_stream(spark, sf_dir):
     d = domain(spark, sf_dir)
     path = sinks.fresh_dir(spark, "part-events")
-    part_events(d).repartition(3).write.parquet(path)
+    part_events(d).write.parquet(path)
     return drain_to_parquet(spark, T.price_event_stream(_stream_of(spark, path), d.inventory), "price-events")

@@ -26,11 +26,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def append_ledger(tx: DataFrame, path: str) -> None:
     """S3: append ledger rows laid out by month and type (the columns the ledger is queried by).
 
-    Rows are clustered by the partition columns first, so each task writes
-    few files per folder.
+    Rows are rebalanced by the partition columns first: small folders share a
+    task, a folder with many rows is split over several (AQE splits what is
+    above the advisory size), so no month waits for one task.
     """
     laid = tx.withColumn("transaction_month", F.date_format("transaction_date", "yyyy-MM"))
-    (laid.repartition("transaction_month", "transaction_type")
+    (laid.hint("rebalance", "transaction_month", "transaction_type")
          .write.mode("append").partitionBy("transaction_month", "transaction_type").parquet(path))
 
 
@@ -64,11 +65,26 @@ def notification_rows(recipients: DataFrame, notification_type: str = "StatusCha
         (F.col("error_message") if "error_message" in cols else F.lit(None).cast("string")).alias("error_message"))
 
 
-def append_notifications(rows: DataFrame, path: str) -> None:
-    """Append notification attempts (outcome and error included)."""
-    rows.select(*[f.name for f in NOTIFICATION_LOG_SCHEMA.fields]).write.mode("append").parquet(path)
+def append_notifications(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Append notification attempts (outcome and error included).
+
+    With ``batch_id`` (streams) the rows replace that batch's folder, so a retried batch adds nothing.
+    """
+    out = rows.select(*[f.name for f in NOTIFICATION_LOG_SCHEMA.fields])
+    if batch_id is None:
+        out.write.mode("append").parquet(path)
+    else:
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_notifications(spark: SparkSession, path: str) -> DataFrame:
+    """The notification log of a folder, without its batch folders' column."""
+    return spark.read.schema(NOTIFICATION_LOG_SCHEMA).parquet(path).select(*NOTIFICATION_LOG_SCHEMA.fieldNames())
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """The stored events of a folder as a stream (fixed schema, bounded files per micro-batch)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_events(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None,
+                max_bytes: int = 1 << 30) -> DataFrame:
+    """The stored events of a folder as a stream (fixed schema, bounded bytes or files per micro-batch)."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(path)

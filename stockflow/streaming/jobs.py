@@ -36,9 +36,14 @@ Handler = Callable[[DataFrame, int], None]
 # -- T1 ----------------------------------------------------------------------------------
 
 def dispatch_batch(batch: DataFrame, batch_id: int, handlers: dict[str, list[tuple[str, Handler]]],
-                   log_path: str) -> None:
-    """Route one micro-batch: every handler of every event type present, each in its own try."""
+                   log_path: str, dead_letters: str | None = None) -> None:
+    """Route one micro-batch: every handler of every event type present, each in its own try.
+
+    The log of a batch replaces that batch's folder, so a retried batch is logged once. With
+    ``dead_letters`` the events a handler failed on are kept there, by batch and handler.
+    """
     spark = batch.sparkSession
+    batch = batch.persist()
     # one small aggregate: the number of event types is bounded by the envelope's type list
     counts = {r["event_type"]: r["n"] for r in batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
@@ -53,11 +58,13 @@ def dispatch_batch(batch: DataFrame, batch_id: int, handlers: dict[str, list[tup
                 fn(part, batch_id)
                 rows.append((batch_id, etype, name, n, "ok", None))
             except Exception as e:  # noqa: BLE001 - a failing handler must not stop the others
-                rows.append((batch_id, etype, name, n, "failed", f"{type(e).__name__}: {str(e)[:200]}"))
+                rows.append((batch_id, etype, name, n, "failed", f"{type(e).__name__}: {e}"))
+                if dead_letters:
+                    part.write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}/handler={name}/type={etype}")
     if rows:
-        (spark.createDataFrame(rows, "batch_id long, event_type string, handler string, events long, "
-                                     "status string, error string")
-              .write.mode("append").parquet(log_path))
+        (spark.createDataFrame([r[1:] for r in rows], "event_type string, handler string, events long, status string, error string")
+              .coalesce(1).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}"))
+    batch.unpersist()
 
 
 def start_dispatch(stream: DataFrame, handlers: dict[str, list[tuple[str, Handler]]], log_path: str,
@@ -137,10 +144,24 @@ def _ledger_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame(out)
 
 
-LEDGER_BUCKET_STATE = "ids array<bigint>, on_hand array<bigint>, reserved array<bigint>"
+#: State keys of T4 / T5. A checkpoint belongs to one number of buckets: it is part of every key, so it is
+#: a constant (or an explicit argument), never a session setting, and it is stored and checked.
+STATE_BUCKETS = 256
+LEDGER_BUCKET_STATE = "buckets int, ids array<bigint>, on_hand array<bigint>, reserved array<bigint>"
+
+
+def _same_buckets(stored: int, now: int) -> None:
+    if stored != now:
+        raise ValueError(f"this checkpoint was made with {stored} state buckets, the stream now uses {now}")
+
+
+def _with_buckets(fn, buckets: int):
+    def run(key, pdfs, state):
+        return fn(buckets, pdfs, state)
+    return run
 
 
-def _ledger_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _ledger_bucket_fn(buckets: int, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """All commands of one location bucket in a micro-batch, replayed with the batch kernel.
 
     State holds (on hand, reserved) for every location of the bucket seen so far;
@@ -150,7 +171,8 @@ def _ledger_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
     pdf = pdf.sort_values(["inventory_id", *L.ORDER], kind="stable").reset_index(drop=True)
     if state.exists:
-        ids, ohs, rss = state.get
+        stored, ids, ohs, rss = state.get
+        _same_buckets(stored, buckets)
         known_oh = pd.Series(list(ohs), index=list(ids), dtype="int64")
         known_rs = pd.Series(list(rss), index=list(ids), dtype="int64")
         seen = pdf["inventory_id"].isin(known_oh.index)
@@ -163,11 +185,11 @@ def _ledger_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     last = out.groupby("inventory_id", sort=False).tail(1).set_index("inventory_id")
     known_oh = last["on_hand_after"].astype("int64").combine_first(known_oh)
     known_rs = last["reserved_after"].astype("int64").combine_first(known_rs)
-    state.update((known_oh.index.tolist(), known_oh.tolist(), known_rs.reindex(known_oh.index).tolist()))
+    state.update((buckets, known_oh.index.tolist(), known_oh.tolist(), known_rs.reindex(known_oh.index).tolist()))
     yield out
 
 
-def ledger_stream(commands: DataFrame, opening: DataFrame | None = None, buckets: int | str | None = "auto") -> DataFrame:
+def ledger_stream(commands: DataFrame, opening: DataFrame | None = None, buckets: int | None = STATE_BUCKETS) -> DataFrame:
     """T4: W2 guards over a command stream; state = (on hand, reserved) per location.
 
     ``opening`` (``inventory_id, on_hand, reserved``) seeds a location the
@@ -177,20 +199,17 @@ def ledger_stream(commands: DataFrame, opening: DataFrame | None = None, buckets
     the state function runs once per bucket and micro-batch (not once per
     location), and replays the bucket's rows with the vectorised batch kernel.
     Each bucket's state holds its locations' (on hand, reserved), so its size is
-    locations / buckets. ``"auto"`` uses 8 buckets per state partition
-    (``spark.sql.shuffle.partitions`` when the stream starts), so the bucket
-    count grows with the cluster and each bucket's state stays small.
-    ``buckets=None`` keeps one state group per location.
+    locations / buckets: choose ``buckets`` for the number of locations when a
+    checkpoint is first made. A restart with another number raises; session
+    settings don't matter. ``buckets=None`` keeps one state group per location.
     """
     cmds = L._with_opening(commands, opening)
-    if buckets == "auto":
-        buckets = 8 * int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not buckets:
         return cmds.groupBy("inventory_id").applyInPandasWithState(
             _ledger_state_fn, L.REPLAY_SCHEMA, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
     b = cmds.withColumn("_bucket", F.pmod(F.xxhash64("inventory_id"), F.lit(buckets)))
     return b.groupBy("_bucket").applyInPandasWithState(
-        _ledger_bucket_fn, L.REPLAY_SCHEMA, LEDGER_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
+        _with_buckets(_ledger_bucket_fn, buckets), L.REPLAY_SCHEMA, LEDGER_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _status_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -205,17 +224,18 @@ def _status_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     yield out
 
 
-STATUS_BUCKET_STATE = "ids array<bigint>, status array<int>"
+STATUS_BUCKET_STATE = "buckets int, ids array<bigint>, status array<int>"
 
 
-def _status_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _status_bucket_fn(buckets: int, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """All status requests of one order bucket in a micro-batch, applied with the batch kernel."""
     frames = list(pdfs)
     pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
     pdf = pdf.sort_values(["work_order_id", "ts", "event_id"], kind="stable").reset_index(drop=True)
     known = pd.Series(dtype="float64")
     if state.exists:
-        ids, sts = state.get
+        stored, ids, sts = state.get
+        _same_buckets(stored, buckets)
         known = pd.Series(list(sts), index=list(ids), dtype="float64")
         seen = pdf["work_order_id"].isin(known.index)
         pdf["opening_status"] = pdf["opening_status"].astype("float64")
@@ -223,46 +243,44 @@ def _status_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     out = C._transition_kernel(pdf, {})
     last = out.groupby("work_order_id", sort=False).tail(1).set_index("work_order_id")["status_after"]
     known = last.dropna().astype("float64").combine_first(known)
-    state.update((known.index.tolist(), [int(v) for v in known.tolist()]))
+    state.update((buckets, known.index.tolist(), [int(v) for v in known.tolist()]))
     yield out
 
 
-def status_stream(requests: DataFrame, wo: DataFrame, buckets: int | str | None = "auto") -> DataFrame:
+def status_stream(requests: DataFrame, wo: DataFrame, buckets: int | None = STATE_BUCKETS) -> DataFrame:
     """T5: W12 over a live request stream; state = status per order (seeded from the snapshot).
 
     State is grouped by order bucket as in ``ledger_stream`` (``buckets=None``: one group per order).
     """
     opening = wo.select("work_order_id", F.col("status").alias("opening_status"))
     j = requests.join(opening, "work_order_id", "left")
-    if buckets == "auto":
-        buckets = 8 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not buckets:
         return j.groupBy("work_order_id").applyInPandasWithState(
             _status_state_fn, C.TRANSITION_SCHEMA, "status int", "append", GroupStateTimeout.NoTimeout)
     b = j.withColumn("_bucket", F.pmod(F.xxhash64("work_order_id"), F.lit(buckets)))
     return b.groupBy("_bucket").applyInPandasWithState(
-        _status_bucket_fn, C.TRANSITION_SCHEMA, STATUS_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
+        _with_buckets(_status_bucket_fn, buckets), C.TRANSITION_SCHEMA, STATUS_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # -- T6 ----------------------------------------------------------------------------------------
 
 def notification_batch(changes: DataFrame, load_wo: Callable[[], DataFrame], load_cust: Callable[[], DataFrame],
-                       log_path: str) -> None:
-    """T6 per micro-batch: re-read the dimensions, build recipients (J16), append to the log."""
+                       log_path: str, batch_id: int) -> None:
+    """T6 per micro-batch: re-read the dimensions, build recipients (J16), write the batch's log folder."""
     rec = C.recipients(changes, load_wo(), load_cust())
-    sinks.append_notifications(sinks.notification_rows(rec), log_path)
+    sinks.append_notifications(sinks.notification_rows(rec), log_path, batch_id)
 
 
 # -- T7 ----------------------------------------------------------------------------------------
 
-def price_event_stream(stream: DataFrame, inv: DataFrame, pct: float = 0.10) -> DataFrame:
+def price_event_stream(stream: DataFrame, inv: DataFrame, pct: str = "0.10") -> DataFrame:
     """Price events moving cost by more than ``pct`` -> alert rows; discontinued events ->
     one row per location still holding stock (stream-static join)."""
     old, new = F.col("old_cost"), F.col("new_cost")
     ratio = F.when(old != 0, F.abs(new - old).cast("double") / old.cast("double"))
     price = (stream.where(F.col("event_type") == "PartPriceUpdated")
                    .withColumn("cost_change_ratio", ratio)
-                   .where(F.when(old == 0, new != 0).otherwise(ratio > F.lit(pct)))
+                   .where(C.price_moved(pct))
                    .select("event_id", F.lit("price_change").alias("alert_type"), "part_id", "old_cost", "new_cost",
                            "cost_change_ratio", F.lit(None).cast("bigint").alias("inventory_id"),
                            F.lit(None).cast("string").alias("warehouse"),

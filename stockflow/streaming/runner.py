@@ -11,7 +11,9 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stockflow.functions.scalars import ntz_micros
 from stockflow.sources.sinks import fresh_dir
 
 
@@ -54,6 +56,41 @@ def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str, output_m
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_slices(spark: SparkSession, df: DataFrame, ts_col: str, name: str, build: Callable[[DataFrame], DataFrame] | None = None,
+                 handler: Callable[[DataFrame, int], None] | None = None, slices: int = 4, deliveries: int = 1,
+                 timeout_s: int | None = None) -> DataFrame | None:
+    """Deliver ``df`` in ``slices`` consecutive time ranges of equal width and drain the stream after each.
+
+    Every delivery restarts the stream from its checkpoint, so state carries over as it does in a long-running
+    job, and a slice is one micro-batch whatever its number of files. ``build`` turns the source stream into the
+    result stream (returned from its file sink); ``handler`` is a foreachBatch function instead. With
+    ``deliveries`` > 1 each slice arrives again. The input is computed once and staged.
+    """
+    stage, path = fresh_dir(spark, f"{name}-stage"), fresh_dir(spark, name)
+    out, ckpt = fresh_dir(spark, f"{name}-out"), fresh_dir(spark, f"{name}-ckpt")
+    df.write.parquet(stage)
+    staged = spark.read.schema(df.schema).parquet(stage)
+    at = ntz_micros(ts_col)
+    lo, hi = staged.agg(F.min(at), F.max(at)).first()
+    edges = [] if lo is None else [lo + (hi - lo) * i // slices for i in range(1, slices)]
+    result = None
+    with state_partitions(spark):
+        for k in range(len(edges) + 1):
+            some = staged
+            if k:
+                some = some.where(at >= F.lit(edges[k - 1]))
+            if k < len(edges):
+                some = some.where((at < F.lit(edges[k])) | at.isNull() if k == 0 else at < F.lit(edges[k]))
+            for _ in range(deliveries):
+                some.write.mode("append").parquet(path)
+                source = spark.readStream.schema(df.schema).parquet(path)
+                result = build(source) if build else source
+                w = result.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+                w = w.foreachBatch(handler) if handler else w.format("parquet").option("path", out).outputMode("append")
+                _finish(w.start(), timeout_s)
+    return None if handler else spark.read.schema(result.schema).parquet(out)
+
+
 def drain_foreach_batch(spark: SparkSession, stream: DataFrame, name: str,
                         handler: Callable[[DataFrame, int], None], timeout_s: int | None = None) -> None:
     ckpt = fresh_dir(spark, f"{name}-ckpt")

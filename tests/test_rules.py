@@ -277,7 +277,7 @@ def test_interval_buckets_match_brute_force(spark):
     full = [(wid, "n", 1, "v", "t", 1, st, tech, T0, s, e, None, None, None) for wid, tech, st, s, e in rows]
     orders = spark.createDataFrame(full, WO_SCHEMA)
     got = {(r.work_order_id_a, r.work_order_id_b)
-           for r in intervals.schedule_conflicts(orders, "2030-01-01 00:00:00").collect()}
+           for r in intervals.schedule_conflicts(orders).collect()}
     want = {(a[0], b[0]) for a in rows for b in rows
             if a[0] < b[0] and a[1] == b[1] and a[3] <= b[4] and a[4] >= b[3]}
     assert got == want
