@@ -144,21 +144,29 @@ def q_validate_periods(spark, sf_dir):
     return _text(Q.validate_periods(w, "scheduled_start", "scheduled_end", "new_end"))
 
 
+# every 50th part, location and order is inserted a second time, so that the report has rows
 @register("duplicate_keys", """
+, p2 AS (SELECT part_id, part_number FROM parts UNION ALL SELECT part_id, part_number FROM parts WHERE part_id % 50 = 7),
+i2 AS (SELECT part_id, warehouse FROM inventory UNION ALL SELECT part_id, warehouse FROM inventory WHERE inventory_id % 50 = 7),
+w2 AS (SELECT work_order_number FROM work_orders UNION ALL SELECT work_order_number FROM work_orders WHERE work_order_id % 50 = 7)
 SELECT 'parts.part_number' AS index_name, part_number AS key_value, count(*) AS row_count
-FROM parts GROUP BY part_number HAVING count(*) > 1
+FROM p2 GROUP BY part_number HAVING count(*) > 1
 UNION ALL
 SELECT 'inventory.part_warehouse', concat(cast(part_id AS varchar), '|', warehouse), count(*)
-FROM inventory GROUP BY part_id, warehouse HAVING count(*) > 1
+FROM i2 GROUP BY part_id, warehouse HAVING count(*) > 1
 UNION ALL
 SELECT 'work_orders.work_order_number', work_order_number, count(*)
-FROM work_orders GROUP BY work_order_number HAVING count(*) > 1
+FROM w2 GROUP BY work_order_number HAVING count(*) > 1
 """)
 def q_duplicate_keys(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return (Q.duplicate_keys(d.parts, ["part_number"], "parts.part_number")
-            .unionByName(Q.duplicate_keys(d.inventory, ["part_id", "warehouse"], "inventory.part_warehouse"))
-            .unionByName(Q.duplicate_keys(d.work_orders, ["work_order_number"], "work_orders.work_order_number")))
+
+    def twice(df, key):
+        return df.unionByName(df.where(F.col(key) % 50 == 7))
+    return (Q.duplicate_keys(twice(d.parts, "part_id"), ["part_number"], "parts.part_number")
+            .unionByName(Q.duplicate_keys(twice(d.inventory, "inventory_id"), ["part_id", "warehouse"], "inventory.part_warehouse"))
+            .unionByName(Q.duplicate_keys(twice(d.work_orders, "work_order_id"), ["work_order_number"],
+                                          "work_orders.work_order_number")))
 
 
 @register("insert_new_only", LOCATION_REQUESTS_SQL + """
@@ -198,26 +206,29 @@ def q_customer_address_dedupe(spark, sf_dir):
     return Q.address_dedupe(domain(spark, sf_dir).customers)
 
 
+# some parents are taken out, so that the report has rows
 @register("reference_violations", """
 SELECT 'work_order.customer' AS rule, cast(w.work_order_id AS varchar) AS child_id, cast(w.customer_id AS varchar) AS missing_key
-FROM work_orders w WHERE w.customer_id IS NOT NULL AND w.customer_id NOT IN (SELECT customer_id FROM customers)
+FROM work_orders w WHERE w.customer_id IS NOT NULL AND w.customer_id NOT IN (SELECT customer_id FROM customers WHERE customer_id % 100 <> 3)
 UNION ALL
 SELECT 'work_order.technician', cast(w.work_order_id AS varchar), cast(w.technician_id AS varchar)
-FROM work_orders w WHERE w.technician_id IS NOT NULL AND w.technician_id NOT IN (SELECT technician_id FROM technicians)
+FROM work_orders w WHERE w.technician_id IS NOT NULL AND w.technician_id NOT IN (SELECT technician_id FROM technicians WHERE technician_id % 50 <> 3)
 UNION ALL
 SELECT 'ledger.location', t.transaction_id, cast(t.inventory_id AS varchar)
-FROM inventory_transactions t WHERE t.inventory_id IS NOT NULL AND t.inventory_id NOT IN (SELECT inventory_id FROM inventory)
+FROM inventory_transactions t WHERE t.inventory_id IS NOT NULL AND t.inventory_id NOT IN (SELECT inventory_id FROM inventory WHERE inventory_id % 500 <> 3)
 UNION ALL
 SELECT 'line.work_order', cast(l.work_order_id AS varchar), cast(l.work_order_id AS varchar)
 FROM work_order_parts l WHERE l.work_order_id IS NOT NULL AND l.work_order_id NOT IN (SELECT work_order_id FROM work_orders)
 UNION ALL
 SELECT 'inventory.part', cast(i.inventory_id AS varchar), cast(i.part_id AS varchar)
-FROM inventory i WHERE i.part_id IS NOT NULL AND i.part_id NOT IN (SELECT part_id FROM parts)
+FROM inventory i WHERE i.inventory_id % 500 <> 3 AND i.part_id IS NOT NULL AND i.part_id NOT IN (SELECT part_id FROM parts WHERE part_id % 200 <> 3)
 UNION ALL
 SELECT 'line.part', cast(l.work_order_id AS varchar), cast(l.part_id AS varchar)
-FROM work_order_parts l WHERE l.part_id IS NOT NULL AND l.part_id NOT IN (SELECT part_id FROM parts)
+FROM work_order_parts l WHERE l.part_id IS NOT NULL AND l.part_id NOT IN (SELECT part_id FROM parts WHERE part_id % 200 <> 3)
 """)
 def q_reference_violations(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return Q.reference_violations(d.work_orders, d.technicians, d.customers, d.inventory, d.inventory_transactions,
-                                  d.work_order_parts, d.parts)
+    cust, tech = d.customers.where("customer_id % 100 <> 3"), d.technicians.where("technician_id % 50 <> 3")
+    locations, parts = d.inventory.where("inventory_id % 500 <> 3"), d.parts.where("part_id % 200 <> 3")
+    report = Q.reference_violations(d.work_orders, tech, cust, locations, d.inventory_transactions, d.work_order_parts, parts)
+    return report
