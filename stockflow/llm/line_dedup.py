@@ -8,8 +8,10 @@ line) is its source. Every later occurrence is joined to the source's line hashe
 both ways; runs of at least ``min_words`` words are deleted from the later document, judged on the
 input. A line is only deleted when an equal line stands earlier, so the first copy of everything stays.
 
-Fingerprints are counted per hash before they meet and only documents that repeat something are joined, once
-per (document, source) pair: no pairs among the copies of a group, no group in one task.
+Fingerprints are counted per hash before they meet. A match goes on only if its line reaches min_words
+alone or a neighbouring line matches as well (a run needs one or the other), and a document meets each source
+once: no pairs among the copies of a group, no group in one task. Only documents that repeat something are
+joined with their text.
 
 Defined cases: null and empty texts have no line and stay as they are; null doc_ids come last in the
 order; repeated rows (equal id and text) count as one document and are treated alike; lines without
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stockflow.llm import textkit as tk
-from stockflow.llm.frames import stored
+from stockflow.llm.frames import by_key, stored
 
-WINDOW = 2
+WINDOW = 3
 MIN_WORDS = 20
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
@@ -78,10 +80,13 @@ def _lines(window: int, min_words: int):
                 _, _, row, h, count = split_lines(data, off)
                 at = tk.run_offsets(tk.row_counts(row, len(off) - 1))
                 marks = [fingerprints(h[a:b], count[a:b], window, min_words) for a, b in zip(at[:-1], at[1:])]
+                alone = np.concatenate([count[a:b][m] >= min_words for a, b, m in zip(at[:-1], at[1:], marks)])
+                ends = tk.run_offsets([len(m) for m in marks])
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), tk.list_array(h.view(np.int64), at, pa.int64()),
-                     tk.list_array(np.concatenate(marks).astype(np.int32), tk.run_offsets([len(m) for m in marks]), pa.int32())],
-                    names=["doc_id", "tkey", "hashes", "marks"])
+                     tk.list_array(np.concatenate(marks).astype(np.int32), ends, pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(alone, pa.bool_()))],
+                    names=["doc_id", "tkey", "hashes", "marks", "alone"])
     return run
 
 
@@ -129,18 +134,27 @@ def dedupe_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
     (as _n_lines, _n_removed)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = stored(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(
-        _lines(window, min_words), f"doc_id {kind}, tkey long, hashes array<long>, marks array<int>"))
-    mark = (lines.select("doc_id", "tkey", "hashes", F.explode("marks").alias("line"))
-            .select(F.expr("hashes[line]").alias("h"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "line").alias("p")))
+        _lines(window, min_words), f"doc_id {kind}, tkey long, hashes array<long>, marks array<int>, alone array<boolean>"))
+    near = "cast(coalesce(get(hashes, m.marks {}), 0) & 2147483647 AS int)"       # enough of a neighbour's hash to tell it
+    mark = (lines.select("doc_id", "tkey", "hashes", F.explode(F.arrays_zip("marks", "alone")).alias("m"))
+            .select(F.expr("hashes[m.marks]").alias("h"),
+                    F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", F.col("m.marks").alias("line"), F.col("m.alone").alias("alone"),
+                             F.expr(near.format("- 1")).alias("above"), F.expr(near.format("+ 1")).alias("below")).alias("p")))
     source = mark.groupBy("h").agg(F.min("p").alias("s"), F.max("p").alias("e")).where("s <> e").select("h", "s")
-    pairs = (mark.join(source, "h").where("p > s")
+    pairs = (mark.join(source, "h").where("p > s and (p.alone or p.above = s.above or p.below = s.below)")
              .groupBy(F.struct("p.doc_id", "p.tkey").alias("own"), F.struct("s.doc_id", "s.tkey").alias("src"))
              .agg(F.array_sort(F.collect_set(F.struct(F.col("p.line").alias("line"), F.col("s.line").alias("at")))).alias("pairs")))
     hashes = lines.select(F.struct("doc_id", "tkey").alias("src"), "hashes").dropDuplicates(["src"])
     found = (pairs.join(hashes, "src").groupBy("own").agg(F.collect_list(F.struct("hashes", "pairs")).alias("sources"))
              .select(F.col("own.doc_id").alias("_d"), F.col("own.tkey").alias("_t"), "sources"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left")
-    out = joined.select(*[docs[c] for c in docs.columns], _rewrite(min_words)(docs["text"], F.col("sources")).alias("_new"))
+    found = stored(found)
+    keys = found.select(F.col("_d").alias("doc_id"), F.col("_t").alias("tkey"))
+    some, rest = by_key(docs, keys, "left_semi"), by_key(docs, keys, "left_anti")
+    joined = some.join(found, some["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(some["text"]) == F.col("_t")))
+    none = F.lit(None).cast(found.schema["sources"].dataType)
+    rewrite = _rewrite(min_words)
+    out = (joined.select(*[some[c] for c in docs.columns], rewrite(some["text"], F.col("sources")).alias("_new"))
+           .unionByName(rest.select(*docs.columns, rewrite(F.col("text"), none).alias("_new"))))
     return out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
                       F.col("_new.n_lines").alias("_n_lines"), F.col("_new.n_removed").alias("_n_removed"))
 
