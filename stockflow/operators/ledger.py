@@ -420,8 +420,9 @@ def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> Dat
     1. Per part, a line is accepted when the units already promised plus its
        quantity fit the part's total available (active locations); otherwise it
        takes nothing (sorted streaming fold per part).
-    2. Orders with any failed line are flagged: their lines are *not committed*
-       and their units are not re-offered to later lines in this batch.
+    2. Orders with any failed line are flagged *not committed*: nothing is taken for
+       them (``taken`` 0). Their units stay promised within the batch and are
+       offered again with the next one.
     3. Accepted lines are split over locations by overlapping the cumulative
        demand interval [before, after) with each location's cumulative supply
        interval (active locations with stock, in warehouse-name order). Each line
@@ -453,6 +454,7 @@ def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> Dat
     return (folded.join(supply, cond, "left")
                   .withColumn("taken", taken)
                   .withColumn("order_committed", F.bool_and("line_accepted").over(per_order))
+                  .withColumn("taken", F.when(F.col("order_committed"), F.col("taken")).otherwise(F.lit(0).cast("bigint")))
                   .drop("_pid", "_av", "_shi", "_slo"))
 
 

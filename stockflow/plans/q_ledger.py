@@ -224,7 +224,8 @@ sup AS (SELECT part_id, inventory_id, warehouse, quantity_on_hand - quantity_res
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shi
         FROM inventory WHERE is_active AND quantity_on_hand - quantity_reserved > 0)
 SELECT f.*, s.inventory_id, s.warehouse,
-       cast(least(f.demand_after, s.shi) - greatest(f.demand_before, s.shi - s.av) AS bigint) AS taken
+       cast(CASE WHEN f.order_committed THEN least(f.demand_after, s.shi) - greatest(f.demand_before, s.shi - s.av)
+                 ELSE 0 END AS bigint) AS taken
 FROM flag f JOIN sup s ON s.part_id = f.part_id AND f.demand_before < s.shi AND s.shi - s.av < f.demand_after
 WHERE f.line_accepted
 UNION ALL
