@@ -7,7 +7,8 @@ and an earlier start) is removed; strings are judged on the input and never cros
    bytes alone decide it, so equal windows have equal anchors at equal offsets. Neighbouring windows with one
    anchor form a piece: about one row per 26 bytes instead of one per byte.
 2. *Equal pieces.* Rows are shuffled and sorted by (anchor, document, place). A streaming kernel marks
-   pieces that stood before under the same anchor (all their bytes go) and, where an anchor has different
+   pieces that stood before under the same anchor (all their bytes go; of a piece that one text repeats
+   only the first two are sent, the rest follows) and, where an anchor has different
    pieces, the first of each: only these can hold a partial repeat.
 3. *Blocks.* Such pieces are cut into blocks of up to ``BLOCK`` windows, aligned to the anchor. All windows
    of a block share a core of LENGTH - BLOCK + 1 bytes, so a block is a short string: the bytes left
@@ -205,15 +206,41 @@ def _documents(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> Itera
         yield data[a:b]
 
 
+def _key(gram: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return tk.mix(gram) ^ piece
+
+
+def _first_two(key: np.ndarray) -> np.ndarray:
+    """Places of the first two entries of every key: what a text repeats further follows from them."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    keep = np.ones(len(key), dtype=bool)
+    keep[order[2:][k[2:] == k[:-2]]] = False
+    return np.flatnonzero(keep)
+
+
+def _all_later(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Places of all entries that equal a listed one before them or are listed."""
+    u, which = np.unique(key[whole], return_inverse=True)
+    least = np.full(len(u), len(key))
+    np.minimum.at(least, which, whole)
+    at = np.flatnonzero(np.isin(key, u))
+    return at[at >= least[np.searchsorted(u, key[at])]]
+
+
 def _emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, off in tk.batch_slices(batch, "text"):
-            found = [pieces(d) for d in _documents(rows, data, off)]
-            n = np.array([len(f[0]) for f in found])
+            found, places = [], []
+            for d in _documents(rows, data, off):
+                *_, gram, own = pieces(d)
+                places.append(_first_two(_key(gram, own)))
+                found.append((gram[places[-1]], own[places[-1]]))
+            n = np.array([len(p) for p in places])
             take = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[3] for f in found]).view(np.int64)), pa.array(np.concatenate([f[4] for f in found]).view(np.int64)),
-                 rows.column(0).take(take), rows.column(1).take(take), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n]))],
+                [pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.concatenate([f[1] for f in found]).view(np.int64)),
+                 rows.column(0).take(take), rows.column(1).take(take), pa.array(np.concatenate(places).astype(np.int32))],
                 names=["gram", "piece", "doc", "tkey", "p"])
 
 
@@ -325,8 +352,8 @@ def _cut_column():
                 data = np.frombuffer(raw, dtype=np.uint8)
                 start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 if whole is not None and len(whole):
-                    first, count, *_ = pieces(data)
-                    whole = np.asarray(whole)
+                    first, count, _, gram, own = pieces(data)
+                    whole = _all_later(_key(gram, own), np.asarray(whole))
                     start.append(first[whole])
                     end.append(first[whole] + count[whole] + LENGTH - 1)
                 if some is not None and len(some):
