@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from stockflow.llm import textkit as tk
 
-CACHE = 1_000_000
+CACHE = 400_000
 LONG = 48
 STRETCH = 1 << 19
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"          # letters that stay single letters under NFC and lower-casing

@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,7 +36,7 @@ MAX_TOXIC, MAX_ORDINARY = 2_000, 4_000
 WINDOW = 24
 GRAM = 5
 CARRIER = 40
-CACHE = 600_000
+CACHE = 300_000
 FLOOR = -12
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 32768
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % WINDOW)
@@ -89,6 +88,7 @@ class Measure(dict):
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = self._coder(toxic, 13), self._coder(ordinary, 15)
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}      # equal results share one object
 
     @staticmethod
     def _coder(content: bytes, log: int):
@@ -107,7 +107,8 @@ class Measure(dict):
         o, t = self.ordinary(raw), self.toxic(raw)
         if len(self) >= CACHE:
             self.clear()
-        self[word] = out = (o - 2 * t, o - t)
+        out = (o - 2 * t, o - t)
+        self[word] = out = self.pairs.setdefault(out, out)
         return out
 
     def statistics(self, text: str | None) -> tuple[float, ...]:
@@ -220,9 +221,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **limits: int) -> DataFrame:
     """Rows of docs that the classifier doesn't call toxic, with all their columns and in one pass."""
     model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, **limits))
 
-    @F.pandas_udf("boolean")
-    def ordinary(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
-        for texts in parts:
-            yield pd.Series(scorer(list(texts)) < 0.5)
-    return docs.where(ordinary(F.col("text")))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(scorer(texts) < 0.5, pa.bool_()))
+    return docs.mapInArrow(ordinary, docs.schema)
