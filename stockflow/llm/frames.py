@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockflow.session import ensure_checkpoint_dir
 
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
