@@ -11,8 +11,8 @@ Plan (every step a DataFrame job, nothing whole on the driver):
 2. *Classes.* A second pass turns each text into its set, the 128-bit digest of the set and the set's
    prefix (the first |x| - ceil(t|x|) + 1 n-grams in rare-first order). Equal sets form one class.
 3. *Prefix join.* Classes that share a prefix n-gram are candidates. Copies must not become all pairs,
-   so ``star_rounds`` rounds compare, per prefix n-gram, only a leader with the other classes, and
-   verified links merge classes into components; each n-gram draws its leader by hash. The last round compares every remaining pair whose
+   so ``star_rounds`` rounds compare, per prefix n-gram, only a few leaders with the other classes, and
+   verified links merge classes into components; each n-gram draws its leaders by hash. The last round compares every remaining pair whose
    components differ (pairs inside a component can't change the result), so no link is lost.
 4. *Filters.* Sizes must fit (length), the positions of the first common n-gram must leave room for
    the needed overlap (positional), and the Hamming bound from the counts of both sets over
@@ -45,7 +45,7 @@ WORDS = 1 << 18
 SLOTS = 1 << 23              # one byte each: which hashed n-grams are in two classes or more
 PARTS = 32
 PARTNERS_PER_TASK = 2_000
-LEADERS = 16                 # leaders per n-gram grow by this factor from star round to star round
+LEADERS = 16                 # leaders per n-gram in the first star round; each further round has as many times more
 
 
 def row_sets(data: np.ndarray, off: np.ndarray, n: int, weights: np.ndarray | None = None):
@@ -190,7 +190,7 @@ def _fits(a: str, b: str, num: int, den: int):
     return (F.lit(den) * na >= F.lit(num) * nb) & (most >= _needed(na, nb, num, den))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 2,
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 1,
                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Component of every row by n-gram Jaccard links of at least num/den.
 
@@ -274,7 +274,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         if r < star_rounds:
             # every n-gram draws its own leader, so a class meets several members of its group
             draw = F.xxhash64("gram", "class", F.lit(r))
-            lead = own.groupBy("gram", F.pmod(F.xxhash64("class"), F.lit(LEADERS ** r)).alias("draw")).agg(
+            lead = own.groupBy("gram", F.pmod(F.xxhash64("class"), F.lit(LEADERS ** (r + 1))).alias("draw")).agg(
                 F.min(F.struct(draw.alias("h"), "size", "class", "pos", "comp")).alias("l"))
             pairs = own.join(lead, "gram").where("comp <> l.comp").select(
                 F.struct("l.size", "l.class", "l.pos").alias("x"), F.struct("size", "class", "pos").alias("y"))
