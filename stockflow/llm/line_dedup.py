@@ -84,17 +84,18 @@ def _lines(window: int, min_words: int):
                 ends = tk.run_offsets([len(m) for m in marks])
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), tk.list_array(h.view(np.int64), at, pa.int64()),
+                     pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
                      tk.list_array(np.concatenate(marks).astype(np.int32), ends, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(alone, pa.bool_()))],
-                    names=["doc_id", "tkey", "hashes", "marks", "alone"])
+                    names=["doc_id", "tkey", "hashes", "raw", "marks", "alone"])
     return run
 
 
 def repeated_lines(h: np.ndarray, count: np.ndarray, sources: list[dict], min_words: int) -> np.ndarray:
-    """Which lines of a text to delete. sources: each has the source's hashes and pairs (own line, its line)."""
+    """Which lines of a text to delete. sources: each has the source's hashes as bytes and pairs (own line, its line)."""
     gone = np.zeros(len(h), dtype=bool)
     for s in sources:
-        other = np.asarray(s["hashes"], dtype=np.int64).view(tk.U64)
+        other = np.frombuffer(s["raw"], dtype="<u8")
         done: set[tuple[int, int]] = set()
         for p in s["pairs"]:
             i, j = p["line"], p["at"]
@@ -113,28 +114,27 @@ def repeated_lines(h: np.ndarray, count: np.ndarray, sources: list[dict], min_wo
 
 
 def _rewrite(min_words: int):
-    @F.pandas_udf("struct<text:string,n_lines:long,n_removed:long>")
+    @F.pandas_udf("struct<text:string,n_removed:long>")
     def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, sources in parts:
-            out, lines, removed = [], [], []
+            out, removed = [], []
             for text, some in zip(texts, sources):
                 raw = (text or "").encode()
                 data = np.frombuffer(raw, dtype=np.uint8)
                 start, end, _, h, count = split_lines(data, np.array([0, len(data)]))
-                gone = repeated_lines(h, count, list(some), min_words) if some is not None and len(some) else np.zeros(len(h), bool)
+                gone = repeated_lines(h, count, list(some), min_words)
                 out.append(b"".join(raw[a:b] for a, b, g in zip(start.tolist(), end.tolist(), gone) if not g).decode() if gone.any() else text)
-                lines.append(int((count > 0).sum()))
                 removed.append(int((gone & (count > 0)).sum()))
-            yield pd.DataFrame({"text": out, "n_lines": lines, "n_removed": removed})
+            yield pd.DataFrame({"text": out, "n_removed": removed})
     return rewrite
 
 
 def dedupe_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows of docs with their columns, text without later repeated runs, and n_lines and n_removed
-    (as _n_lines, _n_removed)."""
+    """All rows of docs with their columns, text without later repeated runs, and the number of deleted lines
+    (_n_removed). Documents that repeat nothing are handed through."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = stored(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(
-        _lines(window, min_words), f"doc_id {kind}, tkey long, hashes array<long>, marks array<int>, alone array<boolean>"))
+        _lines(window, min_words), f"doc_id {kind}, tkey long, hashes array<long>, raw binary, marks array<int>, alone array<boolean>"))
     near = "cast(coalesce(get(hashes, m.marks {}), 0) & 2147483647 AS int)"       # enough of a neighbour's hash to tell it
     mark = (lines.select("doc_id", "tkey", "hashes", F.explode(F.arrays_zip("marks", "alone")).alias("m"))
             .select(F.expr("hashes[m.marks]").alias("h"),
@@ -144,19 +144,17 @@ def dedupe_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
     pairs = (mark.join(source, "h").where("p > s and (p.alone or p.above = s.above or p.below = s.below)")
              .groupBy(F.struct("p.doc_id", "p.tkey").alias("own"), F.struct("s.doc_id", "s.tkey").alias("src"))
              .agg(F.array_sort(F.collect_set(F.struct(F.col("p.line").alias("line"), F.col("s.line").alias("at")))).alias("pairs")))
-    hashes = lines.select(F.struct("doc_id", "tkey").alias("src"), "hashes").dropDuplicates(["src"])
-    found = (pairs.join(hashes, "src").groupBy("own").agg(F.collect_list(F.struct("hashes", "pairs")).alias("sources"))
+    hashes = lines.select(F.struct("doc_id", "tkey").alias("src"), "raw").dropDuplicates(["src"])
+    found = (pairs.join(hashes, "src").groupBy("own").agg(F.collect_list(F.struct("raw", "pairs")).alias("sources"))
              .select(F.col("own.doc_id").alias("_d"), F.col("own.tkey").alias("_t"), "sources"))
     found = stored(found)
     keys = found.select(F.col("_d").alias("doc_id"), F.col("_t").alias("tkey"))
     some, rest = by_key(docs, keys, "left_semi"), by_key(docs, keys, "left_anti")
     joined = some.join(found, some["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(some["text"]) == F.col("_t")))
-    none = F.lit(None).cast(found.schema["sources"].dataType)
-    rewrite = _rewrite(min_words)
-    out = (joined.select(*[some[c] for c in docs.columns], rewrite(some["text"], F.col("sources")).alias("_new"))
-           .unionByName(rest.select(*docs.columns, rewrite(F.col("text"), none).alias("_new"))))
-    return out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                      F.col("_new.n_lines").alias("_n_lines"), F.col("_new.n_removed").alias("_n_removed"))
+    out = joined.select(*[some[c] for c in docs.columns], _rewrite(min_words)(some["text"], F.col("sources")).alias("_new"))
+    out = out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+                     F.col("_new.n_removed").alias("_n_removed"))
+    return out.unionByName(rest.select(*docs.columns, F.lit(0).cast("long").alias("_n_removed")))
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -167,8 +165,8 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, min_words: int =
 
 
 def line_digest(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_chars_left and the SHA-256 of what is left, per row."""
+    """doc_id, n_removed (lines), n_chars_left and the SHA-256 of what is left, per row."""
     text = F.coalesce("text", F.lit(""))
     return dedupe_lines(docs, window, min_words).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+        "doc_id", F.col("_n_removed").alias("n_removed"),
         F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("left_sha256"))
