@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stockflow.llm import textkit as tk
@@ -244,11 +245,30 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["gram", "piece", "doc", "tkey", "p"])
 
 
+def _once(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without those whose key columns equal the row before: repeated rows are one document."""
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        same = np.ones(n - 1, dtype=bool)
+        for k in keys:
+            c = batch.column(k)
+            a, b = c.slice(0, n - 1), c.slice(1)
+            both = pc.and_(pc.is_null(a), pc.is_null(b))
+            same &= pc.or_(pc.fill_null(pc.equal(a, b), False), both).to_numpy(zero_copy_only=False)
+        first = tuple(batch.column(k)[0].as_py() for k in keys)
+        keep = np.concatenate([[first != last], ~same])
+        last = tuple(batch.column(k)[n - 1].as_py() for k in keys)
+        yield batch if keep.all() else batch.filter(pa.array(keep))
+
+
 def _mark_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (gram, doc, tkey, p) to (doc, tkey, p, whole): whole pieces seen before, and firsts of
     anchors with several pieces. Only the current anchor's distinct pieces are held."""
     gram, seen, waiting = None, set(), None
-    for batch in batches:
+    for batch in _once(batches, (0, 2, 3, 4)):
         g, piece = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(g):
             continue
@@ -316,7 +336,7 @@ def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 out.extend((doc, tkey, at + w, at + w + LENGTH) for w in gone)
 
     kind = None
-    for batch in batches:
+    for batch in _once(batches, (0, 1, 2, 3)):
         kind = batch.schema.field(1).type
         for c, *row in zip(*(x.to_pylist() for x in batch.columns)):
             if c != core:

@@ -99,6 +99,17 @@ def test_repeats(spark, edge_docs, edge_rows, no_docs):
     assert repeats.repeat_digest(no_docs).collect() == []
 
 
+def test_repeats_keep_the_first_of_repeated_rows(spark):
+    """Rows with equal id and text are one document: alone they lose nothing, and a later document loses its copy."""
+    rng = random.Random(8)
+    own, part = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (400, 130))
+    rows = [(1, own), (1, own), (1, own), (2, part + "x" + own[:60]), (2, part + "x" + own[:60]), (3, "begin " + part[:121] + " end"),
+            (None, own[::-1]), (None, own[::-1])]
+    got = Counter((r.doc_id, bytes(r.kept).decode(), r.n_removed) for r in
+                  repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter([(i, t, 0) if i != 3 else (3, "begin  end", 121) for i, t in rows])
+
+
 def test_line_dedup(spark, edge_docs, no_docs):
     line = " ".join(f"v{i}" for i in range(60)) + "."
     short = "Short line here."
