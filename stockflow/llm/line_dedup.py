@@ -1,21 +1,24 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of shortest runs of lines.
 
 A line is a stretch up to a line feed or up to the space after a sentence end, trimmed; its hash covers the
-trimmed bytes. From every ``window`` consecutive lines the one with the least hash is a fingerprint
-(as is each line that reaches ``min_words`` alone), so any repeated run of ``window`` lines has one at
-the same place in every copy. The first occurrence of a fingerprint (least doc_id, then text key, then
-line) is its source. Every later occurrence is joined to the source's line hashes and the match is extended
-both ways; runs of at least ``min_words`` words are deleted from the later document, judged on the
-input. A line is only deleted when an equal line stands earlier, so the first copy of everything stays.
-
-Fingerprints are counted per hash before they meet. A match goes on only if its line reaches min_words
-alone or a neighbouring line matches as well (a run needs one or the other), and a document meets each source
-once: no pairs among the copies of a group, no group in one task. Only documents that repeat something are
-joined with their text.
+trimmed bytes. A run of lines of at least ``min_words`` words that stands earlier (smaller doc_id, then text
+key, or the same document and an earlier line) is deleted, judged on the input. A line is only deleted when an
+equal line stands earlier, so the first copy of everything stays.
+
+From every line the shortest run of at least ``min_words`` words that starts there is taken, and the shortest
+that ends there: about two hashes a line. Each line of a longer repeated run lies in one of these that is a
+part of the run, so what they cover is exactly what repeats, whatever stands around it. (Selecting only
+window minima with one source each loses runs whose minimum is a common line.) Every run hash has its own
+first document: a document loses the runs that an earlier one has, and its own repeats but the first. There
+are no pairs among the copies of a group.
+
+Run hashes are counted before documents meet, and only hashes of several documents go on. First documents are found
+with partial aggregates, and the joins are on stored sides, so that a common run can be split over tasks.
+Only documents that repeat something are joined with their text.
 
 Defined cases: null and empty texts have no line and stay as they are; null doc_ids come last in the
 order; repeated rows (equal id and text) count as one document and are treated alike; lines without
-words have no hash and go only when they stand between deleted lines. Empty tables give an empty
+words equal each other and go with the run they stand in. Empty tables give an empty
 result. Only doc_id and text are read; other columns are handed through.
 """
 
@@ -31,7 +34,6 @@ from pyspark.sql import DataFrame, functions as F
 from stockflow.llm import textkit as tk
 from stockflow.llm.frames import by_key, stored
 
-WINDOW = 3
 MIN_WORDS = 20
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
@@ -60,113 +62,107 @@ def split_lines(data: np.ndarray, off: np.ndarray):
     return start, end, row, h, count
 
 
-def fingerprints(h: np.ndarray, count: np.ndarray, window: int, min_words: int) -> np.ndarray:
-    """Numbers of the selected lines of one text (rightmost minimum of each window; a short text is one window)."""
-    real = np.flatnonzero(count)
-    if not len(real):
-        return real
-    v = h[real]
-    chosen = count[real] >= min_words
-    w = min(window, len(v))
-    views = np.lib.stride_tricks.sliding_window_view(v, w)[:, ::-1]
-    chosen[np.arange(len(views)) + w - 1 - views.argmin(axis=1)] = True
-    return real[chosen]
+def runs(h: np.ndarray, count: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shortest runs of min_words words from each line on and up to each line: (start, end, hash), by start and end.
+
+    at: offsets of the texts' lines; runs never cross texts."""
+    n = len(h)
+    words, i = tk.run_offsets(count), np.arange(n)
+    text = np.searchsorted(at, i, side="right") - 1
+    end = np.searchsorted(words, words[:-1] + min_words)
+    start = np.searchsorted(words, words[1:] - min_words, side="right") - 1
+    on, back = end <= at[text + 1], start >= at[text]
+    both = np.unique(np.concatenate([i[on] * (n + 1) + end[on], start[back] * (n + 1) + i[back] + 1]))
+    start, end = both // (n + 1), both % (n + 1)
+    up, _ = tk.powers(n + 1)
+    s = np.zeros(n + 1, dtype=tk.U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * up[:n], out=s[1:])
+    return start, end, tk.span_hash(s, start, end)
 
 
-def _lines(window: int, min_words: int):
+def _runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in tk.batch_slices(batch, "text"):
                 _, _, row, h, count = split_lines(data, off)
-                at = tk.run_offsets(tk.row_counts(row, len(off) - 1))
-                marks = [fingerprints(h[a:b], count[a:b], window, min_words) for a, b in zip(at[:-1], at[1:])]
-                alone = np.concatenate([count[a:b][m] >= min_words for a, b, m in zip(at[:-1], at[1:], marks)])
-                ends = tk.run_offsets([len(m) for m in marks])
+                n = len(off) - 1
+                at = tk.run_offsets(tk.row_counts(row, n))
+                start, _, key = runs(h, count, at, min_words)
+                text = row[start]
+                order = np.lexsort((key, text))
+                text, key = text[order], key[order]
+                first = np.ones(len(key), dtype=bool)
+                first[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+                again = np.zeros(n, dtype=bool)
+                again[text[~first]] = True
+                ends = tk.run_offsets(tk.row_counts(text[first], n))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), tk.list_array(h.view(np.int64), at, pa.int64()),
-                     pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                     tk.list_array(np.concatenate(marks).astype(np.int32), ends, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(alone, pa.bool_()))],
-                    names=["doc_id", "tkey", "hashes", "raw", "marks", "alone"])
+                    [rows.column(0), rows.column(1), tk.list_array(key[first].view(np.int64), ends, pa.int64()), pa.array(again)],
+                    names=["doc_id", "tkey", "keys", "again"])
     return run
 
 
-def repeated_lines(h: np.ndarray, count: np.ndarray, sources: list[dict], min_words: int) -> np.ndarray:
-    """Which lines of a text to delete. sources: each has the source's hashes as bytes and pairs (own line, its line)."""
-    gone = np.zeros(len(h), dtype=bool)
-    for s in sources:
-        other = np.frombuffer(s["raw"], dtype="<u8")
-        done: set[tuple[int, int]] = set()
-        for p in s["pairs"]:
-            i, j = p["line"], p["at"]
-            if (i, j) in done:
-                continue
-            a = 0
-            while i - a > 0 and j - a > 0 and h[i - a - 1] == other[j - a - 1]:
-                a += 1
-            b = 1
-            while i + b < len(h) and j + b < len(other) and h[i + b] == other[j + b]:
-                b += 1
-            done.update((i + x, j + x) for x in range(-a, b))
-            if count[i - a: i + b].sum() >= min_words:
-                gone[i - a: i + b] = True
-    return gone
+def repeated_lines(h: np.ndarray, count: np.ndarray, later: np.ndarray, min_words: int) -> np.ndarray:
+    """Which lines of a text to delete. later: hashes of runs that an earlier document has."""
+    start, end, key = runs(h, count, np.array([0, len(h)]), min_words)
+    go = np.ones(len(key), dtype=bool)
+    go[np.unique(key, return_index=True)[1]] = False
+    go |= np.isin(key, later)
+    cover = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(cover, start[go], 1)
+    np.add.at(cover, end[go], -1)
+    return np.cumsum(cover)[:-1] > 0
 
 
 def _rewrite(min_words: int):
     @F.pandas_udf("struct<text:string,n_removed:long>")
     def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, sources in parts:
+        for texts, found in parts:
             out, removed = [], []
-            for text, some in zip(texts, sources):
+            for text, later in zip(texts, found):
                 raw = (text or "").encode()
                 data = np.frombuffer(raw, dtype=np.uint8)
                 start, end, _, h, count = split_lines(data, np.array([0, len(data)]))
-                gone = repeated_lines(h, count, list(some), min_words)
+                gone = repeated_lines(h, count, np.array(later, dtype=np.int64).view(tk.U64), min_words)
                 out.append(b"".join(raw[a:b] for a, b, g in zip(start.tolist(), end.tolist(), gone) if not g).decode() if gone.any() else text)
                 removed.append(int((gone & (count > 0)).sum()))
             yield pd.DataFrame({"text": out, "n_removed": removed})
     return rewrite
 
 
-def dedupe_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows of docs with their columns, text without later repeated runs, and the number of deleted lines
     (_n_removed). Documents that repeat nothing are handed through."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = stored(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(
-        _lines(window, min_words), f"doc_id {kind}, tkey long, hashes array<long>, raw binary, marks array<int>, alone array<boolean>"))
-    near = "cast(coalesce(get(hashes, m.marks {}), 0) & 2147483647 AS int)"       # enough of a neighbour's hash to tell it
-    mark = (lines.select("doc_id", "tkey", "hashes", F.explode(F.arrays_zip("marks", "alone")).alias("m"))
-            .select(F.expr("hashes[m.marks]").alias("h"),
-                    F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", F.col("m.marks").alias("line"), F.col("m.alone").alias("alone"),
-                             F.expr(near.format("- 1")).alias("above"), F.expr(near.format("+ 1")).alias("below")).alias("p")))
-    source = mark.groupBy("h").agg(F.min("p").alias("s"), F.max("p").alias("e")).where("s <> e").select("h", "s")
-    pairs = (mark.join(source, "h").where("p > s and (p.alone or p.above = s.above or p.below = s.below)")
-             .groupBy(F.struct("p.doc_id", "p.tkey").alias("own"), F.struct("s.doc_id", "s.tkey").alias("src"))
-             .agg(F.array_sort(F.collect_set(F.struct(F.col("p.line").alias("line"), F.col("s.line").alias("at")))).alias("pairs")))
-    hashes = lines.select(F.struct("doc_id", "tkey").alias("src"), "raw").dropDuplicates(["src"])
-    found = (pairs.join(hashes, "src").groupBy("own").agg(F.collect_list(F.struct("raw", "pairs")).alias("sources"))
-             .select(F.col("own.doc_id").alias("_d"), F.col("own.tkey").alias("_t"), "sources"))
-    found = stored(found)
+        _runs(min_words), f"doc_id {kind}, tkey long, keys array<long>, again boolean"))
+    mark = lines.select(F.explode("keys").alias("h"), "doc_id", "tkey")
+    many = stored(mark.groupBy("h").count().where("count > 1").select("h"))
+    shared = stored(mark.join(many, "h").select("h", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey").alias("p")))
+    source = stored(shared.groupBy("h").agg(F.min("p").alias("s"), F.max("p").alias("e")).where("s <> e").select("h", "s"))
+    later = shared.join(source, "h").where("p > s").select("p.doc_id", "p.tkey", "h")
+    own = lines.where("again").select("doc_id", "tkey", F.lit(None).cast("long").alias("h"))
+    found = stored(later.unionByName(own).groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).agg(F.collect_set("h").alias("later")))
     keys = found.select(F.col("_d").alias("doc_id"), F.col("_t").alias("tkey"))
     some, rest = by_key(docs, keys, "left_semi"), by_key(docs, keys, "left_anti")
     joined = some.join(found, some["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(some["text"]) == F.col("_t")))
-    out = joined.select(*[some[c] for c in docs.columns], _rewrite(min_words)(some["text"], F.col("sources")).alias("_new"))
+    out = joined.select(*[some[c] for c in docs.columns], _rewrite(min_words)(some["text"], F.col("later")).alias("_new"))
     out = out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
                      F.col("_new.n_removed").alias("_n_removed"))
     return out.unionByName(rest.select(*docs.columns, F.lit(0).cast("long").alias("_n_removed")))
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with deduplicated texts; a document that consisted of repeated runs alone goes."""
-    out = dedupe_lines(docs, window, min_words)
+    out = dedupe_lines(docs, min_words)
     left = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0
     return out.where((F.col("_n_removed") == 0) | left).select(*docs.columns)
 
 
-def line_digest(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed (lines), n_chars_left and the SHA-256 of what is left, per row."""
     text = F.coalesce("text", F.lit(""))
-    return dedupe_lines(docs, window, min_words).select(
+    return dedupe_lines(docs, min_words).select(
         "doc_id", F.col("_n_removed").alias("n_removed"),
         F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("left_sha256"))

@@ -142,6 +142,43 @@ def test_line_dedup_finds_every_long_run(spark):
         first |= set(t.split("\n"))
 
 
+def brute_lines(rows: list[tuple[int, str]], least: int = 20) -> Counter:
+    """What is left of each text when every run of lines with at least ``least`` words that stands earlier goes."""
+    seen, out = set(), Counter()
+    for i, t in rows:
+        lines = t.split("\n")
+        count = [len(x.split()) for x in lines]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(count[a:b]) >= least:
+                    if (run := tuple(lines[a:b])) in seen:
+                        gone.update(range(a, b))
+                    seen.add(run)
+        out[i, tuple(x for k, x in enumerate(lines) if k not in gone), sum(count[k] > 0 for k in gone)] += 1
+    return out
+
+
+def line_result(spark, rows: list[tuple[int, str]]) -> Counter:
+    out = line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return Counter((r.doc_id, tuple(r.text.rstrip("\n").split("\n")) if r.text else (), r._n_removed) for r in out)
+
+
+def test_line_dedup_with_a_common_line(spark):
+    """Runs around a line that stands first elsewhere, and a text's own repeats of it, are found."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    pool = ["In.", "Un.", "In."] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) + "." for _ in range(12)]
+    rows = [(0, "In.\nNothing else of it."), (1, "Un.\n" + "\n".join(["In."] * 53) + "\nend one")]
+    song = [rng.choice(pool) for _ in range(60)]
+    for i in range(2, 60):
+        a = rng.randint(0, 50)
+        rows.append((i, "\n".join([rng.choice(pool) for _ in range(rng.randint(1, 9))] + song[a: a + rng.randint(3, 14)] + [f"own {i}"])))
+    want = brute_lines(rows)
+    assert sum(k[2] for k in want) > 60
+    assert line_result(spark, rows) == want
+
+
 def test_license_scan(spark, edge_docs, no_docs):
     from stockflow.llm.license_texts import MIT
     known = licenses.known_licenses(spark)
