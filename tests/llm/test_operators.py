@@ -179,6 +179,19 @@ def test_line_dedup_with_a_common_line(spark):
     assert line_result(spark, rows) == want
 
 
+def test_line_dedup_finds_every_run_of_twenty_words(spark):
+    """Also runs of two lines of fewer than 20 words each, against brute force; blank lines count as lines."""
+    rng = random.Random(11)
+    pool = [" ".join(f"p{i}q{k}" for k in range(rng.randint(8, 19))) for i in range(60)]
+    rows = []
+    for i in range(80):
+        a, b = rng.randint(0, 58), rng.randint(0, 55)
+        rows.append((i, "\n".join([f"own {i} first", *pool[a: a + 2], f"own {i} middle", *pool[b: b + rng.randint(1, 5)], *[""] * rng.randint(0, 1), *pool[a: a + 2], f"own {i}"])))
+    want = brute_lines(rows)
+    assert sum(k[2] for k in want) > 200
+    assert line_result(spark, rows) == want
+
+
 def test_license_scan(spark, edge_docs, no_docs):
     from stockflow.llm.license_texts import MIT
     known = licenses.known_licenses(spark)
