@@ -1,8 +1,7 @@
 """Quality rules: exact base rules, then the hashed n-gram log-likelihood ratio of each document.
 
-Two multinomials over ``BUCKETS`` hashed byte n-grams are counted: the trusted target (documents that
-the labels call good; at most ``target_rows`` of them, those with the least hash of their id) and the raw
-corpus (all documents, no sampling). A document's score is the mean over its n-grams of
+Two multinomials over ``BUCKETS`` hashed byte n-grams are counted: the trusted target (all documents that
+the labels call good) and the raw corpus (all documents); neither is sampled. A document's score is the mean over its n-grams of
 log p_target - log p_raw. The ratios are rounded to 1/65536 and summed as integers, so a score doesn't
 depend on how the input is split, and every document is kept or dropped by the same threshold.
 
@@ -24,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stockflow.llm import counters, textkit as tk
+from stockflow.llm.frames import BROADCAST_ROWS
 
 BUCKETS = 1 << 16
 ORDER = 4
 WINDOW = 8
 THRESHOLD = -0.1
 SCALE = 65536
-TARGET_ROWS = 20_000
 
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[list(b"#*$%&|<>")] = True
@@ -118,11 +117,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counters.emit(counts)
 
 
-def likelihood_ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """Rounded log ratios of the buckets; counts cover all documents, trusted ones are bounded by target_rows."""
-    trusted = (labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).select(F.col("doc_id").alias("t")))
-    flagged = (docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("t"), "left")
+def likelihood_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Rounded log ratios of the buckets; counts cover all documents and all trusted ones. The trusted ids are
+    broadcast only when a count has shown them to be few."""
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("t")).distinct()
+    if trusted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        trusted = F.broadcast(trusted)
+    flagged = (docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("t"), "left")
                .select("text", F.col("t").isNotNull().alias("target")))
     counts = counters.summed(flagged.mapInArrow(_count, counters.SPEC), 2 * BUCKETS)
     raw, target = counts[:BUCKETS].astype(np.float64), counts[BUCKETS:].astype(np.float64)
@@ -150,9 +151,9 @@ def _rate(ratios, threshold: float):
     return run
 
 
-def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
+def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, base_failed, kept and the length-normalised score of every row of docs."""
-    ratios = docs.sparkSession.sparkContext.broadcast(likelihood_ratios(docs, labels, target_rows))
+    ratios = docs.sparkSession.sparkContext.broadcast(likelihood_ratios(docs, labels))
     spec = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
             "n_repeat_words long, base_failed boolean, kept boolean, score double")
     return docs.select("doc_id", "text").mapInArrow(_rate(ratios, threshold), spec)

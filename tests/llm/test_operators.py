@@ -265,6 +265,14 @@ def test_quality(edge_docs, edge_rows, tiny_labels, no_labels, no_docs):
     assert quality.rate_documents(no_docs, tiny_labels).collect() == []
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert not quality.likelihood_ratios(docs, labels).any()
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 10)
+    assert not quality.likelihood_ratios(docs, labels).any()
+
+
 def test_toxicity(edge_docs, edge_rows, tiny_labels, no_labels, no_docs):
     for labels in (tiny_labels, no_labels):
         rows = toxicity.score_documents(edge_docs, labels).collect()
