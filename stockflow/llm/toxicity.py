@@ -155,7 +155,7 @@ def fit(rows: list[tuple[str, int, bool]]) -> dict:
         return out
 
     model = {"toxic": _dictionary(samples(toxic, True) or [b" "], TOXIC_BYTES),
-             "ordinary": _dictionary(samples(ordinary, False)[:60_000] or [b" "], ORDINARY_BYTES)}
+             "ordinary": _dictionary(samples(ordinary, False) or [b" "], ORDINARY_BYTES)}
     measure = Measure(model["toxic"], model["ordinary"])
     held = [r for r in rows if r[2]]
     if len({r[1] for r in held}) < 2:

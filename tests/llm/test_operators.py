@@ -282,6 +282,15 @@ def test_toxicity(edge_docs, edge_rows, tiny_labels, no_labels, no_docs):
     assert toxicity.drop_toxic(edge_docs, no_labels).columns == edge_docs.columns
 
 
+def test_toxicity_trains_on_every_sample(monkeypatch):
+    """Texts that sort last reach the ordinary dictionary however many stand before them."""
+    trained = []
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: trained.append(samples) or b"x" * 64)
+    rows = [(f"a{chr(97 + i // 26)}{chr(97 + i % 26)} " + "ordinary words " * 400, 0, False) for i in range(650)]
+    toxicity.fit([*rows, ("zulu " * 8, 0, False), ("bad thing", 1, False), ("bad thing here", 1, True), ("fine", 0, True)])
+    assert len(trained[1]) > 60_000 and any(b"zulu" in s for s in trained[1])
+
+
 def test_toxicity_on_held_out_documents(spark):
     from stockflow.llm.queries import QUERIES
     sf = "/root/testdata/sf0.1"
