@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stockflow.session import ship_package
+
 Kernel = Callable[[pd.DataFrame, dict], pd.DataFrame]
 
 
@@ -32,6 +34,7 @@ def sorted_fold(df: DataFrame, key: list[str], order: list[str], kernel: Kernel,
     """Run ``kernel`` over each task's rows sorted by (key, order)."""
     parts = df.repartition(num_partitions, *key) if num_partitions else df.repartition(*key)
     ordered = parts.sortWithinPartitions(*key, *order)
+    ship_package(df.sparkSession)
 
     def run(batches):
         carry: dict = {}

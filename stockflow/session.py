@@ -58,8 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         master = sc.master if sc is not None else spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        current = tempfile.mkdtemp(prefix="stockflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        current = tempfile.mkdtemp(prefix="stockflow-ckpt-")     # spark.checkpoint.dir itself can't be set any more
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
@@ -89,4 +88,4 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for written intermediates."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+    return f"{base.rstrip('/')}/{name}"
