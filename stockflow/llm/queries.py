@@ -124,3 +124,30 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.licenses import known_licenses, scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+@query("op13_phrase_collocations", oracle=f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(generate_series(1, CAST(len(w) - m + 1 AS BIGINT))) AS i
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (SELECT lang, m, phrase, a, w, unnest(generate_series(1, m - 1)) AS k FROM c),
+s AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ')
+               JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, array_to_string(w[i : i + n - 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT lang, w, a, m, n, unnest(generate_series(1, CAST(m - n + 1 AS BIGINT))) AS i FROM c, (SELECT unnest([2, 3]) AS n) WHERE n < m) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+       CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""")
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of each language."""
+    from stockflow.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
