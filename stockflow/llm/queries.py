@@ -151,3 +151,11 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.phrases import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_personal_data")
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans and the spans that the labelers' model adds."""
+    from stockflow.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
