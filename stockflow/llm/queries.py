@@ -159,3 +159,37 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a decimal text in SQL: eight shift steps for each byte
+_CRC = ("xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), "
+        "lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), "
+        "[CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)")
+
+
+@query("op11_conversation_trie", oracle=f"""
+WITH r AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, sha256(concat(CAST(strlen(role) AS VARCHAR), ':', role, text)) AS id, CAST(strlen(text) AS BIGINT) AS bytes FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM i),
+sz AS (SELECT conv_id, count(*) AS own FROM t GROUP BY 1),
+pl AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format('conv_id')} % 9 AS h FROM sz),
+rb AS (SELECT pl.conv_id, t.pos, id, bytes FROM pl JOIN t ON t.conv_id = pl.base WHERE t.pos <= h
+       UNION ALL SELECT t.conv_id, t.pos - h + least(h, coalesce(b.own, 0)) AS pos, id, bytes
+       FROM t JOIN pl USING (conv_id) LEFT JOIN sz b ON b.conv_id = pl.base WHERE t.pos > h),
+pa AS (SELECT conv_id, pos AS depth, bytes, list(id) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM rb
+       UNION ALL SELECT conv_id, 0, 0, [] FROM pl),
+en AS (SELECT conv_id, max(depth) AS d FROM pa GROUP BY 1),
+nd AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes,
+              string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = d) AS ends FROM pa JOIN en USING (conv_id) GROUP BY path),
+ch AS (SELECT path[1 : CAST(depth - 1 AS BIGINT)] AS path, count(*) AS c FROM nd WHERE depth > 0 GROUP BY 1),
+fl AS (SELECT nd.*, coalesce(c, 0) AS c, path[1 : CAST(depth - 1 AS BIGINT)] AS up FROM nd LEFT JOIN ch USING (path)),
+sub AS (SELECT path[1:k] AS path, sum(CASE WHEN c = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * bytes) AS saved
+        FROM (SELECT *, unnest(generate_series(0, CAST(depth AS BIGINT))) AS k FROM fl) GROUP BY 1)
+SELECT fl.conv_id, CAST(fl.depth AS BIGINT) AS depth, CASE WHEN fl.depth > 0 THEN p.conv_id END AS parent_conv_id, CAST(fl.n AS BIGINT) AS n_convs,
+       CAST(fl.c AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(fl.ends, '')) AS ends_sha256
+FROM fl JOIN sub USING (path) JOIN nd p ON p.path = fl.up""")
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations, one row per node."""
+    from stockflow.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
