@@ -3,10 +3,11 @@
 A text is lower-cased (A-Z only), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words
 ``[^\\x20\\x09]+``. Every word opens a suffix of at most ``longest`` words inside its piece.
 
-1. *Leading words.* One pass counts words and word pairs by 64-bit hash; those seen ``least`` times or more
-   mark a bitmap of fixed size (a false mark costs work, never a result). A phrase can only be frequent
-   if its words and adjacent pairs are, so a suffix pointer ends before its first unmarked pair.
-2. *Routing.* Pointers go, pre-aggregated per slice with their weights, to the task of their two leading
+1. *Leading words.* One pass counts words and word pairs by 64-bit hash, a second one runs of three whose pairs
+   are frequent; those seen ``least`` times or more mark bitmaps of fixed size (a false mark costs work,
+   never a result). A phrase can only be frequent if all its parts are, so a suffix pointer ends where its
+   pairs or runs of three are unmarked.
+2. *Routing.* Pointers go, pre-aggregated in their task with their weights, to the task of their two leading
    words. Pairs seen ``HOT_PAIR`` times or more are routed by three words, so that a hot pair is
    spread; their two-word counts are summed from the parts.
 3. *Sorting.* Each task sorts the pointers of whole routes by multikey three-way quicksort on (language, word 1,
@@ -39,6 +40,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SLOTS = 1 << 25                      # bits of the bitmap of frequent words and pairs
 HOT_SLOTS = 1 << 20                  # bits of the bitmap of hot pairs
 HOT_PAIR = 1 << 17                   # a pair seen as often is routed by three words
+HELD_ROWS = 1 << 19                  # pointers that a task holds to add them up
 CHUNK_ROWS = 1 << 17                 # pointers that are sorted together (whole routes)
 BUCKET = 1 << 15                     # bits of one row of Spark's bitmap aggregate
 _BREAK = np.zeros(256, dtype=bool)
@@ -97,16 +99,30 @@ def _slices(batch: pa.RecordBatch) -> Iterator[Slice]:
         yield Slice(rows.column(rows.schema.get_field_index("lang")).to_pylist(), data, off)
 
 
+def _counted(keys: np.ndarray, pair: bool) -> Iterator[pa.RecordBatch]:
+    key, count = np.unique(keys, return_counts=True)
+    if len(key):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64)),
+                                          pa.array(np.full(len(key), pair))], names=["key", "c", "pair"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, count, is pair) of the words and pairs of each slice."""
     for batch in batches:
         for s in _slices(batch):
-            pairs = s.runs(2)[:-1][s.joined] if len(s.hash) else s.hash
-            for keys, pair in ((tk.mix(s.hash), False), (pairs, True)):
-                key, count = np.unique(keys, return_counts=True)
-                if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64)),
-                                                      pa.array(np.full(len(key), pair))], names=["key", "c", "pair"])
+            yield from _counted(tk.mix(s.hash), False)
+            yield from _counted(s.runs(2)[:-1][s.joined] if len(s.hash) else s.hash, True)
+
+
+def _count_threes(bits):
+    """(hash, count, false) of the runs of three words whose pairs are marked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in _slices(batch):
+                if len(s.hash) > 2:
+                    follows = s.joined & marked(bits.value[0], s.runs(2)[:-1])
+                    yield from _counted(s.runs(3)[:-2][follows[1:] & follows[:-1]], False)
+    return run
 
 
 def bitmap(keys: DataFrame, slots: int) -> np.ndarray:
@@ -129,45 +145,76 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 POINTER = "lang string, route long, deep boolean, words int, phrase string, c long"
 
 
+class Held:
+    """Pointers of one task, added up before they are handed on; at most about HELD_ROWS are held."""
+
+    def __init__(self):
+        self.tables: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.tables.append(pa.Table.from_batches([batch]))
+        self.rows += len(batch)
+        if self.rows > HELD_ROWS:
+            one = merged(pa.concat_tables(self.tables))
+            keep = len(one) < HELD_ROWS // 2
+            self.tables, self.rows = ([one], len(one)) if keep else ([], 0)
+            if not keep:
+                yield from one.to_batches(max_chunksize=1 << 16)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.tables:
+            yield from merged(pa.concat_tables(self.tables)).to_batches(max_chunksize=1 << 16)
+
+
+FIELDS = ["lang", "route", "deep", "words", "phrase", "c"]
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """Equal pointers added up."""
+    out = table.group_by(FIELDS[:-1], use_threads=False).aggregate([("c", "sum")])
+    return out.select([*FIELDS[:-1], "c_sum"]).rename_columns(FIELDS).combine_chunks()
+
+
 def _pointers(bits, longest: int):
-    """Distinct suffix pointers of each slice with weights; words: 0 all words of a language, 1 a single word."""
+    """Distinct suffix pointers of each task with weights; words: 0 all words of a language, 1 a single word."""
+    def found(s: Slice, frequent: np.ndarray, threes: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(s.hash)
+        pair, three = s.runs(2), s.runs(3)
+        follows, goes_on = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        follows[:-1] = s.joined & marked(frequent, pair[:-1])
+        goes_on[:-2] = follows[:-2] & follows[1:-1] & marked(threes, three[:-2])
+        more = np.zeros(n, dtype=np.int64)                  # marked runs of three from each word on
+        for _ in range(longest - 2):
+            more[:-1] = np.where(goes_on[:-1], np.minimum(more[1:] + 1, longest - 2), 0)
+        reach = np.where(follows, 2 + more, 1)
+        spread = marked(hot, pair)
+        at, m, weight, route, far = [], [], [], [], []
+        for k in range(1, longest + 1):
+            own = s.runs(k) if k > 1 else tk.mix(s.hash)
+            i = np.flatnonzero(reach == k) if k > 1 else np.flatnonzero(marked(frequent, own))
+            _, first, count = np.unique(own[i], return_index=True, return_counts=True)
+            i = i[first]
+            at.append(i), m.append(np.full(len(i), k)), weight.append(count)
+            lead = own if k == 1 else np.where(spread, s.runs(min(k, 3)), pair)
+            route.append(lead[i]), far.append(spread[i] & (k > 1))
+        at, m = np.concatenate(at), np.concatenate(m)
+        names, n = pa.array(s.names, pa.string()), len(s.names)
+        yield pa.RecordBatch.from_arrays(
+            [names, pa.array(np.arange(n)), pa.array([False] * n), pa.array([0] * n, pa.int32()),
+             pa.array([""] * n), pa.array(np.bincount(s.lang, minlength=n).astype(np.int64))], names=FIELDS)
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(s.lang[at])), pa.array(np.concatenate(route).view(np.int64)), pa.array(np.concatenate(far)),
+             pa.array(m.astype(np.int32)), s.strings(at, m).cast(pa.string()), pa.array(np.concatenate(weight).astype(np.int64))], names=FIELDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hot = bits.value
+        held = Held()
         for batch in batches:
             for s in _slices(batch):
-                n = len(s.hash)
-                if not n:
-                    continue
-                pair = s.runs(2)
-                follows = np.zeros(n, dtype=bool)
-                follows[:-1] = s.joined & marked(frequent, pair[:-1])
-                reach = np.ones(n, dtype=np.int64)
-                for _ in range(longest - 1):
-                    reach[:-1] = np.where(follows[:-1], np.minimum(reach[1:] + 1, longest), 1)
-                spread = marked(hot, pair)
-                at, m, key, weight, route, far = [], [], [], [], [], []
-                for k in range(1, longest + 1):
-                    own = s.runs(k) if k > 1 else tk.mix(s.hash)
-                    i = np.flatnonzero(reach == k) if k > 1 else np.flatnonzero(marked(frequent, own))
-                    if not len(i):
-                        continue
-                    _, first, count = np.unique(own[i], return_index=True, return_counts=True)
-                    i = i[first]
-                    at.append(i), m.append(np.full(len(i), k)), weight.append(count)
-                    lead = own if k == 1 else np.where(spread, s.runs(min(k, 3)), pair)
-                    route.append(lead[i]), far.append(spread[i] & (k > 1))
-                n = len(s.names)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.names), pa.array(np.arange(n)), pa.array([False] * n), pa.array([0] * n, pa.int32()),
-                     pa.array([""] * n), pa.array(np.bincount(s.lang, minlength=n).astype(np.int64))],
-                    names=["lang", "route", "deep", "words", "phrase", "c"])
-                if not at:
-                    continue
-                at, m = np.concatenate(at), np.concatenate(m)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.names).take(pa.array(s.lang[at])), pa.array(np.concatenate(route).view(np.int64)), pa.array(np.concatenate(far)),
-                     pa.array(m.astype(np.int32)), s.strings(at, m).cast(pa.string()), pa.array(np.concatenate(weight).astype(np.int64))],
-                    names=["lang", "route", "deep", "words", "phrase", "c"])
+                if len(s.hash):
+                    for out in found(s, *bits.value):
+                        yield from held.add(out)
+        yield from held.rest()
     return run
 
 
@@ -239,7 +286,7 @@ def _mine(least: int, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        count, most = 0, 4 * CHUNK_ROWS
         for batch in batches:
             while batch is not None and len(batch):
                 rest = None
@@ -254,16 +301,14 @@ def _mine(least: int, longest: int):
                         batch, rest = batch.slice(0, cut), batch.slice(cut)
                         held.append(batch)
                         yield from counted(pa.Table.from_batches(held))
-                        held, count, batch = [], 0, rest
+                        held, count, most, batch = [], 0, 4 * CHUNK_ROWS, rest
                         continue
                 held.append(batch)
                 count += len(batch)
                 batch = None
-            if count > 4 * CHUNK_ROWS:           # one route larger than a chunk: equal pointers are merged
-                merged = pa.Table.from_batches(held).group_by(["lang", "route", "deep", "words", "phrase"], use_threads=False).aggregate([("c", "sum")])
-                held = merged.select(["lang", "route", "deep", "words", "phrase", "c_sum"]).rename_columns(
-                    ["lang", "route", "deep", "words", "phrase", "c"]).sort_by("route").combine_chunks().to_batches()
-                count = len(merged) if len(merged) < 2 * CHUNK_ROWS else 0
+            if count > most:                     # one route larger than a chunk
+                one = merged(pa.Table.from_batches(held))
+                held, count, most = one.to_batches(), len(one), max(4 * CHUNK_ROWS, 2 * len(one))
         yield from counted(pa.Table.from_batches(held)) if held else ()
     return run
 
@@ -277,7 +322,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     seen = (texts.mapInArrow(_count, "key long, c long, pair boolean").groupBy("key", "pair").agg(F.sum("c").alias("c"))
             .where(F.col("c") >= least))
     seen = stored(seen)
-    bits = spark.sparkContext.broadcast((bitmap(seen, SLOTS), bitmap(seen.where(F.col("pair") & (F.col("c") >= HOT_PAIR)), HOT_SLOTS)))
+    frequent, hot = bitmap(seen, SLOTS), bitmap(seen.where(F.col("pair") & (F.col("c") >= HOT_PAIR)), HOT_SLOTS)
+    first = spark.sparkContext.broadcast((frequent,))
+    threes = (texts.mapInArrow(_count_threes(first), "key long, c long, pair boolean").groupBy("key").agg(F.sum("c").alias("c"))
+              .where(F.col("c") >= least))
+    bits = spark.sparkContext.broadcast((frequent, bitmap(threes, SLOTS), hot))
     pointers = texts.mapInArrow(_pointers(bits, longest), POINTER).repartition("route").sortWithinPartitions("route")
     counts = (pointers.mapInArrow(_mine(least, longest), "lang string, words int, phrase string, c long")
               .groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")))
