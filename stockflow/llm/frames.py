@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockflow.session import ensure_checkpoint_dir
 
 
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
+#: intermediate files are written in small row groups, as a writer holds a whole group in memory
+GROUP_BYTES = str(16 << 20)
+#: bits of one row of Spark's bitmap aggregate
+BUCKET = 1 << 15
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -26,15 +31,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def by_key(docs: DataFrame, keys: DataFrame, how: str, doc: str = "doc_id") -> DataFrame:
     """left_semi or left_anti join of documents with (doc_id, tkey) keys, null ids included.
 
     tkey is the 64-bit key xxhash64(text). The keys are broadcast only when a count has shown them to be few.
     """
-    side = keys.select(F.col(doc).alias("_key_d"), F.col("tkey").alias("_key_t"))
+    d, t = fresh(docs, "key_d", "key_t")
+    side = keys.select(F.col(doc).alias(d), F.col("tkey").alias(t))
     if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_key_d")) & (F.xxhash64(docs["text"]) == F.col("_key_t")), how)
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), how)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,10 +69,22 @@ def stored(df: DataFrame, waves: int = 4, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 1)).write.options(**options).parquet(path)
+    df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 1)).write.options(**{"parquet.block.size": GROUP_BYTES} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(keys: DataFrame, column: str, slots: int) -> np.ndarray:
+    """Bits of the slots of 64-bit keys, built by Spark's bitmap aggregate: slots / 8 bytes whatever the number of keys."""
+    slot = F.col(column).bitwiseAND(slots - 1) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(slots // 8, dtype=np.uint8)
+    for r in rows.collect():
+        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        at = (r.b - 1) * (BUCKET // 8)
+        out[at: at + len(part)] = part[: len(out) - at]
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links by alternating large-star and small-star steps.
 

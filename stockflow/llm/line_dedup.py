@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stockflow.llm import textkit as tk
-from stockflow.llm.frames import by_key, stored
+from stockflow.llm.frames import by_key, fresh, stored
+from stockflow.session import ship_package
 
 MIN_WORDS = 20
 _END = np.zeros(256, dtype=bool)
@@ -131,9 +132,11 @@ def _rewrite(min_words: int):
     return rewrite
 
 
-def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "_n_removed") -> DataFrame:
     """All rows of docs with their columns, text without later repeated runs, and the number of deleted lines
-    (_n_removed). Documents that repeat nothing are handed through."""
+    (a column named by ``removed``; one of that name in docs is replaced). Documents that repeat nothing are
+    handed through."""
+    ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = stored(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(
         _runs(min_words), f"doc_id {kind}, tkey long, keys array<long>, again boolean"))
@@ -143,21 +146,24 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     source = stored(shared.groupBy("h").agg(F.min("p").alias("s"), F.max("p").alias("e")).where("s <> e").select("h", "s"))
     later = shared.join(source, "h").where("p > s").select("p.doc_id", "p.tkey", "h")
     own = lines.where("again").select("doc_id", "tkey", F.lit(None).cast("long").alias("h"))
-    found = stored(later.unionByName(own).groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).agg(F.collect_set("h").alias("later")))
-    keys = found.select(F.col("_d").alias("doc_id"), F.col("_t").alias("tkey"))
+    d, t, runs_, new = fresh(docs, "d", "t", "later", "new")
+    found = stored(later.unionByName(own).groupBy(F.col("doc_id").alias(d), F.col("tkey").alias(t)).agg(F.collect_set("h").alias(runs_)))
+    keys = found.select(F.col(d).alias("doc_id"), F.col(t).alias("tkey"))
     some, rest = by_key(docs, keys, "left_semi"), by_key(docs, keys, "left_anti")
-    joined = some.join(found, some["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(some["text"]) == F.col("_t")))
-    out = joined.select(*[some[c] for c in docs.columns], _rewrite(min_words)(some["text"], F.col("later")).alias("_new"))
-    out = out.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                     F.col("_new.n_removed").alias("_n_removed"))
-    return out.unionByName(rest.select(*docs.columns, F.lit(0).cast("long").alias("_n_removed")))
+    joined = some.join(found, some["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(some["text"]) == F.col(t)))
+    out = joined.select(*[some[c] for c in docs.columns], _rewrite(min_words)(some["text"], F.col(runs_)).alias(new))
+    kept = [c for c in docs.columns if c.lower() != removed.lower()]
+    out = out.select(*[F.col(f"{new}.text").alias("text") if c == "text" else F.col(c) for c in kept],
+                     F.col(f"{new}.n_removed").alias(removed))
+    return out.unionByName(rest.select(*kept, F.lit(0).cast("long").alias(removed)))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with deduplicated texts; a document that consisted of repeated runs alone goes."""
-    out = dedupe_lines(docs, min_words)
+    removed, = fresh(docs, "n_removed")
+    out = dedupe_lines(docs, min_words, removed)
     left = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0
-    return out.where((F.col("_n_removed") == 0) | left).select(*docs.columns)
+    return out.where((F.col(removed) == 0) | left).select(*docs.columns)
 
 
 def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
