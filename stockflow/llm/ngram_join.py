@@ -11,9 +11,11 @@ Plan (every step a DataFrame job, nothing whole on the driver):
 2. *Classes.* A second pass turns each text into its set, the 128-bit digest of the set and the set's
    prefix (the first |x| - ceil(t|x|) + 1 n-grams in rare-first order). Equal sets form one class.
 3. *Prefix join.* Classes that share a prefix n-gram are candidates. Copies must not become all pairs,
-   so ``star_rounds`` rounds compare, per prefix n-gram, only a few leaders with the other classes, and
-   verified links merge classes into components; each n-gram draws its leaders by hash. The last round compares every remaining pair whose
-   components differ (pairs inside a component can't change the result), so no link is lost.
+   so ``star_rounds`` rounds compare, per prefix n-gram, only a few leaders with the other classes; each n-gram
+   draws its leaders by hash. Verified links give every class the least label found within a few steps (two
+   classes with one label are connected). The last round compares every remaining pair whose
+   labels differ (pairs under one label can't change the result), so no link is lost; components are then
+   found among the labels.
 4. *Filters.* Sizes must fit (length), the positions of the first common n-gram must leave room for
    the needed overlap (positional), and the Hamming bound from the counts of both sets over
    ``PARTS`` ranges of the n-gram order must not exceed what the threshold allows (suffix filter,
@@ -38,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stockflow.llm import counters, textkit as tk
-from stockflow.llm.frames import BROADCAST_ROWS, by_key, components, stored
+from stockflow.llm.frames import BROADCAST_ROWS, bitmap, by_key, components, fresh, stored
+from stockflow.session import ship_package
 
 SKETCH = 1 << 21
 WORDS = 1 << 18
-SLOTS = 1 << 23              # one byte each: which hashed n-grams are in two classes or more
+SLOTS = 1 << 23              # one bit each: which hashed n-grams are in two classes or more
 PARTS = 32
 PARTNERS_PER_TASK = 2_000
 LEADERS = 16                 # leaders per n-gram in the first star round; each further round has as many times more
@@ -131,26 +134,18 @@ def _features(n: int, num: int, den: int, rarity):
     return run
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    used = np.zeros(SLOTS, dtype=np.uint8)
-    for batch in batches:
-        used[batch.column(0).to_numpy() & (SLOTS - 1)] = 1
-    yield from counters.emit(used)
-
-
 def _postings(slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = np.unpackbits(slots.value).astype(bool)
         for batch in batches:
             lists = batch.column(2)
             off = lists.offsets.to_numpy().astype(np.int64)
             grams = lists.values.to_numpy()[off[0]: off[-1]]
             off = off - off[0]
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            at = np.flatnonzero(used[grams & (SLOTS - 1)])
+            at = np.flatnonzero(tk.marked(slots.value, grams))
             rows = pa.array(row[at])
             yield pa.RecordBatch.from_arrays([pa.array(grams[at]), batch.column(0).take(rows), batch.column(1).take(rows),
-                                              pa.array((at - off[row[at]]).astype(np.int32))], names=["gram", "class", "size", "pos"])
+                                              pa.array((at - off[row[at]]).astype(np.int32))], names=["gram", "id", "size", "pos"])
     return run
 
 
@@ -174,7 +169,7 @@ def _verify_stream(n: int, num: int, den: int):
                         a.append(leads[i]), b.append(ids[i]), common.append(both)
                 if a:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(common, pa.int64())], names=["a", "b", "common"])
+                        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "common"])
     return run
 
 
@@ -199,16 +194,17 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     row per input row.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     rarity = spark.sparkContext.broadcast(ngram_rarity(texts, n))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     feats = stored(keyed.mapInArrow(
         _features(n, num, den, rarity),
         f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tkey long, size long, class binary, prefix array<long>, parts array<int>"))
+    # equal sets have equal sizes, prefixes and parts: any row of a class stands for it, under a number of 8 bytes
     classes = stored(feats.where("class is not null").groupBy("class").agg(
-        F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least")))
-    one = feats.join(classes, (feats["class"] == classes["class"]) & feats["doc_id"].eqNullSafe(classes["rep.doc_id"])
-                     & (feats["tkey"] == classes["rep.tkey"]), "left_semi")
+        F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least"),
+        *[F.first(c).alias(c) for c in ("size", "prefix", "parts")]).withColumn("id", F.monotonically_increasing_id()))
     # n-grams that may join two classes; only their postings (and a few that share a slot) move again.
     # Of exactly two postings both sizes and positions are known here, so the filters apply at once.
     entry = F.shiftleft(F.col("size"), 32) + F.col("pos")
@@ -216,15 +212,14 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pair = (F.lit(den) * size("e0") >= F.lit(num) * size("e1")) & (
         F.least(pos("e0"), pos("e1")) + 1 + F.least(size("e0") - pos("e0") - 1, size("e1") - pos("e1") - 1)
         >= _needed(size("e0"), size("e1"), num, den))
-    grams = (one.select("size", F.posexplode("prefix").alias("pos", "gram")).select("gram", entry.alias("e")).groupBy("gram")
+    grams = (classes.select("size", F.posexplode("prefix").alias("pos", "gram")).select("gram", entry.alias("e")).groupBy("gram")
              .agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1"))
              .where((F.col("n") > 2) | ((F.col("n") == 2) & pair)).select("gram"))
     grams = stored(grams)
-    slots = spark.sparkContext.broadcast(np.packbits(
-        counters.summed(grams.mapInArrow(_count_slots, counters.SPEC), SLOTS) > 0))
-    postings = one.select("class", "size", "prefix").mapInArrow(_postings(slots), "gram long, class binary, size long, pos int")
-    shared = stored(postings.join(grams, "gram").distinct())
-    parts = feats.where("class is not null").select("class", "size", "parts")
+    slots = spark.sparkContext.broadcast(bitmap(grams, "gram", SLOTS))
+    postings = classes.select("id", "size", "prefix").mapInArrow(_postings(slots), "gram long, id long, size long, pos int")
+    shared = stored(postings.join(grams, "gram"))
+    parts = classes.select("id", "parts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Tight positional filter at the first common n-gram of each pair, then the suffix filter."""
@@ -232,66 +227,63 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                                            F.first("na").alias("na"), F.first("nb").alias("nb"))
         need = _needed(F.col("na"), F.col("nb"), num, den)
         first = first.where(F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need)
-        ids = first.select(F.col("a").alias("class")).union(first.select(F.col("b").alias("class"))).distinct()
-        sig = stored(parts.join(ids, "class").dropDuplicates(["class"]).select("class", "parts"), waves=1)
         gap = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        return (first.join(sig.select(F.col("class").alias("a"), F.col("parts").alias("qa")), "a")
-                .join(sig.select(F.col("class").alias("b"), F.col("parts").alias("qb")), "b")
+        return (first.join(parts.select(F.col("id").alias("a"), F.col("parts").alias("qa")), "a")
+                .join(parts.select(F.col("id").alias("b"), F.col("parts").alias("qb")), "b")
                 .where(gap <= F.col("na") + F.col("nb") - 2 * need).select("a", "b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a: leader), each verified once on whole texts."""
-        ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        need = stored(ids.join(classes, "class"), waves=1)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        need = stored(ids.join(classes.select("id", "rep"), "id"), waves=1)
         small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         side = F.broadcast(need) if small else need
         found = (keyed.join(side, keyed["doc_id"].eqNullSafe(side["rep.doc_id"]) & (keyed["tkey"] == side["rep.tkey"]))
-                 .select("class", "text").dropDuplicates(["class"]))
+                 .select("id", "text").dropDuplicates(["id"]))
         found = stored(found)
         degree = pairs.groupBy("a").agg(F.count("*").alias("deg")).withColumn(
             "salts", F.ceil(F.col("deg") / PARTNERS_PER_TASK).cast("int"))
-        leaders = (degree.join(found, degree["a"] == found["class"])
+        leaders = (degree.join(found, degree["a"] == found["id"])
                    .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"),
                            F.col("a").alias("id"), "text"))
         members = (pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-                   .join(found.withColumnRenamed("class", "b"), "b")
+                   .join(found.withColumnRenamed("id", "b"), "b")
                    .select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "text"))
         return (leaders.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-                .mapInArrow(_verify_stream(n, num, den), "a binary, b binary, common long"))
+                .mapInArrow(_verify_stream(n, num, den), "a long, b long, common long"))
 
-    tried = None
-    links = None
-    labelled = shared.withColumn("comp", F.col("class"))
+    tried = links = labels = None
     for r in range(star_rounds + 1):
-        if links is not None:
-            roots = components(links)
-            labelled = stored(shared.join(roots, shared["class"] == roots["node"], "left")
-                              .select("gram", "class", "size", "pos", F.coalesce("root", "class").alias("comp")))
-        own = labelled
-        if r:
-            mixed = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-            own = stored(labelled.join(mixed, "gram", "left_semi"))
+        if links is None:
+            labelled = shared.withColumn("comp", F.col("id"))
+        else:
+            labels = stored(near_labels(links), waves=1)
+            labelled = stored(shared.join(labels, shared["id"] == labels["node"], "left")
+                              .select("gram", "id", "size", "pos", F.coalesce("label", "id").alias("comp")))
         if r < star_rounds:
             # every n-gram draws its own leader, so a class meets several members of its group
-            draw = F.xxhash64("gram", "class", F.lit(r))
-            lead = own.groupBy("gram", F.pmod(F.xxhash64("class"), F.lit(LEADERS ** (r + 1))).alias("draw")).agg(
-                F.min(F.struct(draw.alias("h"), "size", "class", "pos", "comp")).alias("l"))
-            pairs = own.join(lead, "gram").where("comp <> l.comp").select(
-                F.struct("l.size", "l.class", "l.pos").alias("x"), F.struct("size", "class", "pos").alias("y"))
+            draw = F.xxhash64("gram", "id", F.lit(r))
+            lead = labelled.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(LEADERS ** (r + 1))).alias("draw")).agg(
+                F.min(F.struct(draw.alias("h"), "size", "id", "pos", "comp")).alias("l"))
+            pairs = labelled.join(lead, "gram").where("comp <> l.comp").select(
+                F.struct("l.size", "l.id", "l.pos").alias("x"), F.struct("size", "id", "pos").alias("y"))
         else:
-            # sizes of a component's members in a group bound whether any pair can pass the length filter
-            comps = own.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+            # bounds over a label's members in a group tell whether any pair can pass the length and positional filters
+            comps = labelled.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("pos").alias("pos"),
+                                                         F.max(F.col("size") - F.col("pos")).alias("rest"))
+            least = _needed(F.col("s.lo"), F.col("t.lo"), num, den)
             cross = (comps.alias("s").join(comps.alias("t"), "gram")
                      .where(F.expr(f"s.comp < t.comp and {den} * s.hi >= {num} * t.lo and {den} * t.hi >= {num} * s.lo"))
+                     .where(F.least("s.pos", "t.pos") + F.least("s.rest", "t.rest") >= least)
                      .select("gram", F.col("s.comp").alias("ca"), F.col("t.comp").alias("cb")))
-            x = own.select("gram", F.col("comp").alias("ca"), F.struct("size", "class", "pos").alias("x"))
-            y = own.select("gram", F.col("comp").alias("cb"), F.struct("size", "class", "pos").alias("y"))
+            x = labelled.select("gram", F.col("comp").alias("ca"), F.struct("size", "id", "pos").alias("x"))
+            y = labelled.select("gram", F.col("comp").alias("cb"), F.struct("size", "id", "pos").alias("y"))
             near = (F.lit(den) * F.least("x.size", "y.size") >= F.lit(num) * F.greatest("x.size", "y.size"))
             pairs = cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).where(near).select("x", "y")
-        # the smaller set (then the smaller digest) comes first, so a pair has one name
+        # the smaller set (then the smaller number) comes first, so a pair has one name
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         pairs = pairs.where(_fits("x", "y", num, den)).select(
-            F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"),
+            F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"),
             F.col("x.size").alias("na"), F.col("y.size").alias("nb"))
         pairs = filtered(pairs)
         if tried is not None:
@@ -301,16 +293,34 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
 
-    roots = stored(components(links), waves=1)
-    label = classes.join(roots, classes["class"] == roots["node"], "left").select(
-        classes["class"], "least", F.coalesce("root", classes["class"]).alias("comp"))
+    # labels stand for their classes: components are searched among the links between different labels
+    named = labels if labels is not None else links.select(F.col("a").alias("node"), F.col("a").alias("label")).where("false")
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = (ends.join(named.select(F.col("node").alias(end), F.col("label").alias("l")), end, "left")
+                .withColumn(end, F.coalesce("l", end)).drop("l"))
+    roots = components(ends.where("a <> b"))
+    label = (classes.select("class", "least", "id").join(named, F.col("id") == F.col("node"), "left")
+             .select("class", "least", F.coalesce("label", "id").alias("label"))
+             .join(roots, F.col("label") == F.col("node"), "left").select("class", "least", F.coalesce("root", "label").alias("comp")))
+    label = stored(label, waves=1)
     least = label.groupBy("comp").agg(F.min("least").alias("component_id"))
     label = label.join(least, "comp").select(F.col("class").alias("c"), F.col("comp").alias("component"), "component_id")
-    return (feats.join(label, feats["class"] == F.col("c"), "left")
+    return (feats.select("doc_id", "tkey", "size", "class").join(label, feats["class"] == F.col("c"), "left")
             .select("doc_id", "tkey", F.col("size").alias("n_shingles"), "class", "component",
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def near_labels(links: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, label) of every node with a link: the least node within steps + 1 links. Equal labels mean connected."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label"))
+    for _ in range(steps):
+        labels = (both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"))
+                  .agg(F.least(F.col("a"), F.min("label")).alias("label")))
+    return labels
+
+
 def ngram_dedupe(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs with one document kept per component: the one with the least doc_id (null last, then text key).
 
@@ -324,5 +334,6 @@ def ngram_dedupe(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     left = by_key(docs, out, "left_anti")
     several = rows.where("copies > 1").select("doc_id", "tkey")
     once, again = by_key(left, several, "left_anti"), by_key(left, several, "left_semi")
-    again = again.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    t, = fresh(docs, "tkey")
+    again = again.withColumn(t, F.xxhash64("text")).dropDuplicates(["doc_id", t]).select(*docs.columns)
     return once.unionByName(again)

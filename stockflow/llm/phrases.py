@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stockflow.llm import textkit as tk
-from stockflow.llm.frames import stored
+from stockflow.llm.frames import bitmap, stored
 from stockflow.session import ship_package
 
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -42,7 +42,6 @@ HOT_SLOTS = 1 << 20                  # bits of the bitmap of hot pairs
 HOT_PAIR = 1 << 17                   # a pair seen as often is routed by three words
 HELD_ROWS = 1 << 19                  # pointers that a task holds to add them up
 CHUNK_ROWS = 1 << 17                 # pointers that are sorted together (whole routes)
-BUCKET = 1 << 15                     # bits of one row of Spark's bitmap aggregate
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_BREAK
@@ -120,28 +119,11 @@ def _count_threes(bits):
         for batch in batches:
             for s in _slices(batch):
                 if len(s.hash) > 2:
-                    follows = s.joined & marked(bits.value[0], s.runs(2)[:-1])
+                    follows = s.joined & tk.marked(bits.value[0], s.runs(2)[:-1])
                     yield from _counted(s.runs(3)[:-2][follows[1:] & follows[:-1]], False)
     return run
 
 
-def bitmap(keys: DataFrame, slots: int) -> np.ndarray:
-    """Bits of the keys' slots, built by Spark's bitmap aggregate: slots / 8 bytes whatever the number of keys."""
-    slot = F.col("key").bitwiseAND(slots - 1) + 1
-    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(slots // 8, dtype=np.uint8)
-    for r in rows.collect():
-        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-        at = (r.b - 1) * (BUCKET // 8)
-        out[at: at + len(part)] = part[: len(out) - at]
-    return out
-
-
-def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h & tk.U64(len(bits) * 8 - 1)).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-
-
 POINTER = "lang string, route long, deep boolean, words int, phrase string, c long"
 
 
@@ -182,17 +164,17 @@ def _pointers(bits, longest: int):
         n = len(s.hash)
         pair, three = s.runs(2), s.runs(3)
         follows, goes_on = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        follows[:-1] = s.joined & marked(frequent, pair[:-1])
-        goes_on[:-2] = follows[:-2] & follows[1:-1] & marked(threes, three[:-2])
+        follows[:-1] = s.joined & tk.marked(frequent, pair[:-1])
+        goes_on[:-2] = follows[:-2] & follows[1:-1] & tk.marked(threes, three[:-2])
         more = np.zeros(n, dtype=np.int64)                  # marked runs of three from each word on
         for _ in range(longest - 2):
             more[:-1] = np.where(goes_on[:-1], np.minimum(more[1:] + 1, longest - 2), 0)
         reach = np.where(follows, 2 + more, 1)
-        spread = marked(hot, pair)
+        spread = tk.marked(hot, pair)
         at, m, weight, route, far = [], [], [], [], []
         for k in range(1, longest + 1):
             own = s.runs(k) if k > 1 else tk.mix(s.hash)
-            i = np.flatnonzero(reach == k) if k > 1 else np.flatnonzero(marked(frequent, own))
+            i = np.flatnonzero(reach == k) if k > 1 else np.flatnonzero(tk.marked(frequent, own))
             _, first, count = np.unique(own[i], return_index=True, return_counts=True)
             i = i[first]
             at.append(i), m.append(np.full(len(i), k)), weight.append(count)
@@ -322,11 +304,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     seen = (texts.mapInArrow(_count, "key long, c long, pair boolean").groupBy("key", "pair").agg(F.sum("c").alias("c"))
             .where(F.col("c") >= least))
     seen = stored(seen)
-    frequent, hot = bitmap(seen, SLOTS), bitmap(seen.where(F.col("pair") & (F.col("c") >= HOT_PAIR)), HOT_SLOTS)
+    frequent, hot = bitmap(seen, "key", SLOTS), bitmap(seen.where(F.col("pair") & (F.col("c") >= HOT_PAIR)), "key", HOT_SLOTS)
     first = spark.sparkContext.broadcast((frequent,))
     threes = (texts.mapInArrow(_count_threes(first), "key long, c long, pair boolean").groupBy("key").agg(F.sum("c").alias("c"))
               .where(F.col("c") >= least))
-    bits = spark.sparkContext.broadcast((frequent, bitmap(threes, SLOTS), hot))
+    bits = spark.sparkContext.broadcast((frequent, bitmap(threes, "key", SLOTS), hot))
     pointers = texts.mapInArrow(_pointers(bits, longest), POINTER).repartition("route").sortWithinPartitions("route")
     counts = (pointers.mapInArrow(_mine(least, longest), "lang string, words int, phrase string, c long")
               .groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")))

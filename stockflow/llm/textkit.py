@@ -15,8 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
-CHUNK = 1 << 20
+SLICE_BYTES = 1 << 18
+CHUNK = 1 << 18
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -169,6 +169,12 @@ def shingle_hashes(wh: np.ndarray, k: int) -> np.ndarray:
         return mix(h + U64(k))
 
 
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit in a bitmap (see ``frames.bitmap``)."""
+    slot = h & h.dtype.type(len(bits) * 8 - 1)
+    return (bits[(slot >> h.dtype.type(3)).astype(np.int64)] >> (slot & h.dtype.type(7)).astype(np.uint8)) & 1 == 1
+
+
 def row_counts(row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, minlength=n).astype(np.int64)
 
