@@ -178,11 +178,14 @@ def _needed(nx, ny, num: int, den: int):
     return F.ceil(F.lit(num) * (nx + ny) / F.lit(num + den))
 
 
-def _fits(a: str, b: str, num: int, den: int):
-    """Length and positional filter at one common n-gram (a.size <= b.size); positions count from 0."""
-    na, nb, pa_, pb = (F.col(x) for x in (f"{a}.size", f"{b}.size", f"{a}.pos", f"{b}.pos"))
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (F.lit(den) * na >= F.lit(num) * nb) & (most >= _needed(na, nb, num, den))
+def _fits(num: int, den: int):
+    """Length and positional filter at one common n-gram of sets with sizes xs, ys and positions xp, yp (from 0).
+
+    Plain columns, the same for either order of the two sets: on structs, least() and greatest() would be generated
+    again for every use, into methods that take the compiler more than a gigabyte."""
+    xs, ys, xp, yp = (F.col(c) for c in ("xs", "ys", "xp", "yp"))
+    most = F.least(xp, yp) + 1 + F.least(xs - xp - 1, ys - yp - 1)
+    return (F.lit(den) * F.least(xs, ys) >= F.lit(num) * F.greatest(xs, ys)) & (most >= _needed(xs, ys, num, den))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 1,
@@ -266,7 +269,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             lead = labelled.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(LEADERS ** (r + 1))).alias("draw")).agg(
                 F.min(F.struct(draw.alias("h"), "size", "id", "pos", "comp")).alias("l"))
             pairs = labelled.join(lead, "gram").where("comp <> l.comp").select(
-                F.struct("l.size", "l.id", "l.pos").alias("x"), F.struct("size", "id", "pos").alias("y"))
+                F.col("l.size").alias("xs"), F.col("l.id").alias("xi"), F.col("l.pos").alias("xp"),
+                F.col("size").alias("ys"), F.col("id").alias("yi"), F.col("pos").alias("yp"))
         else:
             # bounds over a label's members in a group tell whether any pair can pass the length and positional filters
             comps = labelled.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("pos").alias("pos"),
@@ -276,15 +280,15 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                      .where(F.expr(f"s.comp < t.comp and {den} * s.hi >= {num} * t.lo and {den} * t.hi >= {num} * s.lo"))
                      .where(F.least("s.pos", "t.pos") + F.least("s.rest", "t.rest") >= least)
                      .select("gram", F.col("s.comp").alias("ca"), F.col("t.comp").alias("cb")))
-            x = labelled.select("gram", F.col("comp").alias("ca"), F.struct("size", "id", "pos").alias("x"))
-            y = labelled.select("gram", F.col("comp").alias("cb"), F.struct("size", "id", "pos").alias("y"))
-            near = (F.lit(den) * F.least("x.size", "y.size") >= F.lit(num) * F.greatest("x.size", "y.size"))
-            pairs = cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).where(near).select("x", "y")
+            x, y = (labelled.select("gram", F.col("comp").alias(c), F.col("size").alias(f"{k}s"), F.col("id").alias(f"{k}i"),
+                                    F.col("pos").alias(f"{k}p")) for c, k in (("ca", "x"), ("cb", "y")))
+            pairs = cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).select("xs", "xi", "xp", "ys", "yi", "yp")
         # the smaller set (then the smaller number) comes first, so a pair has one name
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = pairs.where(_fits("x", "y", num, den)).select(
-            F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"),
-            F.col("x.size").alias("na"), F.col("y.size").alias("nb"))
+        swap = (F.col("xs") > F.col("ys")) | ((F.col("xs") == F.col("ys")) & (F.col("xi") > F.col("yi")))
+        pairs = pairs.where(_fits(num, den)).withColumn("swap", swap).select(
+            *[F.when(F.col("swap"), F.col(f"{v}{c}")).otherwise(F.col(f"{u}{c}")).alias(name)
+              for name, u, v, c in (("a", "x", "y", "i"), ("b", "y", "x", "i"), ("pa", "x", "y", "p"), ("pb", "y", "x", "p"),
+                                    ("na", "x", "y", "s"), ("nb", "y", "x", "s"))])
         pairs = filtered(pairs)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
