@@ -40,7 +40,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SLOTS = 1 << 25                      # bits of the bitmap of frequent words and pairs
 HOT_SLOTS = 1 << 20                  # bits of the bitmap of hot pairs
 HOT_PAIR = 1 << 17                   # a pair seen as often is routed by three words
-HELD_ROWS = 1 << 19                  # pointers that a task holds to add them up
+HELD_ROWS = 1 << 20                  # pointers that a task holds to add them up
 CHUNK_ROWS = 1 << 17                 # pointers that are sorted together (whole routes)
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -139,7 +139,7 @@ class Held:
         self.rows += len(batch)
         if self.rows > HELD_ROWS:
             one = merged(pa.concat_tables(self.tables))
-            keep = len(one) < HELD_ROWS // 2
+            keep = len(one) < HELD_ROWS * 3 // 4
             self.tables, self.rows = ([one], len(one)) if keep else ([], 0)
             if not keep:
                 yield from one.to_batches(max_chunksize=1 << 16)
