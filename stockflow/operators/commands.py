@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from stockflow.functions.enums import ASSIGNED, AVAILABLE, BUSY, CANCELLED, COMPLETED, INACTIVE, IN_PROGRESS, \
     ON_HOLD, ON_LEAVE, PENDING, decode_enum
 from stockflow.functions.scalars import ntz_micros
+from stockflow.operators.automaton import CHUNK_ROWS, time_chunks, walk
 from stockflow.operators.fold import sorted_fold
 from stockflow.session import ensure_checkpoint_dir
 
@@ -143,10 +144,6 @@ ALLOWED = ((PENDING, ASSIGNED), (ASSIGNED, IN_PROGRESS), (IN_PROGRESS, ON_HOLD),
            (ON_HOLD, IN_PROGRESS))
 
 
-def _valid_move(frm: int, to: int) -> bool:
-    return to == CANCELLED or (frm, to) in ALLOWED
-
-
 def valid_move(frm: Column, to: Column) -> Column:
     """Column form of the transition table (for joins / checks outside the fold)."""
     cond = to == CANCELLED
@@ -155,60 +152,28 @@ def valid_move(frm: Column, to: Column) -> Column:
     return cond
 
 
-TRANSITION_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("work_order_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("new_status", T.IntegerType()),
-    T.StructField("accepted", T.BooleanType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("status_before", T.IntegerType()),
-    T.StructField("status_after", T.IntegerType()),
-])
-
-
-def _transition_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
-    keys = pdf["work_order_id"].to_numpy()
-    new = pdf["new_status"].to_numpy(dtype="float64", na_value=np.nan)
-    opening = pdf["opening_status"].to_numpy(dtype="float64", na_value=np.nan)
-    n = len(pdf)
-    reason = np.empty(n, dtype=object)
-    before = np.full(n, np.nan)
-    after = np.full(n, np.nan)
-    cur, st = carry.get("key"), carry.get("st")
-    for i in range(n):
-        if keys[i] != cur:
-            cur, st = keys[i], (None if np.isnan(opening[i]) else int(opening[i]))
-        if st is None:
-            reason[i] = "work_order_not_found"
-            continue
-        before[i] = st
-        to = new[i]
-        if np.isnan(to) or not 0 <= to <= 5:
-            reason[i] = "invalid_status"
-        elif not _valid_move(st, int(to)):
-            reason[i] = "invalid_transition"
-        else:
-            st = int(to)
-        after[i] = st
-    carry.update(key=cur, st=st)
-    out = pdf[["event_id", "work_order_id", "ts", "new_status"]].copy()
-    out["accepted"] = pd.isna(reason)
-    out["reason"] = reason
-    out["status_before"] = pd.Series(before).astype("Int32").values
-    out["status_after"] = pd.Series(after).astype("Int32").values
-    return out
-
-
-def apply_transitions(requests: DataFrame, wo: DataFrame) -> DataFrame:
+def apply_transitions(requests: DataFrame, wo: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Requested status changes per order in (ts, event_id) order -> accepted / rejected.
 
-    Requests: ``event_id, work_order_id, ts, new_status``. The opening status
-    is the order's current status; an unknown order rejects every request.
+    Requests: ``event_id, work_order_id, ts, new_status``. The opening status is the order's current status; an
+    unknown order rejects every request. A request is a map of the six states, so the walk composes maps
+    (``automaton.walk``): SQL only, and an order with more than ``chunk_rows`` requests is split by time.
     """
-    opening = wo.select("work_order_id", F.col("status").alias("opening_status"))
-    j = requests.join(opening, "work_order_id", "left")
-    return sorted_fold(j, ["work_order_id"], ["ts", "event_id"], _transition_kernel, TRANSITION_SCHEMA)
+    opening = wo.select("work_order_id", F.col("status").alias("_opening"))
+    to = F.col("new_status")
+    rows = requests.select("event_id", "work_order_id", "ts", "new_status")
+
+    def step(state: Column, new: Column) -> Column:
+        return F.when(valid_move(state, new), new).otherwise(state)
+    chunk = time_chunks(rows, "work_order_id", "ts", chunk_rows)
+    walked = walk(rows.join(opening, "work_order_id", "left"), "work_order_id", ["ts", "event_id"], "new_status", F.col("_opening"),
+                  6, step, chunk)
+    before = F.col("state_before")
+    reason = (F.when(before.isNull(), F.lit("work_order_not_found"))
+               .when(to.isNull() | ~to.between(0, 5), F.lit("invalid_status"))
+               .when(~valid_move(before, to), F.lit("invalid_transition")))
+    return walked.select("event_id", "work_order_id", "ts", "new_status", reason.isNull().alias("accepted"), reason.alias("reason"),
+                         before.cast("int").alias("status_before"), F.col("state_after").cast("int").alias("status_after"))
 
 
 def final_status(transitions: DataFrame, wo: DataFrame) -> DataFrame:
