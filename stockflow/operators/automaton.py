@@ -81,3 +81,38 @@ def walk(rows: DataFrame, key: str, order: list[str], symbol: str, opening: Colu
            .select(key, F.posexplode("_rows").alias("_i", "_r"), "_states"))
     return out.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in names],
                       F.get("_states", F.col("_i")).alias("state_before"), F.get("_states", F.col("_i") + 1).alias("state_after"))
+
+
+def split_busy(rows: DataFrame, key: str, most: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most ``most`` rows, rows of busier keys or None where there are none).
+
+    The busy keys are found by a partial aggregate and told apart by joins, so they may be many."""
+    busy = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_busy")).count().where(F.col("count") > most).select("_busy")
+    if not busy.limit(1).count():
+        return rows, None
+    same = F.col(key) == F.col("_busy")
+    return rows.join(busy, same, "left_anti"), rows.join(busy, same, "left_semi")
+
+
+def fold_rows(rows: DataFrame, key: str, order: list[str], opening: Column, step: Callable[[Column, Column], Column],
+              block: int = BLOCK) -> DataFrame:
+    """One row per key: its rows in order (``items``) and what ``step`` made of each (``results``, one more: the opening).
+
+    For states that are no small set (stock levels), where maps don't compose: ``step(result, row)`` gives the result
+    of one row, a struct that holds the state after it. A key's rows are one array, walked in blocks so that
+    appending stays cheap; keys of unbounded size must be kept out (``split_busy``)."""
+    names = [c for c in rows.columns if c not in order and c != key]
+    kept = rows.withColumn("_open", opening).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(*order, *names))).alias("items"), F.first("_open").alias("_open"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / block)),
+                         lambda i: F.slice(F.col("items"), (i * block + 1).cast("int"), block))
+
+    def last(seen: Column) -> Column:
+        return F.element_at(seen, -1)
+
+    def walked(start: Column, items: Column) -> Column:
+        return F.aggregate(items, F.array(start), lambda seen, x: F.concat(seen, F.array(step(last(seen), x))))
+    runs = F.aggregate(blocks, F.array(F.array(F.col("_open"))), lambda done, items: F.concat(done, F.array(walked(last(last(done)), items))))
+    # each run begins with the last result of the one before
+    results = F.flatten(F.transform(F.col("_runs"), lambda run, i: F.when(i == 0, run).otherwise(F.slice(run, 2, F.size(run)))))
+    return kept.withColumn("_runs", runs).select(key, "items", results.alias("results"))

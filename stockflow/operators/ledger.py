@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockflow.operators.automaton import CHUNK_ROWS, fold_rows, split_busy, time_chunks
 from stockflow.operators.fold import sorted_fold
+from stockflow.operators.ledger_rules import on_hand_after, reason, reserved_after, step as _step
 
 ORDER = ["ts", "command_id"]
 
@@ -44,8 +46,6 @@ REPLAY_SCHEMA = T.StructType([
     T.StructField("reserved_after", T.LongType()),
 ])
 
-_QTY_COMMANDS = ("receive", "reserve", "release", "issue")
-
 
 # -- W1 ------------------------------------------------------------------------------
 
@@ -98,35 +98,6 @@ def ledger_commands(tx: DataFrame) -> DataFrame:
 
 # -- W2 kernel (per-row helper over one sorted batch) -------------------------------------
 
-def _step(cmd: str, x, oh: int, rs: int):
-    """One guarded command -> (reason or None, on_hand, reserved)."""
-    if x is None:
-        return "invalid_quantity", oh, rs
-    if cmd == "adjust" or cmd == "adjust_by":
-        target = x if cmd == "adjust" else oh + x
-        if target < 0:
-            return "negative_target", oh, rs
-        if target < rs:
-            return "target_below_reserved", oh, rs
-        return None, target, rs
-    if cmd not in _QTY_COMMANDS:
-        return "unknown_command", oh, rs
-    if x <= 0:
-        return "invalid_quantity", oh, rs
-    if cmd == "receive":
-        return None, oh + x, rs
-    if cmd == "reserve":
-        return ("insufficient_available", oh, rs) if x > oh - rs else (None, oh, rs + x)
-    if cmd == "release":
-        return ("insufficient_reserved", oh, rs) if x > rs else (None, oh, rs - x)
-    # issue
-    if x > rs:
-        return "insufficient_reserved", oh, rs
-    if x > oh:
-        return "insufficient_on_hand", oh, rs
-    return None, oh - x, rs - x
-
-
 _CODES = {"receive": 0, "reserve": 1, "release": 2, "issue": 3, "adjust": 4, "adjust_by": 5}
 
 
@@ -204,21 +175,83 @@ def _with_opening(commands: DataFrame, opening: DataFrame | None) -> DataFrame:
                     .fillna(0, subset=["opening_on_hand", "opening_reserved"]))
 
 
-def replay(commands: DataFrame, opening: DataFrame | None = None, fast_path: bool = True) -> DataFrame:
+_STATE = "struct<reason:string,oh:bigint,rs:bigint>"
+
+
+def _sql_step(state, x):
+    c, q, oh, rs = x["command"], x["quantity"], state["oh"], state["rs"]
+    why = reason(c, q, oh, rs)
+    return F.struct(why.alias("reason"), F.when(why.isNull(), on_hand_after(c, q, oh)).otherwise(oh).alias("oh"),
+                    F.when(why.isNull(), reserved_after(c, q, rs)).otherwise(rs).alias("rs")).cast(_STATE)
+
+
+def _walked(cmds: DataFrame) -> DataFrame:
+    """inventory_id, items, results of every location (see ``fold_rows``): SQL only, for locations of bounded size."""
+    opening = F.struct(F.lit(None).cast("string").alias("reason"), F.col("opening_on_hand").alias("oh"), F.col("opening_reserved").alias("rs")).cast(_STATE)
+    rows = cmds.select("inventory_id", *ORDER, "command", "quantity", "work_order_id", "opening_on_hand", "opening_reserved")
+    return fold_rows(rows, "inventory_id", ORDER, opening, _sql_step)
+
+
+def clean_prefix(cmds: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows of busy locations with the state before them if every command were accepted, and ``dirty``: whether a
+    guard has failed at this row or before it.
+
+    Sums run per (location, time chunk); earlier chunks come in through a small locations x chunks table, so one
+    location with half of all rows is many windows. Up to a location's first violation these states are exact;
+    an absolute adjustment needs the state itself and counts as one.
+    """
+    chunk = time_chunks(cmds, "inventory_id", "ts", chunk_rows)
+    c, q = F.col("command"), F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint")
+    rows = cmds.withColumns({
+        "_chunk": F.lit(0).cast("long") if chunk is None else chunk,
+        "_doh": F.when(c.isin("receive", "adjust_by"), q).when(c == "issue", -q).otherwise(F.lit(0).cast("bigint")),
+        "_drs": F.when(c == "reserve", q).when(c.isin("release", "issue"), -q).otherwise(F.lit(0).cast("bigint"))})
+    inside = Window.partitionBy("inventory_id", "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("inventory_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    carry = rows.groupBy("inventory_id", "_chunk").agg(F.sum("_doh").alias("a"), F.sum("_drs").alias("b")).select(
+        "inventory_id", "_chunk", F.coalesce(F.sum("a").over(earlier), zero).alias("_coh"), F.coalesce(F.sum("b").over(earlier), zero).alias("_crs"))
+    rows = rows.withColumns({"_roh": F.sum("_doh").over(inside), "_rrs": F.sum("_drs").over(inside)}).join(carry, ["inventory_id", "_chunk"])
+    rows = rows.withColumns({"_oh": F.col("opening_on_hand") + F.col("_coh") + F.col("_roh") - F.col("_doh"),
+                             "_rs": F.col("opening_reserved") + F.col("_crs") + F.col("_rrs") - F.col("_drs")})
+    bad = reason(c, F.col("quantity"), F.col("_oh"), F.col("_rs")).isNotNull() | F.coalesce(c == "adjust", F.lit(False))
+    first = rows.withColumn("_bad", bad).where("_bad").groupBy("inventory_id").agg(F.min(F.struct(*ORDER)).alias("_first"))
+    return (rows.join(first, "inventory_id", "left").withColumn("dirty", F.col("_first").isNotNull() & (F.struct(*ORDER) >= F.col("_first")))
+                .drop("_chunk", "_doh", "_drs", "_coh", "_crs", "_roh", "_rrs", "_first"))
+
+
+def _busy_replay(cmds: DataFrame, chunk_rows: int) -> DataFrame:
+    """Replay of busy locations: their clean prefixes in chunks, the rest in one streaming fold from the state before it."""
+    split = clean_prefix(cmds, chunk_rows)
+    c, q, oh, rs = F.col("command"), F.col("quantity"), F.col("_oh"), F.col("_rs")
+    clean = split.where(~F.col("dirty")).select(
+        "inventory_id", *ORDER, "command", "quantity", "work_order_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
+        oh.alias("on_hand_before"), rs.alias("reserved_before"), on_hand_after(c, q, oh).alias("on_hand_after"), reserved_after(c, q, rs).alias("reserved_after"))
+    dirty = (split.where("dirty").withColumns({"opening_on_hand": oh, "opening_reserved": rs}).drop("_oh", "_rs", "dirty"))
+    folded = sorted_fold(dirty, ["inventory_id"], ORDER, _ledger_kernel, REPLAY_SCHEMA)
+    names = [f.name for f in REPLAY_SCHEMA]
+    return clean.select(*names).unionByName(folded)
+
+
+def replay(commands: DataFrame, opening: DataFrame | None = None, fast_path: bool = True, busy_rows: int = CHUNK_ROWS) -> DataFrame:
     """Apply commands per location in order with guards; one result row per command.
 
-    One shuffle (hash by location) and one sort (location, ts, id), then the
-    batch kernel. With ``fast_path`` the kernel uses prefix sums for every
-    location up to its first guard violation (exact: the first violation is
-    visible in the prefix sums) and walks row by row only from there; without
-    it every row is walked (kept as a cross-check).
+    Locations of at most ``busy_rows`` commands are walked in SQL, one array per location. Busier ones (one aggregate
+    finds them) are split by their first guard violation: what lies before it needs only prefix sums per time
+    chunk, what follows runs through the streaming fold kernel. ``fast_path=False`` walks every row in the kernel
+    (kept as a cross-check).
     """
     cmds = _with_opening(commands, opening)
-
-    def kernel(pdf, carry):
-        return _ledger_kernel(pdf, carry, vectorized=fast_path)
-
-    return sorted_fold(cmds, ["inventory_id"], ORDER, kernel, REPLAY_SCHEMA)
+    if not fast_path:
+        return sorted_fold(cmds, ["inventory_id"], ORDER, lambda pdf, carry: _ledger_kernel(pdf, carry, vectorized=False), REPLAY_SCHEMA)
+    small, busy = split_busy(cmds, "inventory_id", busy_rows)
+    w = _walked(small)
+    one = w.select("inventory_id", F.posexplode("items").alias("_i", "_x"), "results").withColumns(
+        {"_b": F.get("results", F.col("_i")), "_a": F.get("results", F.col("_i") + 1)})
+    out = one.select("inventory_id", "_x.command_id", "_x.ts", "_x.command", "_x.quantity", "_x.work_order_id",
+                     F.col("_a.reason").isNull().alias("accepted"), "_a.reason", F.col("_b.oh").alias("on_hand_before"), F.col("_b.rs").alias("reserved_before"),
+                     F.col("_a.oh").alias("on_hand_after"), F.col("_a.rs").alias("reserved_after"))
+    return out if busy is None else out.unionByName(_busy_replay(busy, busy_rows))
 
 
 # -- W3-W5 ---------------------------------------------------------------------------------
@@ -239,44 +272,17 @@ def closing(replayed: DataFrame) -> DataFrame:
                             "command_count", "accepted_count", "rejected_count"))
 
 
-CLOSING_PART_SCHEMA = T.StructType([
-    T.StructField("inventory_id", T.LongType()),
-    T.StructField("last_ts", T.TimestampNTZType()),
-    T.StructField("last_id", T.StringType()),
-    T.StructField("on_hand", T.LongType()),
-    T.StructField("reserved", T.LongType()),
-    T.StructField("commands", T.LongType()),
-    T.StructField("accepted", T.LongType()),
-])
-
-
-def replay_closing(commands: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    """W3 fused with W2: the fold kernel emits, per batch, one partial row per location (its last
-    state and counts), so only those rows return to the JVM; a location that spans two Arrow
-    batches gives two partial rows, merged by a final ``max_by`` aggregate. Same result as
-    ``closing(replay(...))``."""
+def replay_closing(commands: DataFrame, opening: DataFrame | None = None, busy_rows: int = CHUNK_ROWS) -> DataFrame:
+    """W3 fused with W2: the closing state and counts come straight from each location's walked array; only busy
+    locations go through the rows of ``replay``. Same result as ``closing(replay(...))``."""
     cmds = _with_opening(commands, opening)
-
-    def kernel(pdf, carry):
-        out = _ledger_kernel(pdf, carry)
-        g = out.groupby("inventory_id", sort=False)
-        last = g.tail(1).set_index("inventory_id")
-        res = pd.DataFrame({
-            "inventory_id": last.index.to_numpy(),
-            "last_ts": last["ts"].to_numpy(), "last_id": last["command_id"].to_numpy(),
-            "on_hand": last["on_hand_after"].to_numpy(), "reserved": last["reserved_after"].to_numpy(),
-            "commands": g.size().reindex(last.index).to_numpy(),
-            "accepted": g["accepted"].sum().reindex(last.index).to_numpy()})
-        return res
-
-    parts = sorted_fold(cmds, ["inventory_id"], ORDER, kernel, CLOSING_PART_SCHEMA)
-    last = F.max_by(F.struct("on_hand", "reserved"), F.struct("last_ts", "last_id"))
-    return (parts.groupBy("inventory_id")
-                 .agg(last.alias("_last"), F.sum("commands").alias("command_count"),
-                      F.sum("accepted").alias("accepted_count"))
-                 .select("inventory_id", F.col("_last.on_hand").alias("closing_on_hand"),
-                         F.col("_last.reserved").alias("closing_reserved"), "command_count", "accepted_count",
-                         (F.col("command_count") - F.col("accepted_count")).alias("rejected_count")))
+    small, busy = split_busy(cmds, "inventory_id", busy_rows)
+    n = F.size("items").cast("long")
+    end = F.element_at("results", -1)
+    rejected = F.size(F.filter("results", lambda r: r["reason"].isNotNull())).cast("long")
+    out = _walked(small).select("inventory_id", end["oh"].alias("closing_on_hand"), end["rs"].alias("closing_reserved"),
+                                n.alias("command_count"), (n - rejected).alias("accepted_count"), rejected.alias("rejected_count"))
+    return out if busy is None else out.unionByName(closing(_busy_replay(busy, busy_rows)))
 
 
 EVENT_COLUMNS = ["event_id", "event_type", "occurred_on", "inventory_id", "part_id", "work_order_id", "warehouse",
