@@ -116,3 +116,42 @@ def fold_rows(rows: DataFrame, key: str, order: list[str], opening: Column, step
     # each run begins with the last result of the one before
     results = F.flatten(F.transform(F.col("_runs"), lambda run, i: F.when(i == 0, run).otherwise(F.slice(run, 2, F.size(run)))))
     return kept.withColumn("_runs", runs).select(key, "items", results.alias("results"))
+
+
+def sums_before(rows: DataFrame, key: str, order: list[str], values: dict[str, Column], chunk: Column | None = None) -> DataFrame:
+    """rows with a column per value: its sum over the key's earlier rows. With a ``chunk`` (see ``time_chunks``) the sums
+    run inside (key, chunk) and take the earlier chunks' totals from a small keys x chunks table."""
+    zero = F.lit(0).cast("bigint")
+
+    def over(window, c):
+        return F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    if chunk is None:
+        return rows.withColumns({n: over(Window.partitionBy(key).orderBy(*order), v) for n, v in values.items()})
+    rows = rows.withColumns({"_chunk": chunk, **{f"_v_{n}": v for n, v in values.items()}})
+    along = Window.partitionBy("_k").orderBy("_c")
+    carry = rows.groupBy(F.col(key).alias("_k"), F.col("_chunk").alias("_c")).agg(*[F.sum(f"_v_{n}").alias(n) for n in values]).select(
+        "_k", "_c", *[over(along, F.col(n)).alias(f"_t_{n}") for n in values])
+    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
+    out = rows.withColumns({n: over(inside, F.col(f"_v_{n}")) for n in values})
+    out = out.join(carry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    return out.withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in values}).drop(
+        "_chunk", "_k", "_c", *[f"_v_{n}" for n in values], *[f"_t_{n}" for n in values])
+
+
+def numbered(rows: DataFrame, group: list[str], first: str, ts: str, order: list[str], name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """rows with a dense number (from 1) per group, in the order of ``first`` (few values), time and ``order``.
+
+    Rows are numbered inside (group, first, time chunk) and shifted by the counts of the parts before, a small table;
+    the chunks' width comes from the largest group, so no task numbers a whole group."""
+    key = F.struct(*group)
+    chunk = time_chunks(rows.withColumn("_g", key), "_g", ts, chunk_rows)
+    rows = rows.withColumn("_chunk", F.lit(0).cast("bigint") if chunk is None else F.coalesce(chunk, F.lit(-1).cast("bigint")))
+    part = [*group, first, "_chunk"]
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("_n"))
+    along = Window.partitionBy(*group).orderBy(first, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_shift"))
+    same = F.lit(True)
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    inside = rows.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+    return inside.join(shift, same).withColumn(name, (F.col(name) + F.col("_shift")).cast("bigint")).drop("_chunk", "_shift", *[f"_p{i}" for i in range(len(part))])

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockflow.operators.automaton import CHUNK_ROWS, fold_rows, split_busy, time_chunks
+from stockflow.operators.automaton import CHUNK_ROWS, fold_rows, numbered, split_busy, sums_before, time_chunks
 from stockflow.operators.fold import sorted_fold
 from stockflow.operators.ledger_rules import on_hand_after, reason, reserved_after, step as _step
+from stockflow.session import ensure_checkpoint_dir
 
 ORDER = ["ts", "command_id"]
 
@@ -49,13 +50,13 @@ REPLAY_SCHEMA = T.StructType([
 
 # -- W1 ------------------------------------------------------------------------------
 
-def running_balance(tx: DataFrame, chunk: str = "month") -> DataFrame:
+def running_balance(tx: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """On hand / reserved / available after each ledger row (ledger signs, no guards).
 
     on_hand = Receipt + Issue + Adjustment; reserved = Reservation + Release + Issue.
 
     A running sum is a prefix sum, so a location with a very long history is
-    split exactly: the window runs per (location, ``chunk`` of time), and each
+    split exactly: the window runs per (location, time chunk; see ``time_chunks``), and each
     chunk is shifted by the totals of the location's earlier chunks (a small
     locations x chunks table with its own window). No task ever holds a whole
     location's history.
@@ -63,7 +64,8 @@ def running_balance(tx: DataFrame, chunk: str = "month") -> DataFrame:
     t, q = F.col("transaction_type"), F.col("quantity")
     d_oh = F.when(t.isin("Receipt", "Issue", "Adjustment"), q).otherwise(0).cast("bigint")
     d_rs = F.when(t.isin("Reservation", "Release", "Issue"), q).otherwise(0).cast("bigint")
-    rows = tx.withColumns({"_chunk": F.date_trunc(chunk, "transaction_date"), "_doh": d_oh, "_drs": d_rs})
+    chunk = time_chunks(tx, "inventory_id", "transaction_date", chunk_rows)
+    rows = tx.withColumns({"_chunk": F.lit(0).cast("bigint") if chunk is None else chunk, "_doh": d_oh, "_drs": d_rs})
     spec = Window.partitionBy("inventory_id", "_chunk").orderBy("transaction_date", "transaction_id")
     run = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -375,75 +377,99 @@ def allocate(requests: DataFrame, inv: DataFrame) -> DataFrame:
                             F.when(F.col("fulfilled"), take).otherwise(F.lit(0)).cast("bigint").alias("taken")))
 
 
-QUEUE_SCHEMA = T.StructType([
-    T.StructField("work_order_id", T.LongType()),
-    T.StructField("line_no", T.IntegerType()),
-    T.StructField("part_id", T.LongType()),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("line_accepted", T.BooleanType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("demand_before", T.LongType()),
-    T.StructField("demand_after", T.LongType()),
-])
-
 QUEUE_ORDER = ["created_at", "work_order_id", "line_no", "quantity"]
 
 
-def _queue_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
-    keys = pdf["part_id"].to_numpy()
-    qty = pdf["quantity"].to_numpy(dtype="float64", na_value=np.nan)
-    total = pdf["total_available"].to_numpy(dtype="float64", na_value=np.nan)
-    n = len(pdf)
-    reason = np.empty(n, dtype=object)
-    before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    cur, used = carry.get("key"), carry.get("used", 0)
-    for i in range(n):
-        if keys[i] != cur:
-            cur, used = keys[i], 0
-        before[i] = used
-        q = qty[i]
-        if np.isnan(total[i]):
-            reason[i] = "part_not_found"
-        elif np.isnan(q) or q < 1:
-            reason[i] = "invalid_quantity"
-        elif used + q > total[i]:
-            reason[i] = "insufficient_inventory"
-        else:
-            used += int(q)
-        after[i] = used
-    carry.update(key=cur, used=used)
-    out = pdf[["work_order_id", "line_no", "part_id", "quantity", "created_at"]].copy()
-    out["line_accepted"] = pd.isna(reason)
-    out["reason"] = reason
-    out["demand_before"], out["demand_after"] = before, after
-    return out
+FINISH_ROWS = 200_000
+
+
+def committed_orders(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """work_order_id, order_committed: which orders get all their lines when orders are served one after another.
 
+    An order is a transaction: it takes all its units or, if one line doesn't fit what the earlier committed
+    orders have left, none. Whether it commits depends on earlier orders through every part it needs, so it is decided
+    from two sides until nothing is open: an order that fits even if all earlier open orders commit, commits;
+    one that doesn't fit even if none of them does, fails. The first open order always decides, decisions never
+    change, and only parts that open orders need are summed again. Each round is written to the checkpoint folder. The
+    last ``FINISH_ROWS`` rows are walked in order by one task, whose memory that number bounds.
 
-def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> DataFrame:
+    lines: work_order_id, created_at, part_id, quantity, total_available (null: unknown part).
+    """
+    ensure_checkpoint_dir(lines.sparkSession)
+    valid = F.coalesce(F.col("total_available").isNotNull() & (F.col("quantity") >= 1), F.lit(False))
+    needs = (lines.groupBy("work_order_id", "part_id")
+             .agg(F.min("created_at").alias("created_at"), F.sum(F.col("quantity").cast("bigint")).alias("need"),
+                  F.max("total_available").alias("total"), F.bool_and(valid).alias("valid")).checkpoint())
+    invalid = needs.where("not valid").select(F.col("work_order_id").alias("_w")).distinct()
+    decided = invalid.select(F.col("_w").alias("work_order_id"), F.lit(False).alias("order_committed"))
+    rows = (needs.join(invalid, F.col("work_order_id") == F.col("_w"), "left_anti")
+            .select("work_order_id", "part_id", "created_at", "need", "total", F.lit(0).alias("state")))     # 0 open, 1 committed, -1 failed
+    chunk = time_chunks(rows, "part_id", "created_at", chunk_rows)
+    zero = F.lit(0).cast("bigint")
+    while rows.limit(finish_rows + 1).count() > finish_rows:
+        sums = sums_before(rows, "part_id", ["created_at", "work_order_id"],
+                           {"most": F.col("need"), "least": F.when(F.col("state") == 1, F.col("need")).otherwise(zero)}, chunk)
+        verdict = sums.where("state = 0").groupBy(F.col("work_order_id").alias("_w")).agg(
+            F.when(F.bool_and(F.col("most") + F.col("need") <= F.col("total")), F.lit(1))
+             .when(F.bool_or(F.col("least") + F.col("need") > F.col("total")), F.lit(-1)).otherwise(F.lit(0)).alias("_s"))
+        judged = rows.join(verdict, F.col("work_order_id") == F.col("_w"), "left").drop("_w").checkpoint()
+        decided = decided.unionByName(judged.where("_s <> 0").select("work_order_id", (F.col("_s") == 1).alias("order_committed")).distinct())
+        rows = judged.withColumn("state", F.coalesce("_s", "state")).drop("_s").where("state >= 0")
+        open_parts = rows.where("state = 0").select(F.col("part_id").alias("_p")).distinct()
+        rows = rows.join(open_parts, F.col("part_id") == F.col("_p"), "left_semi").checkpoint()
+    orders = rows.groupBy("work_order_id").agg(F.min("created_at").alias("created_at"), F.max("state").alias("state"),
+                                               *[F.collect_list(c).alias(c) for c in ("part_id", "need", "total")]).withColumn("_one", F.lit(0))
+    last = sorted_fold(orders, ["_one"], ["created_at", "work_order_id"], _commit_kernel, "work_order_id long, order_committed boolean, state int")
+    return decided.unionByName(last.where("state = 0").drop("state"))
+
+
+def _commit_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
+    """Orders in their order, with what each part has promised so far."""
+    used = carry.setdefault("used", {})
+    ok = []
+    for state, parts, needs, totals in zip(pdf["state"], pdf["part_id"], pdf["need"], pdf["total"]):
+        fits = state == 1 or all(used.get(p, 0) + n <= t for p, n, t in zip(parts, needs, totals))
+        if fits:
+            for p, n in zip(parts, needs):
+                used[p] = used.get(p, 0) + n
+        ok.append(fits)
+    return pd.DataFrame({"work_order_id": pdf["work_order_id"], "order_committed": ok, "state": pdf["state"]})
+
+
+def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame, chunk_rows: int = CHUNK_ROWS,
+                   finish_rows: int = FINISH_ROWS) -> DataFrame:
     """Many requests per part, served in (created, order, line) order against one snapshot.
 
-    1. Per part, a line is accepted when the units already promised plus its
-       quantity fit the part's total available (active locations); otherwise it
-       takes nothing (sorted streaming fold per part).
-    2. Orders with any failed line are flagged *not committed*: nothing is taken for
-       them (``taken`` 0). Their units stay promised within the batch and are
-       offered again with the next one.
-    3. Accepted lines are split over locations by overlapping the cumulative
-       demand interval [before, after) with each location's cumulative supply
-       interval (active locations with stock, in warehouse-name order). Each line
-       meets at most one location per warehouse, so the range join is bounded.
-
-    Output: one row per (line, location) take; a line that takes nothing
-    appears once with a NULL location.
+    1. ``committed_orders`` decides which orders get all their lines. The units of a failed order stay free for the
+       orders after it, as a rolled-back transaction leaves them.
+    2. A line is accepted when the units of the committed orders before it, those of its own order's earlier lines
+       and its own fit the part's total available (active locations).
+    3. Lines of committed orders are split over locations by overlapping the cumulative demand interval
+       [before, after) with each location's cumulative supply interval (active locations with stock, in
+       warehouse-name order). Each line meets at most one location per warehouse, so the range join is bounded.
+
+    Output: one row per (line, location) take; a line that takes nothing appears once with a NULL location.
     """
     raw = F.col("quantity_on_hand") - F.col("quantity_reserved")
     active = inv.where(F.col("is_active"))
     totals = active.groupBy("part_id").agg(F.sum(raw).alias("total_available"))
     known = parts.select("part_id").join(totals, "part_id", "left").fillna(0, subset=["total_available"])
-    lines = requests.join(known, "part_id", "left")
-    folded = sorted_fold(lines, ["part_id"], QUEUE_ORDER, _queue_kernel, QUEUE_SCHEMA)
-
+    lines = requests.select("work_order_id", "line_no", "part_id", "quantity", "created_at").join(known, "part_id", "left")
+    lines = lines.join(committed_orders(lines, chunk_rows, finish_rows), "work_order_id")
+    units = F.when(F.coalesce((F.col("quantity") >= 1) & F.col("total_available").isNotNull(), F.lit(False)), F.col("quantity").cast("bigint")).otherwise(
+        F.lit(0).cast("bigint"))
+    yes = F.col("order_committed")
+    own = Window.partitionBy("work_order_id", "part_id").orderBy(*QUEUE_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    lines = sums_before(lines, "part_id", QUEUE_ORDER, {"_taken": F.when(yes, units).otherwise(F.lit(0).cast("bigint"))},
+                        time_chunks(lines, "part_id", "created_at", chunk_rows))
+    before = F.col("_taken") + F.when(yes, F.lit(0).cast("bigint")).otherwise(F.coalesce(F.sum(units).over(own), F.lit(0).cast("bigint")))
+    lines = lines.withColumn("demand_before", before)
+    why = (F.when(F.col("total_available").isNull(), F.lit("part_not_found"))
+            .when(F.coalesce(F.col("quantity") < 1, F.lit(True)), F.lit("invalid_quantity"))
+            .when(F.col("demand_before") + F.col("quantity") > F.col("total_available"), F.lit("insufficient_inventory")))
+    folded = lines.select("work_order_id", "line_no", "part_id", "quantity", "created_at", why.isNull().alias("line_accepted"), why.alias("reason"),
+                          "demand_before", (F.col("demand_before") + F.when(yes, units).otherwise(F.lit(0).cast("bigint"))).alias("demand_after"),
+                          "order_committed")
     av = F.greatest(raw, F.lit(0))
     supply = (active.where(raw > 0)
                     .select(F.col("part_id").alias("_pid"), "inventory_id", "warehouse", av.alias("_av"))
@@ -451,36 +477,31 @@ def allocate_queue(requests: DataFrame, inv: DataFrame, parts: DataFrame) -> Dat
                                                           .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                     .withColumn("_slo", F.col("_shi") - F.col("_av")))
     lo, hi = F.col("demand_before"), F.col("demand_after")
-    # one left range join serves both kinds of line: a rejected line has an empty demand
+    # one left range join serves both kinds of line: a line that takes nothing has an empty demand
     # interval (before == after), which the lo < hi test keeps from meeting any location
     cond = (F.col("part_id") == F.col("_pid")) & (lo < hi) & (lo < F.col("_shi")) & (F.col("_slo") < hi)
     taken = F.when(F.col("_pid").isNotNull(), F.least(hi, F.col("_shi")) - F.greatest(lo, F.col("_slo"))) \
              .otherwise(F.lit(0).cast("bigint"))
-    per_order = Window.partitionBy("work_order_id")
-    return (folded.join(supply, cond, "left")
-                  .withColumn("taken", taken)
-                  .withColumn("order_committed", F.bool_and("line_accepted").over(per_order))
-                  .withColumn("taken", F.when(F.col("order_committed"), F.col("taken")).otherwise(F.lit(0).cast("bigint")))
-                  .drop("_pid", "_av", "_shi", "_slo"))
+    return folded.join(supply, cond, "left").withColumn("taken", taken).drop("_pid", "_av", "_shi", "_slo")
 
 
-def reorder_suggestions(low_events: DataFrame, top_k: int | None = None) -> DataFrame:
+def reorder_suggestions(low_events: DataFrame, top_k: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """L4: one suggestion per low-stock event: order the stored reorder quantity; Critical when
-    nothing is available, else Normal.
+    nothing is available, else Normal; ``urgency_rank`` per warehouse (Critical first, then oldest, then event id).
 
-    With ``top_k`` only the k most urgent suggestions per warehouse are kept (Critical first, then
-    oldest, then event id) with their ``urgency_rank``. ``row_number() <= k`` lets Spark limit each
-    partition before the shuffle, so no warehouse is ever ranked as a whole.
+    With ``top_k`` only the k most urgent suggestions per warehouse are kept: ``row_number() <= k`` lets Spark limit
+    each partition before the shuffle. Without it the rank is counted per (warehouse, priority, time chunk) and
+    shifted by the counts before, so no warehouse is ranked as a whole.
     """
     out = low_events.select(
         "part_id", "warehouse", "inventory_id", F.col("reorder_qty").alias("quantity_to_order"),
         F.when(F.col("available") == 0, F.lit("Critical")).otherwise(F.lit("Normal")).alias("priority"),
         F.col("occurred_on").alias("created_at"), F.col("event_id").alias("source_event_id"))
     if top_k is None:
-        return out
+        return numbered(out, ["warehouse"], "priority", "created_at", ["created_at", "source_event_id"], "urgency_rank", chunk_rows)
     w = Window.partitionBy("warehouse").orderBy((F.col("priority") == "Critical").desc(), "created_at",
                                                 "source_event_id")
-    return out.withColumn("urgency_rank", F.row_number().over(w)).where(F.col("urgency_rank") <= top_k)
+    return out.withColumn("urgency_rank", F.row_number().over(w).cast("bigint")).where(F.col("urgency_rank") <= top_k)
 
 
 def tx_view(tx: DataFrame) -> DataFrame:

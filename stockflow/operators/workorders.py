@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stockflow.functions import scalars as X
 from stockflow.functions.enums import AVAILABLE, CANCELLED, COMPLETED, CRITICAL, HIGH, IN_PROGRESS, ON_HOLD, \
     ON_LEAVE, PENDING
+from stockflow.operators.automaton import CHUNK_ROWS, numbered
 
 
 def is_open() -> Column:
@@ -246,26 +247,17 @@ def equipment_master(wo: DataFrame) -> DataFrame:
               .withColumn("has_conflict", F.col("type_count") > 1))
 
 
-def assign_numbers(wo: DataFrame, buckets: int = 64) -> DataFrame:
-    """Deterministic 'WO-<year>-<n>' numbers, dense per year.
+def assign_numbers(wo: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Deterministic 'WO-<year>-<n>' numbers, dense per year in (created, id) order.
 
-    A single window over a whole year would put that year in one task; instead
-    rows are numbered inside (year, id bucket) and shifted by the row counts of
-    the earlier buckets of the same year (a small years x buckets table).
+    A single window over a whole year would put that year in one task; ``numbered`` cuts a year by time, as
+    finely as its number of orders asks for, and shifts the parts by the counts before them.
     """
-    b = F.pmod(F.col("work_order_id"), F.lit(buckets))
-    base = wo.withColumns({"_year": F.year("created_at"), "_bucket": b})
-    w = Window.partitionBy("_year", "_bucket").orderBy("created_at", "work_order_id")
-    ranked = base.withColumn("_rn", F.row_number().over(w))
-    sizes = base.groupBy("_year", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_offset", F.sum("_n").over(Window.partitionBy("_year").orderBy("_bucket")
-                                    .rowsBetween(Window.unboundedPreceding, -1)))
-    out = ranked.join(offsets.select("_year", "_bucket", F.coalesce("_offset", F.lit(0).cast("bigint"))
-                                     .alias("_offset")), ["_year", "_bucket"])
-    idx = F.col("_offset") + F.col("_rn") - 1
+    out = numbered(wo.withColumns({"_year": F.year("created_at"), "_all": F.lit(0)}), ["_year"], "_all", "created_at",
+                   ["created_at", "work_order_id"], "_rn", chunk_rows)
+    idx = F.col("_rn") - 1
     return (out.withColumns({
         "assigned_number": F.concat(F.lit("WO-"), F.col("_year").cast("string"), F.lit("-"),
                                     (F.lit(X.WO_NUMBER_LOW) + idx).cast("string")),
         "assigned_in_range": idx <= (X.WO_NUMBER_HIGH - X.WO_NUMBER_LOW),
-    }).drop("_year", "_bucket", "_rn", "_offset"))
+    }).drop("_year", "_all", "_rn"))

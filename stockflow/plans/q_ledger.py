@@ -200,36 +200,39 @@ def q_reservation_allocation(spark, sf_dir):
 QUEUE_SQL = """
 , tot AS (SELECT p.part_id, coalesce(sum(i.quantity_on_hand - i.quantity_reserved), 0) AS total
           FROM parts p LEFT JOIN inventory i ON i.part_id = p.part_id AND i.is_active GROUP BY p.part_id),
-q AS (SELECT r.*, t.total,
-             row_number() OVER (PARTITION BY r.part_id ORDER BY r.created_at, r.work_order_id, r.line_no, r.quantity) AS rn
+q AS (SELECT r.*, t.total, t.total IS NOT NULL AND coalesce(r.quantity >= 1, false) AS valid
       FROM reservation_requests r LEFT JOIN tot t ON t.part_id = r.part_id),
+need AS (SELECT work_order_id, part_id, min(created_at) AS created_at, sum(quantity) AS units, max(total) AS total, bool_and(valid) AS valid
+         FROM q GROUP BY work_order_id, part_id),
+ord AS (SELECT work_order_id, row_number() OVER (ORDER BY min(created_at), work_order_id) AS rn, bool_and(valid) AS valid,
+               list({'p': part_id, 'n': units, 't': total}) AS ns
+        FROM need GROUP BY work_order_id),
 walk AS (
-  SELECT part_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS before,
-         CAST(NULL AS VARCHAR) AS reason
-  FROM (SELECT DISTINCT part_id FROM q) k
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS work_order_id, MAP {CAST(-1 AS BIGINT): CAST(0 AS HUGEINT)} AS used, false AS ok
   UNION ALL
-  SELECT part_id, rn, CASE WHEN reason IS NULL THEN before + quantity ELSE before END, before, reason
-  FROM (SELECT q.part_id, q.rn, q.quantity, w.used AS before,
-               CASE WHEN q.total IS NULL THEN 'part_not_found'
-                    WHEN q.quantity IS NULL OR q.quantity < 1 THEN 'invalid_quantity'
-                    WHEN w.used + q.quantity > q.total THEN 'insufficient_inventory' END AS reason
-        FROM walk w JOIN q ON q.part_id = w.part_id AND q.rn = w.rn + 1) s),
-lines AS (
-  SELECT q.work_order_id, q.line_no, q.part_id, q.quantity, q.created_at, w.reason IS NULL AS line_accepted,
-         w.reason, w.before AS demand_before, w.used AS demand_after
-  FROM q JOIN walk w ON w.part_id = q.part_id AND w.rn = q.rn),
-flag AS (SELECT l.*, bool_and(line_accepted) OVER (PARTITION BY work_order_id) AS order_committed FROM lines l),
+  SELECT rn, work_order_id,
+         CASE WHEN ok THEN map_concat(used, map_from_entries(list_transform(ns, lambda x: {'k': x.p, 'v': coalesce(used[x.p], 0) + x.n}))) ELSE used END, ok
+  FROM (SELECT o.rn, o.work_order_id, w.used, o.ns,
+               o.valid AND len(list_filter(o.ns, lambda x: coalesce(w.used[x.p], 0) + x.n > x.t)) = 0 AS ok
+        FROM walk w JOIN ord o ON o.rn = w.rn + 1) s),
+c AS (SELECT q.*, w.ok AS order_committed, CASE WHEN q.valid THEN q.quantity ELSE 0 END AS units FROM q JOIN walk w ON w.work_order_id = q.work_order_id),
+d AS (SELECT *, coalesce(sum(CASE WHEN order_committed THEN units ELSE 0 END) OVER (PARTITION BY part_id ORDER BY created_at, work_order_id, line_no, quantity
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             + CASE WHEN order_committed THEN 0 ELSE coalesce(sum(units) OVER (PARTITION BY work_order_id, part_id ORDER BY created_at, line_no, quantity
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS before FROM c),
+flag AS (SELECT work_order_id, line_no, part_id, quantity, created_at, reason IS NULL AS line_accepted, reason, CAST(before AS BIGINT) AS demand_before,
+                CAST(before + CASE WHEN order_committed THEN units ELSE 0 END AS BIGINT) AS demand_after, order_committed
+         FROM (SELECT *, CASE WHEN total IS NULL THEN 'part_not_found' WHEN coalesce(quantity < 1, true) THEN 'invalid_quantity'
+                              WHEN before + quantity > total THEN 'insufficient_inventory' END AS reason FROM d) x),
 sup AS (SELECT part_id, inventory_id, warehouse, quantity_on_hand - quantity_reserved AS av,
                sum(quantity_on_hand - quantity_reserved) OVER (PARTITION BY part_id ORDER BY warehouse, inventory_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shi
         FROM inventory WHERE is_active AND quantity_on_hand - quantity_reserved > 0)
-SELECT f.*, s.inventory_id, s.warehouse,
-       cast(CASE WHEN f.order_committed THEN least(f.demand_after, s.shi) - greatest(f.demand_before, s.shi - s.av)
-                 ELSE 0 END AS bigint) AS taken
+SELECT f.*, s.inventory_id, s.warehouse, cast(least(f.demand_after, s.shi) - greatest(f.demand_before, s.shi - s.av) AS bigint) AS taken
 FROM flag f JOIN sup s ON s.part_id = f.part_id AND f.demand_before < s.shi AND s.shi - s.av < f.demand_after
-WHERE f.line_accepted
+WHERE f.order_committed
 UNION ALL
-SELECT f.*, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM flag f WHERE NOT f.line_accepted
+SELECT f.*, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM flag f WHERE NOT f.order_committed
 """
 
 
@@ -242,7 +245,8 @@ def q_reservation_queue(spark, sf_dir):
 @register("reorder_suggestions", LOW_STOCK_EVENTS_SQL + """
 SELECT part_id, warehouse, inventory_id, reorder_quantity AS quantity_to_order,
        CASE WHEN avail = 0 THEN 'Critical' ELSE 'Normal' END AS priority,
-       ts AS created_at, concat(command_id, '/InventoryLowStockDetected') AS source_event_id
+       ts AS created_at, concat(command_id, '/InventoryLowStockDetected') AS source_event_id,
+       row_number() OVER (PARTITION BY warehouse ORDER BY avail = 0 DESC, ts, concat(command_id, '/InventoryLowStockDetected')) AS urgency_rank
 FROM low
 """, recursive=True)
 def q_reorder_suggestions(spark, sf_dir):

@@ -227,7 +227,7 @@ def q_max_jobs_for_skill(spark, sf_dir):
 @register("work_order_number", """
 , numbered AS (
   SELECT work_order_id, work_order_number, created_at,
-         row_number() OVER (PARTITION BY year(created_at) ORDER BY work_order_id % 64, created_at, work_order_id) - 1
+         row_number() OVER (PARTITION BY year(created_at) ORDER BY created_at, work_order_id) - 1
            AS idx
   FROM work_orders)
 SELECT work_order_id, work_order_number,

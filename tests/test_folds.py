@@ -77,3 +77,46 @@ def test_transitions_run_without_python(spark):
     wo = spark.createDataFrame([(1, 0)], "work_order_id long, status int")
     plan = C.apply_transitions(req, wo)._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan
+
+
+def test_queue_gives_units_of_failed_orders_to_later_ones(spark):
+    rng = random.Random(8)
+    parts = spark.createDataFrame([(i,) for i in range(6)], "part_id long")
+    stocks = [(i * 10 + w, i, f"W{w}", rng.randint(0, 30), 0, True) for i in range(6) for w in range(3)]
+    inv = spark.createDataFrame(stocks, "inventory_id long, part_id long, warehouse string, quantity_on_hand int, quantity_reserved int, is_active boolean")
+    lines = [(o, n, rng.choice([0, 0, 0, 1, 2, 3, 4, 5] + [9] * (o % 13 == 0)), rng.choice([1, 2, 5, 9] + [None] * (o % 11 == 0)), T0 + dt.timedelta(minutes=o // 2))
+             for o in range(60) for n in range(rng.randint(1, 4))]
+    req = spark.createDataFrame(lines, "work_order_id long, line_no int, part_id long, quantity int, created_at timestamp_ntz")
+    total, used, want = {p: sum(s[3] for s in stocks if s[1] == p) for p in range(6)}, {}, {}
+    for o in range(60):
+        mine, ok = {}, True
+        for _, _, p, q, _ in [x for x in lines if x[0] == o]:
+            ok &= p in total and q is not None and q >= 1
+            if ok:
+                mine[p] = mine.get(p, 0) + q
+        want[o] = ok and all(used.get(p, 0) + q <= total[p] for p, q in mine.items())
+        if want[o]:
+            for p, q in mine.items():
+                used[p] = used.get(p, 0) + q
+    assert len({o for o, ok in want.items() if ok}) > 5 and not all(want.values())
+    for chunk, finish in ((50_000, 200_000), (20, 0)):
+        rows = L.allocate_queue(req, inv, parts, chunk, finish).collect()
+        assert {r.work_order_id: r.order_committed for r in rows} == want
+        taken = {}
+        for r in rows:
+            taken[r.part_id] = taken.get(r.part_id, 0) + r.taken
+            assert r.order_committed or (r.taken == 0 and r.inventory_id is None)
+        assert {p: n for p, n in taken.items() if n} == used
+        assert max(sum(r.taken for r in rows if r.inventory_id == s[0]) - s[3] for s in stocks) <= 0
+
+
+def test_numbers_are_dense_in_time_order(spark):
+    from stockflow.operators import workorders
+    rng = random.Random(2)
+    rows = [(i, dt.datetime(2023 + (i % 3 == 0), rng.randint(1, 12), rng.randint(1, 28))) for i in range(300)]
+    wo = spark.createDataFrame(rows, "work_order_id long, created_at timestamp_ntz")
+    for chunk in (50_000, 15):
+        got = {r.work_order_id: r.assigned_number for r in workorders.assign_numbers(wo, chunk).collect()}
+        for year in (2023, 2024):
+            mine = sorted((r for r in rows if r[1].year == year), key=lambda r: (r[1], r[0]))
+            assert [got[i] for i, _ in mine] == [f"WO-{year}-{10000 + n}" for n in range(len(mine))]
