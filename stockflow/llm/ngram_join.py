@@ -242,8 +242,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         side = F.broadcast(need) if small else need
         found = (keyed.join(side, keyed["doc_id"].eqNullSafe(side["rep.doc_id"]) & (keyed["tkey"] == side["rep.tkey"]))
-                 .select("id", "text").dropDuplicates(["id"]))
+                 .select("id", "text"))
         found = stored(found)
+        if found.groupBy("id").count().where("count > 1").limit(1).count():      # repeated rows (equal id and text)
+            found = stored(found.dropDuplicates(["id"]))
         degree = pairs.groupBy("a").agg(F.count("*").alias("deg")).withColumn(
             "salts", F.ceil(F.col("deg") / PARTNERS_PER_TASK).cast("int"))
         leaders = (degree.join(found, degree["a"] == found["id"])
@@ -315,7 +317,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def near_labels(links: DataFrame, steps: int = 2) -> DataFrame:
+def near_labels(links: DataFrame, steps: int = 6) -> DataFrame:
     """(node, label) of every node with a link: the least node within steps + 1 links. Equal labels mean connected."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label"))
