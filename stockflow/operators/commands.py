@@ -322,6 +322,107 @@ def apply_assignments(requests: DataFrame, wo: DataFrame, tech: DataFrame) -> Da
                   .drop("_s0"))
 
 
+QUEUE_SCHEMA = T.StructType([
+    T.StructField("_rid", T.LongType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("jobs_before", T.LongType()),
+    T.StructField("jobs_after", T.LongType()),
+    T.StructField("technician_status_after", T.IntegerType()),
+])
+
+
+def _queue_kernel(pdf: pd.DataFrame, carry: dict) -> pd.DataFrame:
+    """One technician's stream in time order: requests (with a row id) and departures, which free a slot."""
+    keys = pdf["technician_id"].to_numpy()
+    flag = {c: pdf[c].eq(True).to_numpy(dtype=bool) for c in ("_known", "_active", "_wo_known", "_takes", "_request")}
+    status0 = pdf["_status"].to_numpy(dtype="float64", na_value=np.nan)
+    most, jobs0 = (pdf[c].to_numpy(dtype="float64", na_value=0.0) for c in ("_max", "_jobs"))
+    rids = pdf["_rid"].to_numpy()
+    cur, jobs, st = carry.get("key"), carry.get("jobs", 0), carry.get("st")
+    rows = []
+    for i in range(len(pdf)):
+        if keys[i] != cur:
+            cur, jobs = keys[i], int(jobs0[i])
+            st = None if np.isnan(status0[i]) else int(status0[i])
+        if not flag["_request"][i]:
+            jobs -= 1
+            continue
+        before, why = jobs, None
+        if not flag["_wo_known"][i]:
+            why = "work_order_not_found"
+        elif not flag["_known"][i]:
+            why = "technician_not_found"
+        elif not flag["_active"][i]:
+            why = "technician_inactive"
+        elif st == ON_LEAVE or jobs >= most[i]:
+            why = "technician_at_capacity"
+        else:
+            # the capacity mark counts the accepted order on top, whether or not it takes a new slot
+            if st == AVAILABLE and jobs + 1 >= most[i]:
+                st = BUSY
+            jobs += bool(flag["_takes"][i])
+        rows.append((rids[i], why, before, jobs, st))
+    carry.update(key=cur, jobs=jobs, st=st)
+    out = pd.DataFrame(rows, columns=[f.name for f in QUEUE_SCHEMA])
+    return out.astype({"_rid": "int64", "jobs_before": "int64", "jobs_after": "int64", "technician_status_after": "Int32"})
+
+
+def assign_queue(requests: DataFrame, wo: DataFrame, tech: DataFrame, closures: DataFrame | None = None) -> DataFrame:
+    """Assignment requests in (requested_at, order, technician) order, as the service takes them one by one.
+
+    A technician's open orders change inside the batch: an accepted request adds a slot to the technician (unless the
+    order is closed or already there) and frees one of the technician who held the order; a closure
+    (``closures``: work_order_id, closed_at) frees one of its holder. A request that was rejected leaves no
+    trace, so a later request for the same order is judged on its own.
+
+    Requests and the slots that are freed meet in one stream per technician and one fold. Who holds an order depends
+    on which requests were accepted, so the folds are repeated with the last round's answers until no answer
+    changes. Every answer depends on earlier ones only, so this ends, and after one round where no order
+    moves. Each round is written to the checkpoint folder.
+    """
+    from stockflow.operators.workorders import active_jobs
+    ensure_checkpoint_dir(requests.sparkSession)
+    t = tech.select("technician_id", F.lit(True).alias("_known"), F.col("is_active").alias("_active"), F.col("status").alias("_status"),
+                    F.col("max_concurrent_jobs").alias("_max"))
+    t = t.join(active_jobs(wo, tech).withColumnRenamed("active_job_count", "_jobs"), "technician_id", "left")
+    orders = wo.select("work_order_id", F.lit(True).alias("_wo_known"), F.col("technician_id").alias("_t0"), F.col("status").alias("_s0"))
+    asked = requests.select("work_order_id", F.col("technician_id").alias("_to"), F.col("requested_at").alias("_at"), F.lit(1).alias("_kind"),
+                            F.monotonically_increasing_id().alias("_rid"))
+    if closures is not None:
+        asked = asked.unionByName(closures.select("work_order_id", F.lit(None).cast("bigint").alias("_to"), F.col("closed_at").alias("_at"),
+                                                  F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_rid")))
+    asked = asked.join(orders, "work_order_id", "left").checkpoint()
+    before = Window.partitionBy("work_order_id").orderBy("_at", "_kind", "_to", "_rid").rowsBetween(Window.unboundedPreceding, -1)
+    known = tech.where("is_active").select(F.col("technician_id").alias("_to"), F.lit(True).alias("_first"))
+    guess = asked.join(known, "_to", "left").select("_rid", F.coalesce(F.col("_first") & F.col("_wo_known"), F.lit(False)).alias("_ok")).where("_rid is not null")
+    while True:
+        told = (asked.join(guess, "_rid", "left")
+                .withColumn("_holder", F.coalesce(F.last(F.when(F.col("_ok"), F.col("_to")), ignorenulls=True).over(before), "_t0"))
+                .withColumn("_shut", F.coalesce(F.max(F.col("_kind") == 0).over(before), F.lit(False)))
+                .withColumn("_closed", F.col("_shut") | F.coalesce(F.col("_s0").isin(COMPLETED, CANCELLED), F.lit(False)))
+                .withColumn("_moves", ~F.col("_closed") & F.col("_holder").isNotNull() & ~F.col("_holder").eqNullSafe(F.col("_to"))
+                            & ((F.col("_kind") == 0) | F.coalesce(F.col("_ok"), F.lit(False)))))
+        stream = told.where("_kind = 1").select(
+            F.col("_to").alias("technician_id"), "_at", "_kind", "work_order_id", "_rid", "_wo_known", F.lit(True).alias("_request"),
+            (~F.col("_closed") & ~F.col("_holder").eqNullSafe(F.col("_to"))).alias("_takes"))
+        freed = told.where("_moves").select(
+            F.col("_holder").alias("technician_id"), "_at", "_kind", "work_order_id", "_rid", F.lit(True).alias("_wo_known"),
+            F.lit(False).alias("_request"), F.lit(False).alias("_takes"))
+        folded = sorted_fold(stream.unionByName(freed).join(t, "technician_id", "left"), ["technician_id"],
+                             ["_at", "_kind", "work_order_id", "_rid"], _queue_kernel, QUEUE_SCHEMA).checkpoint()
+        now = folded.select("_rid", F.col("reason").isNull().alias("_ok"))
+        if not now.exceptAll(guess).limit(1).count():
+            break
+        guess = now
+    s = F.when(F.col("_shut"), F.lit(COMPLETED)).otherwise(F.col("_s0"))
+    first = F.coalesce(F.max(F.coalesce(F.col("_ok"), F.lit(False))).over(before), F.lit(False))
+    status = F.when(~F.col("_shut") & (F.col("_s0") == PENDING) & (F.col("_ok") | F.col("_seen")), F.lit(ASSIGNED)).otherwise(s)
+    return (told.withColumn("_seen", first).where("_kind = 1").join(folded, "_rid")
+            .select("work_order_id", F.col("_to").alias("technician_id"), F.col("_at").alias("requested_at"), F.col("reason").isNull().alias("accepted"),
+                    "reason", "jobs_before", "jobs_after", "technician_status_after", F.col("_holder").alias("previous_technician_id"),
+                    status.cast("int").alias("status_after")))
+
+
 def reassignments(assignments: DataFrame, reason: str = "Reassignment request") -> DataFrame:
     """Accepted assignments that move an order from one technician to another, with the note line."""
     acc = assignments.where(F.col("accepted") & F.col("previous_technician_id").isNotNull()

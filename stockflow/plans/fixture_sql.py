@@ -70,6 +70,11 @@ work_orders AS (
          cast(o_totalprice AS decimal(18,2)) AS estimated_cost,
          cast(cast(o_totalprice AS decimal(18,2)) * cast(80 + o_orderkey % 50 AS decimal(9,0)) * cast(0.01 AS decimal(3,2)) AS decimal(18,2)) AS actual_cost
   FROM orders),
+dispatch_orders AS (
+  SELECT work_order_id, work_order_number, customer_id, vin, equipment_type, priority, status,
+         CASE WHEN status < 4 AND work_order_id % 100 < 4 THEN technician_id END AS technician_id,
+         created_at, scheduled_start, scheduled_end, estimated_labor_hours, estimated_cost, actual_cost
+  FROM work_orders),
 work_order_parts AS (
   SELECT l_orderkey AS work_order_id, l_partkey AS part_id, l_linenumber AS line_no, cast(l_quantity AS int) AS quantity_required, (l_linestatus = 'F') AS is_available FROM lineitem),
 customers AS (

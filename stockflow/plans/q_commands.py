@@ -156,75 +156,88 @@ def q_notification_recipients(spark, sf_dir):
     return C.recipients(_transitions(spark, sf_dir), d.work_orders, d.customers)
 
 
-ASSIGN_SQL = """
-, firsts AS (SELECT work_order_id, arg_min(technician_id, (requested_at, technician_id)) AS f_tech,
-                    min(requested_at) AS f_at FROM assignment_requests GROUP BY work_order_id),
-jobs AS (SELECT t.technician_id, count(w.work_order_id) AS n
-         FROM technicians t LEFT JOIN work_orders w ON w.technician_id = t.technician_id AND w.status NOT IN (4, 5)
-         GROUP BY t.technician_id),
-j AS (
-  SELECT r.work_order_id, r.technician_id, r.requested_at,
-         NOT (r.technician_id = f.f_tech AND r.requested_at = f.f_at)
-           OR row_number() OVER (PARTITION BY r.work_order_id, r.technician_id, r.requested_at) > 1 AS dup,
-         w.work_order_id IS NOT NULL AS wo_known, t.technician_id IS NOT NULL AS tech_known,
-         coalesce(t.is_active, false) AS tech_active, t.status AS tstatus, coalesce(t.max_concurrent_jobs, 0) AS tmax,
-         coalesce(jb.n, 0) AS jobs0,
-         coalesce(w.technician_id = r.technician_id OR w.status IN (4, 5), false) AS here,
-         row_number() OVER (PARTITION BY r.technician_id ORDER BY r.requested_at, r.work_order_id) AS rn
-  FROM assignment_requests r LEFT JOIN firsts f ON f.work_order_id = r.work_order_id
-  LEFT JOIN work_orders w ON w.work_order_id = r.work_order_id
-  LEFT JOIN technicians t ON t.technician_id = r.technician_id
-  LEFT JOIN jobs jb ON jb.technician_id = r.technician_id),
+def assign_sql(requests: str) -> str:
+    """The queue walked event by event, with the technicians' counts and the orders' holders carried in maps."""
+    return f"""
+, ev AS (SELECT requested_at AS at, 1 AS kind, work_order_id, technician_id FROM {requests}
+         UNION ALL SELECT closed_at, 0, work_order_id, CAST(NULL AS BIGINT) FROM closures),
+e AS (SELECT ev.*, row_number() OVER (ORDER BY ev.at, ev.kind, ev.work_order_id, ev.technician_id) AS rn, w.status AS s0, w.technician_id AS t0,
+             w.work_order_id IS NOT NULL AS wo_known, t.technician_id IS NOT NULL AS tech_known, coalesce(t.is_active, false) AS tech_active,
+             t.status AS ts0, coalesce(t.max_concurrent_jobs, 0) AS tmax
+      FROM ev LEFT JOIN dispatch_orders w ON w.work_order_id = ev.work_order_id LEFT JOIN technicians t ON t.technician_id = ev.technician_id),
+start AS (SELECT map_from_entries(list({{'k': technician_id, 'v': n}})) AS jobs FROM (
+  SELECT t.technician_id, count(w.work_order_id) AS n FROM technicians t
+  LEFT JOIN dispatch_orders w ON w.technician_id = t.technician_id AND w.status NOT IN (4, 5) GROUP BY t.technician_id)),
 walk AS (
-  SELECT technician_id, CAST(0 AS BIGINT) AS rn, CAST(jobs0 AS BIGINT) AS jobs, CAST(tstatus AS INT) AS st,
-         CAST(0 AS BIGINT) AS jb, CAST(NULL AS VARCHAR) AS reason
-  FROM (SELECT DISTINCT technician_id, jobs0, tstatus FROM j) k
+  SELECT CAST(0 AS BIGINT) AS rn, jobs, MAP {{CAST(-1 AS BIGINT): CAST(-1 AS BIGINT)}} AS holder, MAP {{CAST(-1 AS BIGINT): true}} AS shut,
+         MAP {{CAST(-1 AS BIGINT): CAST(0 AS INT)}} AS st, CAST(NULL AS BIGINT) AS h, false AS was_shut, CAST(0 AS BIGINT) AS jb, CAST(0 AS BIGINT) AS ja,
+         CAST(NULL AS INT) AS sa, CAST(NULL AS VARCHAR) AS reason, false AS seen
+  FROM start
   UNION ALL
-  SELECT technician_id, rn, nj,
-         CASE WHEN reason IS NULL AND st = 0 AND jb + 1 >= tmax THEN 1 ELSE st END, jb, reason
-  FROM (SELECT *, CASE WHEN reason IS NULL AND NOT here THEN jb + 1 ELSE jb END AS nj
-        FROM (SELECT q.technician_id, q.rn, q.here, q.tmax, w.st, w.jobs AS jb,
-                     CASE WHEN q.dup THEN 'duplicate_request'
-                          WHEN NOT q.wo_known THEN 'work_order_not_found'
-                          WHEN NOT q.tech_known THEN 'technician_not_found'
-                          WHEN NOT q.tech_active THEN 'technician_inactive'
-                          WHEN w.st = 3 OR w.jobs >= q.tmax THEN 'technician_at_capacity' END AS reason
-              FROM walk w JOIN j q ON q.technician_id = w.technician_id AND q.rn = w.rn + 1) a) b),
+  SELECT rn,
+         CASE WHEN moves AND takes THEN map_concat(jobs, MAP {{h: jobs[h] - 1, tech: jb + 1}})
+              WHEN moves THEN map_concat(jobs, MAP {{h: jobs[h] - 1}}) WHEN takes THEN map_concat(jobs, MAP {{tech: jb + 1}}) ELSE jobs END,
+         CASE WHEN kind = 1 AND reason IS NULL THEN map_concat(holder, MAP {{wo: tech}}) ELSE holder END,
+         CASE WHEN kind = 0 THEN map_concat(shut, MAP {{wo: true}}) ELSE shut END,
+         CASE WHEN kind = 1 AND reason IS NULL AND stn = 0 AND jb + 1 >= tmax THEN map_concat(st, MAP {{tech: 1}}) ELSE st END,
+         h, was_shut, jb, CASE WHEN takes THEN jb + 1 ELSE jb END,
+         CASE WHEN kind = 1 AND reason IS NULL AND stn = 0 AND jb + 1 >= tmax THEN 1 ELSE stn END, reason, seen
+  FROM (SELECT *, kind = 1 AND reason IS NULL AND NOT closed AND h IS DISTINCT FROM tech AS takes,
+               NOT closed AND h IS NOT NULL AND h IS DISTINCT FROM tech AND (kind = 0 OR reason IS NULL) AS moves
+        FROM (SELECT e.rn, e.kind, e.work_order_id AS wo, e.technician_id AS tech, e.tmax, w.jobs, w.holder, w.shut, w.st,
+                     coalesce(w.holder[e.work_order_id], e.t0) AS h, w.holder[e.work_order_id] IS NOT NULL AS seen,
+                     w.shut[e.work_order_id] IS NOT NULL AS was_shut,
+                     w.shut[e.work_order_id] IS NOT NULL OR coalesce(e.s0 IN (4, 5), false) AS closed,
+                     coalesce(w.jobs[e.technician_id], 0) AS jb, coalesce(w.st[e.technician_id], e.ts0) AS stn,
+                     CASE WHEN e.kind = 0 THEN NULL WHEN NOT e.wo_known THEN 'work_order_not_found' WHEN NOT e.tech_known THEN 'technician_not_found'
+                          WHEN NOT e.tech_active THEN 'technician_inactive'
+                          WHEN coalesce(w.st[e.technician_id], e.ts0) = 3 OR coalesce(w.jobs[e.technician_id], 0) >= e.tmax
+                            THEN 'technician_at_capacity' END AS reason
+              FROM walk w JOIN e ON e.rn = w.rn + 1) a) b),
 assigned AS (
-  SELECT q.work_order_id, q.technician_id, q.requested_at, w.reason IS NULL AS accepted, w.reason,
-         w.jb AS jobs_before, w.jobs AS jobs_after, w.st AS technician_status_after,
-         o.technician_id AS previous_technician_id,
-         CASE WHEN w.reason IS NULL AND o.status = 0 THEN 1 ELSE o.status END AS status_after
-  FROM j q JOIN walk w ON w.technician_id = q.technician_id AND w.rn = q.rn
-  LEFT JOIN work_orders o ON o.work_order_id = q.work_order_id)
+  SELECT e.work_order_id, e.technician_id, e.at AS requested_at, w.reason IS NULL AS accepted, w.reason, w.jb AS jobs_before, w.ja AS jobs_after,
+         w.sa AS technician_status_after, w.h AS previous_technician_id,
+         CASE WHEN w.was_shut THEN 4 WHEN e.s0 = 0 AND (w.reason IS NULL OR w.seen) THEN 1 ELSE e.s0 END AS status_after
+  FROM e JOIN walk w ON w.rn = e.rn WHERE e.kind = 1)
 """
 
 
-def _assignments(spark, sf_dir):
-    d = domain(spark, sf_dir)
-    return C.apply_assignments(d.assignment_requests, d.work_orders, d.technicians)
+# every second open order that a technician holds is closed at its scheduled end; slots are freed inside the batch
+CLOSURES_CTE = """
+, closures AS (SELECT work_order_id, scheduled_end AS closed_at FROM dispatch_orders
+               WHERE technician_id IS NOT NULL AND status NOT IN (4, 5) AND scheduled_end IS NOT NULL AND work_order_id % 8 = 0)
+"""
 
 
-@register("assignment_queue", ASSIGN_SQL + "SELECT * FROM assigned", recursive=True)
-def q_assignment_queue(spark, sf_dir):
-    return _assignments(spark, sf_dir)
+def _closures(d):
+    return (d.dispatch_orders.where("technician_id IS NOT NULL AND status NOT IN (4, 5) AND scheduled_end IS NOT NULL AND work_order_id % 8 = 0")
+            .select("work_order_id", F.col("scheduled_end").alias("closed_at")))
 
 
-# requests that move open orders to the next technician, with room for all, so that the log has rows
-MOVES_CTE = """
-, moves AS (SELECT work_order_id, technician_id + 1 AS technician_id, created_at + INTERVAL 1 DAY AS requested_at
-            FROM work_orders WHERE technician_id IS NOT NULL AND status NOT IN (4, 5) AND work_order_id % 5 = 1)
+# a second request for every third order a day later, for another technician: a retry where the first was rejected, else a move
+RETRIES_CTE = CLOSURES_CTE + """
+, retries AS (SELECT work_order_id, technician_id, requested_at FROM assignment_requests UNION ALL
+              SELECT work_order_id, technician_id + 1, requested_at + INTERVAL 1 DAY FROM assignment_requests WHERE work_order_id % 3 = 0)
 """
 
 
-def _moves(d):
-    return (d.work_orders.where("technician_id IS NOT NULL AND status NOT IN (4, 5) AND work_order_id % 5 = 1")
-            .select("work_order_id", (F.col("technician_id") + 1).alias("technician_id"),
-                    (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("requested_at")))
+def _retries(d):
+    r = d.assignment_requests.select("work_order_id", "technician_id", "requested_at")
+    again = r.where("work_order_id % 3 = 0").select("work_order_id", (F.col("technician_id") + 1).alias("technician_id"),
+                                                    (F.col("requested_at") + F.expr("INTERVAL 1 DAY")).alias("requested_at"))
+    return r.unionByName(again)
+
+
+@register("assignment_queue", RETRIES_CTE + assign_sql("retries") + "SELECT * FROM assigned", recursive=True)
+def q_assignment_queue(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    return C.assign_queue(_retries(d), d.dispatch_orders, d.technicians, _closures(d))
 
 
-@register("reassignment_log", MOVES_CTE + ASSIGN_SQL.replace("assignment_requests", "moves").replace(
-    "technicians t ", "(SELECT * REPLACE (CAST(100000 AS INT) AS max_concurrent_jobs) FROM technicians) t ") + """
+@register("reassignment_log", RETRIES_CTE + """
+, moves AS (SELECT work_order_id, technician_id, requested_at FROM retries UNION ALL
+            SELECT work_order_id, technician_id + 1, created_at + INTERVAL 1 DAY FROM dispatch_orders WHERE technician_id IS NOT NULL)
+""" + assign_sql("moves") + """
 SELECT work_order_id, previous_technician_id, technician_id AS new_technician_id, requested_at,
        concat('[', strftime(requested_at, '%Y-%m-%d %H:%M'), '] Reassigned from technician ',
               cast(previous_technician_id AS varchar), ' to ', cast(technician_id AS varchar),
@@ -234,8 +247,9 @@ WHERE accepted AND previous_technician_id IS NOT NULL AND previous_technician_id
 """, recursive=True)
 def q_reassignment_log(spark, sf_dir):
     d = domain(spark, sf_dir)
-    tech = d.technicians.withColumn("max_concurrent_jobs", F.lit(100000))       # room for every move
-    return C.reassignments(C.apply_assignments(_moves(d), d.work_orders, tech))
+    moves = d.dispatch_orders.where("technician_id IS NOT NULL").select(
+        "work_order_id", (F.col("technician_id") + 1).alias("technician_id"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("requested_at"))
+    return C.reassignments(C.assign_queue(_retries(d).unionByName(moves), d.dispatch_orders, d.technicians, _closures(d)))
 
 
 # -- W16 -------------------------------------------------------------------------------------------

@@ -120,3 +120,41 @@ def test_numbers_are_dense_in_time_order(spark):
         for year in (2023, 2024):
             mine = sorted((r for r in rows if r[1].year == year), key=lambda r: (r[1], r[0]))
             assert [got[i] for i, _ in mine] == [f"WO-{year}-{10000 + n}" for n in range(len(mine))]
+
+
+def test_assignment_queue_counts_freed_slots_and_retries(spark):
+    rng = random.Random(4)
+    techs = [(i, i != 4, 3 if i == 5 else i % 2, 5 + i % 3) for i in range(6)]
+    orders = [(o, rng.choice([None, 0, 1, 2, 9]) if o % 3 == 1 else None, rng.choice([0, 0, 1, 2, 4])) for o in range(40)]
+    reqs = [(rng.randint(0, 42), rng.randint(0, 6), T0 + dt.timedelta(minutes=rng.randint(0, 60))) for _ in range(90)]
+    shut = [(o, T0 + dt.timedelta(minutes=rng.randint(0, 60))) for o in range(0, 40, 3)]
+    tech = {t[0]: t for t in techs}
+    holder, status = {o[0]: o[1] for o in orders}, {o[0]: o[2] for o in orders}
+    jobs = {t: sum(h == t and status[o] not in (4, 5) for o, h in holder.items()) for t in range(10)}
+    st, closed, want = {t[0]: t[2] for t in techs}, {o for o in status if status[o] in (4, 5)}, []
+    events = sorted([(at, 1, o, t) for o, t, at in reqs] + [(at, 0, o, -1) for o, at in shut])
+    for at, kind, o, t in events:
+        h = holder.get(o)
+        if kind == 0:
+            if o not in closed and h is not None:
+                jobs[h] -= 1
+            closed.add(o)
+            continue
+        before = jobs.get(t, 0)
+        why = ("work_order_not_found" if o not in status else "technician_not_found" if t not in tech else "technician_inactive" if not tech[t][1]
+               else "technician_at_capacity" if st[t] == 3 or before >= tech[t][3] else None)
+        if why is None:
+            if st[t] == 0 and before + 1 >= tech[t][3]:
+                st[t] = 1
+            if o not in closed and h != t:
+                jobs[t] += 1
+                if h is not None:
+                    jobs[h] -= 1
+            holder[o] = t
+        want.append((o, t, at, why, h))
+    got = C.assign_queue(spark.createDataFrame(reqs, "work_order_id long, technician_id long, requested_at timestamp_ntz"),
+                         spark.createDataFrame(orders, "work_order_id long, technician_id long, status int"),
+                         spark.createDataFrame(techs, "technician_id long, is_active boolean, status int, max_concurrent_jobs int"),
+                         spark.createDataFrame(shut, "work_order_id long, closed_at timestamp_ntz")).collect()
+    assert sorted(map(str, ((r.work_order_id, r.technician_id, r.requested_at, r.reason, r.previous_technician_id) for r in got))) == sorted(map(str, want))
+    assert sum(w[3] is None for w in want) > 10
