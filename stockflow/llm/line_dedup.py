@@ -27,9 +27,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from stockflow.llm import textkit as tk
 from stockflow.llm.frames import by_key, fresh, stored
@@ -116,20 +116,26 @@ def repeated_lines(h: np.ndarray, count: np.ndarray, later: np.ndarray, min_word
     return np.cumsum(cover)[:-1] > 0
 
 
-def _rewrite(min_words: int):
-    @F.pandas_udf("struct<text:string,n_removed:long>")
-    def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, found in parts:
-            out, removed = [], []
-            for text, later in zip(texts, found):
-                raw = (text or "").encode()
-                data = np.frombuffer(raw, dtype=np.uint8)
-                start, end, _, h, count = split_lines(data, np.array([0, len(data)]))
-                gone = repeated_lines(h, count, np.array(later, dtype=np.int64).view(tk.U64), min_words)
-                out.append(b"".join(raw[a:b] for a, b, g in zip(start.tolist(), end.tolist(), gone) if not g).decode() if gone.any() else text)
-                removed.append(int((gone & (count > 0)).sum()))
-            yield pd.DataFrame({"text": out, "n_removed": removed})
-    return rewrite
+def _rewrite(columns: list[str], runs_column: str, removed: str, min_words: int):
+    """Rows with the hashes of their later runs to rows with their new text and the number of deleted lines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, off in tk.batch_slices(batch, "text"):
+                found = rows.column(rows.schema.get_field_index(runs_column))
+                texts, counts = rows.column(rows.schema.get_field_index("text")).to_pylist(), []
+                for i in range(len(rows)):
+                    own = data[off[i]: off[i + 1]]
+                    start, end, _, h, count = split_lines(own, np.array([0, len(own)]))
+                    later = np.asarray(found[i].as_py() or [], dtype=np.int64).view(tk.U64)
+                    gone = repeated_lines(h, count, later, min_words)
+                    if gone.any():
+                        raw = own.tobytes()
+                        texts[i] = b"".join(raw[x:y] for x, y, g in zip(start.tolist(), end.tolist(), gone) if not g).decode()
+                    counts.append(int((gone & (count > 0)).sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts, pa.string()) if c == "text" else rows.column(rows.schema.get_field_index(c)) for c in columns] + [pa.array(counts, pa.int64())],
+                    names=[*columns, removed])
+    return run
 
 
 def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "_n_removed") -> DataFrame:
@@ -146,15 +152,14 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "_n
     source = stored(shared.groupBy("h").agg(F.min("p").alias("s"), F.max("p").alias("e")).where("s <> e").select("h", "s"))
     later = shared.join(source, "h").where("p > s").select("p.doc_id", "p.tkey", "h")
     own = lines.where("again").select("doc_id", "tkey", F.lit(None).cast("long").alias("h"))
-    d, t, runs_, new = fresh(docs, "d", "t", "later", "new")
+    d, t, runs_ = fresh(docs, "d", "t", "later")
     found = stored(later.unionByName(own).groupBy(F.col("doc_id").alias(d), F.col("tkey").alias(t)).agg(F.collect_set("h").alias(runs_)))
     keys = found.select(F.col(d).alias("doc_id"), F.col(t).alias("tkey"))
     some, rest = by_key(docs, keys, "left_semi"), by_key(docs, keys, "left_anti")
     joined = some.join(found, some["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(some["text"]) == F.col(t)))
-    out = joined.select(*[some[c] for c in docs.columns], _rewrite(min_words)(some["text"], F.col(runs_)).alias(new))
     kept = [c for c in docs.columns if c.lower() != removed.lower()]
-    out = out.select(*[F.col(f"{new}.text").alias("text") if c == "text" else F.col(c) for c in kept],
-                     F.col(f"{new}.n_removed").alias(removed))
+    spec = StructType([f for f in docs.schema.fields if f.name in kept]).add(removed, "long")
+    out = joined.select(*[some[c] for c in kept], runs_).mapInArrow(_rewrite(kept, runs_, removed, min_words), spec)
     return out.unionByName(rest.select(*kept, F.lit(0).cast("long").alias(removed)))
 
 
