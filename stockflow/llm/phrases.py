@@ -3,10 +3,10 @@
 A text is lower-cased (A-Z only), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words
 ``[^\\x20\\x09]+``. Every word opens a suffix of at most ``longest`` words inside its piece.
 
-1. *Leading words.* One pass counts words and word pairs by 64-bit hash, a second one runs of three whose pairs
-   are frequent; those seen ``least`` times or more mark bitmaps of fixed size (a false mark costs work,
-   never a result). A phrase can only be frequent if all its parts are, so a suffix pointer ends where its
-   pairs or runs of three are unmarked.
+1. *Leading words.* One pass counts words and word pairs by 64-bit hash, further ones the runs of three and more words
+   whose parts are frequent; those seen ``least`` times or more mark bitmaps of fixed size (a false mark costs
+   work, never a result). A phrase can only be frequent if all its parts are, so a suffix pointer ends where the
+   marks end.
 2. *Routing.* Pointers go, pre-aggregated in their task with their weights, to the task of their two leading
    words. Pairs seen ``HOT_PAIR`` times or more are routed by three words, so that a hot pair is
    spread; their two-word counts are summed from the parts.
@@ -113,14 +113,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _counted(s.runs(2)[:-1][s.joined] if len(s.hash) else s.hash, True)
 
 
-def _count_threes(bits):
-    """(hash, count, false) of the runs of three words whose pairs are marked."""
+def _reach(s: Slice, marks: list[np.ndarray], longest: int) -> np.ndarray:
+    """How many words from each word on may be a frequent phrase; marks[m - 2] holds the runs of m words (and words)."""
+    n = len(s.hash)
+    reach = np.ones(n, dtype=np.int64)
+    for m in range(2, min(longest, len(marks) + 1) + 1):
+        further = np.zeros(n, dtype=bool)
+        further[: n - 1] = s.joined & (reach[:-1] >= m - 1) & (reach[1:] >= m - 1)
+        reach[further & tk.marked(marks[m - 2], s.runs(m))] = m
+    return reach
+
+
+def _count_runs(marks, m: int):
+    """(hash, count, false) of the runs of m words whose parts are marked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in _slices(batch):
-                if len(s.hash) > 2:
-                    follows = s.joined & tk.marked(bits.value[0], s.runs(2)[:-1])
-                    yield from _counted(s.runs(3)[:-2][follows[1:] & follows[:-1]], False)
+                if len(s.hash) >= m:
+                    reach = _reach(s, marks.value, m - 1)
+                    at = np.flatnonzero(s.joined & (reach[:-1] == m - 1) & (reach[1:] == m - 1))
+                    yield from _counted(s.runs(m)[at], False)
     return run
 
 
@@ -160,21 +172,13 @@ def merged(table: pa.Table) -> pa.Table:
 
 def _pointers(bits, longest: int):
     """Distinct suffix pointers of each task with weights; words: 0 all words of a language, 1 a single word."""
-    def found(s: Slice, frequent: np.ndarray, threes: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(s.hash)
-        pair, three = s.runs(2), s.runs(3)
-        follows, goes_on = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        follows[:-1] = s.joined & tk.marked(frequent, pair[:-1])
-        goes_on[:-2] = follows[:-2] & follows[1:-1] & tk.marked(threes, three[:-2])
-        more = np.zeros(n, dtype=np.int64)                  # marked runs of three from each word on
-        for _ in range(longest - 2):
-            more[:-1] = np.where(goes_on[:-1], np.minimum(more[1:] + 1, longest - 2), 0)
-        reach = np.where(follows, 2 + more, 1)
+    def found(s: Slice, marks: list[np.ndarray], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pair, reach = s.runs(2), _reach(s, marks, longest)
         spread = tk.marked(hot, pair)
         at, m, weight, route, far = [], [], [], [], []
         for k in range(1, longest + 1):
             own = s.runs(k) if k > 1 else tk.mix(s.hash)
-            i = np.flatnonzero(reach == k) if k > 1 else np.flatnonzero(tk.marked(frequent, own))
+            i = np.flatnonzero(reach == k) if k > 1 else np.flatnonzero(tk.marked(marks[0], own))
             _, first, count = np.unique(own[i], return_index=True, return_counts=True)
             i = i[first]
             at.append(i), m.append(np.full(len(i), k)), weight.append(count)
@@ -305,10 +309,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
             .where(F.col("c") >= least))
     seen = stored(seen)
     frequent, hot = bitmap(seen, "key", SLOTS), bitmap(seen.where(F.col("pair") & (F.col("c") >= HOT_PAIR)), "key", HOT_SLOTS)
-    first = spark.sparkContext.broadcast((frequent,))
-    threes = (texts.mapInArrow(_count_threes(first), "key long, c long, pair boolean").groupBy("key").agg(F.sum("c").alias("c"))
-              .where(F.col("c") >= least))
-    bits = spark.sparkContext.broadcast((frequent, bitmap(threes, "key", SLOTS), hot))
+    marks = [frequent]
+    for m in range(3, longest + 1):
+        runs = (texts.mapInArrow(_count_runs(spark.sparkContext.broadcast(marks), m), "key long, c long, pair boolean")
+                .groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+        marks = [*marks, bitmap(runs, "key", SLOTS)]
+    bits = spark.sparkContext.broadcast((marks, hot))
     pointers = texts.mapInArrow(_pointers(bits, longest), POINTER).repartition("route").sortWithinPartitions("route")
     counts = (pointers.mapInArrow(_mine(least, longest), "lang string, words int, phrase string, c long")
               .groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")))
