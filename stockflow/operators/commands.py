@@ -37,31 +37,64 @@ DEC18 = "decimal(18,2)"
 
 # -- W7 part commands -------------------------------------------------------------------
 
+PART_COLUMNS = (("new_number", "string"), ("new_name", "string"), ("new_description", "string"), ("new_category", "string"),
+                ("new_supplier_id", "bigint"), ("new_supplier_number", "string"), ("new_reorder", "int"))
+
+
 def part_command_reasons(cmds: DataFrame, parts: DataFrame) -> DataFrame:
-    """Each part command with its rejection reason (NULL when accepted); guards need no state."""
-    c = F.col("command")
+    """Each part command with its rejection reason (NULL when accepted).
+
+    Guards need no state but one: a part outside the snapshot lives from its first valid ``create`` on (an as-of
+    guard against the least sequence number of those, one partial aggregate), so a command before it finds no part and
+    a later create finds one. Commands without the columns of ``create``, ``info`` and the supplier number may leave
+    them out; a ``defaults`` command is only asked for a reorder quantity where the table has the column.
+    """
+    c, seq = F.col("command"), F.col("seq")
+    full = "new_name" in cmds.columns
+    for name, kind in PART_COLUMNS:
+        if name not in cmds.columns:
+            cmds = cmds.withColumn(name, F.lit(None).cast(kind))
     known = parts.select("part_id", F.lit(True).alias("_known"))
     j = cmds.join(known, "part_id", "left")
-    reason = (F.when(F.col("_known").isNull(), F.lit("part_not_found"))
-               .when((c == "price") & (F.col("new_cost").isNull() | F.col("new_price").isNull()),
-                     F.lit("price_required"))
-               .when((c == "price") & ((F.col("new_cost") < 0) | (F.col("new_price") < 0)),
-                     F.lit("negative_amount"))
-               .when((c == "defaults") & (F.col("new_min").isNull() | F.col("new_max").isNull()), F.lit("levels_required"))
+
+    def blank(name: str) -> Column:
+        return F.coalesce(F.trim(name) == "", F.lit(True))
+    money = (F.when(F.col("new_cost").isNull() | F.col("new_price").isNull(), F.lit("price_required"))
+              .when((F.col("new_cost") < 0) | (F.col("new_price") < 0), F.lit("negative_amount")))
+    valid = F.when(blank("new_number"), F.lit("part_number_required")).when(blank("new_name"), F.lit("part_name_required")).otherwise(money)
+    alive = F.col("_known").isNotNull()
+    if full:
+        j = j.withColumn("_valid", F.when(c == "create", valid))
+        births = (j.where((c == "create") & F.col("_known").isNull() & F.col("_valid").isNull()).groupBy("part_id")
+                  .agg(F.min("seq").alias("_born")))
+        j = j.join(births, "part_id", "left")
+        alive = alive | F.coalesce(seq > F.col("_born"), F.lit(False))
+        made = F.when(alive, F.lit("part_exists")).otherwise(F.col("_valid"))
+    reorder = F.col("new_reorder")
+    reason = F.when(~alive & ~F.coalesce(c == "create", F.lit(False)) if full else ~alive, F.lit("part_not_found"))
+    if full:
+        reason = reason.when(c == "create", made).when((c == "info") & blank("new_name"), F.lit("part_name_required"))
+    reason = (reason
+               .when((c == "price") & money.isNotNull(), money)
+               .when((c == "defaults") & (F.col("new_min").isNull() | F.col("new_max").isNull() | (reorder.isNull() if full else F.lit(False))),
+                     F.lit("levels_required"))
                .when((c == "defaults") & (F.col("new_min") < 0), F.lit("negative_minimum"))
                .when((c == "defaults") & (F.col("new_max") < F.col("new_min")), F.lit("maximum_below_minimum"))
+               .when((c == "defaults") & (reorder < 0), F.lit("negative_reorder"))
                .when((c == "supplier") & (F.col("new_lead_time") < 0), F.lit("negative_lead_time"))
-               .when(~F.coalesce(c.isin("price", "defaults", "supplier", "discontinue", "reactivate"), F.lit(False)),
+               .when(~F.coalesce(c.isin("price", "defaults", "supplier", "discontinue", "reactivate", *(["create", "info"] if full else [])), F.lit(False)),
                      F.lit("unknown_command")))
     return (j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
-             .drop("_known"))
+             .drop("_known", "_valid", "_born"))
 
 
 def apply_part_commands(parts: DataFrame, cmds: DataFrame) -> DataFrame:
     """New parts snapshot after the accepted commands (last accepted write per column wins).
 
-    price -> cost and price; defaults -> min and max; supplier -> lead time;
-    discontinue -> discontinued and inactive; reactivate -> active, not discontinued.
+    create -> a new part (number, name, description, category, cost, price; no supplier, levels 0, active); info -> name,
+    description, category; price -> cost and price; defaults -> min, max and reorder quantity; supplier -> supplier id,
+    supplier's number and lead time; discontinue -> discontinued and inactive; reactivate -> active, not discontinued.
+    Snapshots without a supplier's number or a reorder quantity start with none and 0, as new parts do.
     """
     judged = part_command_reasons(cmds, parts)
     ok = F.col("accepted")
@@ -73,29 +106,48 @@ def apply_part_commands(parts: DataFrame, cmds: DataFrame) -> DataFrame:
         return F.max_by(F.when(ok & cond, F.struct(value.alias("v"))), F.when(ok & cond, seq))
 
     # one aggregate per part for the new values and the counts (commands are read once)
+    info, priced = c.isin("create", "info"), c.isin("create", "price")
+    supplier = "new_supplier_id" in cmds.columns
     upd = (judged.groupBy("part_id")
-                 .agg(last(c == "price", F.col("new_cost")).alias("_cost"),
-                      last(c == "price", F.col("new_price")).alias("_price"),
+                 .agg(last(c == "create", F.col("new_number")).alias("_number"),
+                      last(info, F.col("new_name")).alias("_name"), last(info, F.col("new_description")).alias("_desc"),
+                      last(info, F.col("new_category")).alias("_cat"),
+                      last(priced, F.col("new_cost")).alias("_cost"),
+                      last(priced, F.col("new_price")).alias("_price"),
                       last(c == "defaults", F.col("new_min")).alias("_min"),
                       last(c == "defaults", F.col("new_max")).alias("_max"),
+                      last(c == "defaults", F.col("new_reorder")).alias("_reorder"),
+                      last(c == "supplier", F.col("new_supplier_id")).alias("_sid"),
+                      last(c == "supplier", F.col("new_supplier_number")).alias("_snum"),
                       last(c == "supplier", F.col("new_lead_time")).alias("_lead"),
                       last(c.isin("discontinue", "reactivate"), c == "discontinue").alias("_disc"),
                       F.count_if(ok).alias("commands_applied"), F.count_if(~ok).alias("commands_rejected")))
-    j = parts.join(upd, "part_id", "left")
-
-    def pick(new: str, old: str) -> Column:
-        return F.when(F.col(new).isNotNull(), F.col(f"{new}.v")).otherwise(F.col(old))
-
+    base = parts
+    for name, value in (("supplier_part_number", F.lit("")), ("default_reorder_quantity", F.lit(0))):
+        if name not in base.columns:
+            base = base.withColumn(name, value)
+    j = base.withColumn("_old", F.lit(True)).join(upd, "part_id", "full").where(F.col("_old") | F.col("_number").isNotNull())
+    old = F.col("_old").isNotNull()
+
+    def pick(new: str, name: str, start: Column | None = None) -> Column:
+        value = F.col(name) if start is None else F.when(old, F.col(name)).otherwise(start)
+        return F.when(F.col(new).isNotNull(), F.col(f"{new}.v")).otherwise(value)
+
+    zero = F.lit(0)
     disc = F.col("_disc.v")
     return j.select(
-        "part_id", "part_number", "part_name", "description", "category",
-        pick("_cost", "unit_cost").cast(DEC18).alias("unit_cost"), "unit_cost_currency",
-        pick("_price", "unit_price").cast(DEC18).alias("unit_price"), "unit_price_currency",
-        "supplier_id", pick("_lead", "lead_time_days").cast("int").alias("lead_time_days"),
-        pick("_min", "default_minimum_stock_level").cast("int").alias("default_minimum_stock_level"),
-        pick("_max", "default_maximum_stock_level").cast("int").alias("default_maximum_stock_level"),
-        F.when(F.col("_disc").isNotNull(), disc).otherwise(F.col("is_discontinued")).alias("is_discontinued"),
-        F.when(F.col("_disc").isNotNull(), ~disc).otherwise(F.col("is_active")).alias("is_active"),
+        "part_id", pick("_number", "part_number").alias("part_number"), pick("_name", "part_name").alias("part_name"),
+        pick("_desc", "description").alias("description"), pick("_cat", "category").alias("category"),
+        pick("_cost", "unit_cost").cast(DEC18).alias("unit_cost"), F.coalesce("unit_cost_currency", F.lit("USD")).alias("unit_cost_currency"),
+        pick("_price", "unit_price").cast(DEC18).alias("unit_price"), F.coalesce("unit_price_currency", F.lit("USD")).alias("unit_price_currency"),
+        (pick("_sid", "supplier_id") if supplier else F.col("supplier_id")).cast("bigint").alias("supplier_id"),
+        (pick("_snum", "supplier_part_number", F.lit("")) if supplier else F.col("supplier_part_number")).alias("supplier_part_number"),
+        pick("_lead", "lead_time_days", zero).cast("int").alias("lead_time_days"),
+        pick("_min", "default_minimum_stock_level", zero).cast("int").alias("default_minimum_stock_level"),
+        pick("_max", "default_maximum_stock_level", zero).cast("int").alias("default_maximum_stock_level"),
+        F.coalesce(pick("_reorder", "default_reorder_quantity", zero), F.lit(0)).cast("int").alias("default_reorder_quantity"),
+        F.when(F.col("_disc").isNotNull(), disc).when(old, F.col("is_discontinued")).otherwise(F.lit(False)).alias("is_discontinued"),
+        F.when(F.col("_disc").isNotNull(), ~disc).when(old, F.col("is_active")).otherwise(F.lit(True)).alias("is_active"),
         F.coalesce("commands_applied", F.lit(0).cast("bigint")).alias("commands_applied"),
         F.coalesce("commands_rejected", F.lit(0).cast("bigint")).alias("commands_rejected"))
 
@@ -470,12 +522,15 @@ def apply_technician_commands(tech: DataFrame, cmds: DataFrame) -> DataFrame:
 
 
 def apply_customer_commands(cust: DataFrame, cmds: DataFrame) -> DataFrame:
-    """Customer commands (``customer_id, seq, command, ...``): ``contact`` (new_email required),
+    """Customer commands (``customer_id, seq, command, ...``): ``contact`` (contact name, e-mail and phone; e-mail required),
     ``address`` (new_address must parse), ``preferences`` (new_prefer_email, new_prefer_sms),
     ``deactivate`` / ``reactivate``. Last accepted write per column wins."""
     from stockflow.functions.scalars import parse_address
     known = cust.select("customer_id", F.lit(True).alias("_k"))
     c = F.col("command")
+    for name in ("new_contact_name", "new_phone"):
+        if name not in cmds.columns:
+            cmds = cmds.withColumn(name, F.lit(None).cast("string"))
     j = cmds.join(known, "customer_id", "left")
     reason = (F.when(F.col("_k").isNull(), F.lit("customer_not_found"))
                .when((c == "contact") & (F.col("new_email").isNull() | (F.trim("new_email") == "")),
@@ -488,6 +543,8 @@ def apply_customer_commands(cust: DataFrame, cmds: DataFrame) -> DataFrame:
     seq = F.struct("seq")
     upd = acc.groupBy("customer_id").agg(
         _last(c == "contact", F.col("new_email"), seq).alias("_email"),
+        _last(c == "contact", F.col("new_contact_name"), seq).alias("_contact"),
+        _last(c == "contact", F.col("new_phone"), seq).alias("_phone"),
         _last(c == "address", F.col("new_address"), seq).alias("_addr"),
         _last(c == "preferences", F.col("new_prefer_email"), seq).alias("_pe"),
         _last(c == "preferences", F.col("new_prefer_sms"), seq).alias("_ps"),
@@ -496,9 +553,11 @@ def apply_customer_commands(cust: DataFrame, cmds: DataFrame) -> DataFrame:
                                             F.count_if(F.col("reason").isNotNull()).alias("commands_rejected"))
     out = cust.join(upd, "customer_id", "left").join(cnt, "customer_id", "left")
     base_active = F.col("is_active") if "is_active" in cust.columns else F.lit(True)
-    base_email = F.col("email") if "email" in cust.columns else F.lit(None).cast("string")
+    base_email, base_contact, base_phone = (F.col(n) if n in cust.columns else F.lit(None).cast("string") for n in ("email", "contact_name", "phone"))
     return out.select(
         "customer_id", "company_name",
+        F.when(F.col("_contact").isNotNull(), F.col("_contact.v")).otherwise(base_contact).alias("contact_name"),
+        F.when(F.col("_phone").isNotNull(), F.col("_phone.v")).otherwise(base_phone).alias("phone"),
         F.coalesce(F.col("_email.v"), base_email).alias("email"),
         F.when(F.col("_addr").isNotNull(), F.col("_addr.v")).otherwise(F.col("address")).alias("address"),
         F.when(F.col("_pe").isNotNull(), F.col("_pe.v")).otherwise(F.col("prefer_email")).alias("prefer_email"),

@@ -65,12 +65,17 @@ def line_stats(wop: DataFrame) -> DataFrame:
 
 
 def wo_details(wo: DataFrame, wop: DataFrame, notif: DataFrame) -> DataFrame:
-    """Order + line and notification aggregates (each child aggregated first, no cartesian)."""
+    """Order with its parts list, its notification list and their aggregates (each child collection is gathered
+    per order first, so the two never multiply). Lists are sorted; an order without children has empty lists."""
+    parts = wop.groupBy("work_order_id").agg(F.array_sort(F.collect_list(F.struct(
+        "line_no", "part_id", "quantity_required", "is_available"))).alias("parts"))
     n = (notif.groupBy("work_order_id")
-              .agg(F.count(F.lit(1)).alias("notification_count"),
+              .agg(F.array_sort(F.collect_list(F.struct("sent_at", "notification_id", "notification_type", "subject", "success", "error_message")))
+                   .alias("notifications"), F.count(F.lit(1)).alias("notification_count"),
                    F.count_if(~F.col("success")).alias("failed_notifications"),
                    F.max("sent_at").alias("last_notification_at")))
-    out = wo.join(line_stats(wop), "work_order_id", "left").join(n, "work_order_id", "left")
+    out = wo.join(line_stats(wop), "work_order_id", "left").join(parts, "work_order_id", "left").join(n, "work_order_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("parts", "notifications")})
     zero = F.lit(0).cast("bigint")
     return out.withColumns({
         "line_count": F.coalesce("line_count", zero),
@@ -197,8 +202,14 @@ def all_parts_available(wo: DataFrame, wop: DataFrame) -> DataFrame:
 
 
 def estimate_accuracy(wo: DataFrame) -> DataFrame:
-    """A10: completed orders per equipment type: cost variance, over-budget count and %, revenue."""
+    """A10: completed orders per equipment type: cost and hours variance, over-budget count and %, revenue, and the
+    average hours from creation to completion (``actual_labor_hours`` and ``completed_at`` may be absent: then NULL)."""
     done = wo.where(F.col("status") == COMPLETED)
+    for name, kind in (("actual_labor_hours", "decimal(8,2)"), ("completed_at", "timestamp_ntz")):
+        if name not in done.columns:
+            done = done.withColumn(name, F.lit(None).cast(kind))
+    hours, planned = F.col("actual_labor_hours"), F.col("estimated_labor_hours")
+    taken = (X.ntz_micros("completed_at") - X.ntz_micros("created_at")) / F.lit(3600000000.0)
     est, act = F.col("estimated_cost"), F.col("actual_cost")
     pct = F.when(est > 0, (act - est).cast("double") / est.cast("double") * 100.0)
     return (done.groupBy("equipment_type")
@@ -209,7 +220,10 @@ def estimate_accuracy(wo: DataFrame) -> DataFrame:
                      F.sum(act - est).cast("decimal(28,2)").alias("total_cost_variance"),
                      F.avg(pct).alias("avg_cost_variance_pct"),
                      F.avg(F.when(act > est, pct)).alias("avg_over_budget_pct"),
-                     F.avg(F.col("estimated_labor_hours").cast("double")).alias("avg_estimated_hours")))
+                     F.avg(F.col("estimated_labor_hours").cast("double")).alias("avg_estimated_hours"),
+                     F.sum(hours - planned).cast("decimal(20,2)").alias("total_hours_variance"),
+                     F.avg(F.when(planned > 0, (hours - planned).cast("double") / planned.cast("double") * 100.0)).alias("avg_hours_variance_pct"),
+                     F.avg(taken).alias("avg_completion_hours")))
 
 
 # -- L1-L3 --------------------------------------------------------------------------------

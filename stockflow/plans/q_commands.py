@@ -26,38 +26,93 @@ JUDGED_SQL = """
 """
 
 
-@register("part_commands", JUDGED_SQL + """
-, upd AS (
-  SELECT part_id,
-         bool_or(command = 'price') AS has_price,
-         arg_max(new_cost, seq) FILTER (WHERE command = 'price') AS n_cost,
-         arg_max(new_price, seq) FILTER (WHERE command = 'price') AS n_price,
-         bool_or(command = 'defaults') AS has_def,
-         arg_max(new_min, seq) FILTER (WHERE command = 'defaults') AS n_min,
-         arg_max(new_max, seq) FILTER (WHERE command = 'defaults') AS n_max,
-         bool_or(command = 'supplier') AS has_sup,
-         arg_max(new_lead_time, seq) FILTER (WHERE command = 'supplier') AS n_lead,
-         bool_or(command IN ('discontinue', 'reactivate')) AS has_disc,
-         arg_max(command = 'discontinue', seq) FILTER (WHERE command IN ('discontinue', 'reactivate')) AS n_disc
-  FROM judged WHERE reason IS NULL GROUP BY part_id),
-cnt AS (SELECT part_id, count(*) FILTER (WHERE reason IS NULL) AS applied,
-               count(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM judged GROUP BY part_id)
-SELECT p.part_id, p.part_number, p.part_name, p.description, p.category,
-       cast(CASE WHEN u.has_price THEN u.n_cost ELSE p.unit_cost END AS decimal(18,2)) AS unit_cost,
-       p.unit_cost_currency,
-       cast(CASE WHEN u.has_price THEN u.n_price ELSE p.unit_price END AS decimal(18,2)) AS unit_price,
-       p.unit_price_currency, p.supplier_id,
-       cast(CASE WHEN u.has_sup THEN u.n_lead ELSE p.lead_time_days END AS int) AS lead_time_days,
-       cast(CASE WHEN u.has_def THEN u.n_min ELSE p.default_minimum_stock_level END AS int) AS default_minimum_stock_level,
-       cast(CASE WHEN u.has_def THEN u.n_max ELSE p.default_maximum_stock_level END AS int) AS default_maximum_stock_level,
-       CASE WHEN u.has_disc THEN u.n_disc ELSE p.is_discontinued END AS is_discontinued,
-       CASE WHEN u.has_disc THEN NOT u.n_disc ELSE p.is_active END AS is_active,
-       coalesce(c.applied, 0) AS commands_applied, coalesce(c.rejected, 0) AS commands_rejected
-FROM parts p LEFT JOIN upd u ON u.part_id = p.part_id LEFT JOIN cnt c ON c.part_id = p.part_id
+# all seven part commands; some are for parts that only a create command of the batch brings in
+CATALOG_COMMANDS_SQL = """
+, cc AS (
+  SELECT event_id AS seq, ts, CASE WHEN event_id % 5 = 0 THEN user_id + 100000000 ELSE user_id END AS part_id,
+         CASE event_type WHEN 'purchase' THEN 'price' WHEN 'error' THEN 'discontinue' WHEN 'view' THEN 'defaults'
+              WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'create' ELSE 'reactivate' END
+              ELSE CASE WHEN event_id % 3 = 0 THEN 'info' ELSE 'supplier' END END AS command,
+         cast(value AS decimal(18,2)) AS new_cost,
+         cast(cast(value AS decimal(18,2)) * cast(1.25 AS decimal(3,2)) AS decimal(18,2)) AS new_price,
+         cast(event_id % 30 AS int) AS new_min, cast(event_id % 60 AS int) AS new_max, cast(event_id % 40 AS int) - 3 AS new_reorder,
+         CASE WHEN event_id % 13 = 0 THEN ' ' ELSE concat('N-', cast(user_id AS varchar)) END AS new_number,
+         CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('Name ', cast(event_id AS varchar)) END AS new_name,
+         CASE WHEN event_id % 7 <> 0 THEN concat('About ', cast(event_id AS varchar)) END AS new_description,
+         concat('Group ', cast(event_id % 9 AS varchar)) AS new_category,
+         event_id % 100 AS new_supplier_id, concat('S-', cast(event_id AS varchar)) AS new_supplier_number,
+         cast(event_id % 25 AS int) - 2 AS new_lead_time
+  FROM events),
+v AS (SELECT cc.*, p.part_id IS NOT NULL AS known,
+             CASE WHEN trim(new_number) = '' THEN 'part_number_required' WHEN trim(new_name) = '' THEN 'part_name_required'
+                  WHEN new_cost IS NULL OR new_price IS NULL THEN 'price_required'
+                  WHEN new_cost < 0 OR new_price < 0 THEN 'negative_amount' END AS bad
+      FROM cc LEFT JOIN parts p ON p.part_id = cc.part_id),
+born AS (SELECT part_id, min(seq) AS born FROM v WHERE command = 'create' AND NOT known AND bad IS NULL GROUP BY part_id),
+judged AS (
+  SELECT v.*, CASE WHEN NOT (known OR coalesce(seq > born, false)) AND command <> 'create' THEN 'part_not_found'
+                   WHEN command = 'create' THEN CASE WHEN known OR coalesce(seq > born, false) THEN 'part_exists' ELSE bad END
+                   WHEN command = 'info' AND trim(new_name) = '' THEN 'part_name_required'
+                   WHEN command = 'price' AND (new_cost IS NULL OR new_price IS NULL) THEN 'price_required'
+                   WHEN command = 'price' AND (new_cost < 0 OR new_price < 0) THEN 'negative_amount'
+                   WHEN command = 'defaults' AND new_max < new_min THEN 'maximum_below_minimum'
+                   WHEN command = 'defaults' AND new_reorder < 0 THEN 'negative_reorder'
+                   WHEN command = 'supplier' AND new_lead_time < 0 THEN 'negative_lead_time' END AS reason
+  FROM v LEFT JOIN born ON born.part_id = v.part_id),
+ok AS (SELECT * FROM judged WHERE reason IS NULL),
+c1 AS (SELECT part_id, new_number FROM ok WHERE command = 'create' QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY seq DESC) = 1),
+c2 AS (SELECT * FROM ok WHERE command IN ('create', 'info') QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY seq DESC) = 1),
+c3 AS (SELECT * FROM ok WHERE command IN ('create', 'price') QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY seq DESC) = 1),
+c4 AS (SELECT * FROM ok WHERE command = 'defaults' QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY seq DESC) = 1),
+c5 AS (SELECT * FROM ok WHERE command = 'supplier' QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY seq DESC) = 1),
+c6 AS (SELECT * FROM ok WHERE command IN ('discontinue', 'reactivate') QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY seq DESC) = 1),
+cnt AS (SELECT part_id, count(*) FILTER (WHERE reason IS NULL) AS applied, count(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM judged GROUP BY part_id),
+ids AS (SELECT part_id FROM parts UNION SELECT part_id FROM c1)
+"""
+
+
+@register("part_commands", CATALOG_COMMANDS_SQL + """
+SELECT i.part_id, coalesce(c1.new_number, p.part_number) AS part_number,
+       CASE WHEN c2.part_id IS NOT NULL THEN c2.new_name ELSE p.part_name END AS part_name,
+       CASE WHEN c2.part_id IS NOT NULL THEN c2.new_description ELSE p.description END AS description,
+       CASE WHEN c2.part_id IS NOT NULL THEN c2.new_category ELSE p.category END AS category,
+       cast(CASE WHEN c3.part_id IS NOT NULL THEN c3.new_cost ELSE p.unit_cost END AS decimal(18,2)) AS unit_cost,
+       coalesce(p.unit_cost_currency, 'USD') AS unit_cost_currency,
+       cast(CASE WHEN c3.part_id IS NOT NULL THEN c3.new_price ELSE p.unit_price END AS decimal(18,2)) AS unit_price,
+       coalesce(p.unit_price_currency, 'USD') AS unit_price_currency,
+       CASE WHEN c5.part_id IS NOT NULL THEN c5.new_supplier_id ELSE p.supplier_id END AS supplier_id,
+       coalesce(c5.new_supplier_number, '') AS supplier_part_number,
+       cast(CASE WHEN c5.part_id IS NOT NULL THEN c5.new_lead_time ELSE coalesce(p.lead_time_days, 0) END AS int) AS lead_time_days,
+       cast(CASE WHEN c4.part_id IS NOT NULL THEN c4.new_min ELSE coalesce(p.default_minimum_stock_level, 0) END AS int) AS default_minimum_stock_level,
+       cast(CASE WHEN c4.part_id IS NOT NULL THEN c4.new_max ELSE coalesce(p.default_maximum_stock_level, 0) END AS int) AS default_maximum_stock_level,
+       coalesce(c4.new_reorder, 0) AS default_reorder_quantity,
+       CASE WHEN c6.part_id IS NOT NULL THEN c6.command = 'discontinue' ELSE coalesce(p.is_discontinued, false) END AS is_discontinued,
+       CASE WHEN c6.part_id IS NOT NULL THEN c6.command <> 'discontinue' ELSE coalesce(p.is_active, true) END AS is_active,
+       coalesce(cnt.applied, 0) AS commands_applied, coalesce(cnt.rejected, 0) AS commands_rejected
+FROM ids i LEFT JOIN parts p ON p.part_id = i.part_id LEFT JOIN c1 ON c1.part_id = i.part_id LEFT JOIN c2 ON c2.part_id = i.part_id
+LEFT JOIN c3 ON c3.part_id = i.part_id LEFT JOIN c4 ON c4.part_id = i.part_id LEFT JOIN c5 ON c5.part_id = i.part_id
+LEFT JOIN c6 ON c6.part_id = i.part_id LEFT JOIN cnt ON cnt.part_id = i.part_id
 """)
 def q_part_commands(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return C.apply_part_commands(d.parts, d.part_commands)
+    e = d.raw("events")
+    et, eid, user = F.col("event_type"), F.col("event_id"), F.col("user_id").cast("string")
+    ids = eid.cast("string")
+    cost = F.col("value").cast("decimal(18,2)")
+    cmds = e.select(
+        eid.alias("seq"), "ts", F.when(eid % 5 == 0, F.col("user_id") + 100000000).otherwise(F.col("user_id")).alias("part_id"),
+        F.when(et == "purchase", "price").when(et == "error", "discontinue").when(et == "view", "defaults")
+         .when(et == "signup", F.when(eid % 2 == 0, "create").otherwise("reactivate"))
+         .otherwise(F.when(eid % 3 == 0, "info").otherwise("supplier")).alias("command"),
+        cost.alias("new_cost"), (cost * F.lit(1.25).cast("decimal(3,2)")).cast("decimal(18,2)").alias("new_price"),
+        (eid % 30).cast("int").alias("new_min"), (eid % 60).cast("int").alias("new_max"), ((eid % 40).cast("int") - 3).alias("new_reorder"),
+        F.when(eid % 13 == 0, " ").otherwise(F.concat(F.lit("N-"), user)).alias("new_number"),
+        F.when(eid % 11 == 0, "").otherwise(F.concat(F.lit("Name "), ids)).alias("new_name"),
+        F.when(eid % 7 != 0, F.concat(F.lit("About "), ids)).alias("new_description"),
+        F.concat(F.lit("Group "), (eid % 9).cast("string")).alias("new_category"),
+        (eid % 100).alias("new_supplier_id"), F.concat(F.lit("S-"), ids).alias("new_supplier_number"),
+        ((eid % 25).cast("int") - 2).alias("new_lead_time"))
+    return C.apply_part_commands(d.parts, cmds)
 
 
 PRICE_CHANGES_SQL = JUDGED_SQL + """
@@ -282,6 +337,8 @@ ccmd AS (SELECT user_id AS customer_id, event_id AS seq,
                 CASE event_type WHEN 'signup' THEN 'preferences' WHEN 'click' THEN 'address' ELSE 'contact' END AS command,
                 CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN ' '
                      ELSE concat('c', cast(user_id AS varchar), '@example.com') END END AS new_email,
+                CASE WHEN event_type = 'purchase' THEN concat('Contact ', cast(event_id % 50 AS varchar)) END AS new_contact_name,
+                CASE WHEN event_type = 'purchase' AND event_id % 6 <> 0 THEN concat('555-', lpad(cast(event_id % 10000 AS varchar), 4, '0')) END AS new_phone,
                 CASE WHEN event_type = 'click' THEN
                   CASE WHEN event_id % 7 = 0 THEN concat(cast(event_id AS varchar), ' Oak Ave')
                        WHEN event_id % 11 = 0 THEN concat(cast(event_id AS varchar), ' Oak Ave, Dallas, tx, 123')
@@ -297,6 +354,8 @@ cj AS (SELECT c.*, CASE WHEN k.customer_id IS NULL THEN 'customer_not_found'
        FROM ccmd c LEFT JOIN customers k ON k.customer_id = c.customer_id),
 cu AS (SELECT customer_id,
               arg_max(new_email, seq) FILTER (WHERE command = 'contact') AS n_email,
+              arg_max(new_contact_name, seq) FILTER (WHERE command = 'contact') AS n_contact,
+              max_by(struct_pack(v := new_phone), seq) FILTER (WHERE command = 'contact') AS n_phone,
               arg_max(new_address, seq) FILTER (WHERE command = 'address') AS n_address,
               bool_or(command = 'preferences') AS has_pref,
               arg_max(new_prefer_email, seq) FILTER (WHERE command = 'preferences') AS n_pe,
@@ -311,12 +370,13 @@ cc AS (SELECT customer_id, count(*) FILTER (WHERE reason IS NULL) AS applied,
 SELECT 'technician' AS kind, t.technician_id AS person_id,
        cast(coalesce(u.n_status, t.status) AS int) AS status,
        CASE WHEN u.deactivated THEN false ELSE t.is_active END AS is_active,
+       CAST(NULL AS varchar) AS contact_name, CAST(NULL AS varchar) AS phone,
        CAST(NULL AS varchar) AS email, CAST(NULL AS varchar) AS address,
        CAST(NULL AS boolean) AS prefer_email, CAST(NULL AS boolean) AS prefer_sms,
        coalesce(c.applied, 0) AS commands_applied, coalesce(c.rejected, 0) AS commands_rejected
 FROM technicians t LEFT JOIN tu u ON u.technician_id = t.technician_id LEFT JOIN tc c ON c.technician_id = t.technician_id
 UNION ALL
-SELECT 'customer', k.customer_id, CAST(NULL AS int), true, u.n_email, coalesce(u.n_address, k.address),
+SELECT 'customer', k.customer_id, CAST(NULL AS int), true, u.n_contact, u.n_phone.v, u.n_email, coalesce(u.n_address, k.address),
        CASE WHEN u.has_pref THEN u.n_pe ELSE k.prefer_email END,
        CASE WHEN u.has_pref THEN u.n_ps ELSE k.prefer_sms END,
        coalesce(c.applied, 0), coalesce(c.rejected, 0)
@@ -340,17 +400,20 @@ def q_technician_customer_commands(spark, sf_dir):
         F.when(et == "purchase", F.when(eid % 4 == 0, F.lit(" "))
                .otherwise(F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("@example.com"))))
          .alias("new_email"),
+        F.when(et == "purchase", F.concat(F.lit("Contact "), (eid % 50).cast("string"))).alias("new_contact_name"),
+        F.when((et == "purchase") & (eid % 6 != 0), F.concat(F.lit("555-"), F.lpad((eid % 10000).cast("string"), 4, "0"))).alias("new_phone"),
         F.when(et == "click", addr).alias("new_address"),
         F.when(et == "signup", eid % 2 == 0).alias("new_prefer_email"),
         F.when(et == "signup", eid % 3 == 0).alias("new_prefer_sms"))
     t = C.apply_technician_commands(d.technicians, tcmd)
     c = C.apply_customer_commands(d.customers, ccmd)
     tech = t.select(F.lit("technician").alias("kind"), F.col("technician_id").alias("person_id"), "status",
-                    "is_active", F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("address"),
+                    "is_active", F.lit(None).cast("string").alias("contact_name"), F.lit(None).cast("string").alias("phone"),
+                    F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("address"),
                     F.lit(None).cast("boolean").alias("prefer_email"), F.lit(None).cast("boolean").alias("prefer_sms"),
                     "commands_applied", "commands_rejected")
     cust = c.select(F.lit("customer").alias("kind"), F.col("customer_id").alias("person_id"),
-                    F.lit(None).cast("int").alias("status"), "is_active", "email", "address", "prefer_email",
+                    F.lit(None).cast("int").alias("status"), "is_active", "contact_name", "phone", "email", "address", "prefer_email",
                     "prefer_sms", "commands_applied", "commands_rejected")
     return tech.unionByName(cust)
 

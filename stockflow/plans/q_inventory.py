@@ -177,7 +177,8 @@ def q_part_stock_totals(spark, sf_dir):
 
 @register("part_with_inventory", """
 , loc AS (
-  SELECT part_id, warehouse, bin_location, quantity_on_hand, quantity_reserved
+  SELECT part_id, warehouse, bin_location, quantity_on_hand, quantity_reserved, quantity_on_hand - quantity_reserved AS available_quantity,
+         quantity_on_hand - quantity_reserved <= minimum_stock_level AS is_low_stock
   FROM inventory WHERE is_active),
 agg AS (
   SELECT part_id,
@@ -187,17 +188,21 @@ agg AS (
          count(*) AS location_count,
          string_agg(concat_ws(':', warehouse, bin_location, cast(quantity_on_hand AS varchar),
                               cast(quantity_reserved AS varchar)), '|'
-                    ORDER BY warehouse, bin_location, quantity_on_hand, quantity_reserved) AS locations_text
+                    ORDER BY warehouse, bin_location, quantity_on_hand, quantity_reserved) AS locations_text,
+         to_json(list({'warehouse': warehouse, 'bin_location': bin_location, 'quantity_on_hand': quantity_on_hand, 'quantity_reserved': quantity_reserved,
+                       'available_quantity': available_quantity, 'is_low_stock': is_low_stock}
+                      ORDER BY warehouse, bin_location, quantity_on_hand, quantity_reserved)) AS locations
   FROM loc GROUP BY part_id)
 SELECT p.part_id, p.part_number, p.part_name, p.unit_cost, p.unit_price,
        coalesce(a.total_on_hand, 0) AS total_on_hand, coalesce(a.total_reserved, 0) AS total_reserved,
        coalesce(a.total_available, 0) AS total_available, cast(coalesce(a.location_count, 0) AS int) AS location_count,
-       coalesce(a.locations_text, '') AS locations_text
+       coalesce(a.locations_text, '') AS locations_text, CAST(coalesce(a.locations, '[]') AS VARCHAR) AS locations
 FROM parts p LEFT JOIN agg a ON a.part_id = p.part_id
 """)
 def q_part_with_inventory(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return inv_ops.part_with_inventory(d.parts, d.inventory).drop("locations")
+    # the nested list is compared as JSON text; the operator keeps an array of structs
+    return inv_ops.part_with_inventory(d.parts, d.inventory).withColumn("locations", F.coalesce(F.to_json("locations"), F.lit("[]")))
 
 
 @register("inventory_with_transactions", """

@@ -120,12 +120,32 @@ def q_validate_customers(spark, sf_dir):
 
 
 @register("validate_requests", f"""
-SELECT *, {_sql_reasons([("Part ID is required", "part_id IS NULL"),
-                         ("Quantity must be at least 1", "coalesce(quantity < 1, true)")])}
+, asked AS (SELECT work_order_id, CASE WHEN work_order_id % 17 = 0 THEN NULL ELSE technician_id END AS technician_id,
+                   CASE WHEN work_order_id % 13 = 0 THEN ' ' ELSE 'dispatch' END AS assigned_by FROM assignment_requests),
+st AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 9 WHEN event_id % 23 = 0 THEN NULL ELSE new_status END AS new_status FROM status_requests)
+SELECT 'reservation' AS kind, concat_ws('/', work_order_id, line_no, part_id) AS request_key,
+       {_sql_reasons([("Part ID is required", "part_id IS NULL"), ("Quantity must be at least 1", "coalesce(quantity < 1, true)")])}
 FROM reservation_requests
+UNION ALL
+SELECT 'assign', cast(work_order_id AS varchar),
+       {_sql_reasons([("Technician ID is required", "technician_id IS NULL"), ("Assigned by is required", _blank("assigned_by"))])}
+FROM asked
+UNION ALL
+SELECT 'status', cast(event_id AS varchar),
+       {_sql_reasons([("Status must be between 0 and 5", "coalesce(NOT (new_status BETWEEN 0 AND 5), true)")])}
+FROM st
 """)
 def q_validate_requests(spark, sf_dir):
-    return _text(Q.validate_requests(domain(spark, sf_dir).reservation_requests, "reservation"))
+    d = domain(spark, sf_dir)
+    w, e = F.col("work_order_id"), F.col("event_id")
+    asked = d.assignment_requests.select("work_order_id", F.when(w % 17 != 0, F.col("technician_id")).alias("technician_id"),
+                                         F.when(w % 13 == 0, " ").otherwise("dispatch").alias("assigned_by"))
+    status = d.status_requests.select("event_id", F.when(e % 19 == 0, 9).when(e % 23 != 0, F.col("new_status")).alias("new_status"))
+
+    def checked(df, kind, key):
+        return _text(Q.validate_requests(df, kind)).select(F.lit(kind).alias("kind"), key.alias("request_key"), "reasons_text", "valid")
+    return (checked(d.reservation_requests, "reservation", F.concat_ws("/", "work_order_id", "line_no", "part_id"))
+            .unionByName(checked(asked, "assign", w.cast("string"))).unionByName(checked(status, "status", e.cast("string"))))
 
 
 @register("validate_periods", f"""
@@ -157,16 +177,27 @@ FROM i2 GROUP BY part_id, warehouse HAVING count(*) > 1
 UNION ALL
 SELECT 'work_orders.work_order_number', work_order_number, count(*)
 FROM w2 GROUP BY work_order_number HAVING count(*) > 1
+UNION ALL
+SELECT 'customers.email', concat('c', cast(customer_id % 140 AS varchar), '@example.com'), count(*)
+FROM customers GROUP BY customer_id % 140 HAVING count(*) > 1
+UNION ALL
+SELECT 'technicians.email', concat('t', cast(technician_id % 9 AS varchar), '@example.com'), count(*)
+FROM technicians GROUP BY technician_id % 9 HAVING count(*) > 1
 """)
 def q_duplicate_keys(spark, sf_dir):
     d = domain(spark, sf_dir)
 
+    def mailed(df, key, letter, n):
+        return df.withColumn("email", F.concat(F.lit(letter), (F.col(key) % n).cast("string"), F.lit("@example.com")))
+
     def twice(df, key):
         return df.unionByName(df.where(F.col(key) % 50 == 7))
     return (Q.duplicate_keys(twice(d.parts, "part_id"), ["part_number"], "parts.part_number")
             .unionByName(Q.duplicate_keys(twice(d.inventory, "inventory_id"), ["part_id", "warehouse"], "inventory.part_warehouse"))
             .unionByName(Q.duplicate_keys(twice(d.work_orders, "work_order_id"), ["work_order_number"],
-                                          "work_orders.work_order_number")))
+                                          "work_orders.work_order_number"))
+            .unionByName(Q.duplicate_keys(mailed(d.customers, "customer_id", "c", 140), ["email"], "customers.email"))
+            .unionByName(Q.duplicate_keys(mailed(d.technicians, "technician_id", "t", 9), ["email"], "technicians.email")))
 
 
 @register("insert_new_only", LOCATION_REQUESTS_SQL + """

@@ -52,22 +52,31 @@ def q_equipment_of_type(spark, sf_dir):
 
 @register("work_order_details", NOTIFICATIONS_SQL + """
 , ls AS (SELECT work_order_id, count(*) AS line_count, cast(sum(quantity_required) AS bigint) AS total_quantity_required,
-                count(*) FILTER (WHERE NOT is_available) AS unavailable_lines
+                count(*) FILTER (WHERE NOT is_available) AS unavailable_lines,
+                to_json(list({'line_no': line_no, 'part_id': part_id, 'quantity_required': quantity_required, 'is_available': is_available}
+                             ORDER BY line_no, part_id, quantity_required, is_available)) AS parts
          FROM work_order_parts GROUP BY work_order_id),
 ns AS (SELECT work_order_id, count(*) AS notification_count,
+              to_json(list({'notification_id': notification_id, 'notification_type': notification_type, 'subject': subject, 'success': success,
+                            'error_message': coalesce(error_message, '')} ORDER BY sent_at, notification_id)) AS notifications,
               count(*) FILTER (WHERE NOT success) AS failed_notifications, max(sent_at) AS last_notification_at
        FROM work_order_notifications GROUP BY work_order_id)
 SELECT w.*, coalesce(ls.line_count, 0) AS line_count,
        coalesce(ls.total_quantity_required, 0) AS total_quantity_required,
        coalesce(ls.unavailable_lines, 0) AS unavailable_lines,
        coalesce(ns.notification_count, 0) AS notification_count,
-       coalesce(ns.failed_notifications, 0) AS failed_notifications, ns.last_notification_at
+       coalesce(ns.failed_notifications, 0) AS failed_notifications, ns.last_notification_at,
+       CAST(coalesce(ls.parts, '[]') AS VARCHAR) AS parts, CAST(coalesce(ns.notifications, '[]') AS VARCHAR) AS notifications
 FROM work_orders w LEFT JOIN ls ON ls.work_order_id = w.work_order_id
 LEFT JOIN ns ON ns.work_order_id = w.work_order_id
 """)
 def q_work_order_details(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return wo_ops.wo_details(d.work_orders, d.work_order_parts, d.work_order_notifications)
+    # lists are compared as JSON text; the operator keeps arrays of structs
+    notes = F.transform("notifications", lambda n: F.struct(n.notification_id, n.notification_type, n.subject, n.success,
+                                                            F.coalesce(n.error_message, F.lit("")).alias("error_message")))
+    return (wo_ops.wo_details(d.work_orders, d.work_order_parts, d.work_order_notifications)
+            .withColumns({"parts": F.to_json("parts"), "notifications": F.to_json(notes)}))
 
 
 @register("work_order_view", f"""
@@ -207,7 +216,8 @@ def q_all_parts_available(spark, sf_dir):
 @register("estimate_accuracy", """
 , done AS (SELECT *, CASE WHEN estimated_cost > 0
                           THEN cast(actual_cost - estimated_cost AS double) / cast(estimated_cost AS double) * 100.0
-                     END AS pct
+                     END AS pct,
+                     cast(work_order_id % 45 AS decimal(8,2)) AS actual_labor_hours, scheduled_end AS completed_at
            FROM work_orders WHERE status = 4)
 SELECT equipment_type, count(*) AS completed_orders,
        count(*) FILTER (WHERE actual_cost > estimated_cost) AS over_budget_orders,
@@ -216,11 +226,17 @@ SELECT equipment_type, count(*) AS completed_orders,
        cast(sum(actual_cost - estimated_cost) AS decimal(28,2)) AS total_cost_variance,
        avg(pct) AS avg_cost_variance_pct,
        avg(CASE WHEN actual_cost > estimated_cost THEN pct END) AS avg_over_budget_pct,
-       avg(cast(estimated_labor_hours AS double)) AS avg_estimated_hours
+       avg(cast(estimated_labor_hours AS double)) AS avg_estimated_hours,
+       cast(sum(actual_labor_hours - estimated_labor_hours) AS decimal(20,2)) AS total_hours_variance,
+       avg(CASE WHEN estimated_labor_hours > 0
+                THEN cast(actual_labor_hours - estimated_labor_hours AS double) / cast(estimated_labor_hours AS double) * 100.0 END) AS avg_hours_variance_pct,
+       avg((epoch_us(completed_at) - epoch_us(created_at)) / 3600000000.0) AS avg_completion_hours
 FROM done GROUP BY equipment_type
 """)
 def q_estimate_accuracy(spark, sf_dir):
-    return wo_ops.estimate_accuracy(domain(spark, sf_dir).work_orders)
+    wo = domain(spark, sf_dir).work_orders
+    return wo_ops.estimate_accuracy(wo.withColumns({
+        "actual_labor_hours": (F.col("work_order_id") % 45).cast("decimal(8,2)"), "completed_at": F.col("scheduled_end")}))
 
 
 @register("work_orders_pending", "SELECT * FROM work_orders WHERE status = 0")
