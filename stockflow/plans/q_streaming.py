@@ -87,13 +87,18 @@ def q_low_stock_alert_stream(spark, sf_dir):
 @register("ledger_stream", REPLAY_SQL + "SELECT * FROM replayed", recursive=True)
 def q_ledger_stream(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return drain_slices(spark, L.ledger_commands(d.inventory_transactions), "ts", "ledger-stream", T.ledger_stream)
+    out, state = sinks.fresh_dir(spark, "ledger-results"), T.ledger_state(spark, sinks.fresh_dir(spark, "ledger-state"))
+    drain_slices(spark, L.ledger_commands(d.inventory_transactions), "ts", "ledger-stream",
+                 handler=lambda df, bid: T.ledger_batch(df, bid, state, out))
+    return spark.read.schema(L.REPLAY_SCHEMA).parquet(out).select(*L.REPLAY_SCHEMA.names)
 
 
 @register("status_stream", TRANSITIONS_SQL + "SELECT * FROM transitions", recursive=True)
 def q_status_stream(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return drain_slices(spark, d.status_requests, "ts", "status-stream", lambda s: T.status_stream(s, d.work_orders))
+    out, state = sinks.fresh_dir(spark, "status-results"), T.status_state(spark, sinks.fresh_dir(spark, "status-state"))
+    drain_slices(spark, d.status_requests, "ts", "status-stream", handler=lambda df, bid: T.status_batch(df, bid, state, out, d.work_orders))
+    return spark.read.parquet(out).drop("batch_id")
 
 
 # -- T6 ------------------------------------------------------------------------------------------

@@ -9,10 +9,11 @@ save; here the same rules run on event / command streams:
 * T2 dedupe: ``withWatermark`` + ``dropDuplicatesWithinWatermark`` on the event id.
 * T3 / T7: stream-static joins (the static side is a plain DataFrame read;
   Spark re-plans it every micro-batch, so a changing dimension is picked up).
-* T4 / T5: the guarded ledger and status folds as keyed state
-  (``applyInPandasWithState``); inside a micro-batch each key's rows are
-  sorted by (time, id) before being applied, so the stream equals the batch
-  fold when commands arrive in time order.
+* T4 / T5: the guarded ledger and status folds per micro-batch over a state table
+  (``state_table``), with the batch jobs' own SQL; inside a micro-batch each key's rows
+  are applied in (time, id) order, so the stream equals the batch fold when commands
+  arrive in time order. ``ledger_stream`` is T4 as one stateful operator with its state
+  in buckets, for pipelines that need a streaming DataFrame.
 * T6: accepted status changes -> recipients (J16) -> notification log (S7)
   through ``foreachBatch``, re-reading orders and customers per batch.
 """
@@ -29,6 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stockflow.operators import commands as C
 from stockflow.operators import ledger as L
 from stockflow.sources import sinks
+from stockflow.streaming.state_table import StateTable
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -212,54 +214,43 @@ def ledger_stream(commands: DataFrame, opening: DataFrame | None = None, buckets
         _with_buckets(_ledger_bucket_fn, buckets), L.REPLAY_SCHEMA, LEDGER_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def _status_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    if state.exists:
-        (st,) = state.get
-        pdf["opening_status"] = st
-    out = C._transition_kernel(pdf.reset_index(drop=True), {})
-    last = out["status_after"].iloc[-1]
-    if not pd.isna(last):
-        state.update((int(last),))
-    yield out
+def ledger_batch(batch: DataFrame, batch_id: int, state: StateTable, out: str, opening: DataFrame | None = None) -> None:
+    """T4 per micro-batch: W2 from each location's last state (its opening the first time it is seen).
 
+    The batch's results replace ``out/batch_id=<n>``; the new states are read back from them, so the replay runs once.
+    """
+    spark = batch.sparkSession
+    last = state.before(batch_id)
+    if opening is not None:
+        last = last.unionByName(opening.select("inventory_id", F.col("on_hand").cast("bigint").alias("on_hand"),
+                                               F.col("reserved").cast("bigint").alias("reserved")).join(last, "inventory_id", "left_anti"))
+    path = f"{out}/batch_id={batch_id}"
+    L.replay(batch, last).write.mode("overwrite").parquet(path)
+    done = L.closing(spark.read.schema(L.REPLAY_SCHEMA).parquet(path))
+    state.write(done.select("inventory_id", F.col("closing_on_hand").alias("on_hand"), F.col("closing_reserved").alias("reserved")), batch_id)
 
-STATUS_BUCKET_STATE = "buckets int, ids array<bigint>, status array<int>"
 
-
-def _status_bucket_fn(buckets: int, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """All status requests of one order bucket in a micro-batch, applied with the batch kernel."""
-    frames = list(pdfs)
-    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    pdf = pdf.sort_values(["work_order_id", "ts", "event_id"], kind="stable").reset_index(drop=True)
-    known = pd.Series(dtype="float64")
-    if state.exists:
-        stored, ids, sts = state.get
-        _same_buckets(stored, buckets)
-        known = pd.Series(list(sts), index=list(ids), dtype="float64")
-        seen = pdf["work_order_id"].isin(known.index)
-        pdf["opening_status"] = pdf["opening_status"].astype("float64")
-        pdf.loc[seen, "opening_status"] = pdf.loc[seen, "work_order_id"].map(known)
-    out = C._transition_kernel(pdf, {})
-    last = out.groupby("work_order_id", sort=False).tail(1).set_index("work_order_id")["status_after"]
-    known = last.dropna().astype("float64").combine_first(known)
-    state.update((buckets, known.index.tolist(), [int(v) for v in known.tolist()]))
-    yield out
+def ledger_state(spark: SparkSession, path: str) -> StateTable:
+    return StateTable(spark, path, "inventory_id long, on_hand long, reserved long", "inventory_id")
 
 
-def status_stream(requests: DataFrame, wo: DataFrame, buckets: int | None = STATE_BUCKETS) -> DataFrame:
-    """T5: W12 over a live request stream; state = status per order (seeded from the snapshot).
-
-    State is grouped by order bucket as in ``ledger_stream`` (``buckets=None``: one group per order).
-    """
-    opening = wo.select("work_order_id", F.col("status").alias("opening_status"))
-    j = requests.join(opening, "work_order_id", "left")
-    if not buckets:
-        return j.groupBy("work_order_id").applyInPandasWithState(
-            _status_state_fn, C.TRANSITION_SCHEMA, "status int", "append", GroupStateTimeout.NoTimeout)
-    b = j.withColumn("_bucket", F.pmod(F.xxhash64("work_order_id"), F.lit(buckets)))
-    return b.groupBy("_bucket").applyInPandasWithState(
-        _with_buckets(_status_bucket_fn, buckets), C.TRANSITION_SCHEMA, STATUS_BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
+def status_batch(batch: DataFrame, batch_id: int, state: StateTable, out: str, wo: DataFrame) -> None:
+    """T5 per micro-batch: W12 from each order's last status (the snapshot's the first time it is seen)."""
+    spark = batch.sparkSession
+    last = state.before(batch_id).select("work_order_id", F.col("status").alias("_now"))
+    asked = batch.select("work_order_id").distinct()
+    orders = wo.select("work_order_id", "status").join(asked, "work_order_id", "left_semi").join(last, "work_order_id", "left").select(
+        "work_order_id", F.coalesce("_now", "status").alias("status"))
+    path = f"{out}/batch_id={batch_id}"
+    moved = C.apply_transitions(batch, orders)
+    moved.write.mode("overwrite").parquet(path)
+    done = spark.read.schema(moved.schema).parquet(path).where("accepted").groupBy("work_order_id").agg(
+        F.max_by("status_after", F.struct("ts", "event_id")).alias("status"))
+    state.write(done, batch_id)
+
+
+def status_state(spark: SparkSession, path: str) -> StateTable:
+    return StateTable(spark, path, "work_order_id long, status int", "work_order_id")
 
 
 # -- T6 ----------------------------------------------------------------------------------------

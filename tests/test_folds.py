@@ -158,3 +158,27 @@ def test_assignment_queue_counts_freed_slots_and_retries(spark):
                          spark.createDataFrame(shut, "work_order_id long, closed_at timestamp_ntz")).collect()
     assert sorted(map(str, ((r.work_order_id, r.technician_id, r.requested_at, r.reason, r.previous_technician_id) for r in got))) == sorted(map(str, want))
     assert sum(w[3] is None for w in want) > 10
+
+
+def test_state_tables_over_restarts_repeats_and_bases(spark):
+    """Many small batches with a base every third one, every batch delivered twice, under changing settings."""
+    from stockflow.sources import sinks
+    from stockflow.streaming import jobs as T
+    from stockflow.streaming.state_table import StateTable
+
+    cmds = spark.createDataFrame(ledger_rows(6), CMD).dropDuplicates(["inventory_id", "ts", "command_id"]).where("ts is not null")
+    opening = spark.createDataFrame([(i, 5 * i, i) for i in range(1, 7)], "inventory_id long, on_hand long, reserved long")
+    out, folder = sinks.fresh_dir(spark, "st-out"), sinks.fresh_dir(spark, "st")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in range(5):
+            spark.conf.set("spark.sql.shuffle.partitions", str(2 + n % 3))
+            part = cmds.where(f"ts >= timestamp_ntz'2024-01-01 00:00:00' + interval {n * 30} minutes and ts < timestamp_ntz'2024-01-01 00:00:00' + interval {n * 30 + 30} minutes")
+            for _ in range(2):
+                state = StateTable(spark, folder, "inventory_id long, on_hand long, reserved long", "inventory_id", every=3)
+                T.ledger_batch(part, n, state, out, opening)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    got = spark.read.schema(L.REPLAY_SCHEMA).parquet(out).select(*L.REPLAY_SCHEMA.names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, L.replay(cmds, opening).collect()))
+    assert state.before(5).count() == cmds.select("inventory_id").distinct().count()
