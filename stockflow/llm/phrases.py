@@ -140,18 +140,18 @@ POINTER = "lang string, route long, deep boolean, words int, phrase string, c lo
 
 
 class Held:
-    """Pointers of one task, added up before they are handed on; at most about HELD_ROWS are held."""
+    """Pointers of one task, added up before they are handed on; at most about ``most`` are held."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         self.tables: list[pa.Table] = []
-        self.rows = 0
+        self.rows, self.most = 0, most
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         self.tables.append(pa.Table.from_batches([batch]))
         self.rows += len(batch)
-        if self.rows > HELD_ROWS:
+        if self.rows > self.most:
             one = merged(pa.concat_tables(self.tables))
-            keep = len(one) < HELD_ROWS * 3 // 4
+            keep = len(one) < self.most * 3 // 4
             self.tables, self.rows = ([one], len(one)) if keep else ([], 0)
             if not keep:
                 yield from one.to_batches(max_chunksize=1 << 16)
@@ -170,7 +170,7 @@ def merged(table: pa.Table) -> pa.Table:
     return out.select([*FIELDS[:-1], "c_sum"]).rename_columns(FIELDS).combine_chunks()
 
 
-def _pointers(bits, longest: int):
+def _pointers(bits, longest: int, held_rows: int):
     """Distinct suffix pointers of each task with weights; words: 0 all words of a language, 1 a single word."""
     def found(s: Slice, marks: list[np.ndarray], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         pair, reach = s.runs(2), _reach(s, marks, longest)
@@ -194,7 +194,7 @@ def _pointers(bits, longest: int):
              pa.array(m.astype(np.int32)), s.strings(at, m).cast(pa.string()), pa.array(np.concatenate(weight).astype(np.int64))], names=FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
+        held = Held(held_rows)
         for batch in batches:
             for s in _slices(batch):
                 if len(s.hash):
@@ -235,7 +235,7 @@ def quicksort(symbols: np.ndarray, weight: np.ndarray, free: np.ndarray, least:
             todo.append((same, d + 1))
 
 
-def _mine(least: int, longest: int):
+def _mine(least: int, longest: int, chunk_rows: int):
     """Counts of phrases from pointers sorted by route; chunks hold whole routes."""
     names = ["lang", "words", "phrase", "c"]
 
@@ -272,29 +272,29 @@ def _mine(least: int, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count, most = 0, 4 * CHUNK_ROWS
+        count, most = 0, 4 * chunk_rows
         for batch in batches:
             while batch is not None and len(batch):
                 rest = None
                 route = batch.column(1).to_numpy()
-                if count + len(batch) >= CHUNK_ROWS:
+                if count + len(batch) >= chunk_rows:
                     turn = np.flatnonzero(route[1:] != route[:-1]) + 1
                     if held and held[-1].column(1)[-1].as_py() != route[0]:
                         turn = np.append(0, turn)
-                    turn = turn[turn + count >= CHUNK_ROWS]
+                    turn = turn[turn + count >= chunk_rows]
                     if len(turn):
                         cut = int(turn[0])
                         batch, rest = batch.slice(0, cut), batch.slice(cut)
                         held.append(batch)
                         yield from counted(pa.Table.from_batches(held))
-                        held, count, most, batch = [], 0, 4 * CHUNK_ROWS, rest
+                        held, count, most, batch = [], 0, 4 * chunk_rows, rest
                         continue
                 held.append(batch)
                 count += len(batch)
                 batch = None
             if count > most:                     # one route larger than a chunk
                 one = merged(pa.Table.from_batches(held))
-                held, count, most = one.to_batches(), len(one), max(4 * CHUNK_ROWS, 2 * len(one))
+                held, count, most = one.to_batches(), len(one), max(4 * chunk_rows, 2 * len(one))
         yield from counted(pa.Table.from_batches(held)) if held else ()
     return run
 
@@ -315,8 +315,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
                 .groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
         marks = [*marks, bitmap(runs, "key", SLOTS)]
     bits = spark.sparkContext.broadcast((marks, hot))
-    pointers = texts.mapInArrow(_pointers(bits, longest), POINTER).repartition("route").sortWithinPartitions("route")
-    counts = (pointers.mapInArrow(_mine(least, longest), "lang string, words int, phrase string, c long")
+    pointers = texts.mapInArrow(_pointers(bits, longest, HELD_ROWS), POINTER).repartition("route").sortWithinPartitions("route")
+    counts = (pointers.mapInArrow(_mine(least, longest, CHUNK_ROWS), "lang string, words int, phrase string, c long")
               .groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")))
     return counts.where((F.col("words") == 0) | (F.col("f") >= least))
 

@@ -50,6 +50,7 @@ CANDIDATE = {
     "phone": (r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
 }
 BEFORE, AFTER = 32, 2          # characters of context that the labelers see
+LONGEST = 254                  # characters of a span that they look into
 
 #: fixed values: words that speak for and against a kind when they stand before a span
 WORDS_FOR = {"email": "e-?mail|mail|contact|write|reach|address", "ip": "ip|host|server|login|from|address",
@@ -100,7 +101,9 @@ def _matches(kind: str, base: bool, text: Column) -> Column:
 
 
 def _votes() -> dict[str, Column]:
-    kind, m, before, after = F.col("kind"), F.col("m"), F.col("before"), F.col("after")
+    """The labelers; a span of more than ``LONGEST`` characters is no one's form, and no pattern runs over it."""
+    kind, before, after = F.col("kind"), F.col("before"), F.col("after")
+    m = F.when(F.length("m") <= LONGEST, F.col("m")).otherwise(F.lit(""))
     digits = _digits(m)
 
     def by(cases: dict[str, Column]) -> Column:

@@ -151,7 +151,7 @@ class Shard:
                 yield from self.node(path, self.first + q, 1 << c, q, [self.ids[c]] if q == len(turns) and self.ended[c] else [])
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tries(segment: int):
     """Rows sorted by (segment, shard, conv_id, pos) to the nodes of each shard; conversations of a shard come in id order."""
     spec = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "depth", "p1", "p2", "least", "n", "bytes")] + [("ends", pa.list_(pa.int64()))])
 
@@ -165,23 +165,25 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), spec)], schema=spec)
 
-    at, shard, last = None, None, None
-    for batch in batches:
-        for seg, no, conv, pos, h1, h2, size, b1, b2, ended in zip(*(batch.column(i).to_pylist() for i in range(10))):
-            if (seg, no) != at:
-                if shard is not None:
-                    yield from out(shard)
-                at, shard, last = (seg, no), Shard(seg * SEGMENT), None
-            if conv != last:
-                last = conv
-                shard.ids.append(conv)
-                shard.rows.append([])
-                shard.roots.append((int(b1) & _MASK, int(b2) & _MASK))
-                shard.ended.append(ended)
-            if pos:
-                shard.rows[-1].append((h1, h2, size))
-    if shard is not None:
-        yield from out(shard)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard, last = None, None, None
+        for batch in batches:
+            for seg, no, conv, pos, h1, h2, size, b1, b2, ended in zip(*(batch.column(i).to_pylist() for i in range(10))):
+                if (seg, no) != at:
+                    if shard is not None:
+                        yield from out(shard)
+                    at, shard, last = (seg, no), Shard(seg * segment), None
+                if conv != last:
+                    last = conv
+                    shard.ids.append(conv)
+                    shard.rows.append([])
+                    shard.roots.append((int(b1) & _MASK, int(b2) & _MASK))
+                    shard.ended.append(ended)
+                if pos:
+                    shard.rows[-1].append((h1, h2, size))
+        if shard is not None:
+            yield from out(shard)
+    return run
 
 
 def trie_nodes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +204,7 @@ def trie_nodes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
                        *[F.coalesce(F.sum(h).over(before), F.lit(0)).cast("decimal(38,0)").cast("string").alias(b) for h, b in (("h1", "b1"), ("h2", "b2"))])
     dealt = hashed.join(sums, (F.col("conv_id") == F.col("c")) & (F.col("seg") == F.col("s"))).select(
         "seg", F.pmod(F.xxhash64("conv_id"), F.lit(shards)).alias("shard"), "conv_id", "pos", "h1", "h2", "bytes", "b1", "b2", "ended")
-    local = stored(dealt.repartition("seg", "shard").sortWithinPartitions("seg", "shard", "conv_id", "pos").mapInArrow(_tries, NODE))
+    local = stored(dealt.repartition("seg", "shard").sortWithinPartitions("seg", "shard", "conv_id", "pos").mapInArrow(_tries(SEGMENT), NODE))
     nodes = local.groupBy("k1", "k2").agg(
         F.min("depth").alias("depth"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("least").alias("conv_id"),
         F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
