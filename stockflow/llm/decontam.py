@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stockflow.llm import counters, textkit as tk
 from stockflow.llm.frames import by_key, stored
+from stockflow.session import ship_package
 
 SHINGLE = 3
 SKETCH = 1 << 20
@@ -136,6 +137,7 @@ def _probe(slots, sizes: list[int], window: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, tkey (64-bit key of the text), n_words, n_hit, n_items, items_sha256, contaminated per row of docs."""
     spark = docs.sparkSession
+    ship_package(spark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     rarity = spark.sparkContext.broadcast(counters.summed(texts.select("text").mapInArrow(_count, counters.SPEC), SKETCH))
     item_type = benchmark.schema["item_id"].dataType.simpleString()

@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockflow.session import ensure_checkpoint_dir
+from stockflow.session import ensure_checkpoint_dir, ship_package
 
 
 BATCH_BYTES = "1m"
@@ -24,6 +24,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

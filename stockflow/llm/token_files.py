@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockflow.llm import textkit as tk
 from stockflow.llm.frames import shared_dir
 from stockflow.llm.tokens import encoder, tokenizer_path
+from stockflow.session import ship_package
 
 MAGIC = b"CHT1"
 BLOCK = 512
@@ -248,6 +249,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
                       limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Tokenise, count, and write ``path/segments`` and ``path/code``."""
     spark = docs.sparkSession
+    ship_package(spark)
     file = tokenizer_path(tokenizer)
     size = max(encoder(file, keep_space).vocab, end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"

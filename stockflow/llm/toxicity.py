@@ -6,7 +6,9 @@ their id, never from the held-out fold):
 * Labels mark documents, not passages. The toxic sample text is therefore cut to the words that
   hold a letter n-gram found far more often in toxic than in ordinary documents (a two-proportion
   z-test on document counts); the ordinary sample text is the rest. One dictionary is trained on each.
-* A second part of the sample calibrates: logistic regression on the window statistics below.
+* A second part of the sample calibrates: logistic regression on the window statistics below, moved so that
+  the threshold 0.5 misses at most ``MISSED`` of its toxic texts if that flags at most ``FLAGGED`` of its
+  ordinary ones.
 
 Score (every whole text): windows are words of at most ``WINDOW`` letters. Each distinct window is
 compressed once with either dictionary, behind a carrier that its dictionary holds in full (a window
@@ -32,12 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stockflow.session import ship_package
+
 MAX_TOXIC, MAX_ORDINARY = 2_000, 4_000
 WINDOW = 24
 GRAM = 5
 CARRIER = 40
 CACHE = 300_000
 FLOOR = -12
+MISSED, FLAGGED = 0.06, 0.025        # shares of the calibration texts that the threshold allows
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 32768
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % WINDOW)
 
@@ -161,10 +166,24 @@ def fit(rows: list[tuple[str, int, bool]]) -> dict:
     if len({r[1] for r in held}) < 2:
         held = rows
     x = np.array([measure.statistics(r[0]) for r in held], dtype=np.float64)
-    model["logistic"] = _logistic(x, np.array([r[1] for r in held], dtype=np.float64))
+    label = np.array([r[1] for r in held], dtype=np.float64)
+    mean, scale, w = _logistic(x, label)
+    w[-1] -= cut(((x - mean) / scale) @ w[:-1] + w[-1], label)
+    model["logistic"] = (mean, scale, w)
     return model
 
 
+def cut(z: np.ndarray, label: np.ndarray, missed: float = MISSED, flagged: float = FLAGGED) -> float:
+    """The logit that becomes 0 (score 0.5): as low as leaves ``missed`` of the toxic calibration texts below it, but not
+    so low that more than ``flagged`` of the ordinary ones reach it; never above 0."""
+    toxic, ordinary = np.sort(z[label == 1]), np.sort(z[label == 0])
+    if not len(toxic) or not len(ordinary):
+        return 0.0
+    low = toxic[int(missed * len(toxic))] - 1e-9
+    floor = ordinary[min(len(ordinary) - 1, int(np.ceil((1 - flagged) * len(ordinary))))] + 1e-9
+    return float(min(0.0, max(low, floor)))
+
+
 class Scorer:
     """Scores texts with a fitted model; one per task."""
 
@@ -210,6 +229,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXI
 
 def score_documents(docs: DataFrame, labels: DataFrame, **limits: int) -> DataFrame:
     """doc_id, held_out, score, predicted and tkey (64-bit key of the text) of every row."""
+    ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, **limits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
@@ -219,6 +239,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **limits: int) -> DataFr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **limits: int) -> DataFrame:
     """Rows of docs that the classifier doesn't call toxic, with all their columns and in one pass."""
+    ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, **limits))
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
