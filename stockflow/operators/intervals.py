@@ -1,14 +1,19 @@
-"""Interval joins on closed periods (J10-J12) without nested loops.
-
-Each period is exploded into the fixed-width time buckets it touches
-(``bucket_days``, default 1 day); candidates meet by an equi-join on
-(key, bucket) and are then tested exactly. A pair found in several shared
-buckets is kept only in the bucket holding the start of its overlap, so each
-pair is emitted once. Periods without an end (NULL, or the sentinel 9999-12-31)
-never end: their tests use no end at all. They and bounded periods of more than
-``long_days`` days would touch too many buckets, so they meet the others on the
-technician alone (J10) or on wide buckets that reach the last probe (J11). An
-open end never lies within a bounded window (J12).
+"""Interval joins on closed periods (J10-J12) over a dyadic index, without nested loops.
+
+Time is counted in days and cut into dyadic nodes: level k has nodes of 2**k days. A period is covered by at most two
+nodes per level, so no period, however long, makes more than about 2 * ``LEVELS`` rows; an open one is
+covered up to the last day of the index. A day lies in one node per level, its path.
+
+* J11: a probe meets the periods whose cover holds a node of its path: an equi-join on (level, node), tested exactly.
+  A node of a cover lies on the path at most once, so every hit comes once.
+* J10: of two overlapping periods, one starts inside the other. The start of every period is a probe of the
+  technician's other periods: an equi-join on (technician, level, node). A pair that starts on one day is
+  taken from one side only.
+* J12: a contained period starts inside its window, so the windows are covered and the periods' starts are probes.
+
+Pairs of periods that don't overlap never meet beyond a day's precision, also for a technician with long or open
+periods, so a busy technician costs what the result holds. Periods without an end (NULL, or the sentinel
+9999-12-31) never end. The join keys are (technician, level, node): AQE splits what is still skewed.
 """
 
 from __future__ import annotations
@@ -18,19 +23,30 @@ from pyspark.sql import functions as F
 
 from stockflow.operators.workorders import is_open
 
+OPEN_END = "9999-12-31"
+LEVELS = 23                       # days from 0001-01-01 on (3.7 million up to 9999-12-31) fit in 2**22
 
-def _bucket(ts: Column, bucket_days: int) -> Column:
-    """Bucket number of a timestamp (days since epoch // width)."""
-    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
-    return F.floor(days / F.lit(bucket_days)).cast("bigint")
 
+def _day(ts: Column) -> Column:
+    return F.datediff(F.to_date(ts), F.lit("0001-01-01").cast("date")).cast("bigint")
 
-def _buckets(start: Column, end: Column, bucket_days: int) -> Column:
-    return F.explode(F.sequence(_bucket(start, bucket_days), _bucket(end, bucket_days)))
 
+def _path(day: Column) -> Column:
+    """The nodes that hold a day, one per level, as level * 2**32 + node."""
+    return F.array(*[F.lit(k << 32).cast("bigint") + F.shiftright(day, k) for k in range(LEVELS)])
 
-OPEN_END = "9999-12-31"
-LONG_DAYS = 366
+
+def _cover(lo: Column, hi: Column) -> Column:
+    """The fewest nodes that cover the days lo to hi: at each level the left end if it is odd, the right end if it is even."""
+    out = []
+    b = hi + 1
+    for k in range(LEVELS):
+        # at level k the range [a, b) shrinks to whole nodes of the next level
+        left, right = F.shiftright(lo + ((1 << k) - 1), k), F.shiftright(b, k)
+        base = F.lit(k << 32).cast("bigint")
+        out.append(F.when((left < right) & (left % 2 == 1), base + left))
+        out.append(F.when((left < right) & (right % 2 == 1), base + right - 1))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def scheduled(wo: DataFrame) -> DataFrame:
@@ -41,79 +57,47 @@ def scheduled(wo: DataFrame) -> DataFrame:
                       end.alias("p_end")))
 
 
-def _is_long(long_days: int) -> Column:
-    return F.col("p_end").isNull() | (F.datediff("p_end", "p_start") > long_days)
+def _covered(periods: DataFrame, start: str, end: str) -> DataFrame:
+    """Periods with one row per node of their cover; periods that end before they start have none."""
+    far = F.lit(OPEN_END).cast("timestamp_ntz")
+    lo, hi = _day(F.col(start)), _day(F.coalesce(end, far))
+    return periods.where(lo <= hi).select("*", F.explode(_cover(lo, hi)).alias("node"))
 
 
-def schedule_conflicts(wo: DataFrame, bucket_days: int = 1, long_days: int = LONG_DAYS) -> DataFrame:
+def schedule_conflicts(wo: DataFrame) -> DataFrame:
     """Pairs of open orders of one technician whose scheduled periods overlap (closed ends).
 
-    ``overlap_end`` is NULL when neither period ends. Short periods meet per (technician, day); a pair
-    with a long or open period meets on the technician.
+    ``overlap_end`` is NULL when neither period ends.
     """
     every = scheduled(wo).where(is_open() & F.col("technician_id").isNotNull())
-    flagged = every.withColumn("_long", _is_long(long_days))
-    x = flagged.where("_long").alias("x")
-    y = flagged.alias("y")
+    x = _covered(every, "p_start", "p_end").select("technician_id", "node", F.col("work_order_id").alias("x_id"),
+                                                   F.col("p_start").alias("x_start"), F.col("p_end").alias("x_end"))
+    y = every.select("technician_id", F.explode(_path(_day(F.col("p_start")))).alias("node"), F.col("work_order_id").alias("y_id"),
+                     F.col("p_start").alias("y_start"), F.col("p_end").alias("y_end"))
     far = F.lit(OPEN_END).cast("timestamp_ntz")
-    met = x.join(y, (F.col("x.technician_id") == F.col("y.technician_id")) & (F.col("x.work_order_id") != F.col("y.work_order_id"))
-                 & (~F.col("y._long") | (F.col("x.work_order_id") < F.col("y.work_order_id")))
-                 & (F.col("x.p_start") <= F.coalesce("y.p_end", far)) & (F.col("y.p_start") <= F.coalesce("x.p_end", far)))
-    with_long = met.select(F.col("x.technician_id").alias("technician_id"),
-                           F.least("x.work_order_id", "y.work_order_id").alias("work_order_id_a"),
-                           F.greatest("x.work_order_id", "y.work_order_id").alias("work_order_id_b"),
-                           F.greatest("x.p_start", "y.p_start").alias("overlap_start"),
-                           F.least("x.p_end", "y.p_end").alias("overlap_end"))
-    p = flagged.where(~F.col("_long")).drop("_long")
-    b = p.select("*", _buckets(F.col("p_start"), F.col("p_end"), bucket_days).alias("bucket"))
-    a = b.select(*[F.col(c).alias(f"a_{c}") for c in b.columns])
-    c = b.select(*[F.col(x).alias(f"b_{x}") for x in b.columns])
-    j = a.join(c, (F.col("a_technician_id") == F.col("b_technician_id")) & (F.col("a_bucket") == F.col("b_bucket"))
-               & (F.col("a_work_order_id") < F.col("b_work_order_id")))
-    ov_start = F.greatest("a_p_start", "b_p_start")
-    ov_end = F.least("a_p_end", "b_p_end")
-    return with_long.unionByName(
-        j.where((F.col("a_p_start") <= F.col("b_p_end")) & (F.col("a_p_end") >= F.col("b_p_start"))
-                & (F.col("a_bucket") == _bucket(ov_start, bucket_days)))
-             .select(F.col("a_technician_id").alias("technician_id"),
-                     F.col("a_work_order_id").alias("work_order_id_a"),
-                     F.col("b_work_order_id").alias("work_order_id_b"),
-                     ov_start.alias("overlap_start"), ov_end.alias("overlap_end")))
-
-
-def periods_containing(wo: DataFrame, probes: DataFrame, bucket_days: int = 1, long_days: int = LONG_DAYS) -> DataFrame:
-    """For each probe time (``probe_id, probe_ts``), the orders whose period contains it.
-
-    Short periods use ``bucket_days`` buckets, long and open ones ``long_days`` buckets up to the last probe.
-    """
-    p = scheduled(wo).withColumn("_long", _is_long(long_days))
-    last = probes.agg(F.max("probe_ts").alias("t")).first().t    # one value
-
-    def hits(periods: DataFrame, end: Column, days: int) -> DataFrame:
-        pb = periods.where(F.col("p_start") <= end).select(
-            "work_order_id", "p_start", "p_end", _buckets(F.col("p_start"), end, days).alias("bucket"))
-        q = probes.select("probe_id", "probe_ts", _bucket(F.col("probe_ts"), days).alias("bucket"))
-        return (q.join(pb, "bucket")
-                 .where((F.col("p_start") <= F.col("probe_ts")) & (F.col("p_end").isNull() | (F.col("probe_ts") <= F.col("p_end"))))
-                 .select("probe_id", "probe_ts", "work_order_id"))
-
-    short = hits(p.where(~F.col("_long")), F.col("p_end"), bucket_days)
-    if last is None:
-        return short
-    reach = F.least(F.col("p_end"), F.lit(str(last)).cast("timestamp_ntz"))      # least() skips the NULL end of an open period
-    return short.unionByName(hits(p.where("_long"), reach, long_days))
-
-
-def periods_within(wo: DataFrame, windows: DataFrame, bucket_days: int = 1) -> DataFrame:
-    """Orders whose period lies inside a window (``window_id, window_start, window_end``).
-
-    Only the order's start bucket is used: a contained period starts inside
-    the window, so windows are exploded and orders are not.
-    """
+    # y starts on a day of x; where x starts on that day, too, both find each other and the smaller id keeps the pair
+    same_day = F.to_date("x_start") == F.to_date("y_start")
+    met = x.join(y, ["technician_id", "node"]).where(
+        (F.col("x_id") != F.col("y_id")) & (~same_day | (F.col("x_id") < F.col("y_id")))
+        & (F.col("x_start") <= F.coalesce("y_end", far)) & (F.col("y_start") <= F.coalesce("x_end", far)))
+    return met.select("technician_id", F.least("x_id", "y_id").alias("work_order_id_a"), F.greatest("x_id", "y_id").alias("work_order_id_b"),
+                      F.greatest("x_start", "y_start").alias("overlap_start"), F.least("x_end", "y_end").alias("overlap_end"))
+
+
+def periods_containing(wo: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each probe time (``probe_id, probe_ts``), the orders whose period contains it."""
+    p = _covered(scheduled(wo), "p_start", "p_end").select("node", "work_order_id", "p_start", "p_end")
+    q = probes.select("probe_id", "probe_ts", F.explode(_path(_day(F.col("probe_ts")))).alias("node"))
+    return (q.join(p, "node")
+             .where((F.col("p_start") <= F.col("probe_ts")) & (F.col("p_end").isNull() | (F.col("probe_ts") <= F.col("p_end"))))
+             .select("probe_id", "probe_ts", "work_order_id"))
+
+
+def periods_within(wo: DataFrame, windows: DataFrame) -> DataFrame:
+    """Orders whose period lies inside a window (``window_id, window_start, window_end``); a period without an end lies in none."""
     p = scheduled(wo).where(F.col("p_end").isNotNull()).select(
-        "work_order_id", "p_start", "p_end", _bucket(F.col("p_start"), bucket_days).alias("bucket"))
-    w = windows.select("window_id", "window_start", "window_end",
-                       _buckets(F.col("window_start"), F.col("window_end"), bucket_days).alias("bucket"))
-    return (w.join(p, "bucket")
+        "work_order_id", "p_start", "p_end", F.explode(_path(_day(F.col("p_start")))).alias("node"))
+    w = _covered(windows.select("window_id", "window_start", "window_end"), "window_start", "window_end")
+    return (w.join(p, "node")
              .where((F.col("p_start") >= F.col("window_start")) & (F.col("p_end") <= F.col("window_end")))
              .select("window_id", "window_start", "window_end", "work_order_id"))

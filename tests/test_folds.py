@@ -182,3 +182,28 @@ def test_state_tables_over_restarts_repeats_and_bases(spark):
     got = spark.read.schema(L.REPLAY_SCHEMA).parquet(out).select(*L.REPLAY_SCHEMA.names)
     assert sorted(map(str, got.collect())) == sorted(map(str, L.replay(cmds, opening).collect()))
     assert state.before(5).count() == cmds.select("inventory_id").distinct().count()
+
+
+def test_dyadic_covers_and_a_busy_technician(spark):
+    from pyspark.sql import functions as F
+    from stockflow.operators import intervals
+    rng = random.Random(3)
+    spans = [(a := rng.randint(0, 4000), a + rng.choice([0, 1, 2, 7, 300, 9000, 3_000_000])) for _ in range(200)]
+    rows = spark.createDataFrame(spans, "lo long, hi long").select("lo", "hi", intervals._cover(F.col("lo"), F.col("hi")).alias("c")).collect()
+    for r in rows:
+        days = sorted(((n & 0xFFFFFFFF) << (n >> 32), ((n & 0xFFFFFFFF) + 1 << (n >> 32)) - 1) for n in r.c)
+        assert len(days) <= 60 and days[0][0] == r.lo and days[-1][1] == r.hi
+        assert all(a[1] + 1 == b[0] for a, b in zip(days, days[1:]))
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n, hours=rng.randint(0, 20))
+    wo = []
+    for i in range(250):
+        a = rng.randint(0, 5000)
+        end = rng.choice([a, a + 1, a + 3, a + 700, None])
+        s, e = day(a), None if end is None else day(end)
+        wo.append((i, 1 if i % 2 else rng.randint(2, 5), rng.choice([0, 1, 4]), s, e if e is None or e >= s else s))
+    orders = spark.createDataFrame(wo, "work_order_id long, technician_id long, status int, scheduled_start timestamp_ntz, scheduled_end timestamp_ntz")
+    never = dt.datetime(9999, 12, 31)
+    want = {(a[0], b[0]) for a in wo for b in wo if a[0] < b[0] and a[1] == b[1] and a[2] < 4 and b[2] < 4
+            and a[3] <= (b[4] or never) and b[3] <= (a[4] or never)}
+    got = [(r.work_order_id_a, r.work_order_id_b) for r in intervals.schedule_conflicts(orders).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
