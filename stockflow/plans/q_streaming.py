@@ -56,7 +56,7 @@ def q_event_dispatch(spark, sf_dir):
 
     handlers = {"InventoryLowStockDetected": [("reorder_suggestion", reorder), ("purchasing_alert", purchasing_alert)]}
     drain_foreach_batch(spark, events, "dispatch",
-                        lambda df, bid: T.dispatch_batch(df, bid, handlers, log_path))
+                        lambda df, bid: T.dispatch_batch(df, bid, handlers, log_path, f"{log_path}-dead"))
     return T.dispatch_summary(spark.read.parquet(log_path))
 
 

@@ -44,8 +44,15 @@ def dispatch_batch(batch: DataFrame, batch_id: int, handlers: dict[str, list[tup
     The log of a batch replaces that batch's folder, so a retried batch is logged once. With
     ``dead_letters`` the events a handler failed on are kept there, by batch and handler.
     """
-    spark = batch.sparkSession
     batch = batch.persist()
+    try:
+        _dispatch(batch, batch_id, handlers, log_path, dead_letters)
+    finally:
+        batch.unpersist()
+
+
+def _dispatch(batch: DataFrame, batch_id: int, handlers: dict[str, list[tuple[str, Handler]]], log_path: str, dead_letters: str | None) -> None:
+    spark = batch.sparkSession
     # one small aggregate: the number of event types is bounded by the envelope's type list
     counts = {r["event_type"]: r["n"] for r in batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
@@ -66,14 +73,14 @@ def dispatch_batch(batch: DataFrame, batch_id: int, handlers: dict[str, list[tup
     if rows:
         (spark.createDataFrame([r[1:] for r in rows], "event_type string, handler string, events long, status string, error string")
               .coalesce(1).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}"))
-    batch.unpersist()
 
 
 def start_dispatch(stream: DataFrame, handlers: dict[str, list[tuple[str, Handler]]], log_path: str,
-                   checkpoint: str, available_now: bool = True):
-    """Start the dispatcher; returns the StreamingQuery."""
+                   checkpoint: str, available_now: bool = True, dead_letters: str | None = None):
+    """Start the dispatcher; returns the StreamingQuery. ``dead_letters`` is where events of failed handlers are kept
+    (beside the log unless it is named)."""
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-               .foreachBatch(lambda df, bid: dispatch_batch(df, bid, handlers, log_path)))
+               .foreachBatch(lambda df, bid: dispatch_batch(df, bid, handlers, log_path, dead_letters or f"{log_path.rstrip('/')}-dead")))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
