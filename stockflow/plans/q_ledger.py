@@ -204,18 +204,18 @@ q AS (SELECT r.*, t.total, t.total IS NOT NULL AND coalesce(r.quantity >= 1, fal
       FROM reservation_requests r LEFT JOIN tot t ON t.part_id = r.part_id),
 need AS (SELECT work_order_id, part_id, min(created_at) AS created_at, sum(quantity) AS units, max(total) AS total, bool_and(valid) AS valid
          FROM q GROUP BY work_order_id, part_id),
-ord AS (SELECT work_order_id, row_number() OVER (ORDER BY min(created_at), work_order_id) AS rn, bool_and(valid) AS valid,
-               list({'p': part_id, 'n': units, 't': total}) AS ns
-        FROM need GROUP BY work_order_id),
+ok AS (SELECT work_order_id FROM need GROUP BY work_order_id HAVING bool_and(valid)),
 walk AS (
-  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS work_order_id, MAP {CAST(-1 AS BIGINT): CAST(0 AS HUGEINT)} AS used, false AS ok
+  SELECT 0 AS it, work_order_id, part_id, created_at, units, total, 0 AS state FROM need JOIN ok USING (work_order_id)
   UNION ALL
-  SELECT rn, work_order_id,
-         CASE WHEN ok THEN map_concat(used, map_from_entries(list_transform(ns, lambda x: {'k': x.p, 'v': coalesce(used[x.p], 0) + x.n}))) ELSE used END, ok
-  FROM (SELECT o.rn, o.work_order_id, w.used, o.ns,
-               o.valid AND len(list_filter(o.ns, lambda x: coalesce(w.used[x.p], 0) + x.n > x.t)) = 0 AS ok
-        FROM walk w JOIN ord o ON o.rn = w.rn + 1) s),
-c AS (SELECT q.*, w.ok AS order_committed, CASE WHEN q.valid THEN q.quantity ELSE 0 END AS units FROM q JOIN walk w ON w.work_order_id = q.work_order_id),
+  SELECT it + 1, work_order_id, part_id, created_at, units, total,
+         CASE WHEN state <> 0 THEN state WHEN bool_and(most + units <= total) OVER o THEN 1 WHEN bool_or(least + units > total) OVER o THEN -1 ELSE 0 END
+  FROM (SELECT *, coalesce(sum(CASE WHEN state >= 0 THEN units ELSE 0 END) OVER p, 0) AS most, coalesce(sum(CASE WHEN state = 1 THEN units ELSE 0 END) OVER p, 0) AS least,
+               max(CASE WHEN state = 0 THEN 1 ELSE 0 END) OVER () AS open
+        FROM walk WINDOW p AS (PARTITION BY part_id ORDER BY created_at, work_order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x
+  WHERE open = 1 WINDOW o AS (PARTITION BY work_order_id)),
+won AS (SELECT DISTINCT work_order_id FROM walk WHERE state = 1),
+c AS (SELECT q.*, w.work_order_id IS NOT NULL AS order_committed, CASE WHEN q.valid THEN q.quantity ELSE 0 END AS units FROM q LEFT JOIN won w ON w.work_order_id = q.work_order_id),
 d AS (SELECT *, coalesce(sum(CASE WHEN order_committed THEN units ELSE 0 END) OVER (PARTITION BY part_id ORDER BY created_at, work_order_id, line_no, quantity
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
              + CASE WHEN order_committed THEN 0 ELSE coalesce(sum(units) OVER (PARTITION BY work_order_id, part_id ORDER BY created_at, line_no, quantity
