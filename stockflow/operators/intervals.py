@@ -9,11 +9,15 @@ covered up to the last day of the index. A day lies in one node per level, its p
 * J10: of two overlapping periods, one starts inside the other. The start of every period is a probe of the
   technician's other periods: an equi-join on (technician, level, node). A pair that starts on one day is
   taken from one side only.
-* J12: a contained period starts inside its window, so the windows are covered and the periods' starts are probes.
+* J12: a contained period starts inside its window, so the windows are covered and the distinct days on which periods
+  start are probes; every period then meets the windows of its day.
 
 Pairs of periods that don't overlap never meet beyond a day's precision, also for a technician with long or open
 periods, so a busy technician costs what the result holds. Periods without an end (NULL, or the sentinel
 9999-12-31) never end. The join keys are (technician, level, node): AQE splits what is still skewed.
+
+The planner takes an exploded side to be as small as its file and would broadcast it, up to 46 rows for each one it
+counted, through the driver; the index joins are therefore sort-merge joins (``_meet``).
 """
 
 from __future__ import annotations
@@ -64,6 +68,11 @@ def _covered(periods: DataFrame, start: str, end: str) -> DataFrame:
     return periods.where(lo <= hi).select("*", F.explode(_cover(lo, hi)).alias("node"))
 
 
+def _meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join that never sends a side through the driver."""
+    return a.hint("merge").join(b.hint("merge"), keys)
+
+
 def schedule_conflicts(wo: DataFrame) -> DataFrame:
     """Pairs of open orders of one technician whose scheduled periods overlap (closed ends).
 
@@ -77,7 +86,7 @@ def schedule_conflicts(wo: DataFrame) -> DataFrame:
     far = F.lit(OPEN_END).cast("timestamp_ntz")
     # y starts on a day of x; where x starts on that day, too, both find each other and the smaller id keeps the pair
     same_day = F.to_date("x_start") == F.to_date("y_start")
-    met = x.join(y, ["technician_id", "node"]).where(
+    met = _meet(x, y, ["technician_id", "node"]).where(
         (F.col("x_id") != F.col("y_id")) & (~same_day | (F.col("x_id") < F.col("y_id")))
         & (F.col("x_start") <= F.coalesce("y_end", far)) & (F.col("y_start") <= F.coalesce("x_end", far)))
     return met.select("technician_id", F.least("x_id", "y_id").alias("work_order_id_a"), F.greatest("x_id", "y_id").alias("work_order_id_b"),
@@ -88,16 +97,16 @@ def periods_containing(wo: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe time (``probe_id, probe_ts``), the orders whose period contains it."""
     p = _covered(scheduled(wo), "p_start", "p_end").select("node", "work_order_id", "p_start", "p_end")
     q = probes.select("probe_id", "probe_ts", F.explode(_path(_day(F.col("probe_ts")))).alias("node"))
-    return (q.join(p, "node")
+    return (_meet(q, p, ["node"])
              .where((F.col("p_start") <= F.col("probe_ts")) & (F.col("p_end").isNull() | (F.col("probe_ts") <= F.col("p_end"))))
              .select("probe_id", "probe_ts", "work_order_id"))
 
 
 def periods_within(wo: DataFrame, windows: DataFrame) -> DataFrame:
     """Orders whose period lies inside a window (``window_id, window_start, window_end``); a period without an end lies in none."""
-    p = scheduled(wo).where(F.col("p_end").isNotNull()).select(
-        "work_order_id", "p_start", "p_end", F.explode(_path(_day(F.col("p_start")))).alias("node"))
+    p = scheduled(wo).where(F.col("p_end").isNotNull()).select("work_order_id", "p_start", "p_end", _day(F.col("p_start")).alias("day"))
+    days = p.select("day").distinct().select("day", F.explode(_path(F.col("day"))).alias("node"))
     w = _covered(windows.select("window_id", "window_start", "window_end"), "window_start", "window_end")
-    return (w.join(p, "node")
+    return (_meet(p, _meet(days, w, ["node"]).drop("node"), ["day"])
              .where((F.col("p_start") >= F.col("window_start")) & (F.col("p_end") <= F.col("window_end")))
              .select("window_id", "window_start", "window_end", "work_order_id"))
