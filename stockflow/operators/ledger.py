@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,25 +309,44 @@ def _loc(inv: DataFrame) -> DataFrame:
     return inv.select("inventory_id", "part_id", "warehouse", "minimum_stock_level", "reorder_quantity")
 
 
-def inventory_events(replayed: DataFrame, inv: DataFrame) -> DataFrame:
-    """Reserved / Issued / Received / Adjusted events of accepted commands (Release raises none)."""
-    acc = replayed.where(F.col("accepted") & (F.col("command") != "release")).join(_loc(inv), "inventory_id", "left")
+def _stock_event() -> tuple[Column, dict[str, Column]]:
+    """The condition on a replayed row with its location, and the event's fields."""
     c = F.col("command")
     etype = (F.when(c == "reserve", "InventoryReserved").when(c == "issue", "InventoryIssued")
               .when(c == "receive", "InventoryReceived").otherwise("InventoryAdjusted"))
     adj = c.isin("adjust", "adjust_by")
-    ev = acc.select(
-        F.concat(F.col("command_id"), F.lit("/"), etype).alias("event_id"), etype.alias("event_type"),
-        F.col("ts").alias("occurred_on"), "inventory_id", "part_id",
-        F.when(c.isin("reserve", "issue"), F.col("work_order_id")).alias("work_order_id"), "warehouse",
-        F.when(~adj, F.col("quantity")).alias("quantity"),
-        F.when(c == "reserve", F.col("on_hand_after") - F.col("reserved_after")).alias("available"),
-        F.when(c.isin("issue", "receive"), F.col("on_hand_after")).alias("on_hand"),
-        F.when(adj, F.col("on_hand_before")).alias("old_qty"),
-        F.when(adj, F.col("on_hand_after")).alias("new_qty"),
-        F.when(adj, F.col("on_hand_after") - F.col("on_hand_before")).alias("difference"),
-        F.when(c == "receive", F.lit("")).alias("reference"))
-    return envelope(ev)
+    return F.col("accepted") & (c != "release"), {
+        "event_id": F.concat(F.col("command_id"), F.lit("/"), etype), "event_type": etype,
+        "occurred_on": F.col("ts"), "inventory_id": F.col("inventory_id"), "part_id": F.col("part_id"),
+        "work_order_id": F.when(c.isin("reserve", "issue"), F.col("work_order_id")), "warehouse": F.col("warehouse"),
+        "quantity": F.when(~adj, F.col("quantity")),
+        "available": F.when(c == "reserve", F.col("on_hand_after") - F.col("reserved_after")),
+        "on_hand": F.when(c.isin("issue", "receive"), F.col("on_hand_after")),
+        "old_qty": F.when(adj, F.col("on_hand_before")),
+        "new_qty": F.when(adj, F.col("on_hand_after")),
+        "difference": F.when(adj, F.col("on_hand_after") - F.col("on_hand_before")),
+        "reference": F.when(c == "receive", F.lit(""))}
+
+
+def _low_event() -> tuple[Column, dict[str, Column]]:
+    """The condition on a replayed row with its location, and the event's fields."""
+    avail = F.col("on_hand_after") - F.col("reserved_after")
+    return F.col("accepted") & F.col("command").isin("issue", "adjust", "adjust_by") & (avail <= F.col("minimum_stock_level")), {
+        "event_id": F.concat(F.col("command_id"), F.lit("/InventoryLowStockDetected")),
+        "event_type": F.lit("InventoryLowStockDetected"), "occurred_on": F.col("ts"),
+        "inventory_id": F.col("inventory_id"), "part_id": F.col("part_id"), "warehouse": F.col("warehouse"), "available": avail,
+        "min_level": F.col("minimum_stock_level"), "reorder_qty": F.col("reorder_quantity")}
+
+
+def _events(rows: DataFrame, event: tuple[Column, dict[str, Column]]) -> DataFrame:
+    cond, fields = event
+    return envelope(rows.where(cond).select(*[v.alias(c) for c, v in fields.items()]))
+
+
+def inventory_events(replayed: DataFrame, inv: DataFrame) -> DataFrame:
+    """Reserved / Issued / Received / Adjusted events of accepted commands (Release raises none)."""
+    acc = replayed.where(F.col("accepted") & (F.col("command") != "release"))
+    return _events(acc.join(_loc(inv), "inventory_id", "left"), _stock_event())
 
 
 def low_stock_events(replayed: DataFrame, inv: DataFrame) -> DataFrame:
@@ -335,16 +354,20 @@ def low_stock_events(replayed: DataFrame, inv: DataFrame) -> DataFrame:
 
     The event carries the *stored* reorder quantity of the location.
     """
-    acc = (replayed.where(F.col("accepted") & F.col("command").isin("issue", "adjust", "adjust_by"))
-                   .join(_loc(inv), "inventory_id"))
-    avail = F.col("on_hand_after") - F.col("reserved_after")
-    ev = (acc.where(avail <= F.col("minimum_stock_level"))
-             .select(F.concat(F.col("command_id"), F.lit("/InventoryLowStockDetected")).alias("event_id"),
-                     F.lit("InventoryLowStockDetected").alias("event_type"), F.col("ts").alias("occurred_on"),
-                     "inventory_id", "part_id", "warehouse", avail.alias("available"),
-                     F.col("minimum_stock_level").alias("min_level"),
-                     F.col("reorder_quantity").alias("reorder_qty")))
-    return envelope(ev)
+    acc = replayed.where(F.col("accepted") & F.col("command").isin("issue", "adjust", "adjust_by"))
+    return _events(acc.join(_loc(inv), "inventory_id"), _low_event())
+
+
+def all_events(replayed: DataFrame, inv: DataFrame) -> DataFrame:
+    """W4 and W5 together in one pass over the replayed rows: a union of both would run the replay twice."""
+    types = {c: t for t, cols in _EVENT_TYPES.items() for c in cols}
+
+    def one(event: tuple[Column, dict[str, Column]]) -> Column:
+        cond, fields = event
+        return F.when(cond, F.struct(*[fields.get(c, F.lit(None)).cast(types[c]).alias(c) for c in EVENT_COLUMNS]))
+    acc = replayed.where(F.col("accepted") & (F.col("command") != "release")).join(_loc(inv), "inventory_id", "left")
+    return (acc.select(F.explode(F.array(one(_stock_event()), one(_low_event()))).alias("_e"))
+               .where(F.col("_e").isNotNull()).select("_e.*"))
 
 
 # -- W10 / W11 ----------------------------------------------------------------------------------
@@ -491,13 +514,16 @@ def reorder_suggestions(low_events: DataFrame, top_k: int | None = None, chunk_r
 
     With ``top_k`` only the k most urgent suggestions per warehouse are kept: ``row_number() <= k`` lets Spark limit
     each partition before the shuffle. Without it the rank is counted per (warehouse, priority, time chunk) and
-    shifted by the counts before, so no warehouse is ranked as a whole.
+    shifted by the counts before, so no warehouse is ranked as a whole; the suggestions are read three times for
+    that, so they are written to the checkpoint folder first and what makes the events runs once.
     """
     out = low_events.select(
         "part_id", "warehouse", "inventory_id", F.col("reorder_qty").alias("quantity_to_order"),
         F.when(F.col("available") == 0, F.lit("Critical")).otherwise(F.lit("Normal")).alias("priority"),
         F.col("occurred_on").alias("created_at"), F.col("event_id").alias("source_event_id"))
     if top_k is None:
+        ensure_checkpoint_dir(out.sparkSession)
+        out = out.checkpoint()
         return numbered(out, ["warehouse"], "priority", "created_at", ["created_at", "source_event_id"], "urgency_rank", chunk_rows)
     w = Window.partitionBy("warehouse").orderBy((F.col("priority") == "Critical").desc(), "created_at",
                                                 "source_event_id")

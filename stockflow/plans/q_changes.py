@@ -138,8 +138,7 @@ def q_notification_log_append(spark, sf_dir):
 def _event_files(spark, sf_dir) -> str:
     """W4 + W5 events written as Parquet files for the stream jobs to read."""
     d = domain(spark, sf_dir)
-    rep = _replayed(spark, sf_dir)
-    ev = L.inventory_events(rep, d.inventory).unionByName(L.low_stock_events(rep, d.inventory))
+    ev = L.all_events(_replayed(spark, sf_dir), d.inventory)
     path = sinks.fresh_dir(spark, "events")
     ev.write.parquet(path)
     return path
