@@ -66,7 +66,7 @@ def q_event_dispatch(spark, sf_dir):
 def q_event_dedupe(spark, sf_dir):
     events = spark.read.parquet(_event_files(spark, sf_dir))
     # every time slice is delivered twice; ids are remembered for a week of event time
-    return drain_slices(spark, events, "occurred_on", "dedupe", lambda s: T.dedupe(s, "7 days"), deliveries=2)
+    return drain_slices(spark, events, "occurred_on", "dedupe", lambda s: T.dedupe(s, "7 days"), deliveries=2, staged=True)
 
 
 @register("low_stock_alert_stream", EVENTS_CTE + """

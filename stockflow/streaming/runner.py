@@ -58,25 +58,29 @@ def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str, output_m
 
 def drain_slices(spark: SparkSession, df: DataFrame, ts_col: str, name: str, build: Callable[[DataFrame], DataFrame] | None = None,
                  handler: Callable[[DataFrame, int], None] | None = None, slices: int = 4, deliveries: int = 1,
-                 timeout_s: int | None = None) -> DataFrame | None:
+                 timeout_s: int | None = None, staged: bool = False) -> DataFrame | None:
     """Deliver ``df`` in ``slices`` consecutive time ranges of equal width and drain the stream after each.
 
     Every delivery restarts the stream from its checkpoint, so state carries over as it does in a long-running
     job, and a slice is one micro-batch whatever its number of files. ``build`` turns the source stream into the
     result stream (returned from its file sink); ``handler`` is a foreachBatch function instead. With
-    ``deliveries`` > 1 each slice arrives again. The input is computed once and staged.
+    ``deliveries`` > 1 each slice arrives again. The input is computed once and staged; ``staged``: it is a
+    plain read of stored files already.
     """
-    stage, path = fresh_dir(spark, f"{name}-stage"), fresh_dir(spark, name)
+    path = fresh_dir(spark, name)
     out, ckpt = fresh_dir(spark, f"{name}-out"), fresh_dir(spark, f"{name}-ckpt")
-    df.write.parquet(stage)
-    staged = spark.read.schema(df.schema).parquet(stage)
+    rows = df
+    if not staged:
+        stage = fresh_dir(spark, f"{name}-stage")
+        df.write.parquet(stage)
+        rows = spark.read.schema(df.schema).parquet(stage)
     at = ntz_micros(ts_col)
-    lo, hi = staged.agg(F.min(at), F.max(at)).first()
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
     edges = [] if lo is None else [lo + (hi - lo) * i // slices for i in range(1, slices)]
     result = None
     with state_partitions(spark):
         for k in range(len(edges) + 1):
-            some = staged
+            some = rows
             if k:
                 some = some.where(at >= F.lit(edges[k - 1]))
             if k < len(edges):
