@@ -182,9 +182,10 @@ _STATE = "struct<reason:string,oh:bigint,rs:bigint>"
 
 def _sql_step(state, x):
     c, q, oh, rs = x["command"], x["quantity"], state["oh"], state["rs"]
-    why = reason(c, q, oh, rs)
-    return F.struct(why.alias("reason"), F.when(why.isNull(), on_hand_after(c, q, oh)).otherwise(oh).alias("oh"),
-                    F.when(why.isNull(), reserved_after(c, q, rs)).otherwise(rs).alias("rs")).cast(_STATE)
+    # bound by a lambda: the guards are evaluated once for a row, not again for every field
+    return F.get(F.transform(F.array(reason(c, q, oh, rs)), lambda why: F.struct(
+        why.alias("reason"), F.when(why.isNull(), on_hand_after(c, q, oh)).otherwise(oh).alias("oh"),
+        F.when(why.isNull(), reserved_after(c, q, rs)).otherwise(rs).alias("rs")).cast(_STATE)), F.lit(0))
 
 
 def _walked(cmds: DataFrame) -> DataFrame:
