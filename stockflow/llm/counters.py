@@ -37,11 +37,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = _of(c.as_py())
             total[s] = total[s] + c if s in total else c
     for s, c in total.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
+        blob = (c.astype("<u4") if c.max() < 1 << 32 else c).tobytes()
+        yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "counts": pa.array([blob], pa.binary())})
 
 
 def summed(per_task: DataFrame, size: int) -> np.ndarray:
-    """The sum of all tasks' counters: ``size`` numbers of 8 bytes."""
+    """The sum of all tasks' counters: ``size`` numbers of 8 bytes (sent in 4 where they fit)."""
     out = np.zeros(size, dtype=np.int64)
     for row in per_task.repartition("segment").mapInArrow(_add, SPEC).collect():
         out[row.segment * SEGMENT: (row.segment + 1) * SEGMENT] = _of(bytes(row.counts))

@@ -11,13 +11,14 @@ Plan (every step a DataFrame job, nothing whole on the driver):
 2. *Classes.* A second pass turns each text into its set, the 128-bit digest of the set and the set's
    prefix (the first |x| - ceil(t|x|) + 1 n-grams in rare-first order). Equal sets form one class.
 3. *Prefix join.* Classes that share a prefix n-gram are candidates. Copies must not become all pairs,
-   so ``star_rounds`` rounds compare, per prefix n-gram, only a few leaders with the other classes; each n-gram
-   draws its leaders by hash. Verified links give every class the least label found within a few steps (two
-   classes with one label are connected). The last round compares every remaining pair whose
+   so star rounds compare, per prefix n-gram, only leaders with the other classes: those whose prefix is
+   shared most, a group's least edited members, and mostly the same ones for all n-grams of a group. Verified links give
+   labels (classes with one label are connected). The last round compares every remaining pair whose
    labels differ (pairs under one label can't change the result), so no link is lost; components are then
-   found among the labels.
-4. *Filters.* Sizes must fit (length), the positions of the first common n-gram must leave room for
-   the needed overlap (positional), and the Hamming bound from the counts of both sets over
+   found among the labels. N-grams that would make more than ``HOT`` such pairs a posting are hot: the classes that have
+   one are counted, ordered and joined anew among themselves, a level at a time, as far as that thins them out.
+4. *Filters.* Sizes must fit (length), the first common n-gram must leave room for the needed overlap in both
+   sets (positional), and the Hamming bound from the counts of both sets over
    ``PARTS`` ranges of the n-gram order must not exceed what the threshold allows (suffix filter,
    applied from position 0).
 5. *Verification.* Each candidate pair is verified once on whole texts, streamed past its leader;
@@ -32,6 +33,7 @@ are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -44,11 +46,16 @@ from stockflow.llm.frames import BROADCAST_ROWS, bitmap, by_key, components, fre
 from stockflow.session import ship_package
 
 SKETCH = 1 << 21
+LEVEL_SKETCH = 1 << 23        # counters where the classes with hot n-grams are counted anew
 WORDS = 1 << 18
 SLOTS = 1 << 23              # one bit each: which hashed n-grams are in two classes or more
 PARTS = 32
 PARTNERS_PER_TASK = 2_000
-LEADERS = 16                 # leaders per n-gram in the first star round; each further round has as many times more
+KIN = 100                    # steps of the share of a prefix that other classes have, too
+LEADERS = 4                  # one leader per n-gram in the first star round; each further round has as many times more
+HOT = 4                      # pairs of different labels per posting, beyond which an n-gram is hot
+LEVELS = 3                   # of counting the classes with hot n-grams anew
+THINNED = 0.8                # another level must leave at most this share of the classes
 
 
 def row_sets(data: np.ndarray, off: np.ndarray, n: int, weights: np.ndarray | None = None):
@@ -77,33 +84,37 @@ def row_sets(data: np.ndarray, off: np.ndarray, n: int, weights: np.ndarray | No
     return out
 
 
-def _count_ngrams(n: int):
+def _count_ngrams(n: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH + WORDS, dtype=np.uint32)
+        counts = np.zeros(slots + WORDS, dtype=np.uint32)
         for batch in batches:
             for _, data, off in tk.batch_slices(batch, "text"):
                 sets = row_sets(data, off, n)
                 if sets:
-                    np.add.at(counts, (np.concatenate(sets) & tk.U64(SKETCH - 1)).astype(np.int64), np.uint32(1))
+                    np.add.at(counts, (np.concatenate(sets) & tk.U64(slots - 1)).astype(np.int64), np.uint32(1))
                 start, end, _ = tk.words(data, off, tk.SPACE_SEPARATED)
                 wh = tk.word_hashes(data, start, end, lower=True)
-                np.add.at(counts, (wh & tk.U64(WORDS - 1)).astype(np.int64) + SKETCH, np.uint32(1))
+                np.add.at(counts, (wh & tk.U64(WORDS - 1)).astype(np.int64) + slots, np.uint32(1))
         yield from counters.emit(counts)
     return run
 
 
-def ngram_rarity(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_rarity(texts: DataFrame, n: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(tier of every hashed n-gram, weight of every hashed word) over all texts, two tables of fixed size.
 
     The tier is 0 for n-grams whose counter doesn't stand out of the others' noise, else the bit length of
     the excess; the weight of a word is 4 log2 of its counter. N-grams are ordered by (tier, sum of
     their words' weights, hash): frequent passages last, then n-grams of common words, rare ones first.
     """
-    counts = counters.summed(texts.select("text").mapInArrow(_count_ngrams(n), counters.SPEC), SKETCH + WORDS)
-    grams, words = counts[:SKETCH], counts[SKETCH:]
-    mean = grams.mean()
-    excess = np.maximum(grams - mean - 4 * np.sqrt(mean), 0)
-    return np.ceil(np.log2(1 + excess)).astype(np.uint8), np.floor(4 * np.log2(1 + words)).astype(np.int16)
+    tasks = 2 * max(texts.sparkSession.sparkContext.defaultParallelism, 1)      # each hands on a whole table
+    counts = counters.summed(texts.select("text").coalesce(tasks).mapInArrow(_count_ngrams(n, slots), counters.SPEC), slots + WORDS)
+    words = np.floor(4 * np.log2(1 + counts[slots:])).astype(np.int16)
+    excess = counts[:slots].astype(np.float32)
+    del counts
+    mean = excess.mean(dtype=np.float64)
+    excess -= np.float32(mean + 4 * np.sqrt(mean))
+    np.maximum(excess, 0, out=excess)
+    return np.ceil(np.log2(1 + excess)).astype(np.uint8), words
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -123,7 +134,7 @@ def _features(n: int, num: int, den: int, rarity):
                         digests.append(None), prefixes.append(np.zeros(0, np.int64)), parts.append(np.zeros(0, np.int32))
                         continue
                     digests.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-                    order = np.argsort((tier[(u & tk.U64(SKETCH - 1)).astype(np.int64)].astype(np.int64) << 32) + weight, kind="stable")
+                    order = np.argsort((tier[(u & tk.U64(len(tier) - 1)).astype(np.int64)].astype(np.int64) << 32) + weight, kind="stable")
                     prefixes.append(u[order[: prefix_length(len(u), num, den)]].view(np.int64))
                     parts.append(np.bincount((u >> tk.U64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
@@ -144,8 +155,10 @@ def _postings(slots):
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
             at = np.flatnonzero(tk.marked(slots.value, grams))
             rows = pa.array(row[at])
+            kin = np.bincount(row[at], minlength=len(off) - 1) / np.maximum(np.diff(off), 1)
             yield pa.RecordBatch.from_arrays([pa.array(grams[at]), batch.column(0).take(rows), batch.column(1).take(rows),
-                                              pa.array((at - off[row[at]]).astype(np.int32))], names=["gram", "id", "size", "pos"])
+                                              pa.array((at - off[row[at]]).astype(np.int32)), pa.array((kin[row[at]] * KIN).astype(np.int32))],
+                                             names=["gram", "id", "size", "pos", "kin"])
     return run
 
 
@@ -181,14 +194,17 @@ def _needed(nx, ny, num: int, den: int):
 def _fits(num: int, den: int):
     """Length and positional filter at one common n-gram of sets with sizes xs, ys and positions xp, yp (from 0).
 
+    The first common n-gram of a linked pair has all of their overlap from its positions on, so it passes; a later one
+    that fails is not needed to find the pair.
+
     Plain columns, the same for either order of the two sets: on structs, least() and greatest() would be generated
     again for every use, into methods that take the compiler more than a gigabyte."""
     xs, ys, xp, yp = (F.col(c) for c in ("xs", "ys", "xp", "yp"))
-    most = F.least(xp, yp) + 1 + F.least(xs - xp - 1, ys - yp - 1)
+    most = F.least(xs - xp, ys - yp)
     return (F.lit(den) * F.least(xs, ys) >= F.lit(num) * F.greatest(xs, ys)) & (most >= _needed(xs, ys, num, den))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 1,
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 2,
                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Component of every row by n-gram Jaccard links of at least num/den.
 
@@ -199,7 +215,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    rarity = spark.sparkContext.broadcast(ngram_rarity(texts, n))
+    rarity = spark.sparkContext.broadcast(ngram_rarity(texts, n, SKETCH))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     feats = stored(keyed.mapInArrow(
         _features(n, num, den, rarity),
@@ -208,24 +224,45 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = stored(feats.where("class is not null").groupBy("class").agg(
         F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least"),
         *[F.first(c).alias(c) for c in ("size", "prefix", "parts")]).withColumn("id", F.monotonically_increasing_id()))
-    # n-grams that may join two classes; only their postings (and a few that share a slot) move again.
-    # Of exactly two postings both sizes and positions are known here, so the filters apply at once.
     entry = F.shiftleft(F.col("size"), 32) + F.col("pos")
     size, pos = (lambda e: F.shiftright(e, 32)), (lambda e: F.col(e).bitwiseAND((1 << 32) - 1))
     pair = (F.lit(den) * size("e0") >= F.lit(num) * size("e1")) & (
-        F.least(pos("e0"), pos("e1")) + 1 + F.least(size("e0") - pos("e0") - 1, size("e1") - pos("e1") - 1)
-        >= _needed(size("e0"), size("e1"), num, den))
-    grams = (classes.select("size", F.posexplode("prefix").alias("pos", "gram")).select("gram", entry.alias("e")).groupBy("gram")
-             .agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1"))
-             .where((F.col("n") > 2) | ((F.col("n") == 2) & pair)).select("gram"))
-    grams = stored(grams)
-    slots = spark.sparkContext.broadcast(bitmap(grams, "gram", SLOTS))
-    postings = classes.select("id", "size", "prefix").mapInArrow(_postings(slots), "gram long, id long, size long, pos int")
-    shared = stored(postings.join(grams, "gram"))
+        F.least(size("e0") - pos("e0"), size("e1") - pos("e1")) >= _needed(size("e0"), size("e1"), num, den))
+
+    def shared_postings(prefixes: DataFrame) -> DataFrame:
+        """Postings of the n-grams that may join two classes; only these (and a few that share a slot) move again.
+        Of exactly two postings both sizes and positions are known here, so the filters apply at once."""
+        grams = (prefixes.select("size", F.posexplode("prefix").alias("pos", "gram")).select("gram", entry.alias("e")).groupBy("gram")
+                 .agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1"))
+                 .where((F.col("n") > 2) | ((F.col("n") == 2) & pair)).select("gram"))
+        grams = stored(grams)
+        slots = spark.sparkContext.broadcast(bitmap(grams, "gram", SLOTS))
+        postings = prefixes.select("id", "size", "prefix").mapInArrow(_postings(slots), "gram long, id long, size long, pos int, kin int")
+        return stored(postings.join(grams, "gram"))
+
+    shared = shared_postings(classes)
     parts = classes.select("id", "parts")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text) of each class among the ids."""
+        need = stored(ids.join(classes.select("id", "rep"), "id"), waves=1)
+        small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        side = F.broadcast(need) if small else need
+        found = (keyed.join(side, keyed["doc_id"].eqNullSafe(side["rep.doc_id"]) & (keyed["tkey"] == side["rep.tkey"]))
+                 .select("id", "text"))
+        found = stored(found)
+        if found.groupBy("id").count().where("count > 1").limit(1).count():      # repeated rows (equal id and text)
+            found = stored(found.dropDuplicates(["id"]))
+        return found
+
     def filtered(pairs: DataFrame) -> DataFrame:
         """Tight positional filter at the first common n-gram of each pair, then the suffix filter."""
+        # the smaller set (then the smaller number) comes first, so a pair has one name
+        swap = (F.col("xs") > F.col("ys")) | ((F.col("xs") == F.col("ys")) & (F.col("xi") > F.col("yi")))
+        pairs = pairs.where(_fits(num, den)).withColumn("swap", swap).select(
+            *[F.when(F.col("swap"), F.col(f"{v}{c}")).otherwise(F.col(f"{u}{c}")).alias(name)
+              for name, u, v, c in (("a", "x", "y", "i"), ("b", "y", "x", "i"), ("pa", "x", "y", "p"), ("pb", "y", "x", "p"),
+                                    ("na", "x", "y", "s"), ("nb", "y", "x", "s"))])
         first = pairs.groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"),
                                            F.first("na").alias("na"), F.first("nb").alias("nb"))
         need = _needed(F.col("na"), F.col("nb"), num, den)
@@ -237,15 +274,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a: leader), each verified once on whole texts."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        need = stored(ids.join(classes.select("id", "rep"), "id"), waves=1)
-        small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        side = F.broadcast(need) if small else need
-        found = (keyed.join(side, keyed["doc_id"].eqNullSafe(side["rep.doc_id"]) & (keyed["tkey"] == side["rep.tkey"]))
-                 .select("id", "text"))
-        found = stored(found)
-        if found.groupBy("id").count().where("count > 1").limit(1).count():      # repeated rows (equal id and text)
-            found = stored(found.dropDuplicates(["id"]))
+        found = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         degree = pairs.groupBy("a").agg(F.count("*").alias("deg")).withColumn(
             "salts", F.ceil(F.col("deg") / PARTNERS_PER_TASK).cast("int"))
         leaders = (degree.join(found, degree["a"] == found["id"])
@@ -257,41 +286,79 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         return (leaders.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
                 .mapInArrow(_verify_stream(n, num, den), "a long, b long, common long"))
 
+    def relabelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return postings.withColumn("comp", F.col("id"))
+        return (postings.join(labels, postings["id"] == labels["node"], "left")
+                .select("gram", "id", "size", "pos", "kin", F.coalesce("label", "id").alias("comp")))
+
+    def open_grams(labelled: DataFrame) -> DataFrame:
+        """(gram, hot): n-grams of two labels or more; hot ones would make more than HOT pairs a posting."""
+        k = labelled.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(
+            F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        return stored(k.where("n * n > q").select("gram", (F.expr("n * n - q") > 2 * HOT * F.col("n")).alias("hot")), waves=1)
+
+    def star(labelled: DataFrame, r: int) -> DataFrame:
+        """Candidates of an n-gram's leaders with its other classes."""
+        # the class with most of its prefix in others leads: a group's least edited copy, the same one for most of its n-grams
+        draw = F.xxhash64("id", F.lit(r))
+        lead = labelled.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(LEADERS ** r)).alias("draw")).agg(
+            F.max(F.struct("kin", draw.alias("h"), "size", "id", "pos", "comp")).alias("l"))
+        return filtered(labelled.join(lead, "gram").where("comp <> l.comp").select(
+            F.col("l.size").alias("xs"), F.col("l.id").alias("xi"), F.col("l.pos").alias("xp"),
+            F.col("size").alias("ys"), F.col("id").alias("yi"), F.col("pos").alias("yp")))
+
+    def across(labelled: DataFrame) -> DataFrame:
+        """Candidates of different labels: all pairs of postings that can pass the filters."""
+        # bounds over a label's members in a group tell whether any pair can pass the length and positional filters
+        comps = labelled.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"),
+                                                     F.max(F.col("size") - F.col("pos")).alias("rest"))
+        least = _needed(F.col("s.lo"), F.col("t.lo"), num, den)
+        cross = (comps.alias("s").join(comps.alias("t"), "gram")
+                 .where(F.expr(f"s.comp < t.comp and {den} * s.hi >= {num} * t.lo and {den} * t.hi >= {num} * s.lo"))
+                 .where(F.least("s.rest", "t.rest") >= least)
+                 .select("gram", F.col("s.comp").alias("ca"), F.col("t.comp").alias("cb")))
+        x, y = (labelled.select("gram", F.col("comp").alias(c), F.col("size").alias(f"{k}s"), F.col("id").alias(f"{k}i"),
+                                F.col("pos").alias(f"{k}p")) for c, k in (("ca", "x"), ("cb", "y")))
+        return filtered(cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).select("xs", "xi", "xp", "ys", "yi", "yp"))
+
+    def all_across(labels: DataFrame | None) -> DataFrame:
+        """Every remaining candidate pair of different labels.
+
+        A pair that shares a hot n-gram is left to the next level: the classes with a hot n-gram are counted, ordered and
+        cut to prefixes anew among themselves, where common passages are told from rare ones with less noise. The
+        other pairs share n-grams that are not hot only, so the filters see their first common one. Where
+        a level no longer thins them out, hot n-grams are compared like the others, too."""
+        found, postings, before = [], shared, classes.count()
+        for level in range(LEVELS):
+            labelled = relabelled(postings, labels)
+            grams = open_grams(labelled)
+            labelled = stored(labelled.join(grams, "gram"))
+            ids = stored(labelled.where("hot").select("id").distinct(), waves=1)
+            left = ids.count()
+            if not left or level == LEVELS - 1 or left > THINNED * before:
+                found.append(across(labelled))
+                break
+            found.append(across(labelled.where("not hot")))
+            before = left
+            texts = texts_of(ids)
+            weights = spark.sparkContext.broadcast(ngram_rarity(texts, n, LEVEL_SKETCH))
+            postings = shared_postings(stored(texts.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("tkey"), "text").mapInArrow(
+                _features(n, num, den, weights), "id long, tkey long, size long, class binary, prefix array<long>, parts array<int>")
+                .select("id", "size", "prefix")))
+        return functools.reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
+
     tried = links = labels = None
     for r in range(star_rounds + 1):
-        if links is None:
-            labelled = shared.withColumn("comp", F.col("id"))
-        else:
-            labels = stored(near_labels(links), waves=1)
-            labelled = stored(shared.join(labels, shared["id"] == labels["node"], "left")
-                              .select("gram", "id", "size", "pos", F.coalesce("label", "id").alias("comp")))
-        if r < star_rounds:
-            # every n-gram draws its own leader, so a class meets several members of its group
-            draw = F.xxhash64("gram", "id", F.lit(r))
-            lead = labelled.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(LEADERS ** (r + 1))).alias("draw")).agg(
-                F.min(F.struct(draw.alias("h"), "size", "id", "pos", "comp")).alias("l"))
-            pairs = labelled.join(lead, "gram").where("comp <> l.comp").select(
-                F.col("l.size").alias("xs"), F.col("l.id").alias("xi"), F.col("l.pos").alias("xp"),
-                F.col("size").alias("ys"), F.col("id").alias("yi"), F.col("pos").alias("yp"))
-        else:
-            # bounds over a label's members in a group tell whether any pair can pass the length and positional filters
-            comps = labelled.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("pos").alias("pos"),
-                                                         F.max(F.col("size") - F.col("pos")).alias("rest"))
-            least = _needed(F.col("s.lo"), F.col("t.lo"), num, den)
-            cross = (comps.alias("s").join(comps.alias("t"), "gram")
-                     .where(F.expr(f"s.comp < t.comp and {den} * s.hi >= {num} * t.lo and {den} * t.hi >= {num} * s.lo"))
-                     .where(F.least("s.pos", "t.pos") + F.least("s.rest", "t.rest") >= least)
-                     .select("gram", F.col("s.comp").alias("ca"), F.col("t.comp").alias("cb")))
-            x, y = (labelled.select("gram", F.col("comp").alias(c), F.col("size").alias(f"{k}s"), F.col("id").alias(f"{k}i"),
-                                    F.col("pos").alias(f"{k}p")) for c, k in (("ca", "x"), ("cb", "y")))
-            pairs = cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).select("xs", "xi", "xp", "ys", "yi", "yp")
-        # the smaller set (then the smaller number) comes first, so a pair has one name
-        swap = (F.col("xs") > F.col("ys")) | ((F.col("xs") == F.col("ys")) & (F.col("xi") > F.col("yi")))
-        pairs = pairs.where(_fits(num, den)).withColumn("swap", swap).select(
-            *[F.when(F.col("swap"), F.col(f"{v}{c}")).otherwise(F.col(f"{u}{c}")).alias(name)
-              for name, u, v, c in (("a", "x", "y", "i"), ("b", "y", "x", "i"), ("pa", "x", "y", "p"), ("pb", "y", "x", "p"),
-                                    ("na", "x", "y", "s"), ("nb", "y", "x", "s"))])
-        pairs = filtered(pairs)
+        if links is not None:
+            labels = stored(components(links).withColumnRenamed("root", "label"), waves=1)
+        if r == star_rounds:
+            pairs = all_across(labels)
+        elif r == 0:
+            pairs = star(relabelled(shared, None), r)
+        else:                                        # more leaders, where one has left much to compare
+            labelled = stored(relabelled(shared, labels))
+            pairs = star(labelled.join(open_grams(labelled).where("hot").select("gram"), "gram"), r)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, waves=1)
@@ -317,16 +384,6 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def near_labels(links: DataFrame, steps: int = 6) -> DataFrame:
-    """(node, label) of every node with a link: the least node within steps + 1 links. Equal labels mean connected."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label"))
-    for _ in range(steps):
-        labels = (both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"))
-                  .agg(F.least(F.col("a"), F.min("label")).alias("label")))
-    return labels
-
-
 def ngram_dedupe(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs with one document kept per component: the one with the least doc_id (null last, then text key).
 

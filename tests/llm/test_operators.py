@@ -66,6 +66,46 @@ def test_ngram_components(spark, edge_docs, edge_rows, no_docs):
     assert ngram_join.ngram_components(no_docs, 4, 85, 100).collect() == []
 
 
+def near_copies(n: int, seed: int) -> list[tuple[int, str]]:
+    """Texts with one to three words of one base changed."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 3)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return [*rows, (n, " ".join(base))]
+
+
+def test_ngram_components_of_near_copies_make_few_pairs(spark, monkeypatch):
+    """A group of near copies meets its leaders, not all of its members."""
+    rows, made, plain = near_copies(150, 3), [], ngram_join.stored
+    def counted(df, *args, **options):
+        out = plain(df, *args, **options)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    group = roots([shingles(t, 4) for _, t in rows], 85, 100)
+    assert got == {i: rows[g][0] for (i, _), g in zip(rows, group)}
+    assert sum(made) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_ngram_components_with_hot_ngrams(spark, monkeypatch, levels):
+    """Every n-gram of two labels is hot: the classes go through all levels, and no link is lost."""
+    for name, value in (("HOT", 0), ("LEVELS", levels), ("THINNED", 1), ("LEVEL_SKETCH", 1 << 12)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = variants(120, 1) + [(200 + i, t) for i, t in near_copies(20, 5)]
+    group = roots([shingles(t, 4) for _, t in rows], 85, 100)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, star_rounds=1).collect()}
+    assert got == {i: rows[g][0] for (i, _), g in zip(rows, group)}
+
+
 def test_ngram_dedupe_keeps_one_of_each_group(spark, edge_docs, edge_rows):
     kept = ngram_join.ngram_dedupe(edge_docs)
     assert kept.columns == edge_docs.columns
