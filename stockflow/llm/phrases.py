@@ -7,8 +7,8 @@ A text is lower-cased (A-Z only), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces a
    whose parts are frequent; those seen ``least`` times or more mark bitmaps of fixed size (a false mark costs
    work, never a result). A phrase can only be frequent if all its parts are, so a suffix pointer ends where the
    marks end.
-2. *Routing.* Pointers go, pre-aggregated in their task with their weights, to the task of their two leading
-   words. Pairs seen ``HOT_PAIR`` times or more are routed by three words, so that a hot pair is
+2. *Routing.* Pointers go, added up in their task with their weights (a few tasks per core read the texts, so that equal
+   pointers meet early, and heavy ones are held longest), to the task of their two leading words. Pairs seen ``HOT_PAIR`` times or more are routed by three words, so that a hot pair is
    spread; their two-word counts are summed from the parts.
 3. *Sorting.* Each task sorts the pointers of whole routes by multikey three-way quicksort on (language, word 1,
    word 2, ...): a partition is split into less, equal and greater at one word position, and only the
@@ -42,6 +42,7 @@ HOT_SLOTS = 1 << 20                  # bits of the bitmap of hot pairs
 HOT_PAIR = 1 << 17                   # a pair seen as often is routed by three words
 HELD_ROWS = 1 << 20                  # pointers that a task holds to add them up
 CHUNK_ROWS = 1 << 17                 # pointers that are sorted together (whole routes)
+POINTER_WAVES = 2                    # tasks per core that make pointers: the more texts one reads, the more equal ones it adds up
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_BREAK
@@ -140,7 +141,9 @@ POINTER = "lang string, route long, deep boolean, words int, phrase string, c lo
 
 
 class Held:
-    """Pointers of one task, added up before they are handed on; at most about ``most`` are held."""
+    """Pointers of one task, added up before they are handed on; at most about ``most`` are held.
+
+    Where too many differ, the light ones go: the heavy ones stay, as they will be met again."""
 
     def __init__(self, most: int):
         self.tables: list[pa.Table] = []
@@ -151,10 +154,12 @@ class Held:
         self.rows += len(batch)
         if self.rows > self.most:
             one = merged(pa.concat_tables(self.tables))
-            keep = len(one) < self.most * 3 // 4
-            self.tables, self.rows = ([one], len(one)) if keep else ([], 0)
-            if not keep:
-                yield from one.to_batches(max_chunksize=1 << 16)
+            if len(one) >= self.most * 3 // 4:
+                c = one["c"].to_numpy()
+                stay = c > np.partition(c, len(c) // 2)[len(c) // 2]
+                yield from one.filter(pa.array(~stay)).combine_chunks().to_batches(max_chunksize=1 << 16)
+                one = one.filter(pa.array(stay)).combine_chunks()
+            self.tables, self.rows = [one], len(one)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.tables:
@@ -315,7 +320,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
                 .groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
         marks = [*marks, bitmap(runs, "key", SLOTS)]
     bits = spark.sparkContext.broadcast((marks, hot))
-    pointers = texts.mapInArrow(_pointers(bits, longest, HELD_ROWS), POINTER).repartition("route").sortWithinPartitions("route")
+    read = texts.coalesce(POINTER_WAVES * max(spark.sparkContext.defaultParallelism, 1))
+    pointers = read.mapInArrow(_pointers(bits, longest, HELD_ROWS), POINTER).repartition("route").sortWithinPartitions("route")
     counts = (pointers.mapInArrow(_mine(least, longest, CHUNK_ROWS), "lang string, words int, phrase string, c long")
               .groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")))
     return counts.where((F.col("words") == 0) | (F.col("f") >= least))

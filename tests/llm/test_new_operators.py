@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stockflow.llm import phrases, pii, prefix_trie
@@ -213,6 +214,47 @@ def test_collocations(spark, monkeypatch, hot, held, chunk):
     assert phrases.collocations(docs.where("false")).collect() == []
 
 
+def test_pointers_meet_in_few_tasks(spark, monkeypatch):
+    """Texts in many partitions make as few pointers as texts in a few: equal ones are added up per core."""
+    rows, made, plain = phrase_rows() * 4, spark.sparkContext.accumulator(0), phrases._pointers
+    def counted(*args):
+        run = plain(*args)
+        def go(batches):
+            for out in run(batches):
+                made.add(len(out))
+                yield out
+        return go
+    monkeypatch.setattr(phrases, "_pointers", counted)
+    monkeypatch.setattr(phrases, "POINTER_WAVES", 1)
+    docs, of = spark.createDataFrame(rows, "lang string, text string"), {}
+    for parts in (spark.sparkContext.defaultParallelism, 40):
+        before = made.value
+        want = phrases.phrase_counts(docs.repartition(parts), least=5).collect()
+        of[parts] = (Counter(map(tuple, want)), made.value - before)
+    few, many = of.values()
+    assert few[0] == many[0] and many[1] <= 1.5 * few[1]
+
+
+def test_held_pointers_keep_the_heavy_ones():
+    def batch(keys, c):
+        n = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(["en"] * n), pa.array(keys, pa.int64()), pa.array([False] * n),
+                                           pa.array([2] * n, pa.int32()), pa.array([f"a {k}" for k in keys]),
+                                           pa.array([c] * n, pa.int64())], names=phrases.FIELDS)
+    held, out = phrases.Held(20), []
+    for turn in range(10):
+        for b in (batch(range(5), 3), batch(range(100 + 20 * turn, 120 + 20 * turn), 1)):
+            out += list(held.add(b))
+    out += list(held.rest())
+    total, rows = Counter(), Counter()
+    for b in out:
+        for r in b.to_pylist():
+            total[r["phrase"]] += r["c"]
+            rows[r["phrase"]] += 1
+    assert total == Counter({f"a {k}": 30 for k in range(5)} | {f"a {k}": 1 for k in range(100, 300)})
+    assert max(rows.values()) == 1
+
+
 def test_quicksort_counts_prefixes():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 4, (300, 4)).astype(np.int32)
