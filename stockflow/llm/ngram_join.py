@@ -322,6 +322,16 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                                 F.col("pos").alias(f"{k}p")) for c, k in (("ca", "x"), ("cb", "y")))
         return filtered(cross.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).select("xs", "xi", "xp", "ys", "yi", "yp"))
 
+    def across_hot(labelled: DataFrame) -> DataFrame:
+        """As across(), where many pairs are left: the suffix filter applies before a pair becomes a row."""
+        both = labelled.join(parts, "id")
+        x, y = (both.select("gram", *[F.col(c).alias(f"{k}{a}") for c, a in (
+            ("comp", "c"), ("size", "s"), ("id", "i"), ("pos", "p"), ("parts", "q"))]) for k in "xy")
+        gap = F.aggregate(F.zip_with("xq", "yq", lambda u, v: F.abs(u - v)), F.lit(0), lambda t, u: t + u)
+        room = F.col("xs") + F.col("ys") - 2 * _needed(F.col("xs"), F.col("ys"), num, den)
+        return filtered(x.join(y, "gram").where("xc < yc").where(_fits(num, den)).where(gap <= room)
+                        .select("xs", "xi", "xp", "ys", "yi", "yp"))
+
     def all_across(labels: DataFrame | None) -> DataFrame:
         """Every remaining candidate pair of different labels.
 
@@ -337,7 +347,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             ids = stored(labelled.where("hot").select("id").distinct(), waves=1)
             left = ids.count()
             if not left or level == LEVELS - 1 or left > THINNED * before:
-                found.append(across(labelled))
+                found.append(across(labelled.where("not hot")))
+                if left:
+                    found.append(across_hot(labelled.where("hot")))
                 break
             found.append(across(labelled.where("not hot")))
             before = left
