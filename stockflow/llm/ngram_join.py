@@ -99,22 +99,52 @@ def _count_ngrams(n: int, slots: int):
     return run
 
 
+def _total(slots: int):
+    """The sum of the n-grams' counters of each batch of segments."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = sum(int(counters.numbers(c.as_py()).sum()) for s, c in zip(batch.column(0).to_pylist(), batch.column(1))
+                        if s * counters.SEGMENT < slots)
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["total"])
+    return run
+
+
+def _ranks(slots: int, noise: float):
+    """Segments of counters to segments of tiers (n-grams) and weights (words); those that are all 0 go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, blobs = [], []
+            for s, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c = counters.numbers(c.as_py())
+                if s * counters.SEGMENT < slots:
+                    c = np.ceil(np.log2(1 + np.maximum(c.astype(np.float32) - np.float32(noise), 0))).astype(np.uint8)
+                else:
+                    c = np.floor(4 * np.log2(1 + c)).astype("<i2")
+                if c.any():
+                    ids.append(s), blobs.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["segment", "ranks"])
+    return run
+
+
 def ngram_rarity(texts: DataFrame, n: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(tier of every hashed n-gram, weight of every hashed word) over all texts, two tables of fixed size.
 
     The tier is 0 for n-grams whose counter doesn't stand out of the others' noise, else the bit length of
     the excess; the weight of a word is 4 log2 of its counter. N-grams are ordered by (tier, sum of
     their words' weights, hash): frequent passages last, then n-grams of common words, rare ones first.
+    Counters become tiers and weights inside the tasks: the driver gets and holds one byte a counter.
     """
     tasks = 2 * max(texts.sparkSession.sparkContext.defaultParallelism, 1)      # each hands on a whole table
-    counts = counters.summed(texts.select("text").coalesce(tasks).mapInArrow(_count_ngrams(n, slots), counters.SPEC), slots + WORDS)
-    words = np.floor(4 * np.log2(1 + counts[slots:])).astype(np.int16)
-    excess = counts[:slots].astype(np.float32)
-    del counts
-    mean = excess.mean(dtype=np.float64)
-    excess -= np.float32(mean + 4 * np.sqrt(mean))
-    np.maximum(excess, 0, out=excess)
-    return np.ceil(np.log2(1 + excess)).astype(np.uint8), words
+    counts = stored(counters.added(texts.select("text").coalesce(tasks).mapInArrow(_count_ngrams(n, slots), counters.SPEC)), waves=1)
+    mean = (counts.mapInArrow(_total(slots), "total long").agg(F.sum("total")).first()[0] or 0) / slots
+    tiers, words = np.zeros(slots, dtype=np.uint8), np.zeros(WORDS, dtype=np.int16)
+    for row in counts.mapInArrow(_ranks(slots, mean + 4 * np.sqrt(mean)), "segment int, ranks binary").collect():
+        at = row.segment * counters.SEGMENT
+        if at < slots:
+            tiers[at: at + counters.SEGMENT] = np.frombuffer(bytes(row.ranks), dtype=np.uint8)
+        else:
+            words[at - slots: at - slots + counters.SEGMENT] = np.frombuffer(bytes(row.ranks), dtype="<i2")
+    return tiers, words
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -220,6 +250,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     feats = stored(keyed.mapInArrow(
         _features(n, num, den, rarity),
         f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tkey long, size long, class binary, prefix array<long>, parts array<int>"))
+    rarity.destroy()                                 # all that needs it is written
     # equal sets have equal sizes, prefixes and parts: any row of a class stands for it, under a number of 8 bytes
     classes = stored(feats.where("class is not null").groupBy("class").agg(
         F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least"),
@@ -238,7 +269,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         grams = stored(grams)
         slots = spark.sparkContext.broadcast(bitmap(grams, "gram", SLOTS))
         postings = prefixes.select("id", "size", "prefix").mapInArrow(_postings(slots), "gram long, id long, size long, pos int, kin int")
-        return stored(postings.join(grams, "gram"))
+        out = stored(postings.join(grams, "gram"))
+        slots.destroy()
+        return out
 
     shared = shared_postings(classes)
     parts = classes.select("id", "parts")
@@ -355,9 +388,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             before = left
             texts = texts_of(ids)
             weights = spark.sparkContext.broadcast(ngram_rarity(texts, n, LEVEL_SKETCH))
-            postings = shared_postings(stored(texts.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("tkey"), "text").mapInArrow(
+            prefixes = stored(texts.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("tkey"), "text").mapInArrow(
                 _features(n, num, den, weights), "id long, tkey long, size long, class binary, prefix array<long>, parts array<int>")
-                .select("id", "size", "prefix")))
+                .select("id", "size", "prefix"))
+            weights.destroy()
+            postings = shared_postings(prefixes)
         return functools.reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
 
     tried = links = labels = None

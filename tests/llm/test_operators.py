@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from stockflow.llm import (decontam, licenses, line_dedup, ngram_join, packing, quality, repeats, sharding, token_files, toxicity)
+from stockflow.llm import (decontam, licenses, line_dedup, ngram_join, packing, quality, repeats, sharding, textkit as tk, token_files, toxicity)
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,6 +109,26 @@ def test_ngram_components_with_hot_ngrams(spark, monkeypatch, levels):
     assert got == {i: rows[g][0] for (i, _), g in zip(rows, group)}
 
 
+def test_ngram_rarity_takes_a_few_bytes_a_counter_on_the_driver(spark):
+    """Counters become tiers and weights in the tasks; the tables are those of the counters of all rows."""
+    rows, slots = variants(120, 4) + [(200 + i, t) for i, t in near_copies(40, 6)], 1 << 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).select("text")
+    tracemalloc.start()
+    try:
+        tiers, weights = ngram_join.ngram_rarity(docs, 4, slots)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * (slots + ngram_join.WORDS)
+    data, off = tk.text_buffers(pa.array([t for _, t in rows], pa.string()))
+    counts = np.bincount(np.concatenate(ngram_join.row_sets(data, off, 4)) & np.uint64(slots - 1), minlength=slots)
+    start, end, _ = tk.words(data, off, tk.SPACE_SEPARATED)
+    words = np.bincount(tk.word_hashes(data, start, end, lower=True) & np.uint64(ngram_join.WORDS - 1), minlength=ngram_join.WORDS)
+    noise = counts.mean() + 4 * np.sqrt(counts.mean())
+    assert tiers.any() and (tiers == np.ceil(np.log2(1 + np.maximum(counts - noise, 0)))).all()
+    assert (weights == np.floor(4 * np.log2(1 + words))).all()
+
+
 def test_ngram_dedupe_keeps_one_of_each_group(spark, edge_docs, edge_rows):
     kept = ngram_join.ngram_dedupe(edge_docs)
     assert kept.columns == edge_docs.columns
