@@ -279,12 +279,12 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, text) of each class among the ids."""
         need = stored(ids.join(classes.select("id", "rep"), "id"), waves=1)
-        small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        side = F.broadcast(need) if small else need
+        known = need.count()
+        side = F.broadcast(need) if known <= BROADCAST_ROWS else need
         found = (keyed.join(side, keyed["doc_id"].eqNullSafe(side["rep.doc_id"]) & (keyed["tkey"] == side["rep.tkey"]))
                  .select("id", "text"))
         found = stored(found)
-        if found.groupBy("id").count().where("count > 1").limit(1).count():      # repeated rows (equal id and text)
+        if found.count() > known:                    # repeated rows (equal id and text)
             found = stored(found.dropDuplicates(["id"]))
         return found
 
@@ -371,7 +371,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         A pair that shares a hot n-gram is left to the next level: the classes with a hot n-gram are counted, ordered and
         cut to prefixes anew among themselves, where common passages are told from rare ones with less noise. The
         other pairs share n-grams that are not hot only, so the filters see their first common one. Where
-        a level no longer thins them out, hot n-grams are compared like the others, too."""
+        a level no longer thins them out, hot n-grams are compared like the others, too.
+
+        Each level's pairs are written before the next begins: as one plan, the driver would hold all levels'
+        broadcast sides and plan texts at once."""
         found, postings, before = [], shared, classes.count()
         for level in range(LEVELS):
             labelled = relabelled(postings, labels)
@@ -380,11 +383,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             ids = stored(labelled.where("hot").select("id").distinct(), waves=1)
             left = ids.count()
             if not left or level == LEVELS - 1 or left > THINNED * before:
-                found.append(across(labelled.where("not hot")))
+                found.append(stored(across(labelled.where("not hot")), waves=1))
                 if left:
-                    found.append(across_hot(labelled.where("hot")))
+                    found.append(stored(across_hot(labelled.where("hot")), waves=1))
                 break
-            found.append(across(labelled.where("not hot")))
+            found.append(stored(across(labelled.where("not hot")), waves=1))
             before = left
             texts = texts_of(ids)
             weights = spark.sparkContext.broadcast(ngram_rarity(texts, n, LEVEL_SKETCH))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stockflow.llm import (decontam, licenses, line_dedup, ngram_join, packing, quality, repeats, sharding, textkit as tk, token_files, toxicity)
+from stockflow.llm import (decontam, frames, licenses, line_dedup, ngram_join, packing, quality, repeats, sharding, textkit as tk, token_files, toxicity)
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,6 +109,44 @@ def test_ngram_components_with_hot_ngrams(spark, monkeypatch, levels):
     assert got == {i: rows[g][0] for (i, _), g in zip(rows, group)}
 
 
+def test_ngram_components_hot_levels_are_small_plans(spark, monkeypatch):
+    """No step's plan joins the frames of several levels: the driver holds the broadcast sides of one at a time."""
+    for name, value in (("HOT", 0), ("LEVELS", 3), ("THINNED", 1), ("LEVEL_SKETCH", 1 << 12)):
+        monkeypatch.setattr(ngram_join, name, value)
+    joins, plain = [], ngram_join.stored
+    def counted(df, *args, **options):
+        joins.append(len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return plain(df, *args, **options)
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    rows = variants(120, 1) + [(200 + i, t) for i, t in near_copies(20, 5)]
+    group = roots([shingles(t, 4) for _, t in rows], 85, 100)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, star_rounds=1).collect()}
+    assert got == {i: rows[g][0] for (i, _), g in zip(rows, group)}
+    assert max(joins) <= 6
+
+
+@pytest.mark.parametrize("links, steps", [
+    ([], 0), ([(5, 5)], 0),
+    ([(1, 9), (9, 1), (8, 1), (2, 3), (3, 2), (4, 4)], 0),             # stars, some links twice and reversed
+    ([(i, i + 1) for i in range(40)] + [(50, 7), (60, 61)], 9)])
+def test_components_take_no_step_beyond_stars(spark, monkeypatch, links, steps):
+    """Roots are right, and links that are stars around the least node are not dealt out again to find that out."""
+    written, plain = [], frames.stored
+    def counted(df, *args, **options):
+        written.append(1)
+        return plain(df, *args, **options)
+    monkeypatch.setattr(frames, "stored", counted)
+    got = sorted(tuple(r) for r in frames.components(spark.createDataFrame(links, "a long, b long")).collect())
+    least = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == sorted(least.items())
+    assert len(written) - 1 <= steps
+
+
 def test_ngram_rarity_takes_a_few_bytes_a_counter_on_the_driver(spark):
     """Counters become tiers and weights in the tasks; the tables are those of the counters of all rows."""
     rows, slots = variants(120, 4) + [(200 + i, t) for i, t in near_copies(40, 6)], 1 << 20
